@@ -3,15 +3,23 @@
 Cleaning operators return the cleaned table itself. Statistics that drive a
 fill or a filter are reduced to one small row on the cluster and applied as
 literals, so the cleaned table's plan is the input scan plus one projection
-or filter -- no cross join, no growing lineage.
+or filter -- no cross join and no lineage that grows with the number of
+columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabsmith.operators.profile import duplicate_rows_expr
+from tabsmith.functions.columns import (CATEGORICAL, INTEGRAL_TYPES, NUMERIC, as_double, col,
+                                        columns_info)
+from tabsmith.functions.quantiles import quantiles
+from tabsmith.operators.profile import duplicate_rows_expr, value_counts
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -20,3 +28,261 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                   (F.count(F.lit(1)) - dup).cast("bigint").alias("distinct_rows"),
                   dup.alias("duplicate_rows"))
+
+
+def remove_duplicates(df: DataFrame) -> DataFrame:
+    """CL1: drop repeated rows (NULL equals NULL). A hash aggregate with
+    map-side partial dedup; map columns are not part of the key (H8)."""
+    keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    if len(keys) == len(df.columns):
+        return df.dropDuplicates()
+    return df.dropDuplicates(keys)
+
+
+def _fill(df: DataFrame, values: dict) -> DataFrame:
+    """coalesce(c, literal) for the given columns; integral columns that get a
+    fractional fill become double (pandas' int-with-NaN is float64)."""
+    exprs = []
+    for f in df.schema.fields:
+        c = col(f.name)
+        if f.name in values:
+            v = values[f.name]
+            if isinstance(f.dataType, INTEGRAL_TYPES) and isinstance(v, float):
+                c = F.coalesce(c.cast("double"), F.lit(v))
+            elif isinstance(f.dataType, T.DecimalType):
+                c = F.coalesce(c.cast("double"), F.lit(float(v)))
+            else:
+                c = F.coalesce(c, F.lit(v).cast(f.dataType))
+        exprs.append(c.alias(f.name))
+    return df.select(*exprs)
+
+
+def _numeric_fill_stats(df: DataFrame, median: bool) -> dict:
+    names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
+    if not names:
+        return {}
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(names):
+        x = as_double(n)
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*aggs).collect()[0]
+    idx = {n: i for i, n in enumerate(names)}
+    # columns with a missing cell and at least one value (all-missing stays missing)
+    missing = [n for n in names if 0 < row[f"n{idx[n]}"] < row["rows"]]
+    if not median:
+        return {n: row[f"m{idx[n]}"] for n in missing}
+    stats = {n: (row[f"n{idx[n]}"], row[f"lo{idx[n]}"], row[f"hi{idx[n]}"]) for n in missing}
+    med = quantiles(df, missing, [0.5], stats)
+    return {n: med[(n, 0.5)] for n in missing}
+
+
+def fill_missing_mean(df: DataFrame) -> DataFrame:
+    """CL2: numeric columns with missing cells -> column mean; a column with
+    no value at all stays missing."""
+    return _fill(df, _numeric_fill_stats(df, median=False))
+
+
+def fill_missing_median(df: DataFrame) -> DataFrame:
+    """CL3: same with the exact median (distributed selection)."""
+    return _fill(df, _numeric_fill_stats(df, median=True))
+
+
+def column_modes(df: DataFrame, names: list[str]) -> dict:
+    """Most frequent non-missing value per column, smallest value on ties.
+
+    Counts are pre-aggregated per (column, value); the per-column pick is a
+    partial aggregate ``min(struct(-count, value))`` -- never one group holding
+    a whole column.
+    """
+    if not names:
+        return {}
+    counts = value_counts(df, names)
+    best = (counts.groupBy("column")
+                  .agg(F.min(F.struct((-F.col("count")).alias("nc"),
+                                      F.col("value").alias("v"))).alias("b"))
+                  .select("column", F.col("b.v").alias("mode")).collect())
+    return {r["column"]: r["mode"] for r in best}
+
+
+def fill_missing_mode(df: DataFrame) -> DataFrame:
+    """CL4: categorical columns with missing cells -> most frequent value
+    (``mode()[0]``: smallest value on ties)."""
+    cats = [c.name for c in columns_info(df) if c.cls == CATEGORICAL]
+    if not cats:
+        return df
+    row = df.agg(*[F.count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(cats)]).collect()[0]
+    with_missing = [n for i, n in enumerate(cats) if row[f"m{i}"] > 0]
+    return _fill(df, column_modes(df, with_missing))
+
+
+def drop_missing_rows(df: DataFrame) -> DataFrame:
+    """CL5: drop every row with a missing cell."""
+    return df.na.drop(how="any")
+
+
+# ---------------------------------------------------------------- outliers
+
+@dataclass
+class OutlierStep:
+    column: str
+    mean: float | None
+    std: float | None
+    removed: int        # rows this column removed (0 for a skipped column)
+
+
+def _keep(name: str, mean, std, z: float) -> Column | None:
+    """Row survives the column's z-score test; None = column skipped.
+
+    pandas semantics: std == 0 skips the column; a missing std (fewer than two
+    values) compares False for every row; a missing cell compares False.
+    """
+    if std is not None and std == 0:
+        return None
+    if std is None or mean is None:
+        return F.lit(False)
+    return F.coalesce(F.abs((as_double(name) - F.lit(mean)) / F.lit(std)) < F.lit(z), F.lit(False))
+
+
+def _moments(df: DataFrame, names: list[str], cond: Column | None = None) -> dict:
+    if not names:
+        return {}
+    aggs = []
+    for i, n in enumerate(names):
+        x = as_double(n) if cond is None else F.when(cond, as_double(n))
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+    row = df.agg(*aggs).collect()[0]
+    return {n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(names)}
+
+
+MAX_AGGS_PER_PASS = 400
+
+
+def outlier_plan(df: DataFrame, z: float = 3.0) -> tuple[Column, list[OutlierStep]]:
+    """CL6 planning: the predicate that the sequential z-score filter amounts to.
+
+    The reference processes numeric columns in order, each with the mean and
+    std of the rows still left. A column whose test removes nothing leaves
+    the rows (and so every later statistic) unchanged, so one pass over the
+    surviving rows counts the violators of every remaining column and, for
+    the first few candidates, the statistics of the later columns under that
+    candidate's filter. Passes = columns that really remove rows + 2. The
+    statistics become literals in a single predicate over the input.
+    """
+    names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
+    steps: list[OutlierStep] = []
+    pred = F.lit(True)
+    stats = _moments(df, names)
+    p = 0
+    while p < len(names):
+        rest = names[p:]
+        cur = df.filter(pred)
+        keeps = {n: _keep(n, *stats[n], z) for n in rest}
+        aggs = []
+        for i, n in enumerate(rest):
+            k = keeps[n]
+            aggs.append((F.count_if(~k) if k is not None else F.lit(0)).alias(f"v{i}"))
+        per_cand = max(1, 2 * (len(rest) - 1))
+        window = max(1, MAX_AGGS_PER_PASS // per_cand)
+        cond_names = {}
+        for i, n in enumerate(rest[:window]):
+            k = keeps[n]
+            if k is None:
+                continue
+            for j, m in enumerate(rest[i + 1:], start=i + 1):
+                x = F.when(k, as_double(m))
+                aggs += [F.avg(x).alias(f"cm{i}_{j}"), F.stddev_samp(x).alias(f"cs{i}_{j}")]
+            cond_names[i] = True
+        row = cur.agg(*aggs).collect()[0]
+        first = next((i for i in range(len(rest)) if row[f"v{i}"] > 0), None)
+        if first is None:
+            steps += [OutlierStep(n, *stats[n], 0) for n in rest]
+            break
+        for n in rest[:first]:
+            steps.append(OutlierStep(n, *stats[n], 0))
+        n = rest[first]
+        steps.append(OutlierStep(n, *stats[n], int(row[f"v{first}"])))
+        pred = pred & keeps[n]
+        later = rest[first + 1:]
+        if first in cond_names:
+            for j, m in enumerate(later, start=first + 1):
+                stats[m] = (row[f"cm{first}_{j}"], row[f"cs{first}_{j}"])
+        else:
+            stats.update(_moments(df.filter(pred), later))
+        p += first + 1
+    return pred, steps
+
+
+def remove_outliers(df: DataFrame, z: float = 3.0) -> DataFrame:
+    """CL6: sequential z-score outlier removal (|z| < z kept, strictly)."""
+    pred, _ = outlier_plan(df, z)
+    return df.filter(pred)
+
+
+def remove_outliers_once(df: DataFrame, z: float = 3.0) -> DataFrame:
+    """CL6b: every numeric column tested against one set of statistics."""
+    names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
+    stats = _moments(df, names)
+    keeps = [k for k in (_keep(n, *stats[n], z) for n in names) if k is not None]
+    return df.filter(reduce(lambda a, b: a & b, keeps, F.lit(True)))
+
+
+# ----------------------------------------------------------------- reports
+
+def cleaning_report(df: DataFrame) -> DataFrame:
+    """CL7: per column missing, % (1 dp) and status, with the table's shape,
+    duplicate rows and total missing cells on every row."""
+    from tabsmith.functions.columns import pct, rows_from_structs
+    info = columns_info(df)
+    miss = {c.ordinal: F.count_if(col(c.name).isNull()).cast("bigint") for c in info}
+    one = df.agg(F.count(F.lit(1)).alias("rows"), duplicate_rows_expr(df).alias("dups"),
+                 *[m.alias(f"miss_{o}") for o, m in miss.items()])
+    total = reduce(lambda a, b: a + b, [F.col(f"miss_{c.ordinal}") for c in info])
+    return rows_from_structs(one, [
+        F.struct(F.lit(c.ordinal).cast("bigint").alias("ordinal"), F.lit(c.name).alias("column"),
+                 F.col(f"miss_{c.ordinal}").alias("missing"),
+                 pct(F.col(f"miss_{c.ordinal}"), F.col("rows"), 1).alias("missing_pct"),
+                 F.when(F.col(f"miss_{c.ordinal}") > 0, "warn").otherwise("ok").alias("status"),
+                 F.col("rows").alias("n_rows"), F.lit(len(info)).cast("bigint").alias("n_columns"),
+                 F.col("dups").alias("duplicate_rows"), total.cast("bigint").alias("missing_cells"))
+        for c in info])
+
+
+def _side_counts(df: DataFrame, side: int, names: list[str]) -> DataFrame:
+    miss = [F.count_if(col(n).isNull()) for n in names]
+    total = reduce(lambda a, b: a + b, miss) if miss else F.lit(0)
+    return df.agg(F.lit(side).alias("side"), F.count(F.lit(1)).cast("bigint").alias("rows"),
+                  total.cast("bigint").alias("missing"))
+
+
+def cleaning_counts(op: str, before: DataFrame, after: DataFrame,
+                    columns: list[str] | None = None) -> DataFrame:
+    """CL8: one row (op, rows_before, rows_after, rows_removed, cells_filled).
+
+    ``cells_filled`` = missing cells in ``columns`` before minus after. The two
+    one-row counts are unioned and folded (no join).
+    """
+    names = columns if columns is not None else [
+        c for c in before.columns if c in after.columns]
+    both = _side_counts(before, 0, names).unionByName(_side_counts(after, 1, names))
+    rb = F.max(F.when(F.col("side") == 0, F.col("rows")))
+    ra = F.max(F.when(F.col("side") == 1, F.col("rows")))
+    mb = F.max(F.when(F.col("side") == 0, F.col("missing")))
+    ma = F.max(F.when(F.col("side") == 1, F.col("missing")))
+    return both.agg(F.lit(op).alias("op"), rb.alias("rows_before"), ra.alias("rows_after"),
+                    (rb - ra).alias("rows_removed"), (mb - ma).cast("bigint").alias("cells_filled"))
+
+
+def cleaning_counts_all(df: DataFrame, z: float = 3.0) -> DataFrame:
+    """CL8 over every cleaning tool applied to the same input."""
+    nums = [c.name for c in columns_info(df) if c.cls == NUMERIC]
+    cats = [c.name for c in columns_info(df) if c.cls == CATEGORICAL]
+    parts = [
+        cleaning_counts("remove_duplicates", df, remove_duplicates(df), []),
+        cleaning_counts("fill_missing_mean", df, fill_missing_mean(df), nums),
+        cleaning_counts("fill_missing_median", df, fill_missing_median(df), nums),
+        cleaning_counts("fill_missing_mode", df, fill_missing_mode(df), cats),
+        cleaning_counts("drop_missing_rows", df, drop_missing_rows(df), []),
+        cleaning_counts("remove_outliers", df, remove_outliers(df, z), []),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -44,4 +44,15 @@ def queries() -> dict[str, Query]:
         "describe_numeric": _on(dirty, schema.describe_numeric),
         "dataset_intelligence": _on(dirty, schema.dataset_intelligence),
         "duplicate_count": _on(dirty, clean.duplicate_count),
+        # cleaning
+        "remove_duplicates": _on(dirty, clean.remove_duplicates),
+        "fill_missing_mean": _on(dirty, clean.fill_missing_mean),
+        "fill_missing_median": _on(dirty, clean.fill_missing_median),
+        "fill_missing_mode": _on(dirty, clean.fill_missing_mode),
+        "drop_missing_rows": _on(dirty, clean.drop_missing_rows),
+        "remove_outliers": _on(dirty, clean.remove_outliers),
+        "remove_outliers_events": _on(fx.events, clean.remove_outliers),
+        "remove_outliers_once": _on(dirty, clean.remove_outliers_once),
+        "cleaning_report": _on(dirty, clean.cleaning_report),
+        "cleaning_counts": _on(dirty, clean.cleaning_counts_all),
     }

@@ -206,4 +206,139 @@ def all_sql() -> dict[str, str]:
         "describe_numeric": describe_statistics(3),
         "dataset_intelligence": dataset_intelligence(),
         "duplicate_count": duplicate_count(),
+        **cleaning_sql(),
+    }
+
+
+# ------------------------------------------------------------------ cleaning
+
+def _select_rounded(cols, exprs=None, table=""):
+    """Select list that rounds double columns; ``exprs`` overrides a column."""
+    exprs = exprs or {}
+    out = []
+    for c, t, _ in cols:
+        e = exprs.get(c, f"{table}{qi(c)}")
+        out.append(f"{r4(e)} AS {qi(c)}" if t == "double" else f"{e} AS {qi(c)}")
+    return ", ".join(out)
+
+
+def remove_duplicates() -> str:
+    return (f"WITH {DIRTY_LINEITEM}\nSELECT {_select_rounded(DIRTY_COLUMNS)} "
+            f"FROM (SELECT DISTINCT * FROM dirty)")
+
+
+FILLED_NUMERIC = ["l_quantity", "l_extendedprice"]   # dirty columns with missing cells
+
+
+def fill_missing(stat: str) -> str:
+    fn = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)"}[stat]
+    st = ", ".join(f"{fn.format(qi(c) + '::DOUBLE')} AS {qi('s_' + c)}" for c in FILLED_NUMERIC)
+    exprs = {c: f"coalesce({qi(c)}, st.{qi('s_' + c)})" for c in FILLED_NUMERIC}
+    return (f"WITH {DIRTY_LINEITEM},\nst AS (SELECT {st} FROM dirty)\n"
+            f"SELECT {_select_rounded(DIRTY_COLUMNS, exprs)} FROM dirty, st")
+
+
+def fill_missing_mode() -> str:
+    modes = ", ".join(
+        f"(SELECT {qi(c)} FROM dirty WHERE {qi(c)} IS NOT NULL GROUP BY {qi(c)} "
+        f"ORDER BY count(*) DESC, {qi(c)} LIMIT 1) AS {qi('s_' + c)}"
+        for c, _, _ in CATEGORICAL_DIRTY)
+    exprs = {c: f"coalesce({qi(c)}, st.{qi('s_' + c)})" for c, _, _ in CATEGORICAL_DIRTY}
+    return (f"WITH {DIRTY_LINEITEM},\nst AS (SELECT {modes})\n"
+            f"SELECT {_select_rounded(DIRTY_COLUMNS, exprs)} FROM dirty, st")
+
+
+def drop_missing_rows() -> str:
+    cond = " AND ".join(f"{qi(c)} IS NOT NULL" for c, _, _ in DIRTY_COLUMNS)
+    return f"WITH {DIRTY_LINEITEM}\nSELECT {_select_rounded(DIRTY_COLUMNS)} FROM dirty WHERE {cond}"
+
+
+def _outlier_chain(cols, source="dirty", z=3):
+    """Chained CTEs s0..sk: column i filtered with the mean / std of s(i-1)."""
+    nums = [c for c, _, k in cols if k == "numeric"]
+    ctes = [f"s0 AS (SELECT * FROM {source})"]
+    for i, c in enumerate(nums, start=1):
+        x = f"{qi(c)}::DOUBLE"
+        ctes.append(f"st{i} AS (SELECT avg({x}) AS m, stddev_samp({x}) AS s FROM s{i - 1})")
+        ctes.append(f"s{i} AS (SELECT s{i - 1}.* FROM s{i - 1}, st{i} "
+                    f"WHERE st{i}.s = 0 OR abs(({x} - st{i}.m) / st{i}.s) < {z})")
+    return ",\n".join(ctes), f"s{len(nums)}"
+
+
+def remove_outliers() -> str:
+    chain, last = _outlier_chain(DIRTY_COLUMNS)
+    return (f"WITH {DIRTY_LINEITEM},\n{chain}\n"
+            f"SELECT {_select_rounded(DIRTY_COLUMNS)} FROM {last}")
+
+
+def remove_outliers_events() -> str:
+    from tabsmith.plans.sql_fixtures import EVENTS_COLUMNS
+    chain, last = _outlier_chain(EVENTS_COLUMNS, source="events")
+    return f"WITH {chain}\nSELECT {_select_rounded(EVENTS_COLUMNS)} FROM {last}"
+
+
+def remove_outliers_once(z: int = 3) -> str:
+    nums = [c for c, _, _ in NUMERIC_DIRTY]
+    st = ", ".join(f"avg({qi(c)}::DOUBLE) AS {qi('m_' + c)}, "
+                   f"stddev_samp({qi(c)}::DOUBLE) AS {qi('s_' + c)}" for c in nums)
+    cond = " AND ".join(
+        f"(st.{qi('s_' + c)} = 0 OR abs(({qi(c)}::DOUBLE - st.{qi('m_' + c)}) / st.{qi('s_' + c)}) < {z})"
+        for c in nums)
+    return (f"WITH {DIRTY_LINEITEM},\nst AS (SELECT {st} FROM dirty)\n"
+            f"SELECT {_select_rounded(DIRTY_COLUMNS, table='dirty.')} FROM dirty, st WHERE {cond}")
+
+
+def cleaning_report() -> str:
+    n = len(DIRTY_COLUMNS)
+    total = " + ".join(f"m{i + 1}" for i in range(n))
+    sel = [f"SELECT {i + 1}::BIGINT AS ordinal, {lit(c)} AS \"column\", m{i + 1}::BIGINT AS missing, "
+           f"{pct_sql(f'm{i + 1}', 'n_rows', 1)} AS missing_pct, "
+           f"CASE WHEN m{i + 1} > 0 THEN 'warn' ELSE 'ok' END AS status, n_rows::BIGINT AS n_rows, "
+           f"{n}::BIGINT AS n_columns, dups::BIGINT AS duplicate_rows, "
+           f"({total})::BIGINT AS missing_cells FROM agg"
+           for i, (c, _, _) in enumerate(DIRTY_COLUMNS)]
+    return (f"WITH {DIRTY_LINEITEM},\nagg AS (SELECT count(*) AS n_rows, {DUPS} AS dups, "
+            f"{_miss_aggs(DIRTY_COLUMNS)} FROM dirty)\n{union_all(sel)}")
+
+
+def cleaning_counts() -> str:
+    nums = [c for c, _, _ in NUMERIC_DIRTY]
+    cats = [c for c, _, _ in CATEGORICAL_DIRTY]
+    miss = lambda cs: " + ".join(f"count(*) FILTER (WHERE {qi(c)} IS NULL)" for c in cs)
+    notnull = " AND ".join(f"{qi(c)} IS NOT NULL" for c, _, _ in DIRTY_COLUMNS)
+    chain, last = _outlier_chain(DIRTY_COLUMNS)
+    # cells a fill can reach: missing cells of columns that have at least one value
+    fillable_num = " + ".join(
+        f"CASE WHEN count({qi(c)}) > 0 THEN count(*) - count({qi(c)}) ELSE 0 END" for c in nums)
+    fillable_cat = " + ".join(
+        f"CASE WHEN count({qi(c)}) > 0 THEN count(*) - count({qi(c)}) ELSE 0 END" for c in cats)
+    del miss
+    rows = [
+        ("remove_duplicates", "n", "(SELECT count(*) FROM (SELECT DISTINCT * FROM dirty))", "0"),
+        ("fill_missing_mean", "n", "n", "fnum"),
+        ("fill_missing_median", "n", "n", "fnum"),
+        ("fill_missing_mode", "n", "n", "fcat"),
+        ("drop_missing_rows", "n", f"(SELECT count(*) FROM dirty WHERE {notnull})", "0"),
+        ("remove_outliers", "n", f"(SELECT count(*) FROM {last})", "0"),
+    ]
+    sel = [f"SELECT {lit(op)} AS op, ({b})::BIGINT AS rows_before, ({a})::BIGINT AS rows_after, "
+           f"(({b}) - ({a}))::BIGINT AS rows_removed, ({f})::BIGINT AS cells_filled FROM agg"
+           for op, b, a, f in rows]
+    return (f"WITH {DIRTY_LINEITEM},\n{chain},\n"
+            f"agg AS (SELECT count(*) AS n, {fillable_num} AS fnum, {fillable_cat} AS fcat FROM dirty)\n"
+            f"{union_all(sel)}")
+
+
+def cleaning_sql() -> dict[str, str]:
+    return {
+        "remove_duplicates": remove_duplicates(),
+        "fill_missing_mean": fill_missing("mean"),
+        "fill_missing_median": fill_missing("median"),
+        "fill_missing_mode": fill_missing_mode(),
+        "drop_missing_rows": drop_missing_rows(),
+        "remove_outliers": remove_outliers(),
+        "remove_outliers_events": remove_outliers_events(),
+        "remove_outliers_once": remove_outliers_once(),
+        "cleaning_report": cleaning_report(),
+        "cleaning_counts": cleaning_counts(),
     }
