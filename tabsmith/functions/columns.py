@@ -94,13 +94,15 @@ def round4(c: Column) -> Column:
     return F.bround(c.cast("double"), 4)
 
 
-def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every float/double column half-to-even (presentation of results)."""
+def round_doubles(df: DataFrame, digits: int = 4, per_column: dict | None = None) -> DataFrame:
+    """Round every float/double column half-to-even (presentation of results);
+    ``per_column`` overrides the number of digits by column name."""
+    per_column = per_column or {}
     exprs = []
     for f in df.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, FLOAT_TYPES):
-            c = F.bround(c.cast("double"), digits)
+            c = F.bround(c.cast("double"), per_column.get(f.name, digits))
         exprs.append(c.alias(f.name))
     return df.select(*exprs)
 

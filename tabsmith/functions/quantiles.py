@@ -6,22 +6,23 @@ table that buffer ends up in one task. ``percentile_approx`` is bounded but
 approximate. The reference reports exact pandas quantiles, so this module finds
 them by distributed selection:
 
-1. Each pending target (column, 0-based rank) owns a value range [lo, hi]
-   known to contain its answer, the number of values in that range and the
+1. The input is viewed in long form ``(g, cid, x)``: group key, column id,
+   value. Each pending target (series, 0-based rank) owns a value range
+   [lo, hi] known to hold its answer, the number of values in it and the
    rank inside it.
-2. While the range holds more than ``final_max`` values, one pass splits it
-   into ``bins`` equal-width buckets: ``groupBy(range, bucket)`` with partial
-   aggregation (count, min, max), a running count per range (window over at
-   most ``bins`` rows) and a broadcast join with the small target list picks
-   the bucket that holds the rank. The new range is that bucket's actual
-   [min, max], so each pass strictly narrows it.
-3. Once a range is small, ``groupBy(range, value).count()`` plus a running count
-   picks the exact value.
+2. While a range holds more than ``FINAL_MAX`` values, one pass splits it
+   into ``BINS`` equal-width buckets: the data joins the small range table
+   on (g, cid), ``groupBy(range, bucket)`` is partially aggregated (count,
+   min, max), a running count per range (a window over at most ``BINS`` rows)
+   locates the rank, and the new range is that bucket's actual [min, max],
+   so every pass strictly narrows it.
+3. Once a range is small, ``groupBy(range, value).count()`` plus a running
+   count picks the exact value.
 
 Every shuffle is pre-aggregated, every window partition holds at most
-``max(bins, final_max)`` rows, and the driver receives one row per target.
-Hot values (one value holding a third of the rows) collapse in the partial
-aggregation before the shuffle.
+``max(BINS, FINAL_MAX)`` rows, the driver receives one row per target, and
+the range table is broadcast only below ``BROADCAST_MAX`` rows. A hot value or
+a hot group collapses in the partial aggregation before any shuffle.
 """
 
 from __future__ import annotations
@@ -32,16 +33,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.functions.columns import as_double
+from tabsmith.functions.columns import as_double, col
 
 BINS = 16384
 FINAL_MAX = 100_000
+BROADCAST_MAX = 100_000
+MAX_GROUPS = 100_000
 
 
 @dataclass
 class _Target:
-    key: object
-    column: str
+    g: str
+    cid: int
     rank: int          # 0-based rank inside [lo, hi]
     lo: float
     hi: float
@@ -50,100 +53,101 @@ class _Target:
     done: bool = False
 
 
-def _range_items(targets: list[_Target], bucket: bool) -> tuple[dict, list]:
+def long_values(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
+    """(g string, cid int, x double) for the non-NULL values of ``columns``."""
+    items = F.array(*[F.struct(F.lit(i).alias("cid"), as_double(c).alias("x"))
+                      for i, c in enumerate(columns)])
+    g = col(group).cast("string") if group else F.lit("")
+    base = df.filter(col(group).isNotNull()) if group else df
+    return base.select(g.alias("g"), F.inline(items)).filter(F.col("x").isNotNull())
+
+
+def _ranges(targets: list[_Target]) -> dict:
     ranges: dict[tuple, int] = {}
     for t in targets:
-        ranges.setdefault((t.column, t.lo, t.hi), len(ranges))
-    items = []
-    for (c, lo, hi), rid in ranges.items():
-        x = as_double(c)
-        fields = [F.lit(rid).alias("rid")]
-        if bucket:
-            width_half = (hi * 0.5 - lo * 0.5) / BINS
-            b = F.least(F.floor((x * 0.5 - F.lit(lo * 0.5)) / F.lit(width_half)),
-                        F.lit(BINS - 1)).cast("int")
-            fields.append(b.alias("b"))
-        fields.append(x.alias("x"))
-        items.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), F.struct(*fields)))
-    return ranges, items
-
-
-def _targets_frame(spark, targets: list[_Target], ranges: dict):
-    rows = [(i, ranges[(t.column, t.lo, t.hi)], int(t.rank)) for i, t in enumerate(targets)]
-    return spark.createDataFrame(rows, "tid int, rid int, r long")
-
-
-def _exploded(df: DataFrame, items: list) -> DataFrame:
-    return (df.select(F.explode(F.array_compact(F.array(*items))).alias("s"))
-              .select("s.*"))
-
-
-def _refine(df: DataFrame, targets: list[_Target]) -> None:
-    ranges, items = _range_items(targets, bucket=True)
-    hist = (_exploded(df, items)
-            .groupBy("rid", "b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
-    run = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("n").over(run))
-    tdf = _targets_frame(df.sparkSession, targets, ranges)
-    picked = (hist.join(F.broadcast(tdf),
-                        (hist["rid"] == tdf["rid"]) & (hist["cum"] - hist["n"] <= tdf["r"])
-                        & (tdf["r"] < hist["cum"]))
-                  .select("tid", "n", "lo", "hi", (hist["cum"] - hist["n"]).alias("before"))
-                  .collect())
-    for row in picked:
+        ranges.setdefault((t.g, t.cid, t.lo, t.hi), len(ranges))
+    return ranges
+
+
+def _join_ranges(long: DataFrame, ranges: dict) -> DataFrame:
+    spark = long.sparkSession
+    rows = [(rid, g, cid, lo, hi, (hi * 0.5 - lo * 0.5) / BINS)
+            for (g, cid, lo, hi), rid in ranges.items()]
+    rdf = spark.createDataFrame(rows, "rid int, g string, cid int, lo double, hi double, w double")
+    if len(rows) <= BROADCAST_MAX:
+        rdf = F.broadcast(rdf)
+    return (long.join(rdf, ["g", "cid"])
+                .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))))
+
+
+def _pick(counted: DataFrame, order_col: str, targets: list[_Target], ranges: dict):
+    """Running count per range, then the row holding each target's rank."""
+    run = Window.partitionBy("rid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("cum", F.sum("n").over(run))
+    spark = counted.sparkSession
+    tdf = spark.createDataFrame(
+        [(i, ranges[(t.g, t.cid, t.lo, t.hi)], int(t.rank)) for i, t in enumerate(targets)],
+        "tid int, rid int, r long")
+    if len(targets) <= BROADCAST_MAX:
+        tdf = F.broadcast(tdf)
+    return (counted.join(tdf, "rid")
+                   .filter((F.col("cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("cum"))))
+
+
+def _refine(long: DataFrame, targets: list[_Target]) -> None:
+    ranges = _ranges(targets)
+    j = _join_ranges(long, ranges)
+    b = F.least(F.floor((F.col("x") * 0.5 - F.col("lo") * 0.5) / F.col("w")), F.lit(BINS - 1))
+    hist = (j.groupBy("rid", b.cast("int").alias("b"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("blo"), F.max("x").alias("bhi")))
+    for row in _pick(hist, "b", targets, ranges).select(
+            "tid", "n", "blo", "bhi", (F.col("cum") - F.col("n")).alias("before")).collect():
         t = targets[row["tid"]]
         t.rank -= int(row["before"])
-        t.lo, t.hi, t.n_in = float(row["lo"]), float(row["hi"]), int(row["n"])
+        t.lo, t.hi, t.n_in = float(row["blo"]), float(row["bhi"]), int(row["n"])
         if t.lo == t.hi:
             t.value, t.done = t.lo, True
 
 
-def _finish(df: DataFrame, targets: list[_Target]) -> None:
-    ranges, items = _range_items(targets, bucket=False)
-    vals = _exploded(df, items).groupBy("rid", "x").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("rid").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("cum", F.sum("n").over(run))
-    tdf = _targets_frame(df.sparkSession, targets, ranges)
-    picked = (vals.join(F.broadcast(tdf),
-                        (vals["rid"] == tdf["rid"]) & (vals["cum"] - vals["n"] <= tdf["r"])
-                        & (tdf["r"] < vals["cum"]))
-                  .select("tid", "x").collect())
-    for row in picked:
+def _finish(long: DataFrame, targets: list[_Target]) -> None:
+    ranges = _ranges(targets)
+    vals = _join_ranges(long, ranges).groupBy("rid", "x").agg(F.count(F.lit(1)).alias("n"))
+    for row in _pick(vals, "x", targets, ranges).select("tid", "x").collect():
         t = targets[row["tid"]]
         t.value, t.done = float(row["x"]), True
 
 
-def order_statistics(df: DataFrame, requests: list[tuple], stats: dict) -> dict:
-    """Exact k-th smallest non-NULL values.
+def order_statistics(long: DataFrame, requests: list[tuple], stats: dict) -> dict:
+    """Exact k-th smallest values of series in a long frame.
 
-    ``requests``: (key, column, rank) with 0-based ``rank``; ``stats``:
-    column -> (n_non_null, min, max) from an aggregate the caller already ran.
-    Returns key -> float (None where the rank is out of range).
+    ``requests``: (key, (g, cid), rank) with 0-based rank; ``stats``:
+    (g, cid) -> (n_non_null, min, max). Returns key -> float or None.
     """
-    targets, out = [], {}
-    for key, c, rank in requests:
-        n, lo, hi = stats[c]
+    targets, keys, out = [], [], {}
+    for key, series, rank in requests:
+        n, lo, hi = stats.get(series, (0, None, None))
         if not n or rank < 0 or rank >= n:
             out[key] = None
             continue
-        t = _Target(key, c, int(rank), float(lo), float(hi), int(n))
+        t = _Target(series[0], series[1], int(rank), float(lo), float(hi), int(n))
         if t.lo == t.hi:
             t.value, t.done = t.lo, True
         targets.append(t)
+        keys.append(key)
     while True:
         pending = [t for t in targets if not t.done]
         if not pending:
             break
-        small = [t for t in pending if t.n_in <= FINAL_MAX
-                 or (t.hi * 0.5 - t.lo * 0.5) / BINS == 0.0]
-        large = [t for t in pending if t not in small]
+        small = [t for t in pending
+                 if t.n_in <= FINAL_MAX or (t.hi * 0.5 - t.lo * 0.5) / BINS == 0.0]
+        small_ids = {id(t) for t in small}
+        large = [t for t in pending if id(t) not in small_ids]
         if large:
-            _refine(df, large)
+            _refine(long, large)
         if small:
-            _finish(df, small)
-    for t in targets:
-        out[t.key] = t.value
+            _finish(long, small)
+    for key, t in zip(keys, targets):
+        out[key] = t.value
     return out
 
 
@@ -153,37 +157,70 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], stats: dict) -> dict:
-    """Exact linear-interpolation quantiles: (column, p) -> float | None.
-
-    ``stats``: column -> (n_non_null, min, max).
-    """
+def _quantiles_long(long: DataFrame, series_stats: dict, probs: list[float]) -> dict:
     requests, plan = [], {}
-    for c in columns:
-        n = stats[c][0] or 0
+    for s, (n, _, _) in series_stats.items():
         for p in probs:
-            if n == 0:
-                plan[(c, p)] = None
+            if not n:
+                plan[(s, p)] = None
                 continue
             h = (n - 1) * p
             lo = int(math.floor(h))
             hi = min(lo + 1, n - 1)
-            plan[(c, p)] = (lo, hi, h - lo)
-            requests.append(((c, lo), c, lo))
-            requests.append(((c, hi), c, hi))
+            plan[(s, p)] = (lo, hi, h - lo)
+            requests.append(((s, lo), s, lo))
+            requests.append(((s, hi), s, hi))
     uniq = list({r[0]: r for r in requests}.values())
-    found = order_statistics(df, uniq, stats)
+    found = order_statistics(long, uniq, series_stats)
     out = {}
-    for (c, p), spec in plan.items():
+    for (s, p), spec in plan.items():
         if spec is None:
-            out[(c, p)] = None
+            out[(s, p)] = None
             continue
         lo, hi, frac = spec
-        a, b = found[(c, lo)], found[(c, hi)]
-        out[(c, p)] = a if frac == 0 or a == b else _lerp(a, b, frac)
+        a, b = found[(s, lo)], found[(s, hi)]
+        out[(s, p)] = a if frac == 0 or a == b else _lerp(a, b, frac)
     return out
 
 
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], stats: dict) -> dict:
+    """Exact linear-interpolation quantiles: (column, p) -> float | None.
+
+    ``stats``: column -> (n_non_null, min, max), from an aggregate the caller
+    already ran.
+    """
+    if not columns:
+        return {}
+    long = long_values(df, columns)
+    sstats = {("", i): stats[c] for i, c in enumerate(columns)}
+    res = _quantiles_long(long, sstats, probs)
+    return {(c, p): res[(("", i), p)] for i, c in enumerate(columns) for p in probs}
+
+
+def grouped_quantiles(df: DataFrame, group: str, columns: list[str],
+                      probs: list[float]) -> tuple[dict, dict]:
+    """Exact quantiles per (group, column) for a grouping column with at most
+    ``MAX_GROUPS`` distinct non-NULL keys.
+
+    Returns ({(group_key, column, p): value}, {(group_key, column): (n, min, max)}).
+    """
+    aggs = []
+    for i, c in enumerate(columns):
+        x = as_double(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    rows = (df.filter(col(group).isNotNull())
+              .groupBy(col(group).cast("string").alias("g")).agg(*aggs)
+              .limit(MAX_GROUPS + 1).collect())
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{group!r} has more than {MAX_GROUPS} groups")
+    sstats = {(r["g"], i): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"])
+              for r in rows for i in range(len(columns))}
+    res = _quantiles_long(long_values(df, columns, group), sstats, probs)
+    q = {(g, columns[i], p): v for ((g, i), p), v in res.items()}
+    st = {(g, columns[i]): v for (g, i), v in sstats.items()}
+    return q, st
+
+
 def column_stats(df: DataFrame, columns: list[str]) -> dict:
     """column -> (n_non_null, min, max) in one aggregate."""
     if not columns:

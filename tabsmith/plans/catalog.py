@@ -13,21 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabsmith.functions.columns import round_doubles
 from tabsmith.operators import profile, schema
-from tabsmith.operators import clean
+from tabsmith.operators import charts, clean
 from tabsmith.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
+DENSITY = {"density": 8}
 
 
-def _on(source, op, **kw) -> Query:
+def _on(source, op, digits: dict | None = None, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(op(source(spark, sf_dir), **kw))
+        return round_doubles(op(source(spark, sf_dir), **kw), per_column=digits)
     run.__name__ = getattr(op, "__name__", "query")
     return run
 
 
 def queries() -> dict[str, Query]:
     dirty = fx.dirty_lineitem
+    ev = fx.events
     return {
         # schema and profile
         "dataset_summary": _on(dirty, profile.dataset_summary),
@@ -55,4 +57,19 @@ def queries() -> dict[str, Query]:
         "remove_outliers_once": _on(dirty, clean.remove_outliers_once),
         "cleaning_report": _on(dirty, clean.cleaning_report),
         "cleaning_counts": _on(dirty, clean.cleaning_counts_all),
+        # chart data
+        "correlation_matrix": _on(dirty, charts.correlation_matrix),
+        "histogram": _on(ev, charts.histogram),
+        "distributions": _on(ev, charts.distributions),
+        "kde": _on(ev, charts.kde, digits=DENSITY),
+        "box_stats": _on(ev, charts.box_stats),
+        "scatter": _on(ev, charts.scatter),
+        "pair_grid": _on(ev, charts.pair_grid),
+        "pair_grid_diagonal": _on(ev, charts.pair_grid_diagonal, digits=DENSITY),
+        "violin": _on(ev, charts.violin),
+        "violin_density": _on(ev, charts.violin_density, digits=DENSITY),
+        "group_by_category": _on(ev, charts.group_by_category),
+        "bar_counts": _on(ev, charts.bar_counts, cat="event_type"),
+        "line_series": _on(ev, charts.line_series, ts="ts", value="value"),
+        "trend": _on(ev, charts.trend, ts="ts", value="value"),
     }

@@ -10,6 +10,8 @@ from __future__ import annotations
 from tabsmith.plans.sql_fixtures import (DIRTY_COLUMNS, DIRTY_LINEITEM, dtype_sql, lit, pct_sql,
                                          qi, r4, union_all)
 
+from tabsmith.plans.oracle_charts import charts_sql  # noqa: E402
+
 NUMERIC_DIRTY = [c for c in DIRTY_COLUMNS if c[2] == "numeric"]
 CATEGORICAL_DIRTY = [c for c in DIRTY_COLUMNS if c[2] == "categorical"]
 
@@ -207,6 +209,7 @@ def all_sql() -> dict[str, str]:
         "dataset_intelligence": dataset_intelligence(),
         "duplicate_count": duplicate_count(),
         **cleaning_sql(),
+        **charts_sql(),
     }
 
 
