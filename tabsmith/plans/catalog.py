@@ -28,6 +28,7 @@ def _on(source, op, digits: dict | None = None, **kw) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from tabsmith.plans.querylog_queries import querylog_queries
     dirty = fx.dirty_lineitem
     ev = fx.events
     return {
@@ -72,4 +73,6 @@ def queries() -> dict[str, Query]:
         "bar_counts": _on(ev, charts.bar_counts, cat="event_type"),
         "line_series": _on(ev, charts.line_series, ts="ts", value="value"),
         "trend": _on(ev, charts.trend, ts="ts", value="value"),
+        # query log
+        **querylog_queries(),
     }

@@ -11,6 +11,7 @@ from tabsmith.plans.sql_fixtures import (DIRTY_COLUMNS, DIRTY_LINEITEM, dtype_sq
                                          qi, r4, union_all)
 
 from tabsmith.plans.oracle_charts import charts_sql  # noqa: E402
+from tabsmith.plans.oracle_querylog import querylog_sql  # noqa: E402
 
 NUMERIC_DIRTY = [c for c in DIRTY_COLUMNS if c[2] == "numeric"]
 CATEGORICAL_DIRTY = [c for c in DIRTY_COLUMNS if c[2] == "categorical"]
@@ -210,6 +211,7 @@ def all_sql() -> dict[str, str]:
         "duplicate_count": duplicate_count(),
         **cleaning_sql(),
         **charts_sql(),
+        **querylog_sql(),
     }
 
 
