@@ -28,6 +28,7 @@ def _on(source, op, digits: dict | None = None, **kw) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from tabsmith.plans.ml_queries import ml_queries
     from tabsmith.plans.querylog_queries import querylog_queries
     dirty = fx.dirty_lineitem
     ev = fx.events
@@ -75,4 +76,6 @@ def queries() -> dict[str, Query]:
         "trend": _on(ev, charts.trend, ts="ts", value="value"),
         # query log
         **querylog_queries(),
+        # machine learning
+        **ml_queries(),
     }
