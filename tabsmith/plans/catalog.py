@@ -28,6 +28,7 @@ def _on(source, op, digits: dict | None = None, **kw) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from tabsmith.plans.io_queries import io_queries
     from tabsmith.plans.ml_queries import ml_queries
     from tabsmith.plans.querylog_queries import querylog_queries
     dirty = fx.dirty_lineitem
@@ -78,4 +79,6 @@ def queries() -> dict[str, Query]:
         **querylog_queries(),
         # machine learning
         **ml_queries(),
+        # ingestion and dataset handling
+        **io_queries(),
     }

@@ -13,6 +13,7 @@ from tabsmith.plans.sql_fixtures import (DIRTY_COLUMNS, DIRTY_LINEITEM, dtype_sq
 from tabsmith.plans.oracle_charts import charts_sql  # noqa: E402
 from tabsmith.plans.oracle_querylog import querylog_sql  # noqa: E402
 from tabsmith.plans.oracle_ml import ml_sql  # noqa: E402
+from tabsmith.plans.oracle_io import io_sql  # noqa: E402
 
 NUMERIC_DIRTY = [c for c in DIRTY_COLUMNS if c[2] == "numeric"]
 CATEGORICAL_DIRTY = [c for c in DIRTY_COLUMNS if c[2] == "categorical"]
@@ -214,6 +215,7 @@ def all_sql() -> dict[str, str]:
         **charts_sql(),
         **querylog_sql(),
         **ml_sql(),
+        **io_sql(),
     }
 
 

@@ -52,7 +52,8 @@ def dtype_sql(column: str) -> str:
     t = f"typeof(any_value({qi(column)}))"
     return (f"CASE {t} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
             f"WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' "
-            f"WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'BOOLEAN' THEN 'boolean' "
+            f"WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' "
+            f"WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'FLOAT' THEN 'float' "
             f"ELSE lower({t}) END")
 
 
