@@ -9,6 +9,7 @@ form); fitting uses Spark ML estimators. Statistics that parameterise a step
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -33,6 +34,7 @@ FOREST_DEPTH = 10             # Spark caps depth at 30; unlimited depth is not a
 LOGISTIC_MAX_ITER = 1000
 CV_FOLDS = 3
 SEED = 42
+FIT_THREADS = 8               # concurrent fits (final + CV folds)
 
 
 # ----------------------------------------------------------- target / task
@@ -201,12 +203,14 @@ def make_estimator(name: str, n_train: int):
                                   elasticNetParam=0.0, standardization=False)
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
-                                      featureSubsetStrategy="sqrt", maxBins=MAX_CLASSES + 28)
+                                      featureSubsetStrategy="sqrt", maxBins=MAX_CLASSES + 28,
+                                      cacheNodeIds=True, maxMemoryInMB=1024)
     if name == "Linear Regression":
         return LinearRegression(regParam=0.0, solver="normal", standardization=False)
     if name == "Random Forest Regressor":
         return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
-                                     featureSubsetStrategy="all", maxBins=128)
+                                     featureSubsetStrategy="all", maxBins=128,
+                                     cacheNodeIds=True, maxMemoryInMB=1024)
     raise ValueError(name)
 
 
@@ -334,24 +338,56 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
         n_classes = data.agg(F.count_distinct("label")).first()[0]
         if n_classes > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes")
+    names = MODELS[task]
+    folded = None
+    if task == CLASSIFICATION and cv:
+        keyed = tr.withColumn("__kid", F.monotonically_increasing_id())
+        folded = stratified_folds(keyed, "label", "__kid", CV_FOLDS).persist()
+    # every fit is independent: the final fits and the CV fold fits run as
+    # concurrent Spark jobs from a small driver thread pool
+    jobs = {}
+    for name in names:
+        jobs[(name, None)] = (tr, te)
+        if folded is not None:
+            for f in range(CV_FOLDS):
+                jobs[(name, f)] = (folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f))
+
+    def run(job):
+        (name, _), (fit_on, score_on) = job
+        model = make_estimator(name, n_train).fit(fit_on)
+        pred = model.transform(score_on)
+        if task == CLASSIFICATION:
+            return model, {"value": accuracy(pred).first()["accuracy"]}
+        m = regression_metrics(pred).first()
+        return model, {"value": m["r2"], "rmse": m["rmse"], "mae": m["mae"]}
+
+    outcomes = {}
+    with ThreadPoolExecutor(max_workers=min(FIT_THREADS, len(jobs))) as pool:
+        futures = {pool.submit(run, job): job[0] for job in jobs.items()}
+        for fut, key in futures.items():
+            try:
+                outcomes[key] = fut.result()
+            except Exception as e:  # a failing model is reported and skipped
+                outcomes[key] = e
+    if folded is not None:
+        folded.unpersist()
     scores, models, best = [], {}, None
-    for i, name in enumerate(MODELS[task], start=1):
-        try:
-            model = make_estimator(name, n_train).fit(tr)
-            pred = model.transform(te)
-            if task == CLASSIFICATION:
-                acc = accuracy(pred).first()["accuracy"]
-                s = ModelScore(i, name, "accuracy", acc)
-                if cv:
-                    s.cv_mean, s.cv_std = _cv_scores(tr, name, n_train)
-            else:
-                m = regression_metrics(pred).first()
-                s = ModelScore(i, name, "r2", m["r2"], extra={"rmse": m["rmse"], "mae": m["mae"]})
+    metric = "accuracy" if task == CLASSIFICATION else "r2"
+    for i, name in enumerate(names, start=1):
+        main = outcomes[(name, None)]
+        if isinstance(main, Exception):
+            s = ModelScore(i, name, metric, None, error=str(main)[:200])
+        else:
+            model, m = main
+            s = ModelScore(i, name, metric, m["value"],
+                           extra={k: v for k, v in m.items() if k != "value"})
             s.importances = feature_importance(model, feats)
             models[name] = model
-        except Exception as e:  # a failing model is reported and skipped
-            s = ModelScore(i, name, "accuracy" if task == CLASSIFICATION else "r2", None,
-                           error=str(e)[:200])
+            folds = [outcomes.get((name, f)) for f in range(CV_FOLDS)] if folded is not None else []
+            if folds and not any(isinstance(x, Exception) or x is None for x in folds):
+                accs = [x[1]["value"] for x in folds]
+                s.cv_mean = sum(accs) / len(accs)
+                s.cv_std = math.sqrt(sum((a - s.cv_mean) ** 2 for a in accs) / len(accs))
         scores.append(s)
         if s.value is not None and (best is None or s.value > best.value):
             best = s
@@ -359,21 +395,6 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
     return TrainResult(task, target, feats, n_train, n_test, scores, best, models)
 
 
-def _cv_scores(train: DataFrame, name: str, n_train: int) -> tuple[float, float]:
-    # rows keep their (persisted) partition order; the id is unique per row
-    keyed = train.withColumn("__kid", F.monotonically_increasing_id())
-    folded = stratified_folds(keyed, "label", "__kid", CV_FOLDS).persist()
-    accs = []
-    for f in range(CV_FOLDS):
-        fit_on = folded.filter(F.col("fold") != f)
-        model = make_estimator(name, n_train).fit(fit_on)
-        accs.append(accuracy(model.transform(folded.filter(F.col("fold") == f))).first()["accuracy"])
-    folded.unpersist()
-    mean = sum(accs) / len(accs)
-    std = math.sqrt(sum((a - mean) ** 2 for a in accs) / len(accs))
-    return mean, std
-
-
 def leaderboard(result: TrainResult) -> DataFrame:
     """ML17: (ordinal, model, metric, value, cv_mean, cv_std, rmse, mae,
     best, band, error) -- best = highest value, first on ties."""

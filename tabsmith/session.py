@@ -31,6 +31,9 @@ def local_session(cores: int | str = "*", partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TABSMITH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # wide one-pass aggregates (all statistics of an operator in one agg)
+        # exceed the default 100 buffer fields and would lose whole-stage codegen
+        .config("spark.sql.codegen.maxFields", "2000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
