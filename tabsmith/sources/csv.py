@@ -30,6 +30,9 @@ TRUE_VALUES = ["True", "TRUE", "true"]
 FALSE_VALUES = ["False", "FALSE", "false"]
 
 ENCODINGS = ("utf-8", "latin-1", "cp1252")
+# Spark's names for the encodings; cp1252 is not offered by Spark's CSV reader
+# (and is unreachable anyway: latin-1 decodes every byte sequence)
+SPARK_CHARSETS = {"utf-8": "utf-8", "latin-1": "iso-8859-1", "cp1252": None}
 SEPARATORS = (",", ";", "\t")
 EXTRA = "__extra_field"
 REPLACEMENT_CHAR = "�"
@@ -134,7 +137,10 @@ def load_csv(spark: SparkSession, path: str, encodings=ENCODINGS, seps=SEPARATOR
     so it is off by default.
     """
     last_error = None
-    for enc in encodings:
+    for name in encodings:
+        enc = SPARK_CHARSETS.get(name.lower(), name)
+        if enc is None:
+            continue
         for k, sep in enumerate(seps):
             try:
                 header = read_header(spark, path, enc, sep, multiline)
