@@ -30,6 +30,7 @@ def _on(source, op, digits: dict | None = None, **kw) -> Query:
 def queries() -> dict[str, Query]:
     from tabsmith.plans.io_queries import io_queries
     from tabsmith.plans.ml_queries import ml_queries
+    from tabsmith.plans.sessions import session_queries
     from tabsmith.plans.querylog_queries import querylog_queries
     dirty = fx.dirty_lineitem
     ev = fx.events
@@ -81,4 +82,6 @@ def queries() -> dict[str, Query]:
         **ml_queries(),
         # ingestion and dataset handling
         **io_queries(),
+        # session walkthroughs (rows-only check)
+        **session_queries(),
     }
