@@ -233,6 +233,23 @@ def routing_diagnostics():
             f"GROUP BY agent, method")
 
 
+def _stream_routed():
+    return (f"{QUERY_LOG},\n{_routed_cte()},\n"
+            f"r AS (SELECT *, CASE WHEN used_fallback THEN {lit(R.ROUTING_METHODS[1])} "
+            f"ELSE {lit(R.ROUTING_METHODS[0])} END AS method FROM routed2)")
+
+
+def stream_routing_diagnostics():
+    return (f"WITH {_stream_routed()}\nSELECT agent, method, count(*)::BIGINT AS n FROM r "
+            f"GROUP BY agent, method")
+
+
+def stream_session_summary():
+    return (f"WITH {_stream_routed()}\nSELECT conv_id, count(*)::BIGINT AS total_turns, "
+            f"string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents_used, "
+            f"arg_max(agent, turn) AS last_agent FROM r GROUP BY conv_id")
+
+
 def querylog_sql() -> dict[str, str]:
     return {
         "classify_intent": classify_intent(),
@@ -250,4 +267,6 @@ def querylog_sql() -> dict[str, str]:
         "insight_rules": insight_rules(),
         "response_label": response_label(),
         "routing_diagnostics": routing_diagnostics(),
+        "stream_routing_diagnostics": stream_routing_diagnostics(),
+        "stream_session_summary": stream_session_summary(),
     }

@@ -112,6 +112,20 @@ def q_routing_diagnostics(spark, sf):
     return ql.routing_diagnostics(_turns(spark, sf))
 
 
+def q_stream_routing_diagnostics(spark, sf):
+    """QL15 computed by a Structured Streaming query over the conversations files."""
+    from tabsmith.sources.tables import table_path
+    from tabsmith.streaming.querylog_stream import stream_aggregate
+    return stream_aggregate(spark, table_path(sf, "conversations"), "diagnostics")
+
+
+def q_stream_session_summary(spark, sf):
+    """QL10 per conversation, maintained as streaming state."""
+    from tabsmith.sources.tables import table_path
+    from tabsmith.streaming.querylog_stream import stream_aggregate
+    return stream_aggregate(spark, table_path(sf, "conversations"), "sessions")
+
+
 def querylog_queries() -> dict:
     return {
         "classify_intent": q_classify_intent,
@@ -129,4 +143,6 @@ def querylog_queries() -> dict:
         "insight_rules": q_insight_rules,
         "response_label": q_response_label,
         "routing_diagnostics": q_routing_diagnostics,
+        "stream_routing_diagnostics": q_stream_routing_diagnostics,
+        "stream_session_summary": q_stream_session_summary,
     }
