@@ -369,16 +369,31 @@ def bar_counts(df: DataFrame, cat: str, k: int = 10) -> DataFrame:
 
 
 def line_series(df: DataFrame, ts: str, value: str, unit: str = "day") -> DataFrame:
-    """VZ10: mean and count of ``value`` per ``unit`` period of ``ts``."""
+    """VZ10: mean and count of ``value`` per ``unit`` period of ``ts``
+    (wall-clock periods for TIMESTAMP_NTZ columns, whatever the session zone)."""
+    from pyspark.sql import types as T
+    period = F.date_trunc(unit, col(ts))
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        period = period.cast("timestamp_ntz")
     return (df.filter(col(ts).isNotNull())
-              .groupBy(F.date_trunc(unit, col(ts)).alias("period"))
+              .groupBy(period.alias("period"))
               .agg(F.avg(as_double(value)).alias("mean"),
                    F.count(col(value)).cast("bigint").alias("n")))
 
 
+def epoch_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970-01-01 without a time-zone shift for wall-clock
+    (TIMESTAMP_NTZ) columns; instants (TIMESTAMP) use their UTC epoch."""
+    from pyspark.sql import types as T
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, col(ts))
+    return F.unix_micros(col(ts))
+
+
 def trend(df: DataFrame, ts: str, value: str) -> DataFrame:
     """AN6: least-squares trend of ``value`` over time (per day)."""
-    x = F.unix_micros(col(ts).cast("timestamp")).cast("double") / F.lit(86_400_000_000.0)
+    x = epoch_micros(df, ts).cast("double") / F.lit(86_400_000_000.0)
     y = as_double(value)
     return df.agg(F.regr_count(y, x).cast("bigint").alias("n"),
                   F.regr_slope(y, x).alias("slope_per_day"),
