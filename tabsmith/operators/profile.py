@@ -19,6 +19,7 @@ from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, co
                                         pct, rows_from_structs)
 from tabsmith.functions.correlation import pair_corr_aggs
 from tabsmith.functions.quantiles import quantiles
+from tabsmith.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -127,8 +128,9 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
 def top_k_per_column(counts: DataFrame, ordinals: list[int], k: int) -> DataFrame:
     """Top k values of each column by (count desc, value asc), with rank.
 
-    One bounded ``orderBy().limit(k)`` per column over the shared counts (the
-    exchange is reused); the rank window then sees at most k rows per column.
+    One bounded ``orderBy().limit(k)`` (TakeOrderedAndProject: partial top-k
+    per partition, then a merge) per column over the shared, materialised
+    counts; the rank window then sees at most k rows per column.
     """
     parts = [counts.filter(F.col("ordinal") == o)
                    .orderBy(F.col("count").desc(), F.col("value").asc()).limit(k)
@@ -148,7 +150,9 @@ def top_values(df: DataFrame, k: int = 5) -> DataFrame:
     info = [c for c in columns_info(df) if c.cls == CATEGORICAL]
     if not info:
         return df.sparkSession.createDataFrame([], TOP_VALUES_SCHEMA)
-    counts = value_counts(df, [c.name for c in info])
+    # one scan and shuffle of the input; the per-column top-k branches and the
+    # distinct counts then read the (much smaller) aggregated counts
+    counts = materialize(value_counts(df, [c.name for c in info]))
     nunique = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("nunique"))
     top = top_k_per_column(counts, [c.ordinal for c in info], k)
     return (top.join(nunique, "ordinal")

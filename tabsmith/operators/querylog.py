@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions import rules as R
 from tabsmith.functions.columns import col
 from tabsmith.functions.positions import positions
+from tabsmith.session import materialize
 
 
 def _q(query: str) -> Column:
@@ -122,10 +123,11 @@ def conversation_turns(log: DataFrame, conv: str = "conv_id", turn: str = "turn"
     """Routed turn log: 1-based ``turn_id`` per conversation, the previous
     turn's output (equi-join on (conv, turn_id - 1)), intent, agent, the
     tools the offline executor runs and the fallback flag."""
-    t = positions(log.select(col(conv).alias("conv_id"), col(turn).alias("turn"),
-                             col(query).alias("query"),
-                             F.coalesce(col(output), F.lit("")).alias("output")),
-                  ["conv_id"], "turn", out="turn_id")
+    base = materialize(log.select(col(conv).alias("conv_id"), col(turn).alias("turn"),
+                                  col(query).alias("query"),
+                                  F.coalesce(col(output), F.lit("")).alias("output")))
+    # numbered once, then read by the previous-turn self-join and all users
+    t = materialize(positions(base, ["conv_id"], "turn", out="turn_id"))
     prev = t.select("conv_id", (F.col("turn_id") + 1).alias("turn_id"),
                     F.col("output").alias("prev_output"))
     t = t.join(prev, ["conv_id", "turn_id"], "left")

@@ -63,3 +63,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         raise RuntimeError(f"{CHECKPOINT_CONF} is not set; a shared folder is required")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    shared folder (survives executor loss), or a persisted copy when the
+    session names no shared folder. Used where a plan would otherwise be
+    recomputed several times (a shuffle join or an aggregate read by several
+    branches)."""
+    if ensure_checkpoint_dir(df.sparkSession, allow_local=is_local(df.sparkSession)):
+        return df.checkpoint(eager=True)
+    return df.persist()
