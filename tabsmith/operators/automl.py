@@ -125,24 +125,29 @@ def feature_columns(df: DataFrame, target: str, ids: tuple = ()) -> list[str]:
             if c.cls == NUMERIC and c.name != target and c.name not in ids]
 
 
-def prepare(df: DataFrame, target: str, ids: tuple = ()) -> tuple[DataFrame, list[str]]:
+def prepare(df: DataFrame, target: str, ids: tuple = (),
+            impute_on: Column | None = None) -> tuple[DataFrame, list[str]]:
     """ML3 + ML4 + ML5: drop unlabelled rows, encode categorical features and
-    a categorical target, fill numeric features with their mean (over the
-    whole labelled set, as the reference does before splitting)."""
+    a categorical target, fill numeric features with their mean -- over the
+    whole labelled set (the reference's order, before splitting), or over the
+    rows where ``impute_on`` holds (e.g. the train split, no leakage)."""
     base = drop_unlabelled(df, target)
     cats = [c.name for c in columns_info(base) if c.cls == CATEGORICAL and c.name not in ids]
     enc = label_encode(base, cats) if cats else base
     feats = feature_columns(enc, target, ids)
-    return impute_features_mean(enc, feats), feats
+    return impute_features_mean(enc, feats, fit_on=impute_on), feats
 
 
-def impute_features_mean(df: DataFrame, features: list[str]) -> DataFrame:
-    """ML5: missing feature values -> the feature mean (one aggregate)."""
+def impute_features_mean(df: DataFrame, features: list[str],
+                         fit_on: Column | None = None) -> DataFrame:
+    """ML5: missing feature values -> the feature mean (one aggregate), taken
+    over all rows or over the rows where ``fit_on`` holds."""
     if not features:
         return df
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(features):
-        aggs += [F.avg(as_double(f)).alias(f"m{i}"), F.count(col(f)).alias(f"n{i}")]
+        x = as_double(f) if fit_on is None else F.when(fit_on, as_double(f))
+        aggs += [F.avg(x).alias(f"m{i}"), F.count(col(f)).alias(f"n{i}")]
     row = df.agg(*aggs).collect()[0]
     # only columns with a gap change (and become double); all-missing stays missing
     fill = {f: row[f"m{i}"] for i, f in enumerate(features)

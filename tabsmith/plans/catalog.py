@@ -38,6 +38,7 @@ def queries() -> dict[str, Query]:
         # schema and profile
         "dataset_summary": _on(dirty, profile.dataset_summary),
         "describe_statistics": _on(dirty, profile.describe_statistics),
+        "describe_statistics_approx": _on(dirty, profile.describe_statistics, approx=True),
         "top_values": _on(dirty, profile.top_values),
         "describe_all": _on(dirty, profile.describe_all),
         "correlation_pairs": _on(dirty, profile.correlation_pairs),

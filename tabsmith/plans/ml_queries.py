@@ -234,6 +234,14 @@ def _band():
     return ml.interpretation_band(F.col("best_metric"), F.col("task")).alias("band")
 
 
+def q_impute_features_train_only(spark, sf):
+    """ML5 without leakage: fill means from the train split of the rows."""
+    base = ml.drop_unlabelled(fx.dirty_lineitem(spark, sf), "l_returnflag")
+    on = ml.split_expr(LINEITEM_SPLIT_KEY()) == "train"
+    return round_doubles(ml.impute_features_mean(base, ml.feature_columns(base, "l_returnflag"),
+                                                 fit_on=on))
+
+
 def ml_queries() -> dict:
     return {
         "resolve_target": q_resolve_target,
@@ -241,6 +249,7 @@ def ml_queries() -> dict:
         "drop_unlabelled": q_drop_unlabelled,
         "label_encode": q_label_encode,
         "impute_features_mean": q_impute_features_mean,
+        "impute_features_train_only": q_impute_features_train_only,
         "select_features": q_select_features,
         "split": q_split,
         "scale": q_scale,

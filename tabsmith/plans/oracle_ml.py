@@ -73,6 +73,14 @@ def impute_features_mean():
             f"st AS (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
 
 
+def impute_features_train_only():
+    filled = ["l_quantity", "l_extendedprice"]
+    st = ", ".join(f"avg({c}::DOUBLE) FILTER (WHERE {SPLIT} = 'train') AS m_{c}" for c in filled)
+    exprs = {c: f"coalesce({c}::DOUBLE, st.m_{c})" for c in filled}
+    return (f"WITH {DIRTY_LINEITEM},\nlab AS (SELECT * FROM dirty WHERE l_returnflag IS NOT NULL),\n"
+            f"st AS (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
+
+
 def split():
     return f"WITH {REG}\nSELECT l_orderkey, l_linenumber, split FROM reg"
 
@@ -143,6 +151,7 @@ def ml_sql() -> dict[str, str]:
         "drop_unlabelled": drop_unlabelled(),
         "label_encode": label_encode(),
         "impute_features_mean": impute_features_mean(),
+        "impute_features_train_only": impute_features_train_only(),
         "split": split(),
         "scale": scale(),
         "linear_regression": linear_regression(),
