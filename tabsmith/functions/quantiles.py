@@ -38,7 +38,6 @@ from tabsmith.functions.columns import as_double, col
 BINS = 16384
 FINAL_MAX = 100_000
 BROADCAST_MAX = 100_000
-MAX_GROUPS = 100_000
 
 
 @dataclass
@@ -197,27 +196,79 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], stats: dict
     return {(c, p): res[(("", i), p)] for i, c in enumerate(columns) for p in probs}
 
 
-def grouped_quantiles(df: DataFrame, group: str, columns: list[str],
-                      probs: list[float]) -> tuple[dict, dict]:
-    """Exact quantiles per (group, column) for a grouping column with at most
-    ``MAX_GROUPS`` distinct non-NULL keys.
+def _lerp_col(a, b, t):
+    """numpy's linear interpolation as a column expression."""
+    d = b - a
+    return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
-    Returns ({(group_key, column, p): value}, {(group_key, column): (n, min, max)}).
+
+def grouped_quantiles_frame(df: DataFrame, group: str, columns: list[str],
+                            probs: list[float]) -> DataFrame:
+    """Exact quantiles per (group, column) as a DataFrame
+    (g, cid, n, lo, hi, q0, q1, ...) for any number of groups.
+
+    Groups whose column holds at most ``FINAL_MAX`` values are solved fully
+    distributed: value counts per (group, column, value), a running count in
+    a window bounded by the group size, the two order statistics around each
+    rank picked by a conditional ``min``, and numpy's interpolation as a column
+    expression. Larger (hot) groups -- at most rows / FINAL_MAX of them -- go
+    through the selection passes of ``order_statistics``.
     """
+    from functools import reduce
+    from pyspark.sql import Window
+    spark = df.sparkSession
+    long = long_values(df, columns, group)
+    stats = long.groupBy("g", "cid").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                                         F.max("x").alias("hi"))
+    stats = materialize_small(stats)
+    qcols = [f"q{i}" for i in range(len(probs))]
+    # small groups: distributed window over at most FINAL_MAX distinct values
+    small = stats.filter(F.col("n") <= FINAL_MAX).select("g", "cid", "n")
+    counted = (long.join(small, ["g", "cid"], "left_semi")
+                   .groupBy("g", "cid", "x").agg(F.count(F.lit(1)).alias("c")))
+    run = Window.partitionBy("g", "cid").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("cum", F.sum("c").over(run)).join(small, ["g", "cid"])
     aggs = []
-    for i, c in enumerate(columns):
-        x = as_double(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    rows = (df.filter(col(group).isNotNull())
-              .groupBy(col(group).cast("string").alias("g")).agg(*aggs)
-              .limit(MAX_GROUPS + 1).collect())
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{group!r} has more than {MAX_GROUPS} groups")
-    sstats = {(r["g"], i): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"])
-              for r in rows for i in range(len(columns))}
-    res = _quantiles_long(long_values(df, columns, group), sstats, probs)
-    q = {(g, columns[i], p): v for ((g, i), p), v in res.items()}
-    st = {(g, columns[i]): v for (g, i), v in sstats.items()}
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1).cast("double") * F.lit(p)
+        lo_r = F.floor(h)
+        hi_r = F.least(lo_r + 1, F.col("n") - 1)
+        def at(r):
+            return F.min(F.when((F.col("cum") - F.col("c") <= r) & (r < F.col("cum")), F.col("x")))
+        aggs += [at(lo_r).alias(f"a{i}"), at(hi_r).alias(f"b{i}"),
+                 F.max(h - lo_r).alias(f"t{i}")]
+    picked = counted.groupBy("g", "cid").agg(*aggs)
+    small_q = picked.select("g", "cid", *[
+        F.when((F.col(f"t{i}") == 0) | (F.col(f"a{i}") == F.col(f"b{i}")), F.col(f"a{i}"))
+         .otherwise(_lerp_col(F.col(f"a{i}"), F.col(f"b{i}"), F.col(f"t{i}"))).alias(qcols[i])
+        for i in range(len(probs))])
+    small_out = stats.filter(F.col("n") <= FINAL_MAX).join(small_q, ["g", "cid"])
+    # large groups: bounded in number by rows / FINAL_MAX
+    big_rows = stats.filter(F.col("n") > FINAL_MAX).collect()
+    parts = [small_out]
+    if big_rows:
+        sstats = {(r["g"], r["cid"]): (r["n"], r["lo"], r["hi"]) for r in big_rows}
+        res = _quantiles_long(long, sstats, probs)
+        rows = [(g, cid, n, lo, hi, *[res[((g, cid), p)] for p in probs])
+                for (g, cid), (n, lo, hi) in sstats.items()]
+        schema = ("g string, cid int, n bigint, lo double, hi double, "
+                  + ", ".join(f"{q} double" for q in qcols))
+        parts.append(spark.createDataFrame(rows, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    from tabsmith.session import materialize
+    return materialize(df)
+
+
+def grouped_quantiles(df: DataFrame, group: str, columns: list[str],
+                      probs: list[float]) -> tuple[dict, dict]:
+    """``grouped_quantiles_frame`` collected into dicts (for a bounded number
+    of groups): ({(group_key, column, p): value}, {(group_key, column): (n, min, max)})."""
+    rows = grouped_quantiles_frame(df, group, columns, probs).collect()
+    q = {(r["g"], columns[r["cid"]], p): r[f"q{i}"] for r in rows for i, p in enumerate(probs)}
+    st = {(r["g"], columns[r["cid"]]): (r["n"], r["lo"], r["hi"]) for r in rows}
     return q, st
 
 

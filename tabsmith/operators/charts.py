@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, columns_info,
                                         rows_from_structs)
 from tabsmith.functions.correlation import pair_corr
-from tabsmith.functions.quantiles import (BROADCAST_MAX, column_stats, grouped_quantiles,
+from tabsmith.functions.quantiles import (BROADCAST_MAX, column_stats, grouped_quantiles_frame,
                                           long_values, quantiles)
 
 
@@ -344,9 +344,12 @@ def violin(df: DataFrame, max_cols: int = 4) -> DataFrame:
         qs = quantiles(df, [n for n in names if st[n][0]], [0.5], st)
         rows = [(n, None, st[n][0], st[n][1], qs.get((n, 0.5)), st[n][2]) for n in names]
         return spark.createDataFrame(rows, schema)
-    q, st = grouped_quantiles(df, hue, names, [0.5])
-    rows = [(n, g, s[0], s[1], q.get((g, n, 0.5)), s[2]) for (g, n), s in st.items() if s[0]]
-    return spark.createDataFrame(rows, schema)
+    q = grouped_quantiles_frame(df, hue, names, [0.5])
+    name_arr = F.array(*[F.lit(n) for n in names])
+    return q.select(F.element_at(name_arr, F.col("cid") + 1).alias("column"),
+                    F.col("g").alias("group"), F.col("n").cast("bigint").alias("n"),
+                    F.col("lo").alias("min"), F.col("q0").alias("median"),
+                    F.col("hi").alias("max"))
 
 
 def violin_density(df: DataFrame, max_cols: int = 4, points: int = 100) -> DataFrame:

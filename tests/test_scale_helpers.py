@@ -72,3 +72,20 @@ def test_dense_codes(spark):
     codes = {r["w"]: r["code"] for r in dense_codes(df, "w", partitions=5).collect()}
     expected = {w: i for i, w in enumerate(sorted(set(words)))}
     assert codes == expected
+
+
+def test_grouped_quantiles_many_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FINAL_MAX", 300)
+    rng = np.random.default_rng(9)
+    n = 20000
+    groups = np.where(rng.random(n) < 0.3, 0, rng.integers(1, 400, n))   # one hot group
+    vals = np.round(rng.normal(0, 10, n), 1)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)],
+                               "g long, x double")
+    rows = Q.grouped_quantiles_frame(df, "g", ["x"], [0.25, 0.5]).collect()
+    assert len(rows) == len(set(groups.tolist()))
+    for r in rows:
+        v = vals[groups == int(r["g"])]
+        assert r["n"] == len(v)
+        assert r["q0"] == pytest.approx(float(np.quantile(v, 0.25)), abs=1e-9)
+        assert r["q1"] == pytest.approx(float(np.quantile(v, 0.5)), abs=1e-9)
