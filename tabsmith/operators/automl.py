@@ -180,6 +180,27 @@ def scale_stats(train: DataFrame, features: list[str]) -> dict:
     return {f: (row[f"m{i}"], row[f"s{i}"]) for i, f in enumerate(features)}
 
 
+def _train_scale_stats(tagged: DataFrame, features: list[str]) -> tuple[dict, int]:
+    """ML8 fit on the train rows plus the total row count, in one pass."""
+    is_train = F.col("__split") == "train"
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(features):
+        x = F.when(is_train, as_double(f))
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+    row = tagged.agg(*aggs).collect()[0]
+    return {f: (row[f"m{i}"], row[f"s{i}"]) for i, f in enumerate(features)}, row["rows"]
+
+
+ROWS_PER_FIT_PARTITION = 500_000
+
+
+def fit_partitions(spark, n_rows: int) -> int:
+    """Partitions for model fitting: the cluster's parallelism, more when
+    the rows would exceed ~500k per partition."""
+    return max(spark.sparkContext.defaultParallelism,
+               math.ceil((n_rows or 0) / ROWS_PER_FIT_PARTITION), 1)
+
+
 def scale(df: DataFrame, stats: dict) -> DataFrame:
     """ML8 apply: (x - mean) / std, a zero std counts as 1."""
     exprs = []
@@ -332,10 +353,12 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
         raise ValueError("No usable feature columns found.")
     key = split_key if split_key is not None else row_key(prepared)
     tagged = prepared.withColumn("__split", split_expr(key))
-    train = tagged.filter(F.col("__split") == "train")
-    stats = scale_stats(train, feats)
+    stats, n_rows = _train_scale_stats(tagged, feats)
     scaled = scale(tagged, stats)
-    data = _assemble(scaled, feats, target).persist()
+    # a persisted plan keeps its shuffle partitioning (AQE does not coalesce
+    # cached plans): size the fit partitions from the row count instead
+    parts = fit_partitions(df.sparkSession, n_rows)
+    data = _assemble(scaled, feats, target).coalesce(parts).persist()
     tr = data.filter(F.col("__split") == "train")
     te = data.filter(F.col("__split") == "test")
     n_train, n_test = tr.count(), te.count()
@@ -347,7 +370,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
     folded = None
     if task == CLASSIFICATION and cv:
         keyed = tr.withColumn("__kid", F.monotonically_increasing_id())
-        folded = stratified_folds(keyed, "label", "__kid", CV_FOLDS).persist()
+        folded = stratified_folds(keyed, "label", "__kid", CV_FOLDS).coalesce(parts).persist()
     # every fit is independent: the final fits and the CV fold fits run as
     # concurrent Spark jobs from a small driver thread pool
     jobs = {}
