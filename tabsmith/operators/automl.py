@@ -166,6 +166,13 @@ def split_expr(key: Column, train_pct: int = TRAIN_PCT) -> Column:
     return F.when(F.pmod(key, F.lit(100)) < train_pct, "train").otherwise("test")
 
 
+def random_split_expr(seed: int = SEED, train_pct: int = TRAIN_PCT) -> Column:
+    """ML7 option: a seeded random 80/20 split (like ``randomSplit``). The
+    draw depends on the input partitioning, so persist the tagged frame if it
+    is used more than once; the hash split (``split_expr``) has no such caveat."""
+    return F.when(F.rand(seed) < train_pct / 100.0, "train").otherwise("test")
+
+
 def row_key(df: DataFrame) -> Column:
     """Default split key: a 64-bit hash of the whole row."""
     return F.xxhash64(*[col(c) for c in df.columns])
@@ -475,6 +482,14 @@ def predict(result: TrainResult, df: DataFrame, model_name: str | None = None) -
     return result.models[name].transform(va.transform(df))
 
 
+def save_model(result: TrainResult, path: str, model_name: str | None = None) -> str:
+    """ML21 option: write a trained model (default: the best one) with Spark
+    ML's writer, e.g. under the shared checkpoint folder."""
+    name = model_name or (result.best.model if result.best else None)
+    result.models[name].write().overwrite().save(path)
+    return path
+
+
 class SparkSessionHolder:
     @staticmethod
     def get():

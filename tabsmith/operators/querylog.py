@@ -156,6 +156,12 @@ def append_turn(turns: DataFrame, dataset_name: str, rows: int, cols: int,
         F.col("used_fallback"))
 
 
+def write_turns(records: DataFrame, path: str) -> None:
+    """QL8 sink: append memory records to a Parquet table (one append per
+    batch of turns; readers see every committed batch)."""
+    records.write.mode("append").parquet(path)
+
+
 def recent_context(records: DataFrame, n: int = 6, snippet: int = 300) -> DataFrame:
     """QL9: per conversation the context text of its last ``n`` turns: a
     header with the total, then per turn the query, agent, output preview

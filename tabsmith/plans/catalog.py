@@ -27,6 +27,13 @@ def _on(source, op, digits: dict | None = None, **kw) -> Query:
     return run
 
 
+def _table(name):
+    def load(spark, sf):
+        from tabsmith.sources.tables import load_table
+        return load_table(spark, sf, name)
+    return load
+
+
 def queries() -> dict[str, Query]:
     from tabsmith.plans.io_queries import io_queries
     from tabsmith.plans.ml_queries import ml_queries
@@ -51,6 +58,10 @@ def queries() -> dict[str, Query]:
         "describe_numeric": _on(dirty, schema.describe_numeric),
         "dataset_intelligence": _on(dirty, schema.dataset_intelligence),
         "duplicate_count": _on(dirty, clean.duplicate_count),
+        # other driver tables: an array column (class "other"), long texts
+        "dataset_summary_embeddings": _on(_table("embeddings"), profile.dataset_summary),
+        "dataset_summary_documents": _on(_table("documents"), profile.dataset_summary),
+        "top_values_documents": _on(_table("documents"), profile.top_values),
         # cleaning
         "remove_duplicates": _on(dirty, clean.remove_duplicates),
         "fill_missing_mean": _on(dirty, clean.fill_missing_mean),

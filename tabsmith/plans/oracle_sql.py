@@ -7,8 +7,9 @@ Spark code. Doubles are rounded half-to-even to 4 decimals on both sides.
 
 from __future__ import annotations
 
-from tabsmith.plans.sql_fixtures import (DIRTY_COLUMNS, DIRTY_LINEITEM, dtype_sql, lit, pct_sql,
-                                         qi, r4, union_all)
+from tabsmith.plans.sql_fixtures import (DIRTY_COLUMNS, DIRTY_LINEITEM, DOCUMENTS_COLUMNS,
+                                         EMBEDDINGS_COLUMNS, dtype_sql, lit, pct_sql, qi, r4,
+                                         union_all)
 
 from tabsmith.plans.oracle_charts import charts_sql  # noqa: E402
 from tabsmith.plans.oracle_querylog import querylog_sql  # noqa: E402
@@ -195,6 +196,28 @@ def duplicate_count() -> str:
             f"({DUPS})::BIGINT AS duplicate_rows FROM dirty")
 
 
+def dataset_summary_for(table: str, cols) -> str:
+    """AN1 over a whole driver table."""
+    n = len(cols)
+    dups = (f"(SELECT count(*) FROM {table}) - "
+            f"(SELECT count(*) FROM (SELECT DISTINCT * FROM {table}))")
+    sel = [f"SELECT {i + 1}::BIGINT AS ordinal, {lit(c)} AS \"column\", t{i + 1} AS dtype, "
+           f"m{i + 1}::BIGINT AS missing, {pct_sql(f'm{i + 1}', 'n_rows', 1)} AS missing_pct, "
+           f"n_rows::BIGINT AS n_rows, {n}::BIGINT AS n_columns, "
+           f"dups::BIGINT AS duplicate_rows FROM agg" for i, (c, _, _) in enumerate(cols)]
+    return (f"WITH agg AS (SELECT count(*) AS n_rows, {dups} AS dups, {_miss_aggs(cols)} "
+            f"FROM {table})\n{union_all(sel)}")
+
+
+def top_values_for(table: str, cols, k: int = 5) -> str:
+    cats = [c for c in cols if c[2] == "categorical"]
+    return (f"WITH {_value_counts_cte(cats, cols, table)},\n"
+            f"ranked AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, value) "
+            f"AS rnk, count(*) OVER (PARTITION BY ordinal) AS nu FROM counts)\n"
+            f"SELECT ordinal, \"column\", nu::BIGINT AS nunique, rnk::BIGINT AS rank, value, "
+            f"cnt::BIGINT AS count FROM ranked WHERE rnk <= {k}")
+
+
 def all_sql() -> dict[str, str]:
     return {
         "dataset_summary": dataset_summary(),
@@ -211,6 +234,9 @@ def all_sql() -> dict[str, str]:
         "describe_numeric": describe_statistics(3),
         "dataset_intelligence": dataset_intelligence(),
         "duplicate_count": duplicate_count(),
+        "dataset_summary_embeddings": dataset_summary_for("embeddings", EMBEDDINGS_COLUMNS),
+        "dataset_summary_documents": dataset_summary_for("documents", DOCUMENTS_COLUMNS),
+        "top_values_documents": top_values_for("documents", DOCUMENTS_COLUMNS),
         **cleaning_sql(),
         **charts_sql(),
         **querylog_sql(),

@@ -54,6 +54,7 @@ def dtype_sql(column: str) -> str:
             f"WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' "
             f"WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' "
             f"WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'FLOAT' THEN 'float' "
+            f"WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' "
             f"ELSE lower({t}) END")
 
 
@@ -76,3 +77,18 @@ def pct_sql(part: str, whole: str, digits: int) -> str:
 
 def union_all(selects: list[str]) -> str:
     return "\nUNION ALL\n".join(selects)
+
+
+EMBEDDINGS_COLUMNS = [
+    ("vec_id", "bigint", "numeric"),
+    ("embedding", "array<float>", "other"),
+    ("label", "int", "numeric"),
+]
+
+DOCUMENTS_COLUMNS = [
+    ("doc_id", "bigint", "numeric"),
+    ("text", "string", "categorical"),
+    ("lang", "string", "categorical"),
+    ("source", "string", "categorical"),
+    ("n_chars", "bigint", "numeric"),
+]

@@ -49,3 +49,24 @@ def test_quick_chips_walkthrough(spark):
                                           "visualization_agent", "ml_agent"]
     assert rows[1]["tools"] == "cleaning_report,fill_missing_mean"
     assert "AutoML Results" in rows[3]["output"]
+
+
+def test_write_turns_appends(spark):
+    log = spark.createDataFrame([(1, 0, "hello", "hi"), (1, 2, "show missing values", "ok")],
+                                "conv_id long, turn long, query string, output string")
+    recs = ql.append_turn(ql.conversation_turns(log), "demo", 2, 4)
+    path = os.path.join(tempfile.mkdtemp(prefix="tabsmith-turns-"), "t")
+    ql.write_turns(recs, path)
+    ql.write_turns(recs, path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_random_split_and_model_save(spark):
+    from tabsmith.operators import automl as ml
+    df = fx.ml_class_rule(spark, SF0001)
+    tagged = df.withColumn("s", ml.random_split_expr(42)).persist()
+    share = tagged.filter("s = 'train'").count() / tagged.count()
+    assert 0.7 < share < 0.9
+    r = ml.auto_train(df, "level", split_key=F.col("event_id") * 7919, ids=("event_id",), cv=False)
+    path = ml.save_model(r, os.path.join(tempfile.mkdtemp(prefix="tabsmith-model-"), "best"))
+    assert os.path.isdir(path)
