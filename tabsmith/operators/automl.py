@@ -402,6 +402,14 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
         for fut, key in futures.items():
             try:
                 outcomes[key] = fut.result()
+            except Exception as e:  # noqa: BLE001 - retried below
+                outcomes[key] = e
+    # concurrent jobs occasionally fail on closure serialisation; a failed
+    # job is run once more on its own before the model counts as failing
+    for key, out in list(outcomes.items()):
+        if isinstance(out, Exception):
+            try:
+                outcomes[key] = run((key, jobs[key]))
             except Exception as e:  # a failing model is reported and skipped
                 outcomes[key] = e
     if folded is not None:
@@ -419,6 +427,9 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
             s.importances = feature_importance(model, feats)
             models[name] = model
             folds = [outcomes.get((name, f)) for f in range(CV_FOLDS)] if folded is not None else []
+            failed = [x for x in folds if isinstance(x, Exception)]
+            if failed:
+                s.error = f"cross-validation failed: {str(failed[0])[:200]}"
             if folds and not any(isinstance(x, Exception) or x is None for x in folds):
                 accs = [x[1]["value"] for x in folds]
                 s.cv_mean = sum(accs) / len(accs)

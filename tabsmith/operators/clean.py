@@ -19,24 +19,24 @@ from pyspark.sql import types as T
 from tabsmith.functions.columns import (CATEGORICAL, INTEGRAL_TYPES, NUMERIC, as_double, col,
                                         columns_info)
 from tabsmith.functions.quantiles import quantiles
-from tabsmith.operators.profile import duplicate_rows_expr, value_counts
+from tabsmith.functions.duplicates import drop_duplicate_rows, duplicate_stats
+from tabsmith.operators.profile import value_counts
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """CL0: one row (n_rows, distinct_rows, duplicate_rows)."""
-    dup = duplicate_rows_expr(df)
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                  (F.count(F.lit(1)) - dup).cast("bigint").alias("distinct_rows"),
-                  dup.alias("duplicate_rows"))
+    """CL0: one row (n_rows, distinct_rows, duplicate_rows); exact, with only
+    rows of repeated hashes shuffled in full (``functions.duplicates``)."""
+    st = duplicate_stats(df)
+    return df.sparkSession.createDataFrame(
+        [(st.rows, st.distinct, st.duplicates)],
+        "n_rows bigint, distinct_rows bigint, duplicate_rows bigint")
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """CL1: drop repeated rows (NULL equals NULL). A hash aggregate with
-    map-side partial dedup; map columns are not part of the key (H8)."""
-    keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    if len(keys) == len(df.columns):
-        return df.dropDuplicates()
-    return df.dropDuplicates(keys)
+    """CL1: drop repeated rows (NULL equals NULL; map columns are not part of
+    the key, H8). Rows whose hash is unique pass through without a shuffle;
+    only candidate rows go through ``dropDuplicates``."""
+    return drop_duplicate_rows(df)
 
 
 def _fill(df: DataFrame, values: dict) -> DataFrame:
@@ -233,10 +233,9 @@ def cleaning_report(df: DataFrame) -> DataFrame:
     """CL7: per column missing, % (1 dp) and status, with the table's shape,
     duplicate rows and total missing cells on every row."""
     from tabsmith.functions.columns import pct, rows_from_structs
+    from tabsmith.operators.profile import table_counts
     info = columns_info(df)
-    miss = {c.ordinal: F.count_if(col(c.name).isNull()).cast("bigint") for c in info}
-    one = df.agg(F.count(F.lit(1)).alias("rows"), duplicate_rows_expr(df).alias("dups"),
-                 *[m.alias(f"miss_{o}") for o, m in miss.items()])
+    one = table_counts(df)
     total = reduce(lambda a, b: a + b, [F.col(f"miss_{c.ordinal}") for c in info])
     return rows_from_structs(one, [
         F.struct(F.lit(c.ordinal).cast("bigint").alias("ordinal"), F.lit(c.name).alias("column"),

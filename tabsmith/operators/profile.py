@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, columns_info,
                                         pct, rows_from_structs)
 from tabsmith.functions.correlation import pair_corr_aggs
+from tabsmith.functions.duplicates import duplicate_stats
 from tabsmith.functions.quantiles import quantiles
 from tabsmith.session import materialize
 
@@ -41,12 +42,24 @@ def missing_aggs(df: DataFrame) -> list[Column]:
             for c in columns_info(df)]
 
 
+def table_counts(df: DataFrame) -> DataFrame:
+    """One row: rows, duplicate rows and missing count per column
+    (``miss_<ordinal>``), from the hash-based duplicate pass (only rows whose
+    hash repeats are shuffled in full) with the missing counts observed in
+    the same scan."""
+    info = columns_info(df)
+    st = duplicate_stats(df, {f"miss_{c.ordinal}": F.count_if(col(c.name).isNull())
+                              for c in info})
+    values = [st.rows, st.duplicates] + [int(st.metrics[f"miss_{c.ordinal}"] or 0) for c in info]
+    schema = "rows bigint, dups bigint" + "".join(f", miss_{c.ordinal} bigint" for c in info)
+    return df.sparkSession.createDataFrame([tuple(values)], schema)
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """AN1: per column dtype, missing count and % (1 dp), plus rows, columns and
     duplicate rows repeated on every row."""
     info = columns_info(df)
-    one = df.agg(F.count(F.lit(1)).alias("rows"), duplicate_rows_expr(df).alias("dups"),
-                 *missing_aggs(df))
+    one = table_counts(df)
     return rows_from_structs(one, [
         F.struct(F.lit(c.ordinal).cast("bigint").alias("ordinal"),
                  F.lit(c.name).alias("column"),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, columns_info, pct,
                                         rows_from_structs)
-from tabsmith.operators.profile import (describe_all, describe_statistics,
-                                        duplicate_rows_expr, missing_aggs)
+from tabsmith.operators.profile import (describe_all, describe_statistics, missing_aggs,
+                                        table_counts)
 
 
 def column_classes(df: DataFrame) -> DataFrame:
@@ -75,12 +75,12 @@ def rich_schema(df: DataFrame, max_cols: int = 10) -> DataFrame:
 def summary_counters(df: DataFrame) -> DataFrame:
     """SC5: one row with rows, columns, duplicate rows and missing cells."""
     info = columns_info(df)
-    miss = [F.count_if(F.col(f"`{c.name}`").isNull()) for c in info]
-    total_missing = sum(miss[1:], miss[0]) if miss else F.lit(0)
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                  F.lit(len(info)).cast("bigint").alias("n_columns"),
-                  duplicate_rows_expr(df).alias("duplicate_rows"),
-                  total_missing.cast("bigint").alias("missing_cells"))
+    one = table_counts(df)
+    total = sum((F.col(f"miss_{c.ordinal}") for c in info[1:]), F.col(f"miss_{info[0].ordinal}"))
+    return one.select(F.col("rows").alias("n_rows"),
+                      F.lit(len(info)).cast("bigint").alias("n_columns"),
+                      F.col("dups").alias("duplicate_rows"),
+                      total.cast("bigint").alias("missing_cells"))
 
 
 def describe_numeric(df: DataFrame) -> DataFrame:
@@ -92,8 +92,7 @@ def dataset_intelligence(df: DataFrame) -> DataFrame:
     """SC4: per column dtype, class, missing, missing % (2 dp), describe(all)
     statistics, plus rows, columns and duplicate rows."""
     info = columns_info(df)
-    one = df.agg(F.count(F.lit(1)).alias("rows"), duplicate_rows_expr(df).alias("dups"),
-                 *missing_aggs(df))
+    one = table_counts(df)
     base = rows_from_structs(one, [
         F.struct(F.lit(c.ordinal).cast("bigint").alias("ordinal"), F.lit(c.name).alias("column"),
                  F.lit(c.dtype).alias("dtype"), F.lit(c.cls).alias("class"),

@@ -77,4 +77,6 @@ def materialize(df):
     branches)."""
     if ensure_checkpoint_dir(df.sparkSession, allow_local=is_local(df.sparkSession)):
         return df.checkpoint(eager=True)
-    return df.persist()
+    df = df.persist()
+    df.count()          # evaluate now, like the eager checkpoint
+    return df

@@ -118,8 +118,8 @@ def test_classification_rule_is_learnt(spark):
     r = ml.auto_train(fx.ml_class_rule(spark, SF001), "level",
                       split_key=F.col("event_id") * 7919, ids=("event_id",))
     assert r.task == "classification" and r.n_train == 8000 and r.n_test == 2000
-    assert r.best is not None and r.best.value > 0.95
-    assert all(s.cv_mean is not None for s in r.scores)
+    assert r.best is not None and r.best.value > 0.95, [(s.model, s.value, s.error) for s in r.scores]
+    assert all(s.cv_mean is not None for s in r.scores), [(s.model, s.error) for s in r.scores]
 
 
 def test_linear_target_regression(spark):

@@ -89,3 +89,21 @@ def test_grouped_quantiles_many_small_groups(spark, monkeypatch):
         assert r["n"] == len(v)
         assert r["q0"] == pytest.approx(float(np.quantile(v, 0.25)), abs=1e-9)
         assert r["q1"] == pytest.approx(float(np.quantile(v, 0.5)), abs=1e-9)
+
+
+def test_hash_dedup_matches_drop_duplicates(spark):
+    from tabsmith.functions.duplicates import drop_duplicate_rows, duplicate_stats
+    rows = [(1, 0.0, "a"), (1, -0.0, "a"), (None, None, None), (None, None, None),
+            (2, 1.5, None), (2, 1.5, "b"), (3, 2.0, "c")] * 3 + [(4, 4.0, "d")]
+    df = spark.createDataFrame(rows, "i long, x double, s string")
+    st = duplicate_stats(df)
+    assert st.rows == len(rows)
+    assert st.distinct == df.dropDuplicates().count() == 6
+    def key(r):
+        return tuple((v is None, str(v)) for v in r)
+    got = sorted((tuple(r) for r in drop_duplicate_rows(df).collect()), key=key)
+    exp = sorted((tuple(r) for r in df.dropDuplicates().collect()), key=key)
+    assert len(got) == len(exp) == 6
+    unique = spark.createDataFrame([(i, float(i)) for i in range(100)], "i long, x double")
+    assert duplicate_stats(unique).candidates is None
+    assert drop_duplicate_rows(unique).count() == 100
