@@ -7,8 +7,7 @@ that traffic only proves uniqueness. Here:
 1. one scan computes a 64-bit hash of each row (``-0.0`` normalised to
    ``0.0`` so that equal rows hash equally) and ``groupBy(hash).count()``
    with map-side partial aggregation -- 16 bytes per row cross the network;
-   totals (and any extra per-row metrics) are collected with ``observe`` in
-   the same job;
+   totals (and any extra per-row metrics) come from a scan-only aggregate;
 2. rows whose hash occurs once are unique for certain; only rows whose hash
    repeats (true duplicates plus rare 64-bit collisions) are candidates; their
    hashes are materialised (small), semi-joined back (broadcast only below a
@@ -22,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,33 +64,33 @@ class DuplicateStats:
 
 def duplicate_stats(df: DataFrame, metrics: dict[str, Column] | None = None) -> DuplicateStats:
     """Rows, distinct rows and ``metrics`` (name -> aggregate over the input
-    rows, e.g. missing counts) from one hash pass plus a candidate pass."""
+    rows, e.g. missing counts).
+
+    Three jobs: the hash pass (writes the repeated hashes), a scan-only
+    aggregate for the row count and the metrics, and -- only when some hash
+    repeats -- the candidate pass, which yields the candidate rows and their
+    distinct count (distinct = rows - candidate rows + distinct candidates).
+    ``observe`` would fold the second job into the first, but an observed
+    session can no longer serialise Spark ML models (their training summary
+    references the session), so it is not used.
+    """
     metrics = metrics or {}
-    obs_in = Observation("tabsmith_rows")
-    observed = df.observe(obs_in, F.count(F.lit(1)).alias("__rows"),
-                          *[m.alias(k) for k, m in metrics.items()])
-    counts = (observed.select(row_hash(df).alias(HASH))
-                      .groupBy(HASH).agg(F.count(F.lit(1)).alias("__n")))
-    obs_h = Observation("tabsmith_hashes")
-    counts = counts.observe(obs_h, F.count_if(F.col("__n") == 1).alias("__singles"),
-                            F.count_if(F.col("__n") > 1).alias("__multi"))
+    counts = (df.select(row_hash(df).alias(HASH))
+                .groupBy(HASH).agg(F.count(F.lit(1)).alias("__n")))
     cand = materialize(counts.filter(F.col("__n") > 1).select(HASH))
-    try:
-        got_in, got_h = obs_in.get, obs_h.get
-    except Exception:  # noqa: BLE001 - no metrics row (e.g. an input without partitions)
-        row = df.agg(F.count(F.lit(1)).alias("__rows"),
-                     *[m.alias(k) for k, m in metrics.items()]).first()
-        got_in = row.asDict()
-        got_h = {"__singles": got_in["__rows"], "__multi": 0}
-    rows = int(got_in.get("__rows") or 0)
-    singles = int(got_h.get("__singles") or 0)
-    multi = int(got_h.get("__multi") or 0)
-    extra = {k: got_in.get(k) for k in metrics}
-    if multi == 0:
+    totals = df.agg(F.count(F.lit(1)).alias("__rows"),
+                    *[m.alias(k) for k, m in metrics.items()]).first().asDict()
+    rows = int(totals["__rows"] or 0)
+    extra = {k: totals[k] for k in metrics}
+    n_hashes = cand.count()
+    if n_hashes == 0:
         return DuplicateStats(rows, rows, extra, None, 0)
-    cand_rows = candidate_rows(df, cand, multi)
-    distinct_cand = cand_rows.select(*[col(c) for c in key_columns(df)]).distinct().count()
-    return DuplicateStats(rows, singles + distinct_cand, extra, cand, multi)
+    keys = [col(c) for c in key_columns(df)]
+    per_row = (candidate_rows(df, cand, n_hashes).groupBy(*keys)
+               .agg(F.count(F.lit(1)).alias("__c")))
+    got = per_row.agg(F.sum("__c").alias("rows"), F.count(F.lit(1)).alias("distinct")).first()
+    distinct = rows - int(got["rows"] or 0) + int(got["distinct"] or 0)
+    return DuplicateStats(rows, distinct, extra, cand, n_hashes)
 
 
 def candidate_rows(df: DataFrame, cand: DataFrame, n_hashes: int, keep: str = "left_semi"):
