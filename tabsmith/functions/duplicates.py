@@ -7,7 +7,8 @@ that traffic only proves uniqueness. Here:
 1. one scan computes a 64-bit hash of each row (``-0.0`` normalised to
    ``0.0`` so that equal rows hash equally) and ``groupBy(hash).count()``
    with map-side partial aggregation -- 16 bytes per row cross the network;
-   totals (and any extra per-row metrics) come from a scan-only aggregate;
+   row totals and per-row flag sums (missing counts) ride along in the same
+   aggregation and job;
 2. rows whose hash occurs once are unique for certain; only rows whose hash
    repeats (true duplicates plus rare 64-bit collisions) are candidates; their
    hashes are materialised (small), semi-joined back (broadcast only below a
@@ -62,30 +63,48 @@ class DuplicateStats:
         return self.rows - self.distinct
 
 
-def duplicate_stats(df: DataFrame, metrics: dict[str, Column] | None = None) -> DuplicateStats:
-    """Rows, distinct rows and ``metrics`` (name -> aggregate over the input
-    rows, e.g. missing counts).
+def duplicate_stats(df: DataFrame, flags: dict[str, Column] | None = None) -> DuplicateStats:
+    """Rows, distinct rows and per-row ``flags`` summed over the input (name
+    -> boolean/int expression, e.g. ``c.isNull()`` for missing counts).
 
-    Three jobs: the hash pass (writes the repeated hashes), a scan-only
-    aggregate for the row count and the metrics, and -- only when some hash
-    repeats -- the candidate pass, which yields the candidate rows and their
-    distinct count (distinct = rows - candidate rows + distinct candidates).
-    ``observe`` would fold the second job into the first, but an observed
-    session can no longer serialise Spark ML models (their training summary
-    references the session), so it is not used.
+    One job scans the input once: ``groupBy(hash)`` (carrying the flag sums)
+    feeds both the repeated hashes and a one-row totals branch; the two
+    branches share the exchange, and both land in one small materialised
+    table. Only when some hash repeats does a second job read the candidate
+    rows (distinct = rows - candidate rows + distinct candidates). No
+    ``observe``: an observed session can no longer serialise Spark ML models
+    (their training summary references the session).
     """
-    metrics = metrics or {}
-    counts = (df.select(row_hash(df).alias(HASH))
-                .groupBy(HASH).agg(F.count(F.lit(1)).alias("__n")))
-    cand = materialize(counts.filter(F.col("__n") > 1).select(HASH))
-    totals = df.agg(F.count(F.lit(1)).alias("__rows"),
-                    *[m.alias(k) for k, m in metrics.items()]).first().asDict()
-    rows = int(totals["__rows"] or 0)
-    extra = {k: totals[k] for k in metrics}
+    flags = flags or {}
+    names = list(flags)
+    grouped = (df.select(row_hash(df).alias(HASH),
+                         *[F.coalesce(e.cast("long"), F.lit(0)).alias(f"__f{i}")
+                           for i, e in enumerate(flags.values())])
+                 .groupBy(HASH)
+                 .agg(F.count(F.lit(1)).alias("__n"),
+                      *[F.sum(f"__f{i}").alias(f"__f{i}") for i in range(len(names))]))
+    # the candidate branch keeps every aggregate column so that both branches
+    # share one identical exchange (column pruning would otherwise split them)
+    cand_part = grouped.filter(F.col("__n") > 1).select(
+        F.lit(0).alias("__kind"), HASH, F.col("__n").cast("long").alias("__rows"),
+        *[F.col(f"__f{i}").cast("long").alias(f"__f{i}") for i in range(len(names))])
+    total_part = grouped.agg(
+        F.lit(1).alias("__kind"), F.lit(None).cast("long").alias(HASH),
+        F.sum("__n").cast("long").alias("__rows"),
+        *[F.sum(f"__f{i}").cast("long").alias(f"__f{i}") for i in range(len(names))])
+    both = materialize(cand_part.unionByName(total_part))
+    tot = both.filter(F.col("__kind") == 1).first()
+    rows = int(tot["__rows"] or 0)
+    extra = {n: int(tot[f"__f{i}"] or 0) for i, n in enumerate(names)}
+    cand = both.filter(F.col("__kind") == 0).select(HASH)
     n_hashes = cand.count()
     if n_hashes == 0:
         return DuplicateStats(rows, rows, extra, None, 0)
     keys = [col(c) for c in key_columns(df)]
+    if n_hashes > BROADCAST_HASHES:
+        # many duplicates: a shuffle semi-join would move every row anyway,
+        # so one direct distinct (partial aggregation first) is cheaper
+        return DuplicateStats(rows, df.select(*keys).distinct().count(), extra, cand, n_hashes)
     per_row = (candidate_rows(df, cand, n_hashes).groupBy(*keys)
                .agg(F.count(F.lit(1)).alias("__c")))
     got = per_row.agg(F.sum("__c").alias("rows"), F.count(F.lit(1)).alias("distinct")).first()
@@ -106,8 +125,10 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     st = duplicate_stats(df)
     if st.candidates is None:
         return df
+    keys = key_columns(df)
+    if st.n_candidate_hashes > BROADCAST_HASHES:
+        return df.dropDuplicates(keys) if len(keys) < len(df.columns) else df.dropDuplicates()
     unique = candidate_rows(df, st.candidates, st.n_candidate_hashes, "left_anti")
     dups = candidate_rows(df, st.candidates, st.n_candidate_hashes, "left_semi")
-    keys = key_columns(df)
     dedup = dups.dropDuplicates(keys) if len(keys) < len(df.columns) else dups.dropDuplicates()
     return unique.unionByName(dedup)

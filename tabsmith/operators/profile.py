@@ -48,8 +48,7 @@ def table_counts(df: DataFrame) -> DataFrame:
     hash repeats are shuffled in full) with the missing counts observed in
     the same scan."""
     info = columns_info(df)
-    st = duplicate_stats(df, {f"miss_{c.ordinal}": F.count_if(col(c.name).isNull())
-                              for c in info})
+    st = duplicate_stats(df, {f"miss_{c.ordinal}": col(c.name).isNull() for c in info})
     values = [st.rows, st.duplicates] + [int(st.metrics[f"miss_{c.ordinal}"] or 0) for c in info]
     schema = "rows bigint, dups bigint" + "".join(f", miss_{c.ordinal} bigint" for c in info)
     return df.sparkSession.createDataFrame([tuple(values)], schema)

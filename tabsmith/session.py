@@ -76,7 +76,13 @@ def materialize(df):
     recomputed several times (a shuffle join or an aggregate read by several
     branches)."""
     if ensure_checkpoint_dir(df.sparkSession, allow_local=is_local(df.sparkSession)):
-        return df.checkpoint(eager=True)
+        # a reliable checkpoint runs one job to compute and another to write;
+        # with the rows cached, the write job reads them instead of
+        # recomputing the plan
+        cached = df.persist()
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
     df = df.persist()
     df.count()          # evaluate now, like the eager checkpoint
     return df
