@@ -107,3 +107,12 @@ def test_hash_dedup_matches_drop_duplicates(spark):
     unique = spark.createDataFrame([(i, float(i)) for i in range(100)], "i long, x double")
     assert duplicate_stats(unique).candidates is None
     assert drop_duplicate_rows(unique).count() == 100
+
+
+def test_hash_dedup_fallback_many_duplicates(spark, monkeypatch):
+    from tabsmith.functions import duplicates as D
+    monkeypatch.setattr(D, "BROADCAST_HASHES", 0)
+    df = spark.createDataFrame([(i % 7, "x") for i in range(200)], "k long, s string")
+    st = D.duplicate_stats(df, {"nulls": F.col("s").isNull()})
+    assert (st.rows, st.distinct, st.metrics["nulls"]) == (200, 7, 0)
+    assert D.drop_duplicate_rows(df).count() == 7
