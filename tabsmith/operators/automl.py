@@ -444,7 +444,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
 def leaderboard(result: TrainResult) -> DataFrame:
     """ML17: (ordinal, model, metric, value, cv_mean, cv_std, rmse, mae,
     best, band, error) -- best = highest value, first on ties."""
-    spark = SparkSessionHolder.get()
+    spark = _active_spark()
     rows = [(s.ordinal, s.model, s.metric, s.value, s.cv_mean, s.cv_std,
              s.extra.get("rmse"), s.extra.get("mae"),
              result.best is not None and s.ordinal == result.best.ordinal, s.error)
@@ -463,7 +463,7 @@ def best_model(board: DataFrame) -> DataFrame:
 
 def model_result(result: TrainResult) -> DataFrame:
     """ML20: one-row record kept for later advice."""
-    spark = SparkSessionHolder.get()
+    spark = _active_spark()
     feats = [f for f, _ in result.best.importances] if result.best else []
     if result.best and not feats:
         feats = next(([f for f, _ in s.importances] for s in result.scores if s.importances), [])
@@ -480,7 +480,7 @@ def model_result(result: TrainResult) -> DataFrame:
 
 def importance_frame(result: TrainResult) -> DataFrame:
     """ML16 as a frame: (model, rank, feature, importance)."""
-    spark = SparkSessionHolder.get()
+    spark = _active_spark()
     rows = [(s.model, r + 1, f, v) for s in result.scores for r, (f, v) in enumerate(s.importances)]
     return spark.createDataFrame(rows, "model string, rank bigint, feature string, importance double")
 
@@ -501,8 +501,7 @@ def save_model(result: TrainResult, path: str, model_name: str | None = None) ->
     return path
 
 
-class SparkSessionHolder:
-    @staticmethod
-    def get():
-        from pyspark.sql import SparkSession
-        return SparkSession.getActiveSession()
+def _active_spark():
+    """The session the trained models belong to (results hold no session)."""
+    from pyspark.sql import SparkSession
+    return SparkSession.getActiveSession()
