@@ -148,3 +148,12 @@ def test_sequential_outliers_match_pandas(spark):
             continue
         exp = exp[((exp[c] - m) / s).abs() < 3]
     assert clean.remove_outliers(df).count() == len(exp)
+
+
+def test_kde_prebin_close_to_exact(spark):
+    rng = np.random.default_rng(8)
+    vals = rng.exponential(50, 20000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    exact = [r["density"] for r in charts.kde(df, ["x"], 50).orderBy("point").collect()]
+    approx = [r["density"] for r in charts.kde(df, ["x"], 50, prebin=4096).orderBy("point").collect()]
+    assert max(abs(a - e) for a, e in zip(approx, exact)) < 1e-4 * max(exact)
