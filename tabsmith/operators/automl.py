@@ -94,11 +94,22 @@ def drop_unlabelled(df: DataFrame, target: str) -> DataFrame:
 
 # ------------------------------------------------------------- preparation
 
+SMALL_CODES = 10_000
+
+
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code) of ``column`` as text with missing as "nan", codes in
-    sorted text order (distributed dense rank, no global window)."""
+    sorted text order. A bounded probe (``distinct().limit``) decides: at most
+    ``SMALL_CODES`` values are coded on the driver (binary string order, as
+    Spark sorts); more use the distributed dense rank (no global window)."""
     text = F.coalesce(col(column).cast("string"), F.lit("nan"))
-    return dense_codes(df.select(text.alias("value")), "value")
+    values = df.select(text.alias("value"))
+    probe = values.distinct().limit(SMALL_CODES + 1).collect()
+    if len(probe) <= SMALL_CODES:
+        ordered = sorted((r["value"] for r in probe), key=lambda v: v.encode("utf-8"))
+        return df.sparkSession.createDataFrame(list(zip(ordered, range(len(ordered)))),
+                                               "value string, code bigint")
+    return dense_codes(values, "value")
 
 
 def label_encode(df: DataFrame, columns: list[str], max_broadcast: int = 1_000_000) -> DataFrame:

@@ -116,3 +116,15 @@ def test_hash_dedup_fallback_many_duplicates(spark, monkeypatch):
     st = D.duplicate_stats(df, {"nulls": F.col("s").isNull()})
     assert (st.rows, st.distinct, st.metrics["nulls"]) == (200, 7, 0)
     assert D.drop_duplicate_rows(df).count() == 7
+
+
+def test_label_encode_paths_agree(spark, monkeypatch):
+    from tabsmith.operators import automl as ml
+    rows = [(i, None if i % 9 == 0 else f"v{i % 37}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    small = {r["id"]: r["s"] for r in ml.label_encode(df, ["s"]).collect()}
+    monkeypatch.setattr(ml, "SMALL_CODES", 1)
+    dense = {r["id"]: r["s"] for r in ml.label_encode(df, ["s"]).collect()}
+    assert small == dense
+    values = sorted({("nan" if s is None else s) for _, s in rows})
+    assert small[0] == values.index("nan")
