@@ -25,18 +25,6 @@ from tabsmith.session import materialize
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def duplicate_rows_expr(df: DataFrame) -> Column:
-    """Rows beyond the first of each identical row (missing equals missing).
-
-    ``count(DISTINCT struct(*))`` keeps rows with NULL fields, unlike
-    ``count(DISTINCT a, b)``. Map columns cannot be grouped and are left out of
-    the row key (H8). Identical copies collapse in the map-side partial
-    aggregation, so a hot row cannot overload one reducer.
-    """
-    keys = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return (F.count(F.lit(1)) - F.count_distinct(F.struct(*keys))).cast("bigint")
-
-
 def missing_aggs(df: DataFrame) -> list[Column]:
     return [F.count_if(col(c.name).isNull()).cast("bigint").alias(f"miss_{c.ordinal}")
             for c in columns_info(df)]
