@@ -224,7 +224,10 @@ def grouped_quantiles_frame(df: DataFrame, group: str, columns: list[str],
     qcols = [f"q{i}" for i in range(len(probs))]
     # small groups: distributed window over at most FINAL_MAX distinct values
     small = stats.filter(F.col("n") <= FINAL_MAX).select("g", "cid", "n")
-    counted = (long.join(small, ["g", "cid"], "left_semi")
+    # broadcast the (checked) small-group table so that rows of a hot group are
+    # filtered out map-side instead of being shuffled to one join task
+    small_side = F.broadcast(small) if small.count() <= BROADCAST_MAX else small
+    counted = (long.join(small_side, ["g", "cid"], "left_semi")
                    .groupBy("g", "cid", "x").agg(F.count(F.lit(1)).alias("c")))
     run = Window.partitionBy("g", "cid").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     counted = counted.withColumn("cum", F.sum("c").over(run)).join(small, ["g", "cid"])
