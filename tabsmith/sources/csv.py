@@ -10,8 +10,9 @@
   missing, double when all pass as numbers (an integer column with a gap is
   float64 in pandas), boolean only for complete True/False columns, string
   otherwise. Dates stay strings, as pandas leaves them.
-* Encodings are tried in order; a decode failure shows as U+FFFD, found by
-  one aggregate. Separators are tried in order; the first that splits the
+* Encodings are tried in order; a decode failure shows as U+FFFD. The decode
+  check, the long-row count and the type inference are one aggregate, so a
+  file is read once before the typed frame. Separators are tried in order; the first that splits the
   header into more than one column wins (the last one is accepted anyway).
 """
 
@@ -78,25 +79,37 @@ def _raw(spark, path, encoding, sep, n, multiline):
             .option("enforceSchema", True).schema(schema).csv(path))
 
 
-def _decodes(df: DataFrame, n: int) -> bool:
+def _na_cleaned(raw: DataFrame, n: int) -> DataFrame:
+    """Rows no longer than the header, pandas' NA tokens as NULL."""
+    na = F.array(*[F.lit(t) for t in NA_TOKENS])
+    good = raw.filter(F.col(EXTRA).isNull())
+    return good.select(*[F.when(F.array_contains(na, F.col(f"c{i}")), F.lit(None))
+                          .otherwise(F.col(f"c{i}")).alias(f"c{i}") for i in range(n)])
+
+
+def _scan(raw: DataFrame, n: int) -> dict:
+    """One aggregate over the raw rows: undecodable cells, long rows, and per
+    column the missing cells and cast failures of the kept rows."""
+    na = F.array(*[F.lit(t) for t in NA_TOKENS])
+    keep = F.col(EXTRA).isNull()
     bad = F.lit(False)
     for i in range(n):
         bad = bad | F.coalesce(F.col(f"c{i}").contains(REPLACEMENT_CHAR), F.lit(False))
-    return df.filter(bad).limit(1).count() == 0
-
-
-def _infer(df: DataFrame, n: int) -> list[str]:
-    """One aggregate: per column missing cells and cast failures."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs = [F.count_if(bad).alias("bad"), F.count_if(~keep).alias("long"),
+            F.count_if(keep).alias("rows")]
     for i in range(n):
-        v = F.col(f"c{i}")
+        raw_v = F.col(f"c{i}")
+        v = F.when(keep & ~F.coalesce(F.array_contains(na, raw_v), F.lit(False)), raw_v)
         aggs += [
             F.count(v).alias(f"n{i}"),
             F.count_if(v.isNotNull() & v.try_cast("bigint").isNull()).alias(f"bi{i}"),
             F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"db{i}"),
             F.count_if(v.isNotNull() & ~v.isin(TRUE_VALUES + FALSE_VALUES)).alias(f"bo{i}"),
         ]
-    row = df.agg(*aggs).collect()[0]
+    return raw.agg(*aggs).collect()[0].asDict()
+
+
+def _types(row: dict, n: int) -> list[str]:
     types = []
     for i in range(n):
         present, rows = row[f"n{i}"], row["rows"]
@@ -155,16 +168,12 @@ def load_csv(spark: SparkSession, path: str, encodings=ENCODINGS, seps=SEPARATOR
                 continue
             n = len(header)
             raw = _raw(spark, path, enc, sep, n, multiline)
-            if not _decodes(raw, n):
-                break                       # next encoding
-            if on_bad == "fail" and raw.filter(F.col(EXTRA).isNotNull()).limit(1).count():
+            stats = _scan(raw, n)           # the only pass before the typed read
+            if stats["bad"]:
+                break                       # does not decode: next encoding
+            if on_bad == "fail" and stats["long"]:
                 raise ValueError("CSV has rows with more fields than the header")
-            good = raw.filter(F.col(EXTRA).isNull()).drop(EXTRA)
-            na = F.array(*[F.lit(t) for t in NA_TOKENS])
-            cleaned = good.select(*[F.when(F.array_contains(na, F.col(f"c{i}")), F.lit(None))
-                                     .otherwise(F.col(f"c{i}")).alias(f"c{i}") for i in range(n)])
-            types = _infer(cleaned, n)
-            return _typed(cleaned, normalize_labels(header), types)
+            return _typed(_na_cleaned(raw, n), normalize_labels(header), _types(stats, n))
     raise ValueError(f"Could not parse CSV with common encodings/separators ({last_error})")
 
 
