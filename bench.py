@@ -83,14 +83,23 @@ def main() -> None:
     # warm-up: JVM, parquet footers, codegen caches
     profile.dataset_summary(fx.dirty_lineitem(spark, "/root/testdata/sf0.001")).collect()
 
-    times = {}
+    tracker = spark.sparkContext.statusTracker()
+
+    def last_job_id() -> int:
+        ids = tracker.getJobIdsForGroup(None)
+        return max(ids) if ids else -1
+
+    times, jobs = {}, {}
     for name, fn in bench.items():
+        first = last_job_id()
         t0 = time.perf_counter()
         fn()
         times[name] = round(time.perf_counter() - t0, 3)
+        jobs[name] = last_job_id() - first          # job ids are sequential
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "tabsmith_headline_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(sf.group(1)) if sf else sf_dir}))
+                      "unit": "sec", "queries": times, "sf": float(sf.group(1)) if sf else sf_dir,
+                      "spark_jobs": jobs}))
     spark.stop()
 
 

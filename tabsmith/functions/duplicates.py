@@ -89,15 +89,15 @@ def duplicate_stats(df: DataFrame, flags: dict[str, Column] | None = None) -> Du
         F.lit(0).alias("__kind"), HASH, F.col("__n").cast("long").alias("__rows"),
         *[F.col(f"__f{i}").cast("long").alias(f"__f{i}") for i in range(len(names))])
     total_part = grouped.agg(
-        F.lit(1).alias("__kind"), F.lit(None).cast("long").alias(HASH),
+        F.lit(1).alias("__kind"), F.count_if(F.col("__n") > 1).cast("long").alias(HASH),
         F.sum("__n").cast("long").alias("__rows"),
         *[F.sum(f"__f{i}").cast("long").alias(f"__f{i}") for i in range(len(names))])
     both = materialize(cand_part.unionByName(total_part))
     tot = both.filter(F.col("__kind") == 1).first()
     rows = int(tot["__rows"] or 0)
     extra = {n: int(tot[f"__f{i}"] or 0) for i, n in enumerate(names)}
+    n_hashes = int(tot[HASH] or 0)      # the totals row carries the candidate count
     cand = both.filter(F.col("__kind") == 0).select(HASH)
-    n_hashes = cand.count()
     if n_hashes == 0:
         return DuplicateStats(rows, rows, extra, None, 0)
     keys = [col(c) for c in key_columns(df)]

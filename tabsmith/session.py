@@ -34,8 +34,6 @@ def local_session(cores: int | str = "*", partitions: int = 8,
         # wide one-pass aggregates (all statistics of an operator in one agg)
         # exceed the default 100 buffer fields and would lose whole-stage codegen
         .config("spark.sql.codegen.maxFields", "2000")
-        # checkpoints of intermediate tables are removed once unreferenced
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
