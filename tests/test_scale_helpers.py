@@ -128,3 +128,33 @@ def test_label_encode_paths_agree(spark, monkeypatch):
     assert small == dense
     values = sorted({("nan" if s is None else s) for _, s in rows})
     assert small[0] == values.index("nan")
+
+
+def test_unbroadcast_paths(spark, monkeypatch):
+    """With the broadcast bounds at zero every size-checked join takes its
+    shuffle path and the results stay the same."""
+    from tabsmith.operators import automl as ml
+    from tabsmith.sources import dataset as ds
+    nation = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    region = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    ref = {r["n_nationkey"]: r["region_name"]
+           for r in ds.decode_labels(nation, "n_regionkey", region, "r_regionkey", "r_name",
+                                     "region_name").collect()}
+    monkeypatch.setattr(ds, "BROADCAST_ROWS", 0)
+    got = {r["n_nationkey"]: r["region_name"]
+           for r in ds.decode_labels(nation, "n_regionkey", region, "r_regionkey", "r_name",
+                                     "region_name").collect()}
+    assert got == ref
+    df = spark.createDataFrame([(i, f"k{i % 5}") for i in range(100)], "i long, s string")
+    a = {r["i"]: r["s"] for r in ml.label_encode(df, ["s"]).collect()}
+    b = {r["i"]: r["s"] for r in ml.label_encode(df, ["s"], max_broadcast=0).collect()}
+    assert a == b
+    vals = np.arange(1000, dtype=float)
+    qdf = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    st = Q.column_stats(qdf, ["x"])
+    monkeypatch.setattr(Q, "BROADCAST_MAX", 0)
+    monkeypatch.setattr(Q, "FINAL_MAX", 10)
+    monkeypatch.setattr(Q, "BINS", 8)
+    got_q = Q.quantiles(qdf, ["x"], [0.3, 0.5], st)
+    assert got_q[("x", 0.5)] == float(np.quantile(vals, 0.5))
+    assert got_q[("x", 0.3)] == pytest.approx(float(np.quantile(vals, 0.3)))
