@@ -133,16 +133,23 @@ def order_statistics(long: DataFrame, requests: list[tuple], stats: dict) -> dic
             t.value, t.done = t.lo, True
         targets.append(t)
         keys.append(key)
+    stuck: set[int] = set()
     while True:
         pending = [t for t in targets if not t.done]
         if not pending:
             break
         small = [t for t in pending
-                 if t.n_in <= FINAL_MAX or (t.hi * 0.5 - t.lo * 0.5) / BINS == 0.0]
+                 if t.n_in <= FINAL_MAX or id(t) in stuck
+                 or not math.isfinite((t.hi * 0.5 - t.lo * 0.5) / BINS)
+                 or (t.hi * 0.5 - t.lo * 0.5) / BINS == 0.0]
         small_ids = {id(t) for t in small}
         large = [t for t in pending if id(t) not in small_ids]
         if large:
+            before = {id(t): (t.lo, t.hi, t.n_in) for t in large}
             _refine(long, large)
+            # a range that did not narrow (e.g. bounded by infinities) goes
+            # to the exact pick instead of looping
+            stuck |= {id(t) for t in large if not t.done and (t.lo, t.hi, t.n_in) == before[id(t)]}
         if small:
             _finish(long, small)
     for key, t in zip(keys, targets):

@@ -158,3 +158,14 @@ def test_unbroadcast_paths(spark, monkeypatch):
     got_q = Q.quantiles(qdf, ["x"], [0.3, 0.5], st)
     assert got_q[("x", 0.5)] == float(np.quantile(vals, 0.5))
     assert got_q[("x", 0.3)] == pytest.approx(float(np.quantile(vals, 0.3)))
+
+
+def test_quantiles_with_infinities(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FINAL_MAX", 5)
+    monkeypatch.setattr(Q, "BINS", 4)
+    vals = [float("-inf"), float("inf")] + [float(i) for i in range(40)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    st = Q.column_stats(df, ["x"])
+    got = Q.quantiles(df, ["x"], [0.0, 0.5, 1.0], st)
+    assert got[("x", 0.0)] == float("-inf") and got[("x", 1.0)] == float("inf")
+    assert got[("x", 0.5)] == float(np.quantile(np.array(vals), 0.5))
