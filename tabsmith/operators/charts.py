@@ -62,7 +62,10 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
 
 def bin_edges(lo: float, hi: float, bins: int) -> list[float]:
     """numpy's equal-width edges: linspace(lo, hi, bins + 1); a constant
-    range becomes (lo - 0.5, hi + 0.5)."""
+    range becomes (lo - 0.5, hi + 0.5). Like numpy, an infinite range is an
+    error."""
+    if not (math.isfinite(lo) and math.isfinite(hi)):
+        raise ValueError(f"autodetected range of [{lo}, {hi}] is not finite")
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     step = (hi - lo) / bins
