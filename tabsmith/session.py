@@ -34,6 +34,9 @@ def local_session(cores: int | str = "*", partitions: int = 8,
         # wide one-pass aggregates (all statistics of an operator in one agg)
         # exceed the default 100 buffer fields and would lose whole-stage codegen
         .config("spark.sql.codegen.maxFields", "2000")
+        # let AQE coalesce the partitions of cached plans (materialised
+        # intermediate tables are small next to the default shuffle width)
+        .config("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
