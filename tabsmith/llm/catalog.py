@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tabsmith.llm import line_dedup
+from tabsmith.llm import byte_bpe, fingerprints, line_dedup, packing, token_files
 
 
 def queries() -> dict:
     return {
+        "op5_packing": packing.op5_packing,
+        "op7_token_files": token_files.op7_token_files,
+        "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
