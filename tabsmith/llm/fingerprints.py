@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.store import documents, free_name
+from tabsmith.llm.store import documents, free_name, save
 
 SHINGLE = 5
 FRACTION = 16                   # one hash in so many is kept
@@ -115,6 +115,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Co
     last = F.max("block").over(Window.partitionBy())
     heads = heads.select(F.col("block").alias("of"), F.col("head.id").alias("head_id"), F.col("head.key").alias("head_key"),
                          F.coalesce(F.lag("block").over(order), last).alias("to"))
+    # saved, so that its size is known before the join: a small table is sent to the rows, not the rows to it
+    heads = save(heads, "fingerprint-heads")
     guests = (rows.join(heads, (F.col("block") == F.col("of")) & (F.coalesce("id", lowest) == F.col("head_id"))
                         & (F.col("key") == F.col("head_key")))
               .dropDuplicates(["of"])
