@@ -196,7 +196,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _document_batch(rows)
 
-    return files.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # by number, so that the few small rows of the manifest aren't put together into one task
+    return files.repartition(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _document_batch(rows) -> pa.RecordBatch:
