@@ -30,10 +30,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.llm.store import documents, free_name, ship
-from tabsmith.llm.units import byte_units, text_groups
+from tabsmith.llm.units import UnitCache, byte_units, text_groups
 
-#: Cached units per worker, and the longest unit that is cached: some 60 MB.
-CACHE_UNITS, CACHE_CHARS = 400_000, 48
+#: Rows that are handled, and handed on, together; units a worker caches (some 100 MB).
+OUT_ROWS, CACHE = 1000, 500_000
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class ByteDecoder:
+    """The bytes of each id of a rank file."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            lengths[rank] = len(token)
+        self.lengths = lengths
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
+        flat = bytearray(int(self.offsets[-1]))
+        for token, rank in ranks.items():
+            flat[self.offsets[rank]:self.offsets[rank] + len(token)] = token
+        self.flat = np.frombuffer(bytes(flat), np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        a = np.frombuffer(ids, "<u4").astype(np.int64)
+        if not len(a):
+            return b""
+        sizes = self.lengths[a]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1])) + np.repeat(self.offsets[a] - (ends - sizes), sizes)
+        return self.flat[at].tobytes()
 
 
 class RankQueue:
@@ -85,14 +115,14 @@ class RankQueue:
         return rank, parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-class ByteBpe:
-    """Encoder and decoder of one rank file."""
+class ByteBpe(UnitCache):
+    """Encoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         import regex
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.find = regex.compile(pattern).findall
+        super().__init__(byte_units, CACHE)
+        ranks = read_ranks(path)
+        self.matches = regex.compile(pattern).findall
         self.size = max(ranks.values()) + 1
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         pairs, early = {}, set()
@@ -112,16 +142,6 @@ class ByteBpe:
         self.table_key = np.full(1 << self.bits, -1, np.int64)
         self.table_rank = np.full(1 << self.bits, -1, np.int64)
         self._fill()
-        lengths = np.zeros(self.size, np.int64)
-        for token, rank in ranks.items():
-            lengths[rank] = len(token)
-        self.lengths = lengths
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        flat = bytearray(int(self.offsets[-1]))
-        for token, rank in ranks.items():
-            flat[self.offsets[rank]:self.offsets[rank] + len(token)] = token
-        self.flat = np.frombuffer(bytes(flat), np.uint8)
-        self.cache: dict[str, bytes] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -225,36 +245,15 @@ class ByteBpe:
         ends = np.cumsum(np.bincount(word[:n][alive], minlength=len(tokens)))
         return np.split(kept, ends[:-1])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        units = [byte_units(t) if t else [] for t in texts]
-        fresh: set[str] = set()
-        for u in units:
-            fresh.update(u)
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        cache = self.cache
-        new = [u for u in fresh if u not in cache]
-        matches = [self.find(u) for u in new]
-        distinct = list({m for ms in matches for m in ms})
+    def find(self, units: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each unit, from those of its pattern matches."""
+        matches = [self.matches(u) for u in units]
+        known = self.cache
+        distinct = list({m for ms in matches for m in ms if m not in known})
         ids = self.encode_pretokens([m.encode("utf-8", "surrogatepass") for m in distinct])
-        of = dict(zip(distinct, (x.astype("<u4").tobytes() for x in ids)))
-        for u, ms in zip(new, matches):
-            cache[u] = of[ms[0]] if len(ms) == 1 else b"".join([of[m] for m in ms])
-        out = [b"".join(map(cache.__getitem__, u)) for u in units]
-        for u in new:
-            if len(u) > CACHE_CHARS:
-                del cache[u]
-        return out
-
-    def decode(self, ids: bytes) -> bytes:
-        a = np.frombuffer(ids, "<u4").astype(np.int64)
-        if not len(a):
-            return b""
-        sizes = self.lengths[a]
-        ends = np.cumsum(sizes)
-        at = np.arange(int(ends[-1])) + np.repeat(self.offsets[a] - (ends - sizes), sizes)
-        return self.flat[at].tobytes()
+        new = dict(zip(distinct, (x.astype("<u4").tobytes() for x in ids)))
+        value = lambda m: new[m] if m in new else known[m]
+        return [value(ms[0]) if len(ms) == 1 else b"".join(map(value, ms)) for ms in matches]
 
 
 @lru_cache(maxsize=4)
@@ -263,6 +262,11 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@lru_cache(maxsize=4)
+def byte_decoder(path: str) -> ByteDecoder:
+    return ByteDecoder(path)
+
+
 def _with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, convert) -> DataFrame:
     if name in docs.columns:
         docs = docs.withColumnRenamed(name, free_name(docs.columns, name))
@@ -270,9 +274,11 @@ def _with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, conv
     arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
     def run(batches):
-        for b in batches:
-            made = pa.array(convert(b.column(at)), arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
+        for batch in batches:
+            for i in range(0, batch.num_rows, OUT_ROWS):
+                b = batch.slice(i, OUT_ROWS)
+                made = pa.array(convert(b.column(at)), arrow)
+                yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
@@ -284,18 +290,18 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "text",
     def convert(col):
         bpe = byte_bpe(ranks, pattern)
         texts = col.to_pylist()
-        return [ids for _, group in text_groups(texts, texts, 12 << 20) for ids in bpe.encode(group)]
+        return [ids for _, group in text_groups(texts, texts) for ids in bpe.encode(group)]
 
     return _with_column(docs, text_col, ids_col, T.BinaryType(), convert)
 
 
-def decode(tokens: DataFrame, ranks: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, ranks: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``tokens`` plus the bytes its ids stand for."""
     ship(tokens.sparkSession)
 
     def convert(col):
-        bpe = byte_bpe(ranks, pattern)
-        return [bpe.decode(x or b"") for x in col.to_pylist()]
+        decoder = byte_decoder(ranks)
+        return [decoder.decode(x or b"") for x in col.to_pylist()]
 
     return _with_column(tokens, ids_col, bytes_col, T.BinaryType(), convert)
 
@@ -304,6 +310,6 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern).drop("text")
-    return decode(ids, ranks, pattern).select(
+    return decode(ids, ranks).select(
         "doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
