@@ -196,7 +196,7 @@ def _candidates(num: int, den: int):
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
             yield from groups(cols, False, made, pivot_box := [pivot])
             pivot, held = pivot_box[0], pivot_box[1] if len(pivot_box) > 1 else None
-            if len(made) > 500_000:
+            if len(made) > 200_000:
                 yield flush(made)
         if held is not None:
             yield from groups(held, True, made, [pivot])
