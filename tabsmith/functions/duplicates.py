@@ -6,9 +6,9 @@ that traffic only proves uniqueness. Here:
 
 1. one scan computes a 64-bit hash of each row (``-0.0`` normalised to
    ``0.0`` so that equal rows hash equally) and ``groupBy(hash).count()``
-   with map-side partial aggregation -- 16 bytes per row cross the network;
-   row totals and per-row flag sums (missing counts) ride along in the same
-   aggregation and job;
+   with map-side partial aggregation -- 16 bytes per row cross the network,
+   however many columns there are (missing counts are a separate one-row
+   aggregate); row totals come from the same aggregation and job;
 2. rows whose hash occurs once are unique for certain; only rows whose hash
    repeats (true duplicates plus rare 64-bit collisions) are candidates; their
    hashes are materialised (small), semi-joined back (broadcast only below a
@@ -33,28 +33,53 @@ HASH = "__row_hash"
 BROADCAST_HASHES = 5_000_000
 
 
-def key_columns(df: DataFrame) -> list[str]:
-    """Columns that identify a row (maps cannot be compared, H8)."""
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+def _has_map(dt: T.DataType) -> bool:
+    if isinstance(dt, T.MapType):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return _has_map(dt.elementType)
+    return isinstance(dt, T.StructType) and any(_has_map(f.dataType) for f in dt.fields)
+
+
+def comparable(c: Column, dt: T.DataType) -> Column:
+    """``c`` in a form whose equality is the value's: maps (also nested ones) as
+    sorted arrays of entries, ``-0.0`` as ``0.0``."""
+    if isinstance(dt, FLOAT_TYPES):
+        return F.when(c == 0, F.lit(0.0).cast(dt)).otherwise(c)
+    if isinstance(dt, T.MapType):
+        entry = lambda e: F.struct(comparable(e["key"], dt.keyType).alias("key"),
+                                   comparable(e["value"], dt.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(c), entry))
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda e: comparable(e, dt.elementType))
+    if isinstance(dt, T.StructType):
+        made = F.struct(*[comparable(c.getField(f.name), f.dataType).alias(f.name) for f in dt.fields])
+        return F.when(c.isNotNull(), made)
+    return c
+
+
+def key_exprs(df: DataFrame) -> list[Column]:
+    """What identifies a row: its columns, those that hold maps in comparable form."""
+    return [(comparable(col(f.name), f.dataType) if _has_map(f.dataType) else col(f.name)).alias(f"__k{i}")
+            for i, f in enumerate(df.schema.fields)]
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """``df`` with each row once, whatever its column types."""
+    if not any(_has_map(f.dataType) for f in df.schema.fields):
+        return df.dropDuplicates()
+    keys = [f"__k{i}" for i in range(len(df.columns))]
+    return df.select(*[col(c) for c in df.columns], *key_exprs(df)).dropDuplicates(keys).drop(*keys)
 
 
 def row_hash(df: DataFrame) -> Column:
-    parts = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.MapType):
-            continue
-        c = col(f.name)
-        if isinstance(f.dataType, FLOAT_TYPES):
-            c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)   # -0.0 == 0.0
-        parts.append(c)
-    return F.xxhash64(*parts)
+    return F.xxhash64(*[comparable(col(f.name), f.dataType) for f in df.schema.fields])
 
 
 @dataclass
 class DuplicateStats:
     rows: int
     distinct: int
-    metrics: dict
     candidates: DataFrame | None       # materialised hashes that repeat (None: no duplicates)
     n_candidate_hashes: int
 
@@ -63,53 +88,40 @@ class DuplicateStats:
         return self.rows - self.distinct
 
 
-def duplicate_stats(df: DataFrame, flags: dict[str, Column] | None = None) -> DuplicateStats:
-    """Rows, distinct rows and per-row ``flags`` summed over the input (name
-    -> boolean/int expression, e.g. ``c.isNull()`` for missing counts).
+def duplicate_stats(df: DataFrame) -> DuplicateStats:
+    """Rows and distinct rows of the input.
 
-    One job scans the input once: ``groupBy(hash)`` (carrying the flag sums)
-    feeds both the repeated hashes and a one-row totals branch; the two
-    branches share the exchange, and both land in one small materialised
-    table. Only when some hash repeats does a second job read the candidate
-    rows (distinct = rows - candidate rows + distinct candidates). No
-    ``observe``: an observed session can no longer serialise Spark ML models
-    (their training summary references the session).
+    One job scans the input once: ``groupBy(hash)`` feeds both the repeated
+    hashes and a one-row totals branch; the two branches share the exchange,
+    and both land in one small materialised table. Only the hash and its count
+    travel, however many columns there are. Only when some hash repeats does a
+    second job read the candidate rows (distinct = rows - candidate rows +
+    distinct candidates). No ``observe``: an observed session can no longer
+    serialise Spark ML models (their training summary references the session).
     """
-    flags = flags or {}
-    names = list(flags)
-    grouped = (df.select(row_hash(df).alias(HASH),
-                         *[F.coalesce(e.cast("long"), F.lit(0)).alias(f"__f{i}")
-                           for i, e in enumerate(flags.values())])
-                 .groupBy(HASH)
-                 .agg(F.count(F.lit(1)).alias("__n"),
-                      *[F.sum(f"__f{i}").alias(f"__f{i}") for i in range(len(names))]))
-    # the candidate branch keeps every aggregate column so that both branches
-    # share one identical exchange (column pruning would otherwise split them)
+    grouped = df.select(row_hash(df).alias(HASH)).groupBy(HASH).agg(F.count(F.lit(1)).alias("__n"))
     cand_part = grouped.filter(F.col("__n") > 1).select(
-        F.lit(0).alias("__kind"), HASH, F.col("__n").cast("long").alias("__rows"),
-        *[F.col(f"__f{i}").cast("long").alias(f"__f{i}") for i in range(len(names))])
+        F.lit(0).alias("__kind"), HASH, F.col("__n").cast("long").alias("__rows"))
     total_part = grouped.agg(
         F.lit(1).alias("__kind"), F.count_if(F.col("__n") > 1).cast("long").alias(HASH),
-        F.sum("__n").cast("long").alias("__rows"),
-        *[F.sum(f"__f{i}").cast("long").alias(f"__f{i}") for i in range(len(names))])
+        F.sum("__n").cast("long").alias("__rows"))
     both = materialize(cand_part.unionByName(total_part))
     tot = both.filter(F.col("__kind") == 1).first()
     rows = int(tot["__rows"] or 0)
-    extra = {n: int(tot[f"__f{i}"] or 0) for i, n in enumerate(names)}
     n_hashes = int(tot[HASH] or 0)      # the totals row carries the candidate count
     cand = both.filter(F.col("__kind") == 0).select(HASH)
     if n_hashes == 0:
-        return DuplicateStats(rows, rows, extra, None, 0)
-    keys = [col(c) for c in key_columns(df)]
+        return DuplicateStats(rows, rows, None, 0)
+    keys = key_exprs(df)
     if n_hashes > BROADCAST_HASHES:
         # many duplicates: a shuffle semi-join would move every row anyway,
         # so one direct distinct (partial aggregation first) is cheaper
-        return DuplicateStats(rows, df.select(*keys).distinct().count(), extra, cand, n_hashes)
-    per_row = (candidate_rows(df, cand, n_hashes).groupBy(*keys)
+        return DuplicateStats(rows, df.select(*keys).distinct().count(), cand, n_hashes)
+    per_row = (candidate_rows(df, cand, n_hashes).select(*keys).groupBy(*[f"__k{i}" for i in range(len(keys))])
                .agg(F.count(F.lit(1)).alias("__c")))
     got = per_row.agg(F.sum("__c").alias("rows"), F.count(F.lit(1)).alias("distinct")).first()
     distinct = rows - int(got["rows"] or 0) + int(got["distinct"] or 0)
-    return DuplicateStats(rows, distinct, extra, cand, n_hashes)
+    return DuplicateStats(rows, distinct, cand, n_hashes)
 
 
 def candidate_rows(df: DataFrame, cand: DataFrame, n_hashes: int, keep: str = "left_semi"):
@@ -125,10 +137,8 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     st = duplicate_stats(df)
     if st.candidates is None:
         return df
-    keys = key_columns(df)
     if st.n_candidate_hashes > BROADCAST_HASHES:
-        return df.dropDuplicates(keys) if len(keys) < len(df.columns) else df.dropDuplicates()
+        return distinct_rows(df)
     unique = candidate_rows(df, st.candidates, st.n_candidate_hashes, "left_anti")
     dups = candidate_rows(df, st.candidates, st.n_candidate_hashes, "left_semi")
-    dedup = dups.dropDuplicates(keys) if len(keys) < len(df.columns) else dups.dropDuplicates()
-    return unique.unionByName(dedup)
+    return unique.unionByName(distinct_rows(dups))

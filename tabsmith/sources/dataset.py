@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import col, columns_info
+from tabsmith.functions.duplicates import key_exprs
 from tabsmith.session import scratch_path
 from tabsmith.sources.csv import labels_frame
 
-BROADCAST_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Dataset:
@@ -41,34 +40,32 @@ def save_version(ds: Dataset, new_df: DataFrame, root: str | None = None) -> Dat
 
 def frames_differ(a: DataFrame, b: DataFrame) -> DataFrame:
     """IO11: multiset comparison -- one row (differs, rows_a, rows_b,
-    only_in_a, only_in_b). ``exceptAll`` is a shuffle on the whole row with
-    counts; a schema mismatch alone already means different."""
+    only_in_a, only_in_b), in one shuffle; a schema mismatch alone already
+    means different."""
     if [f.dataType for f in a.schema] != [f.dataType for f in b.schema] or a.columns != b.columns:
         na, nb = a.count(), b.count()
         return a.sparkSession.createDataFrame([(True, na, nb, na, nb)],
                                               "differs boolean, rows_a bigint, rows_b bigint, "
                                               "only_in_a bigint, only_in_b bigint")
-    only_a = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("a"))
-    only_b = b.exceptAll(a).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("b"))
-    ra = a.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("ra"))
-    rb = b.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("rb"))
-    parts = only_a.unionByName(only_b).unionByName(ra).unionByName(rb)
-
-    def pick(k):
-        return F.max(F.when(F.col("k") == k, F.col("n"))).cast("bigint")
-    return parts.agg((pick("a") + pick("b") > 0).alias("differs"), pick("ra").alias("rows_a"),
-                     pick("rb").alias("rows_b"), pick("a").alias("only_in_a"),
-                     pick("b").alias("only_in_b"))
+    # one pass: each distinct row's count in a less its count in b, pre-aggregated
+    # before the one shuffle; maps are compared by their entries
+    def side(df, na, nb):
+        return df.select(*key_exprs(df), F.lit(na).cast("bigint").alias("na"), F.lit(nb).cast("bigint").alias("nb"))
+    both = side(a, 1, 0).unionByName(side(b, 0, 1))
+    d = both.groupBy(*[f"__k{i}" for i in range(len(a.columns))]).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    zero = F.lit(0).cast("bigint")
+    def total(c):
+        return F.coalesce(F.sum(c), zero)
+    return d.agg((total(F.abs(F.col("na") - F.col("nb"))) > 0).alias("differs"), total("na").alias("rows_a"),
+                 total("nb").alias("rows_b"), total(F.greatest(F.col("na") - F.col("nb"), zero)).alias("only_in_a"),
+                 total(F.greatest(F.col("nb") - F.col("na"), zero)).alias("only_in_b"))
 
 
 def decode_labels(df: DataFrame, code_col: str, labels: DataFrame, label_code: str,
                   label_name: str, out: str | None = None) -> DataFrame:
     """IO6: add the name of each code from a label table (left join). The
-    label table is broadcast only after its row count is checked."""
+    optimizer broadcasts the label table when its bytes are few."""
     lab = labels.select(col(label_code).alias("__code"), col(label_name).alias(out or label_name))
-    n = lab.count()
-    if n <= BROADCAST_ROWS:
-        lab = F.broadcast(lab)
     return df.join(lab, col(code_col) == F.col("__code"), "left").drop("__code")
 
 
