@@ -9,7 +9,9 @@ NULL (pandas gives NaN there).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import as_double
@@ -25,3 +27,55 @@ def pair_corr(a: str, b: str) -> Column:
 def pair_corr_aggs(pairs: list[tuple[str, str]]) -> list[Column]:
     """One aggregate expression per pair, aliased r0, r1, ..."""
     return [pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+
+
+#: At most so many pairs are taken as aggregate expressions of one pass.
+AGGREGATE_PAIRS = 24
+
+
+def matrix_corr(df: DataFrame, names: list[str], centres: list[float | None]) -> dict[tuple[int, int], float | None]:
+    """r of all pairs i < j of many columns, pairwise deletion, in one pass.
+
+    Each task multiplies its batches as matrices of values less ``centres``
+    (0 where missing) and of presence, which gives every pair's count, sums,
+    squares and products at once; the tasks' sums meet in one aggregate. The
+    driver gets one row a pair, a number of rows set by the columns alone."""
+    k = len(names)
+    about = [c if c is not None and math.isfinite(c) else 0.0 for c in centres]
+
+    def partial(batches):
+        import numpy as np
+        import pyarrow as pa
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
+            here = ~np.isnan(x)
+            x = np.where(here, x - np.array(about), 0.0)
+            m = here.astype(float)
+            with np.errstate(invalid="ignore", over="ignore"):
+                n += m.T @ m
+                s += x.T @ m            # [i, j]: the sum of column i where j is there too
+                q += (x * x).T @ m
+                p += x.T @ x
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_pydict({
+            "i": i.astype(np.int32), "j": j.astype(np.int32), "n": n[i, j], "si": s[i, j], "sj": s[j, i],
+            "qi": q[i, j], "qj": q[j, i], "p": p[i, j]})
+
+    fields = ("n", "si", "sj", "qi", "qj", "p")
+    sums = (df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(names)])
+            .mapInArrow(partial, "i int, j int, " + ", ".join(f"{f} double" for f in fields))
+            .groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields]).collect())
+    return {(r.i, r.j): _pearson(r.n, r.si, r.sj, r.qi, r.qj, r.p) for r in sums}
+
+
+def _pearson(n: float, si: float, sj: float, qi: float, qj: float, p: float) -> float | None:
+    if n < 2:
+        return None
+    vi, vj, c = qi - si * si / n, qj - sj * sj / n, p - si * sj / n
+    # a spread within rounding of the sums it is the difference of is a constant column
+    if not (vi > 1e-14 * qi and vj > 1e-14 * qj):
+        return None
+    return c / math.sqrt(vi * vj)

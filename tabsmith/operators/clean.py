@@ -20,7 +20,7 @@ from tabsmith.functions.columns import (CATEGORICAL, INTEGRAL_TYPES, NUMERIC, as
                                         columns_info)
 from tabsmith.functions.quantiles import quantiles
 from tabsmith.functions.duplicates import drop_duplicate_rows, duplicate_stats
-from tabsmith.operators.profile import value_counts
+from tabsmith.operators.profile import AGG_FIELDS, chunks, value_counts
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -33,9 +33,9 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """CL1: drop repeated rows (NULL equals NULL; map columns are not part of
-    the key, H8). Rows whose hash is unique pass through without a shuffle;
-    only candidate rows go through ``dropDuplicates``."""
+    """CL1: drop repeated rows (NULL equals NULL; maps are equal when their
+    entries are, in any order). Rows whose hash is unique pass through without
+    a shuffle; only candidate rows go through ``dropDuplicates``."""
     return drop_duplicate_rows(df)
 
 
@@ -144,18 +144,25 @@ def _keep(name: str, mean, std, z: float) -> Column | None:
     return F.coalesce(F.abs((as_double(name) - F.lit(mean)) / F.lit(std)) < F.lit(z), F.lit(False))
 
 
-def _moments(df: DataFrame, names: list[str], cond: Column | None = None) -> dict:
-    if not names:
-        return {}
+#: Columns whose statistics are taken in one pass: each has a mean and a standard
+#: deviation, plain or under a filter, and a count (6 buffer fields).
+PASS_COLUMNS = AGG_FIELDS // 6
+
+
+def _moment_aggs(names: list[str], tag: str, cond: Column | None = None) -> list[Column]:
     aggs = []
     for i, n in enumerate(names):
         x = as_double(n) if cond is None else F.when(cond, as_double(n))
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    row = df.agg(*aggs).collect()[0]
-    return {n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(names)}
+        aggs += [F.avg(x).alias(f"{tag}m{i}"), F.stddev_samp(x).alias(f"{tag}s{i}")]
+    return aggs
 
 
-MAX_AGGS_PER_PASS = 400
+def _moments(df: DataFrame, names: list[str]) -> dict:
+    out = {}
+    for part in chunks(names, PASS_COLUMNS):
+        row = df.agg(*_moment_aggs(part, "")).first()
+        out.update({n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(part)})
+    return out
 
 
 def outlier_plan(df: DataFrame, z: float = 3.0) -> tuple[Column, list[OutlierStep]]:
@@ -164,52 +171,40 @@ def outlier_plan(df: DataFrame, z: float = 3.0) -> tuple[Column, list[OutlierSte
     The reference processes numeric columns in order, each with the mean and
     std of the rows still left. A column whose test removes nothing leaves
     the rows (and so every later statistic) unchanged, so one pass over the
-    surviving rows counts the violators of every remaining column and, for
-    the first few candidates, the statistics of the later columns under that
-    candidate's filter. Passes = columns that really remove rows + 2. The
-    statistics become literals in a single predicate over the input.
+    surviving rows counts the violators of the next PASS_COLUMNS columns and
+    takes the statistics that the columns behind the first of them would have
+    under its filter. A column that removes rows costs one pass, or two if the
+    columns before it in the window remove none. The statistics become literals
+    in a single predicate over the input.
     """
     names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
     steps: list[OutlierStep] = []
     pred = F.lit(True)
-    stats = _moments(df, names)
+    stats: dict = {}                    # of the next columns, under ``pred``
     p = 0
     while p < len(names):
-        rest = names[p:]
         cur = df.filter(pred)
-        keeps = {n: _keep(n, *stats[n], z) for n in rest}
-        aggs = []
-        for i, n in enumerate(rest):
-            k = keeps[n]
-            aggs.append((F.count_if(~k) if k is not None else F.lit(0)).alias(f"v{i}"))
-        per_cand = max(1, 2 * (len(rest) - 1))
-        window = max(1, MAX_AGGS_PER_PASS // per_cand)
-        cond_names = {}
-        for i, n in enumerate(rest[:window]):
-            k = keeps[n]
-            if k is None:
-                continue
-            for j, m in enumerate(rest[i + 1:], start=i + 1):
-                x = F.when(k, as_double(m))
-                aggs += [F.avg(x).alias(f"cm{i}_{j}"), F.stddev_samp(x).alias(f"cs{i}_{j}")]
-            cond_names[i] = True
-        row = cur.agg(*aggs).collect()[0]
-        first = next((i for i in range(len(rest)) if row[f"v{i}"] > 0), None)
+        if not stats:
+            stats = _moments(cur, names[p:p + PASS_COLUMNS])
+        window = [n for n in names[p:p + PASS_COLUMNS] if n in stats]
+        keeps = [_keep(n, *stats[n], z) for n in window]
+        later = names[p + 1:p + PASS_COLUMNS]
+        aggs = [(F.count_if(~k) if k is not None else F.lit(0)).alias(f"v{i}") for i, k in enumerate(keeps)]
+        if keeps[0] is not None:
+            aggs += _moment_aggs(later, "c", keeps[0])
+        row = cur.agg(*aggs).first()
+        first = next((i for i in range(len(window)) if row[f"v{i}"] > 0), None)
+        passed = window if first is None else window[:first]
+        steps += [OutlierStep(n, *stats[n], 0) for n in passed]
         if first is None:
-            steps += [OutlierStep(n, *stats[n], 0) for n in rest]
-            break
-        for n in rest[:first]:
-            steps.append(OutlierStep(n, *stats[n], 0))
-        n = rest[first]
+            p += len(window)
+            stats = {}
+            continue
+        n = window[first]
         steps.append(OutlierStep(n, *stats[n], int(row[f"v{first}"])))
-        pred = pred & keeps[n]
-        later = rest[first + 1:]
-        if first in cond_names:
-            for j, m in enumerate(later, start=first + 1):
-                stats[m] = (row[f"cm{first}_{j}"], row[f"cs{first}_{j}"])
-        else:
-            stats.update(_moments(df.filter(pred), later))
+        pred = pred & keeps[first]
         p += first + 1
+        stats = {} if first else {m: (row[f"cm{i}"], row[f"cs{i}"]) for i, m in enumerate(later)}
     return pred, steps
 
 
@@ -248,8 +243,9 @@ def cleaning_report(df: DataFrame) -> DataFrame:
 
 
 def _side_counts(df: DataFrame, side: int, names: list[str]) -> DataFrame:
-    miss = [F.count_if(col(n).isNull()) for n in names]
-    total = reduce(lambda a, b: a + b, miss) if miss else F.lit(0)
+    # the missing cells of a row are one sum, so that one count serves any number of columns
+    cells = reduce(lambda a, b: a + b, [col(n).isNull().cast("int") for n in names], F.lit(0))
+    total = F.coalesce(F.sum(cells), F.lit(0))
     return df.agg(F.lit(side).alias("side"), F.count(F.lit(1)).cast("bigint").alias("rows"),
                   total.cast("bigint").alias("missing"))
 

@@ -17,12 +17,20 @@ from pyspark.sql import types as T
 
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, columns_info,
                                         pct, rows_from_structs)
-from tabsmith.functions.correlation import pair_corr_aggs
+from tabsmith.functions.correlation import AGGREGATE_PAIRS, matrix_corr, pair_corr_aggs
 from tabsmith.functions.duplicates import duplicate_stats
 from tabsmith.functions.quantiles import quantiles
 from tabsmith.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
+#: Buffer fields of one aggregate pass (a count has 1, a mean 2, a standard
+#: deviation 3). Wide tables take several passes, so that each stays within
+#: whole-stage code generation.
+AGG_FIELDS = 96
+
+
+def chunks(items: list, size: int) -> list[list]:
+    return [items[i:i + size] for i in range(0, len(items), size)]
 
 
 def missing_aggs(df: DataFrame) -> list[Column]:
@@ -30,14 +38,22 @@ def missing_aggs(df: DataFrame) -> list[Column]:
             for c in columns_info(df)]
 
 
+def missing_counts(df: DataFrame) -> dict[int, int]:
+    """Missing cells by column ordinal: one-row aggregates, AGG_FIELDS columns at a time."""
+    out: dict[int, int] = {}
+    for part in chunks(missing_aggs(df), AGG_FIELDS):
+        out.update({int(k.removeprefix("miss_")): v for k, v in df.agg(*part).first().asDict().items()})
+    return out
+
+
 def table_counts(df: DataFrame) -> DataFrame:
     """One row: rows, duplicate rows and missing count per column
-    (``miss_<ordinal>``), from the hash-based duplicate pass (only rows whose
-    hash repeats are shuffled in full) with the missing counts observed in
-    the same scan."""
+    (``miss_<ordinal>``). The hash-based duplicate pass shuffles a hash and a
+    count per row; the missing counts are a one-row aggregate beside it."""
     info = columns_info(df)
-    st = duplicate_stats(df, {f"miss_{c.ordinal}": col(c.name).isNull() for c in info})
-    values = [st.rows, st.duplicates] + [int(st.metrics[f"miss_{c.ordinal}"] or 0) for c in info]
+    st = duplicate_stats(df)
+    miss = missing_counts(df)
+    values = [st.rows, st.duplicates] + [miss[c.ordinal] for c in info]
     schema = "rows bigint, dups bigint" + "".join(f", miss_{c.ordinal} bigint" for c in info)
     return df.sparkSession.createDataFrame([tuple(values)], schema)
 
@@ -69,25 +85,26 @@ DESCRIBE_SCHEMA = T.StructType([
 
 
 def numeric_moments(df: DataFrame, names: list[str], approx: bool = False) -> dict:
-    """One aggregate: count, mean, sample std, min, max (and approximate
-    quartiles when ``approx``) per column -> {name: dict}."""
-    aggs = []
-    for i, n in enumerate(names):
-        x = as_double(n)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}")]
-        if approx:
-            aggs.append(F.percentile_approx(x, list(QUARTILES), 10000).alias(f"q{i}"))
-    row = df.agg(*aggs).collect()[0]
+    """Count, mean, sample std, min, max (and approximate quartiles when
+    ``approx``) per column -> {name: dict}; one aggregate for some ten columns."""
     out = {}
-    for i, n in enumerate(names):
-        d = {"count": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"],
-             "min": row[f"lo{i}"], "max": row[f"hi{i}"]}
-        if approx:
-            qs = row[f"q{i}"] or [None] * len(QUARTILES)
-            d.update({p: v for p, v in zip(QUARTILES, qs)})
-        out[n] = d
+    for part in chunks(names, AGG_FIELDS // 9):
+        aggs = []
+        for i, n in enumerate(part):
+            x = as_double(n)
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
+                     F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
+                     F.max(x).alias(f"hi{i}")]
+            if approx:
+                aggs.append(F.percentile_approx(x, list(QUARTILES), 10000).alias(f"q{i}"))
+        row = df.agg(*aggs).collect()[0]
+        for i, n in enumerate(part):
+            d = {"count": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"],
+                 "min": row[f"lo{i}"], "max": row[f"hi{i}"]}
+            if approx:
+                qs = row[f"q{i}"] or [None] * len(QUARTILES)
+                d.update({p: v for p, v in zip(QUARTILES, qs)})
+            out[n] = d
     return out
 
 
@@ -181,11 +198,12 @@ def describe_all(df: DataFrame, digits: int = 4) -> DataFrame:
                             "mean", "std", "min", "p25", "p50", "p75", "max"))
     if text_cols:
         counts = value_counts(df, [c.name for c in text_cols])
-        per_col = counts.groupBy("ordinal", "column").agg(
+        # one row a column; read by two branches, so computed once
+        per_col = materialize(counts.groupBy("ordinal", "column").agg(
             F.sum("count").cast("bigint").alias("count"),
             F.count(F.lit(1)).cast("bigint").alias("unique"),
             # highest count, then smallest value: min over (-count, value)
-            F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v"))).alias("best"))
+            F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v"))).alias("best")))
         nulls = [F.lit(None).cast("double").alias(n)
                  for n in ("mean", "std", "min", "p25", "p50", "p75", "max")]
         parts.append(per_col.select("ordinal", "column", "count", "unique",
@@ -202,14 +220,26 @@ def describe_all(df: DataFrame, digits: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def correlation_long(df: DataFrame, absolute: bool = False) -> DataFrame:
-    """All numeric pairs i<j: (i, j, col_x, col_y, r, abs_r), one aggregate."""
+PAIR_SCHEMA = "i bigint, j bigint, col_x string, col_y string, r double, abs_r double"
+
+
+def correlation_long(df: DataFrame) -> DataFrame:
+    """All numeric pairs i<j: (i, j, col_x, col_y, r, abs_r), in one pass.
+
+    Few pairs are aggregate expressions of one pass; more (several hundred
+    expressions would leave code generation, or take many scans) come from the
+    pairwise matrix sums of ``functions.correlation``."""
     names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
     if len(names) < 2:
-        return df.sparkSession.createDataFrame(
-            [], "i bigint, j bigint, col_x string, col_y string, r double, abs_r double")
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     pairs = [(i + 1, j + 1, a, b) for i, a in enumerate(names)
              for j, b in enumerate(names) if i < j]
+    if len(pairs) > AGGREGATE_PAIRS:
+        means = numeric_moments(df, names)
+        r = matrix_corr(df, names, [means[n]["mean"] for n in names])
+        place = {(i - 1, j - 1): (i, j, a, b) for i, j, a, b in pairs}
+        rows = [(*place[k], r.get(k), None if r.get(k) is None else abs(r[k])) for k in place]
+        return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
     one = df.agg(*pair_corr_aggs([(a, b) for _, _, a, b in pairs]))
     return rows_from_structs(one, [
         F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"),

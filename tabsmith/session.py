@@ -31,9 +31,6 @@ def local_session(cores: int | str = "*", partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TABSMITH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # wide one-pass aggregates (all statistics of an operator in one agg)
-        # exceed the default 100 buffer fields and would lose whole-stage codegen
-        .config("spark.sql.codegen.maxFields", "2000")
         # let AQE coalesce the partitions of cached plans (materialised
         # intermediate tables are small next to the default shuffle width)
         .config("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
@@ -55,8 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
     if not path and allow_local:
         path = tempfile.mkdtemp(prefix="tabsmith-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if path:
-        spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    if path and getattr(sc, "_tabsmith_checkpoints", None) != path:
+        sc.setCheckpointDir(path)           # makes a subfolder, so once a context
+        sc._tabsmith_checkpoints = path
     return path or None
 
 
