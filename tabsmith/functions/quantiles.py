@@ -116,6 +116,22 @@ def _finish(long: DataFrame, targets: list[_Target]) -> None:
         t.value, t.done = float(row["x"]), True
 
 
+def _infinities(long: DataFrame, series: dict) -> dict:
+    """(g, cid) -> (values at -inf, values at +inf, least and greatest finite value)
+    of the series whose range is infinite; the selection runs on the finite rest."""
+    if not series:
+        return {}
+    wanted = long.sparkSession.createDataFrame(list(series), "g string, cid int")
+    if len(series) <= BROADCAST_MAX:
+        wanted = F.broadcast(wanted)
+    low, high = F.col("x") == F.lit(-math.inf), F.col("x") == F.lit(math.inf)
+    finite = F.when(~low & ~high, F.col("x"))
+    rows = (long.join(wanted, ["g", "cid"]).groupBy("g", "cid")
+                .agg(F.count_if(low).alias("below"), F.count_if(high).alias("above"),
+                     F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect())
+    return {(r["g"], r["cid"]): (r["below"], r["above"], r["lo"], r["hi"]) for r in rows}
+
+
 def order_statistics(long: DataFrame, requests: list[tuple], stats: dict) -> dict:
     """Exact k-th smallest values of series in a long frame.
 
@@ -123,11 +139,19 @@ def order_statistics(long: DataFrame, requests: list[tuple], stats: dict) -> dic
     (g, cid) -> (n_non_null, min, max). Returns key -> float or None.
     """
     targets, keys, out = [], [], {}
+    infinite = _infinities(long, {s: v for s, v in stats.items()
+                                  if v[0] and not (math.isfinite(v[1]) and math.isfinite(v[2]))})
     for key, series, rank in requests:
         n, lo, hi = stats.get(series, (0, None, None))
         if not n or rank < 0 or rank >= n:
             out[key] = None
             continue
+        if series in infinite:
+            below, above, lo, hi = infinite[series]
+            if rank < below or rank >= n - above:
+                out[key] = -math.inf if rank < below else math.inf
+                continue
+            n, rank = n - below - above, rank - below
         t = _Target(series[0], series[1], int(rank), float(lo), float(hi), int(n))
         if t.lo == t.hi:
             t.value, t.done = t.lo, True

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, columns_info,
                                         rows_from_structs)
-from tabsmith.functions.correlation import pair_corr
 from tabsmith.functions.quantiles import (BROADCAST_MAX, column_stats, grouped_quantiles_frame,
                                           long_values, quantiles)
+from tabsmith.operators.profile import correlation_long, numeric_moments
+from tabsmith.session import materialize
 
 
 def _numeric(df: DataFrame, columns: list[str] | None = None) -> list[tuple[int, str]]:
@@ -37,25 +38,20 @@ def first_categorical(df: DataFrame) -> str | None:
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """VZ1: signed Pearson matrix incl. the diagonal (1.0, NULL when constant),
-    pairwise deletion; one aggregate, mirrored on the driver-free side."""
+    pairwise deletion; the pairs of AN4, mirrored, and the spread of each column."""
     cols = _numeric(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame(
             [], "i bigint, j bigint, col_x string, col_y string, r double")
     names = [n for _, n in cols]
-    aggs, cells = [], []
-    for a in range(len(names)):
-        sd = F.stddev_samp(as_double(names[a]))
-        aggs.append(F.when(sd > 0, F.lit(1.0)).alias(f"d{a}"))
-        cells.append((a, a, f"d{a}"))
-        for b in range(a + 1, len(names)):
-            aggs.append(pair_corr(names[a], names[b]).alias(f"r{a}_{b}"))
-            cells += [(a, b, f"r{a}_{b}"), (b, a, f"r{a}_{b}")]
-    one = df.agg(*aggs)
-    return rows_from_structs(one, [
-        F.struct(F.lit(a + 1).cast("bigint").alias("i"), F.lit(b + 1).cast("bigint").alias("j"),
-                 F.lit(names[a]).alias("col_x"), F.lit(names[b]).alias("col_y"),
-                 F.col(ref).alias("r")) for a, b, ref in cells])
+    pairs = correlation_long(df).select("i", "j", "col_x", "col_y", "r")
+    mirrored = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("col_y").alias("col_x"),
+                            F.col("col_x").alias("col_y"), "r")
+    moments = numeric_moments(df, names)
+    diagonal = df.sparkSession.createDataFrame(
+        [(k + 1, k + 1, n, n, 1.0 if (moments[n]["std"] or 0) > 0 else None) for k, n in enumerate(names)],
+        "i bigint, j bigint, col_x string, col_y string, r double")
+    return pairs.unionByName(mirrored).unionByName(diagonal)
 
 
 # -------------------------------------------------------------- histogram
@@ -166,28 +162,20 @@ def kde(df: DataFrame, columns: list[str] | None = None, points: int = 50,
     and sums the kernels over bin means weighted by counts: B x points kernel
     evaluations per series instead of n x points.
     """
-    spark = df.sparkSession
     names = [n for _, n in _numeric(df, columns)]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, group string, point bigint, x double, density double")
     long = long_values(df, names, by)
-    params = (long.groupBy("g", "cid")
-                  .agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-                       F.min("x").alias("lo"), F.max("x").alias("hi")))
-    rows = params.limit(BROADCAST_MAX + 1).collect()
-    if len(rows) > BROADCAST_MAX:
-        raise ValueError("too many (column, group) series for a KDE table")
-    prow = []
-    for r in rows:
-        if r["sd"] is None or r["sd"] == 0:
-            continue  # scipy cannot form a KDE of fewer than two distinct values
-        h = r["sd"] * r["n"] ** (-1.0 / 5.0)
-        step = (r["hi"] - r["lo"]) / (points - 1) if points > 1 else 0.0
-        prow.append((r["g"], r["cid"], r["n"], h, r["lo"], r["hi"], step))
-    schema = ("point bigint, x double, density double, column string, group string")
-    if not prow:
-        return spark.createDataFrame([], schema).select("column", "group", "point", "x", "density")
-    pdf = F.broadcast(spark.createDataFrame(
-        prow, "g string, cid int, n long, h double, lo double, hi double, step double"))
-    j = long.join(pdf, ["g", "cid"])
+    # one row a series, kept as a table however many series there are; scipy
+    # cannot form a KDE of fewer than two distinct values
+    params = materialize(
+        long.groupBy("g", "cid")
+            .agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
+                 F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .filter(F.col("sd").isNotNull() & (F.col("sd") != 0))
+            .select("g", "cid", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"), "lo", "hi",
+                    ((F.col("hi") - F.col("lo")) / (points - 1) if points > 1 else F.lit(0.0)).alias("step")))
+    j = long.join(F.broadcast(params) if params.count() <= BROADCAST_MAX else params, ["g", "cid"])
     weight = F.lit(1.0)
     if prebin:
         b = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
