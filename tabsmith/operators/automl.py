@@ -27,10 +27,9 @@ from tabsmith.functions.ranking import dense_codes
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MAX_CLASSES_DISCRETE = 20     # nunique <= 20 -> classification
-MAX_CLASSES = 100             # guard for classifiers
 TRAIN_PCT = 80
 FOREST_TREES = 100
-FOREST_DEPTH = 10             # Spark caps depth at 30; unlimited depth is not available
+FOREST_DEPTH = 10             # default of auto_train(forest_depth=); Spark allows up to 30
 LOGISTIC_MAX_ITER = 1000
 CV_FOLDS = 3
 SEED = 42
@@ -84,7 +83,29 @@ def detect_task_type(df: DataFrame, target: str) -> DataFrame:
 
 
 def task_of(df: DataFrame, target: str) -> str:
-    return detect_task_type(df, target).select("task").first()["task"]
+    """The task alone: whether there are more than 20 distinct values takes no
+    count of them all (a bounded ``distinct().limit``)."""
+    if column_class(df.schema[target].dataType) == CATEGORICAL:
+        return CLASSIFICATION
+    some = (df.select(col(target)).filter(col(target).isNotNull()).distinct()
+              .limit(MAX_CLASSES_DISCRETE + 1).count())
+    return CLASSIFICATION if some <= MAX_CLASSES_DISCRETE else REGRESSION
+
+
+def class_values(df: DataFrame, target: str) -> list:
+    """The classes of a classification target in label order (text order for
+    categories, numeric order for numbers). They are part of the model, which
+    holds coefficients or leaf counts for each of them anyway."""
+    if column_class(df.schema[target].dataType) == CATEGORICAL:
+        return [r["value"] for r in label_codes(df, target).orderBy("code").collect()]
+    return sorted(r[0] for r in df.select(as_double(target)).distinct().collect())
+
+
+def index_label(df: DataFrame, target: str, classes: list) -> DataFrame:
+    """A numeric classification target replaced by its place among ``classes``
+    (0 to k - 1), as the classifiers want it."""
+    code = F.create_map(*[F.lit(x) for i, v in enumerate(classes) for x in (float(v), float(i))])
+    return df.withColumn(target, F.element_at(code, as_double(target)))
 
 
 def drop_unlabelled(df: DataFrame, target: str) -> DataFrame:
@@ -112,17 +133,14 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return dense_codes(values, "value")
 
 
-def label_encode(df: DataFrame, columns: list[str], max_broadcast: int = 1_000_000) -> DataFrame:
-    """ML4: each listed column replaced by its code (bigint). The code table
-    is broadcast only when its size (known from the coding job) is below
-    ``max_broadcast``; otherwise a shuffle join (AQE splits skewed values)."""
+def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
+    """ML4: each listed column replaced by its code (bigint). The optimizer
+    broadcasts a code table whose bytes are few; otherwise a shuffle join
+    (AQE splits skewed values)."""
     out = df
     for c in columns:
-        codes = label_codes(df, c)
-        n = codes.count()
-        codes = codes.withColumnRenamed("value", "__v").withColumnRenamed("code", "__code")
-        if n <= max_broadcast:
-            codes = F.broadcast(codes)
+        codes = (label_codes(df, c).withColumnRenamed("value", "__v")
+                 .withColumnRenamed("code", "__code"))
         key = F.coalesce(col(c).cast("string"), F.lit("nan"))
         out = (out.withColumn("__v", key).join(codes, "__v", "left")
                   .withColumn(c, F.col("__code")).drop("__v", "__code"))
@@ -240,19 +258,19 @@ def _assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
                                    *[c for c in df.columns if c.startswith("__")])
 
 
-def make_estimator(name: str, n_train: int):
+def make_estimator(name: str, n_train: int, forest_depth: int = FOREST_DEPTH):
     """ML9-ML12: the four estimators with the reference's settings."""
     if name == "Logistic Regression":
         return LogisticRegression(maxIter=LOGISTIC_MAX_ITER, regParam=1.0 / max(1, n_train),
                                   elasticNetParam=0.0, standardization=False)
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
-                                      featureSubsetStrategy="sqrt", maxBins=MAX_CLASSES + 28,
+        return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED,
+                                      featureSubsetStrategy="sqrt", maxBins=128,
                                       cacheNodeIds=True, maxMemoryInMB=1024)
     if name == "Linear Regression":
         return LinearRegression(regParam=0.0, solver="normal", standardization=False)
     if name == "Random Forest Regressor":
-        return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
+        return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED,
                                      featureSubsetStrategy="all", maxBins=128,
                                      cacheNodeIds=True, maxMemoryInMB=1024)
     raise ValueError(name)
@@ -287,26 +305,24 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = CV_FOLDS) ->
     from the skew-safe ``positions`` helper, not a window over a class."""
     counts = sorted((r["c"], r["n"]) for r in df.groupBy(col(label).alias("c"))
                     .agg(F.count(F.lit(1)).alias("n")).collect())
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    start, bounds = 0, {}
+    start, bounds = 0, []
     for c, n in counts:
         alloc = _alloc(start, n, k)
         cum, acc = [], 0
         for a in alloc:
             acc += a
             cum.append(acc)
-        bounds[c] = cum
+        bounds.append((c, cum))
         start += n
+    if not bounds:
+        return df.withColumn("fold", F.lit(None).cast("int"))
     pos = positions(df, [label], key, out="__pos")
-    fold = None
-    for c, cum in bounds.items():
-        f = F.when(F.col("__pos") <= cum[0], 0)
-        for i in range(1, k):
-            f = f.when(F.col("__pos") <= cum[i], i)
-        cond = col(label) == F.lit(c)
-        fold = F.when(cond, f) if fold is None else fold.when(cond, f)
-    return pos.withColumn("fold", fold.cast("int")).drop("__pos")
+    # one row a class: where each fold ends
+    ends = df.sparkSession.createDataFrame(bounds, T.StructType([
+        T.StructField("__class", df.schema[label].dataType), T.StructField("__ends", T.ArrayType(T.LongType()))]))
+    fold = F.size(F.filter("__ends", lambda e: e < F.col("__pos")))
+    return (pos.join(ends, col(label) == F.col("__class")).withColumn("fold", fold.cast("int"))
+               .drop("__pos", "__class", "__ends"))
 
 
 def _alloc(start: int, n: int, k: int) -> list[int]:
@@ -357,18 +373,26 @@ class TrainResult:
     scores: list[ModelScore]
     best: ModelScore | None
     models: dict
+    classes: list | None = None         # classification: the value of each label
 
 
 def auto_train(df: DataFrame, target: str | None = None, split_key: Column | None = None,
-               cv: bool = True, ids: tuple = ()) -> TrainResult:
+               cv: bool = True, ids: tuple = (), forest_depth: int = FOREST_DEPTH) -> TrainResult:
     """ML19: the whole pipeline -- task, preparation, split, scaling, the two
     models of the task, metrics, CV (classification), importances, best.
-    ``ids`` are key columns used by ``split_key`` but not as features."""
+    ``ids`` are key columns used by ``split_key`` but not as features. A
+    classification target of any type and number of classes is indexed;
+    ``forest_depth`` bounds the trees (10 unless given, Spark allows 30)."""
     target = target or df.columns[-1]
     task = task_of(df, target)
     prepared, feats = prepare(df, target, ids)
     if not feats:
         raise ValueError("No usable feature columns found.")
+    classes = None
+    if task == CLASSIFICATION:
+        classes = class_values(drop_unlabelled(df, target), target)
+        if column_class(df.schema[target].dataType) != CATEGORICAL:
+            prepared = index_label(prepared, target, classes)
     key = split_key if split_key is not None else row_key(prepared)
     tagged = prepared.withColumn("__split", split_expr(key))
     stats, n_rows = _train_scale_stats(tagged, feats)
@@ -376,19 +400,21 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
     # a persisted plan keeps its shuffle partitioning (AQE does not coalesce
     # cached plans): size the fit partitions from the row count instead
     parts = fit_partitions(df.sparkSession, n_rows)
-    data = _assemble(scaled, feats, target).coalesce(parts).persist()
+    data = _assemble(scaled, feats, target)
+    if classes is not None:             # the classifiers take the number of classes from the label
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": max(2, len(classes))}}
+        data = data.withColumn("label", F.col("label").alias("label", metadata=nominal))
+    data = data.coalesce(parts).persist()
     tr = data.filter(F.col("__split") == "train")
     te = data.filter(F.col("__split") == "test")
     n_train, n_test = tr.count(), te.count()
-    if task == CLASSIFICATION:
-        n_classes = data.agg(F.count_distinct("label")).first()[0]
-        if n_classes > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes")
     names = MODELS[task]
     folded = None
     if task == CLASSIFICATION and cv:
         keyed = tr.withColumn("__kid", F.monotonically_increasing_id())
-        folded = stratified_folds(keyed, "label", "__kid", CV_FOLDS).coalesce(parts).persist()
+        folded = stratified_folds(keyed, "label", "__kid", CV_FOLDS)
+        folded = folded.withColumn("label", F.col("label").alias("label", metadata=nominal)).coalesce(parts).persist()
+        folded.count()                  # cached once, before several fits read it at a time
     # every fit is independent: the final fits and the CV fold fits run as
     # concurrent Spark jobs from a small driver thread pool
     jobs = {}
@@ -400,7 +426,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
 
     def run(job):
         (name, _), (fit_on, score_on) = job
-        model = make_estimator(name, n_train).fit(fit_on)
+        model = make_estimator(name, n_train, forest_depth).fit(fit_on)
         pred = model.transform(score_on)
         if task == CLASSIFICATION:
             return model, {"value": accuracy(pred).first()["accuracy"]}
@@ -413,15 +439,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
         for fut, key in futures.items():
             try:
                 outcomes[key] = fut.result()
-            except Exception as e:  # noqa: BLE001 - retried below
-                outcomes[key] = e
-    # concurrent jobs occasionally fail on closure serialisation; a failed
-    # job is run once more on its own before the model counts as failing
-    for key, out in list(outcomes.items()):
-        if isinstance(out, Exception):
-            try:
-                outcomes[key] = run((key, jobs[key]))
-            except Exception as e:  # a failing model is reported and skipped
+            except Exception as e:  # noqa: BLE001 - a failing model is reported and skipped
                 outcomes[key] = e
     if folded is not None:
         folded.unpersist()
@@ -430,7 +448,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
     for i, name in enumerate(names, start=1):
         main = outcomes[(name, None)]
         if isinstance(main, Exception):
-            s = ModelScore(i, name, metric, None, error=str(main)[:200])
+            s = ModelScore(i, name, metric, None, error=str(main))
         else:
             model, m = main
             s = ModelScore(i, name, metric, m["value"],
@@ -440,7 +458,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
             folds = [outcomes.get((name, f)) for f in range(CV_FOLDS)] if folded is not None else []
             failed = [x for x in folds if isinstance(x, Exception)]
             if failed:
-                s.error = f"cross-validation failed: {str(failed[0])[:200]}"
+                s.error = f"cross-validation failed: {failed[0]}"
             if folds and not any(isinstance(x, Exception) or x is None for x in folds):
                 accs = [x[1]["value"] for x in folds]
                 s.cv_mean = sum(accs) / len(accs)
@@ -449,7 +467,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
         if s.value is not None and (best is None or s.value > best.value):
             best = s
     data.unpersist()
-    return TrainResult(task, target, feats, n_train, n_test, scores, best, models)
+    return TrainResult(task, target, feats, n_train, n_test, scores, best, models, classes)
 
 
 def leaderboard(result: TrainResult) -> DataFrame:
@@ -501,7 +519,11 @@ def predict(result: TrainResult, df: DataFrame, model_name: str | None = None) -
     scaled like the training rows; ``auto_predictions`` does both)."""
     name = model_name or (result.best.model if result.best else None)
     va = VectorAssembler(inputCols=result.features, outputCol="features", handleInvalid="keep")
-    return result.models[name].transform(va.transform(df))
+    out = result.models[name].transform(va.transform(df))
+    if result.classes:                  # the class itself, beside the label the model predicts
+        values = F.array(*[F.lit(v) for v in result.classes])
+        out = out.withColumn("predicted_class", F.element_at(values, F.col("prediction").cast("int") + 1))
+    return out
 
 
 def save_model(result: TrainResult, path: str, model_name: str | None = None) -> str:

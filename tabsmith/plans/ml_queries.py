@@ -197,6 +197,46 @@ def q_auto_train(spark, sf):
     return ml.leaderboard(_run(spark, sf, "labels"))
 
 
+def _classes_run(target):
+    """ML19 on a numeric target that is not 0 to k - 1: both models are scored on all rows."""
+    def q(spark, sf):
+        df = fx.events(spark, sf).select("event_id", "value", "user_id", target().alias("target"))
+        r = ml.auto_train(df, "target", split_key=EVENTS_SPLIT_KEY(), ids=("event_id",), cv=False)
+        good = [s.value is not None and s.value > 0.5 for s in r.scores]
+        return spark.createDataFrame(
+            [(s.model, ok, len(r.classes), float(r.classes[0]), float(r.classes[-1]), r.n_train, r.n_test)
+             for s, ok in zip(r.scores, good)],
+            "model string, scored boolean, n_classes bigint, lowest double, highest double, n_train bigint, n_test bigint")
+    return q
+
+
+def _signs():
+    return F.when(F.col("value") > 50, 1).otherwise(-1)
+
+
+def _years():
+    return F.lit(2019) + (F.col("value") > 30).cast("int") + (F.col("value") > 60).cast("int")
+
+
+def _fractions():
+    return F.when(F.col("value") > 50, 1.5).otherwise(0.5)
+
+
+def q_accuracy_of_rule(spark, sf):
+    """ML13 on predictions that need no model: the decade of a value shifted by three."""
+    pred = fx.events(spark, sf).filter("value IS NOT NULL").select(
+        F.floor(F.col("value") / 10).alias("label"), F.floor((F.col("value") + 3) / 10).alias("prediction"))
+    return round_doubles(ml.accuracy(pred))
+
+
+def q_best_of_types(spark, sf):
+    """ML17's choice on a board that needs no model: event types by their mean value."""
+    from pyspark.sql import Window
+    board = fx.events(spark, sf).groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("value"))
+    board = round_doubles(board).withColumn("ordinal", F.dense_rank().over(Window.orderBy("model")).cast("bigint"))
+    return ml.best_model(board).select("ordinal", "model", "value")
+
+
 def q_model_result(spark, sf):
     return ml.model_result(_run(spark, sf, "class_rule"))
 
@@ -265,6 +305,11 @@ def ml_queries() -> dict:
         "leaderboard": q_leaderboard,
         "best_model": q_best_model,
         "auto_train": q_auto_train,
+        "auto_train_signs": _classes_run(_signs),
+        "auto_train_years": _classes_run(_years),
+        "auto_train_fractions": _classes_run(_fractions),
+        "accuracy_of_rule": q_accuracy_of_rule,
+        "best_of_types": q_best_of_types,
         "model_result": q_model_result,
         "predict": q_predict,
         "insight_with_model": q_insight_with_model,

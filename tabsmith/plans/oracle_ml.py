@@ -70,7 +70,7 @@ def impute_features_mean():
     st = ", ".join(f"avg({c}::DOUBLE) AS m_{c}" for c in filled)
     exprs = {c: f"coalesce({c}::DOUBLE, st.m_{c})" for c in filled}
     return (f"WITH {DIRTY_LINEITEM},\nlab AS (SELECT * FROM dirty WHERE l_returnflag IS NOT NULL),\n"
-            f"st AS (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
+            f"st AS MATERIALIZED (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
 
 
 def impute_features_train_only():
@@ -78,7 +78,7 @@ def impute_features_train_only():
     st = ", ".join(f"avg({c}::DOUBLE) FILTER (WHERE {SPLIT} = 'train') AS m_{c}" for c in filled)
     exprs = {c: f"coalesce({c}::DOUBLE, st.m_{c})" for c in filled}
     return (f"WITH {DIRTY_LINEITEM},\nlab AS (SELECT * FROM dirty WHERE l_returnflag IS NOT NULL),\n"
-            f"st AS (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
+            f"st AS MATERIALIZED (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
 
 
 def split():
@@ -144,8 +144,40 @@ pos AS (SELECT tr.*, row_number() OVER (PARTITION BY label ORDER BY k) AS p FROM
 SELECT k, label, (CASE {cum} ELSE {k - 1} END)::INTEGER AS fold FROM pos JOIN al USING (label)"""
 
 
+def auto_train_classes(classes: list[float]) -> str:
+    """Both models of a run: scored, the classes' number and range, the split's sizes."""
+    return f"""WITH n AS (SELECT count(*) FILTER (WHERE (event_id * 7919) % 100 < 80)::BIGINT AS n_train,
+       count(*) FILTER (WHERE (event_id * 7919) % 100 >= 80)::BIGINT AS n_test FROM events),
+m(model) AS (VALUES ('Logistic Regression'), ('Random Forest'))
+SELECT model, TRUE AS scored, {len(classes)}::BIGINT AS n_classes, {classes[0]}::DOUBLE AS lowest,
+       {classes[-1]}::DOUBLE AS highest, n_train, n_test FROM m, n"""
+
+
+def select_features() -> str:
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"]
+    rows = ", ".join(f"({i + 1}::BIGINT, {lit(n)})" for i, n in enumerate(names))
+    return f"SELECT * FROM (VALUES {rows}) AS t(ordinal, feature)"
+
+
+def accuracy_of_rule() -> str:
+    return (f"SELECT {r4('avg((floor(value / 10) = floor((value + 3) / 10))::INT)')} AS accuracy, "
+            f"count(*)::BIGINT AS n FROM events WHERE value IS NOT NULL")
+
+
+def best_of_types() -> str:
+    return (f"WITH b AS (SELECT event_type AS model, {r4('avg(value)')} AS value, "
+            f"dense_rank() OVER (ORDER BY event_type)::BIGINT AS ordinal FROM events GROUP BY event_type)\n"
+            f"SELECT ordinal, model, value FROM b ORDER BY value DESC, ordinal LIMIT 1")
+
+
 def ml_sql() -> dict[str, str]:
     return {
+        "auto_train_signs": auto_train_classes([-1.0, 1.0]),
+        "auto_train_years": auto_train_classes([2019.0, 2020.0, 2021.0]),
+        "auto_train_fractions": auto_train_classes([0.5, 1.5]),
+        "select_features": select_features(),
+        "accuracy_of_rule": accuracy_of_rule(),
+        "best_of_types": best_of_types(),
         "resolve_target": resolve_target(),
         "detect_task_type": detect_task_type(),
         "drop_unlabelled": drop_unlabelled(),
