@@ -30,6 +30,12 @@ def q_load_csv_strict(spark, sf):
     return round_doubles(load_csv(spark, path, seps=(",",), on_bad="fail"))
 
 
+def q_load_csv_texts(spark, sf):
+    """IO1: whole document texts (quotes, commas, line breaks) written as CSV and read back."""
+    docs = load_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return load_csv(spark, write_csv(docs, scratch_path(spark, "texts-csv"), whole_texts=True))
+
+
 def q_normalize_labels(spark, sf):
     """IO3: a projection that repeats labels, made unique."""
     li = load_table(spark, sf, "lineitem")
@@ -77,6 +83,7 @@ def io_queries() -> dict:
     return {
         "load_csv": q_load_csv,
         "load_csv_strict": q_load_csv_strict,
+        "load_csv_texts": q_load_csv_texts,
         "normalize_labels": q_normalize_labels,
         "require_nonempty": q_require_nonempty,
         "decode_labels": q_decode_labels,

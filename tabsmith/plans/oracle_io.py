@@ -28,6 +28,17 @@ def load_csv():
     return f"WITH {DIRTY_LINEITEM}\nSELECT {_dirty_rounded({'l_linenumber': 'bigint'})} FROM dirty"
 
 
+def load_csv_texts():
+    na = ", ".join(lit(t) for t in NA_TOKENS)
+    cells = ", ".join(f"CASE WHEN {c} IN ({na}) THEN NULL ELSE {c} END AS {c}" for c in ("text", "lang", "source"))
+    return f"SELECT doc_id, {cells} FROM documents"
+
+
+#: FIXED VALUES: pandas' default missing-value tokens (the oracle's own copy)
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+             "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 def normalize_labels():
     return ("SELECT l_orderkey, l_partkey AS l_orderkey_1, l_suppkey AS l_orderkey_2, "
             "l_linenumber FROM lineitem")
@@ -71,6 +82,7 @@ def io_sql() -> dict[str, str]:
     return {
         "load_csv": load_csv(),
         "load_csv_strict": load_csv(),
+        "load_csv_texts": load_csv_texts(),
         "normalize_labels": normalize_labels(),
         "require_nonempty": require_nonempty(),
         "decode_labels": decode_labels(),

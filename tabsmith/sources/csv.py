@@ -10,10 +10,12 @@
   missing, double when all pass as numbers (an integer column with a gap is
   float64 in pandas), boolean only for complete True/False columns, string
   otherwise. Dates stay strings, as pandas leaves them.
-* Encodings are tried in order; a decode failure shows as U+FFFD. The decode
-  check, the long-row count and the type inference are one aggregate, so a
-  file is read once before the typed frame. Separators are tried in order; the first that splits the
-  header into more than one column wins (the last one is accepted anyway).
+* Encodings are tried in order; whether the bytes are UTF-8 is asked of the raw
+  lines, which also show quoted line breaks. The long-row count and the type
+  inference are one aggregate, so a file is read twice before the typed frame.
+  Separators are tried in order; the first that splits the header into more
+  than one column wins (the last one is accepted anyway).
+* A number is what pandas takes for one: ``12f`` and ``7d`` stay text.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ ENCODINGS = ("utf-8", "latin-1", "cp1252")
 SPARK_CHARSETS = {"utf-8": "utf-8", "latin-1": "iso-8859-1", "cp1252": None}
 SEPARATORS = (",", ";", "\t")
 EXTRA = "__extra_field"
-REPLACEMENT_CHAR = "�"
+# FIXED VALUES: what pandas takes for numbers (Java's cast would also take 12f, 7d)
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
 def normalize_labels(names: list[str]) -> list[str]:
@@ -88,22 +92,18 @@ def _na_cleaned(raw: DataFrame, n: int) -> DataFrame:
 
 
 def _scan(raw: DataFrame, n: int) -> dict:
-    """One aggregate over the raw rows: undecodable cells, long rows, and per
-    column the missing cells and cast failures of the kept rows."""
+    """One aggregate over the raw rows: long rows, and per column the missing
+    cells and cast failures of the kept rows."""
     na = F.array(*[F.lit(t) for t in NA_TOKENS])
     keep = F.col(EXTRA).isNull()
-    bad = F.lit(False)
-    for i in range(n):
-        bad = bad | F.coalesce(F.col(f"c{i}").contains(REPLACEMENT_CHAR), F.lit(False))
-    aggs = [F.count_if(bad).alias("bad"), F.count_if(~keep).alias("long"),
-            F.count_if(keep).alias("rows")]
+    aggs = [F.count_if(~keep).alias("long"), F.count_if(keep).alias("rows")]
     for i in range(n):
         raw_v = F.col(f"c{i}")
         v = F.when(keep & ~F.coalesce(F.array_contains(na, raw_v), F.lit(False)), raw_v)
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.count_if(v.isNotNull() & v.try_cast("bigint").isNull()).alias(f"bi{i}"),
-            F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"db{i}"),
+            F.count_if(v.isNotNull() & (~v.rlike(INTEGER) | v.try_cast("bigint").isNull())).alias(f"bi{i}"),
+            F.count_if(v.isNotNull() & ~v.rlike(NUMBER)).alias(f"db{i}"),
             F.count_if(v.isNotNull() & ~v.isin(TRUE_VALUES + FALSE_VALUES)).alias(f"bo{i}"),
         ]
     return raw.agg(*aggs).collect()[0].asDict()
@@ -135,25 +135,38 @@ def _typed(df: DataFrame, names: list[str], types: list[str]) -> DataFrame:
         elif t == "string":
             e = v
         else:
-            e = v.try_cast(t)
+            e = F.trim(v).try_cast(t)
         out.append(e.alias(name))
     return df.select(*out)
 
 
+def _probe(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether the bytes are UTF-8, and whether a line has an odd number of
+    quotes (a quoted field goes on in the next line), from the raw lines."""
+    line = F.col("value")
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8(line)).alias("bad"),
+                                    F.count_if(quotes % 2 == 1).alias("odd")).first()
+    return not row["bad"], bool(row["odd"])
+
+
 def load_csv(spark: SparkSession, path: str, encodings=ENCODINGS, seps=SEPARATORS,
-             on_bad: str = "skip", multiline: bool = False) -> DataFrame:
+             on_bad: str = "skip", multiline: bool | None = None) -> DataFrame:
     """IO1 / IO2: read a CSV file or folder into a typed DataFrame.
 
     ``on_bad="skip"`` drops rows longer than the header; ``"fail"`` raises
-    when one exists (the upload endpoint's behaviour). ``multiline`` allows
-    quoted line breaks but makes every file a single task (not splittable),
-    so it is off by default.
+    when one exists (the upload endpoint's behaviour). Quoted line breaks are
+    found and parsed unless ``multiline`` says otherwise; a file that has them
+    is read by a single task (it cannot be split), the others are split.
     """
     last_error = None
+    is_utf8, breaks = _probe(spark, path)
+    if multiline is None:
+        multiline = breaks
     for name in encodings:
         enc = SPARK_CHARSETS.get(name.lower(), name)
-        if enc is None:
-            continue
+        if enc is None or (enc.lower() in ("utf-8", "utf8") and not is_utf8):
+            continue                        # the bytes do not decode: next encoding
         for k, sep in enumerate(seps):
             try:
                 header = read_header(spark, path, enc, sep, multiline)
@@ -162,15 +175,11 @@ def load_csv(spark: SparkSession, path: str, encodings=ENCODINGS, seps=SEPARATOR
                 continue
             if not header:
                 raise ValueError("CSV is empty or has no valid rows")
-            if any(REPLACEMENT_CHAR in h for h in header):
-                break                       # header does not decode: next encoding
             if len(header) < 2 and k < len(seps) - 1:
                 continue
             n = len(header)
             raw = _raw(spark, path, enc, sep, n, multiline)
             stats = _scan(raw, n)           # the only pass before the typed read
-            if stats["bad"]:
-                break                       # does not decode: next encoding
             if on_bad == "fail" and stats["long"]:
                 raise ValueError("CSV has rows with more fields than the header")
             return _typed(_na_cleaned(raw, n), normalize_labels(header), _types(stats, n))
@@ -186,9 +195,14 @@ def require_nonempty(df: DataFrame) -> DataFrame:
     return df
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """Write a frame as CSV with a header (used to derive CSV inputs)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, whole_texts: bool = False) -> str:
+    """Write a frame as CSV with a header (used to derive CSV inputs).
+    ``whole_texts`` quotes like pandas: doubled quotes, white space and line breaks kept."""
+    out = df.write.mode("overwrite").option("header", True)
+    if whole_texts:
+        out = (out.option("quote", '"').option("escape", '"').option("quoteAll", True)
+                  .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    out.csv(path)
     return path
 
 
