@@ -31,6 +31,8 @@ def main() -> None:
     only = set(sys.argv[1:])
     spark = local_session(cpus, int(os.environ.get("BENCH_PARTITIONS", "16")), app="tabsmith-bench")
 
+    from pyspark.sql import functions as F
+
     from tabsmith.operators import automl, charts, clean, profile, querylog
     from tabsmith.plans.ml_queries import EVENTS_SPLIT_KEY
     from tabsmith.sources import fixtures as fx
@@ -44,6 +46,11 @@ def main() -> None:
     def records():
         return querylog.append_turn(turns(), "conversations", 0, 4)
 
+    def wide(k):
+        """``k`` numeric columns made of lineitem's."""
+        base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+        return dirty.select(*[(F.col(base[i % 4]) + F.sin(F.col("l_orderkey") * (i + 1))).alias(f"c{i}") for i in range(k)])
+
     bench = {
         # B1 profile
         "b1_dataset_summary": lambda: profile.dataset_summary(dirty).collect(),
@@ -62,6 +69,8 @@ def main() -> None:
         # B5 correlation
         "b5_correlation_pairs": lambda: profile.correlation_pairs(dirty).collect(),
         "b5_correlation_matrix": lambda: charts.correlation_matrix(dirty).collect(),
+        **{f"b5_correlation_{k}_columns": (lambda k=k: profile.correlation_pairs(wide(k)).collect()) for k in (30, 100)},
+        **{f"b5_outliers_{k}_columns": (lambda k=k: _materialise(clean.remove_outliers(wide(k)))) for k in (30,)},
         # B6 chart data
         "b6_histogram": lambda: charts.histogram(events).collect(),
         "b6_box_stats": lambda: charts.box_stats(events).collect(),

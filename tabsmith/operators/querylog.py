@@ -162,13 +162,17 @@ def write_turns(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
-def recent_context(records: DataFrame, n: int = 6, snippet: int = 300) -> DataFrame:
+def recent_context(records: DataFrame, n: int = 6, snippet: int = 300,
+                   ml_results: DataFrame | None = None) -> DataFrame:
     """QL9: per conversation the context text of its last ``n`` turns: a
     header with the total, then per turn the query, agent, output preview
     (figure marker, or the first ``snippet`` characters with newlines as
-    spaces and "..." when longer) and the dataset."""
-    counted = positions(records, ["conv_id"], "turn_id", out="_p", total="total")
-    last = counted.filter(F.col("_p") > F.col("total") - n)
+    spaces and "..." when longer) and the dataset. ``ml_results`` (conv_id,
+    ml_result: its text) adds the last model's line where there is one.
+
+    The records' ``turn_id`` runs from 1, so a conversation's total is its maximum."""
+    totals = records.groupBy("conv_id").agg(F.max("turn_id").alias("total"))
+    last = records.join(totals, "conv_id").filter(F.col("turn_id") > F.col("total") - n)
     out = F.col("tool_output")
     preview = F.when(F.col("figure_generated"), F.lit("[chart/figure generated]")).otherwise(
         F.concat(F.translate(F.substring(out, 1, snippet), "\n", " "),
@@ -185,30 +189,36 @@ def recent_context(records: DataFrame, n: int = 6, snippet: int = 300) -> DataFr
     per_conv = last.groupBy("conv_id").agg(
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.struct("turn_id", block.alias("b")))).alias("blocks"))
-    return per_conv.select(
-        "conv_id",
-        F.concat(F.format_string("Session so far (%d total turns):", F.col("total")), F.lit("\n"),
-                 F.array_join(F.transform("blocks", lambda s: s["b"]), "\n")).alias("context"))
+    context = F.concat(F.format_string("Session so far (%d total turns):", F.col("total")), F.lit("\n"),
+                       F.array_join(F.transform("blocks", lambda s: s["b"]), "\n"))
+    if ml_results is not None:
+        per_conv = per_conv.join(ml_results.select("conv_id", "ml_result"), "conv_id", "left")
+        context = F.concat(context, F.coalesce(F.concat(F.lit("\n\nLast ML result: "), F.col("ml_result")), F.lit("")))
+    return per_conv.select("conv_id", context.alias("context"))
 
 
-def session_summary(turns: DataFrame) -> DataFrame:
+def session_summary(turns: DataFrame, dataset_name: str = "dataset") -> DataFrame:
     """QL10: per conversation total turns, agents used (sorted), dataset,
     whether a model was trained, and the last agent."""
     return turns.groupBy("conv_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("total_turns"),
         F.array_join(F.sort_array(F.collect_set("agent")), ",").alias("agents_used"),
+        F.first(F.lit(dataset_name)).alias("dataset"),
         F.bool_or(F.coalesce(F.array_contains("tools", "auto_train_models"),
                              F.lit(False))).alias("has_ml_results"),
         F.max_by("agent", "turn_id").alias("last_agent"))
 
 
-def last_output(turns: DataFrame) -> DataFrame:
+def last_output(turns: DataFrame, ml_results: DataFrame | None = None) -> DataFrame:
     """QL11: per conversation the latest output and agent; the explanation
-    context falls back to a fixed text when the output is empty."""
+    context falls back to a fixed text when the output is empty.
+    ``ml_results`` (conv_id, ml_result) adds the last model's result, NULL for none."""
     g = turns.groupBy("conv_id").agg(
         F.max("turn_id").alias("last_turn"),
         F.max_by("output", "turn_id").alias("last_output"),
         F.max_by("agent", "turn_id").alias("last_agent"))
+    if ml_results is not None:
+        g = g.join(ml_results.select("conv_id", F.col("ml_result").alias("last_ml_result")), "conv_id", "left")
     return g.withColumn("explanation_context",
                         F.when(F.coalesce(F.col("last_output"), F.lit("")) == "",
                                R.NO_PREVIOUS_OUTPUT).otherwise(F.col("last_output")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import round_doubles
 from tabsmith.operators import profile, schema
@@ -34,6 +35,13 @@ def _table(name):
     return load
 
 
+def _map_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL1 on rows that differ in a map column alone."""
+    li = _table("lineitem")(spark, sf_dir)
+    rows = li.select((F.col("l_orderkey") % 50).alias("k"), F.create_map("l_returnflag", "l_linenumber").alias("m"))
+    return clean.remove_duplicates(rows).select("k", F.map_keys("m")[0].alias("flag"), F.map_values("m")[0].alias("number"))
+
+
 def queries() -> dict[str, Query]:
     from tabsmith.plans.io_queries import io_queries
     from tabsmith.plans.ml_queries import ml_queries
@@ -64,6 +72,7 @@ def queries() -> dict[str, Query]:
         "top_values_documents": _on(_table("documents"), profile.top_values),
         # cleaning
         "remove_duplicates": _on(dirty, clean.remove_duplicates),
+        "remove_duplicates_maps": _map_duplicates,
         "fill_missing_mean": _on(dirty, clean.fill_missing_mean),
         "fill_missing_median": _on(dirty, clean.fill_missing_median),
         "fill_missing_mode": _on(dirty, clean.fill_missing_mode),

@@ -167,7 +167,7 @@ FROM blocks GROUP BY conv_id"""
 
 def session_summary():
     return (f"WITH {_turns_cte()}\nSELECT conv_id, count(*)::BIGINT AS total_turns, "
-            f"string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents_used, "
+            f"string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents_used, 'conversations' AS dataset, "
             f"bool_or(coalesce(list_contains(tools, 'auto_train_models'), false)) AS has_ml_results, "
             f"arg_max(agent, turn_id) AS last_agent FROM turns GROUP BY conv_id")
 

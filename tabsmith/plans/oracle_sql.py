@@ -262,6 +262,10 @@ def remove_duplicates() -> str:
             f"FROM (SELECT DISTINCT * FROM dirty)")
 
 
+def remove_duplicates_maps() -> str:
+    return "SELECT DISTINCT l_orderkey % 50 AS k, l_returnflag AS flag, l_linenumber AS number FROM lineitem"
+
+
 FILLED_NUMERIC = ["l_quantity", "l_extendedprice"]   # dirty columns with missing cells
 
 
@@ -269,7 +273,7 @@ def fill_missing(stat: str) -> str:
     fn = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)"}[stat]
     st = ", ".join(f"{fn.format(qi(c) + '::DOUBLE')} AS {qi('s_' + c)}" for c in FILLED_NUMERIC)
     exprs = {c: f"coalesce({qi(c)}, st.{qi('s_' + c)})" for c in FILLED_NUMERIC}
-    return (f"WITH {DIRTY_LINEITEM},\nst AS (SELECT {st} FROM dirty)\n"
+    return (f"WITH {DIRTY_LINEITEM},\nst AS MATERIALIZED (SELECT {st} FROM dirty)\n"
             f"SELECT {_select_rounded(DIRTY_COLUMNS, exprs)} FROM dirty, st")
 
 
@@ -319,7 +323,7 @@ def remove_outliers_once(z: int = 3) -> str:
     cond = " AND ".join(
         f"(st.{qi('s_' + c)} = 0 OR abs(({qi(c)}::DOUBLE - st.{qi('m_' + c)}) / st.{qi('s_' + c)}) < {z})"
         for c in nums)
-    return (f"WITH {DIRTY_LINEITEM},\nst AS (SELECT {st} FROM dirty)\n"
+    return (f"WITH {DIRTY_LINEITEM},\nst AS MATERIALIZED (SELECT {st} FROM dirty)\n"
             f"SELECT {_select_rounded(DIRTY_COLUMNS, table='dirty.')} FROM dirty, st WHERE {cond}")
 
 
@@ -367,6 +371,7 @@ def cleaning_counts() -> str:
 def cleaning_sql() -> dict[str, str]:
     return {
         "remove_duplicates": remove_duplicates(),
+        "remove_duplicates_maps": remove_duplicates_maps(),
         "fill_missing_mean": fill_missing("mean"),
         "fill_missing_median": fill_missing("median"),
         "fill_missing_mode": fill_missing_mode(),

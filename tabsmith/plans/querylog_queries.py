@@ -89,7 +89,7 @@ def q_recent_context(spark, sf):
 
 
 def q_session_summary(spark, sf):
-    return ql.session_summary(_turns(spark, sf))
+    return ql.session_summary(_turns(spark, sf), SESSION_DATASET)
 
 
 def q_last_output(spark, sf):

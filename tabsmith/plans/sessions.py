@@ -42,7 +42,8 @@ QUICK_CHIPS = [
 ]
 
 TRANSCRIPT = ("step bigint, query string, intent string, agent string, tools string, "
-              "rows_after bigint, cols_after bigint, result_rows bigint, output string")
+              "rows_after bigint, cols_after bigint, "
+              "results array<struct<tool: string, part: string, rows: bigint>>, output string")
 
 
 def route_questions(spark: SparkSession, questions: list[str]) -> list:
@@ -60,7 +61,7 @@ def run_session(df: DataFrame, questions: list[str], name: str = "dataset") -> D
     rows = []
     for r in route_questions(spark, questions):
         intent, agent = r["intent"], r["agent"]
-        out_text, result_rows, tools = "", None, []
+        out_text, results, tools = "", [], []
         if intent == "explain":
             text_df = spark.createDataFrame([(last_output,)], "o string")
             out_text = (text_df.select(ql.explain_text(F.col("o"))).first()[0] if last_output
@@ -90,8 +91,7 @@ def run_session(df: DataFrame, questions: list[str], name: str = "dataset") -> D
             for t in tools:
                 run = TOOLS[t](ds.df, r["query"])
                 texts.append(run.summary)
-                if run.frame is not None:
-                    result_rows = run.frame.count()
+                results += [(t, part, frame.count()) for part, frame in run.parts().items()]
                 if run.dataset is not None:
                     # new version written to the shared folder: later steps
                     # read it back instead of re-running the cleaning lineage
@@ -101,7 +101,7 @@ def run_session(df: DataFrame, questions: list[str], name: str = "dataset") -> D
             out_text = "\n\n".join(texts)
         last_output = out_text
         rows.append((r["step"], r["query"], intent, agent, ",".join(tools),
-                     ds.df.count(), len(ds.df.columns), result_rows, out_text))
+                     ds.df.count(), len(ds.df.columns), results, out_text))
     return spark.createDataFrame(rows, TRANSCRIPT)
 
 
