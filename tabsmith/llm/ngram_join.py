@@ -445,24 +445,25 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH RECURSIVE texts AS (
+WITH RECURSIVE texts AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5
-           THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
-           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM texts),
-members AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+                               ELSE concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 common AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM members a JOIN members b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT u, v FROM common WHERE 100 * k >= 75 * (na + nb - k)),
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 75 * (x.n + y.n - k)),
 reach(u, v) AS (
-  SELECT doc_id, doc_id FROM sets
+  SELECT doc_id, doc_id FROM texts
   UNION
-  SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(v) FROM reach r WHERE r.u = s.doc_id) AS component_id
-FROM sets s
+  SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id JOIN least l ON l.u = t.doc_id
 """
