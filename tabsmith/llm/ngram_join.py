@@ -13,6 +13,9 @@ lower-cased). Two documents link when their sets' Jaccard similarity is at least
    shingles), at places that leave enough shingles behind it. Each prefix shingle
    brings its sets together: of a few, all pairs within the bounds are
    candidates; of many, the pairs with the set that has the shingle first.
+   A pair whose sketches (how many of a set's hashes fall into each of some n / 2
+   buckets) already bound the overlap below what is needed is dropped: the sum of
+   the smaller counts is never less than the overlap.
 4. A candidate's partners are stored in a prefix tree, frequent shingles first,
    so that near copies share their paths: the sets sorted in that order, each
    with the depth at which it leaves the one before. The candidate walks the
@@ -99,7 +102,31 @@ def _sets(col: pa.Array):
             yield words.first + d, s
 
 
-SCAN = "kind int, a long, b long, n long"
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each bucket, two buckets a byte."""
+    buckets = 1 << max(3, (len(s) - 1).bit_length() - 1)
+    while True:
+        counts = np.bincount((s & U(buckets - 1)).astype(np.int64), minlength=buckets)
+        if counts.max(initial=0) < 16:
+            break
+        buckets *= 2
+    return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def overlap_bound(x: bytes, y: bytes) -> int:
+    """No less than the intersection of two sets with these sketches."""
+    counts = []
+    for blob in (x, y):
+        pairs = np.frombuffer(blob, np.uint8)
+        c = np.empty(2 * len(pairs), np.int64)
+        c[::2], c[1::2] = pairs & 15, pairs >> 4
+        counts.append(c)
+    small = min(map(len, counts))
+    a, b = (c.reshape(-1, small).sum(axis=0) for c in counts)
+    return int(np.minimum(a, b).sum())
+
+
+SCAN = "kind int, a long, b long, n long, sketch binary"
 
 
 def _scan(batches):
@@ -121,13 +148,15 @@ def _scan(batches):
     for b in batches:
         ids = b.column(0)
         hashes, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        sketches: list[bytes | None] = [None] * len(ids)
         for d, s in _sets(b.column(1)):
             sizes[d] = len(s)
             if len(s):
                 hashes[d] = set_hash(s)
+                sketches[d] = sketch(s)
                 held.append(s)
                 size += len(s)
-        yield _rows(0, ids, hashes, sizes)
+        yield _rows(0, ids, hashes, sizes, sketches)
         if size >= COUNT_AT:
             yield frequent()
             held.clear()
@@ -136,10 +165,11 @@ def _scan(batches):
         yield rest
 
 
-def _rows(kind: int, a, b, n) -> pa.RecordBatch:
+def _rows(kind: int, a, b, n, sketches=None) -> pa.RecordBatch:
     a = a if isinstance(a, pa.Array) else pa.array(a, pa.int64())
     return pa.RecordBatch.from_pydict({"kind": np.full(len(a), kind, np.int32), "a": a,
-                                       "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+                                       "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()),
+                                       "sketch": pa.array(sketches or [None] * len(a), pa.binary())})
 
 
 def _postings(order, num: int, den: int):
@@ -366,32 +396,64 @@ def _verify(num: int, den: int):
     return run
 
 
-def _links(edges: DataFrame, docs: DataFrame, first: DataFrame, order, num: int, den: int) -> DataFrame:
-    """The (a, b) edges whose sets link, as saved (u, v)."""
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = save(ends.join(first, "node").select(F.col("doc").alias("wanted")).distinct(), "join-wanted")
-    if wanted.count() * 8 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
+def _possible(num: int, den: int):
+    """The pairs (a, b) whose sketches leave room for a link."""
+    def run(batches):
+        for b in batches:
+            x, y, na, nb, sa, sb = (b.column(i).to_pylist() for i in range(6))
+            ok = [overlap_bound(sa[k], sb[k]) >= needed(na[k], nb[k], num, den) for k in range(len(x))]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+    return run
 
-    def sets(batches):
+
+def _tree_rows(order):
+    """(a, tree, flag, node, set) of texts with the list of trees that their sets go to."""
+    def run(batches):
         for b in batches:
-            nodes, blobs = [], []
-            for _, s in _sets(b.column(0)):
-                nodes.append(set_hash(s) if len(s) else 0)
-                blobs.append(np.ascontiguousarray(order.value.sort(s)[::-1]).tobytes())     # frequent first
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "set": pa.array(blobs, pa.binary())})
-
-    found = (docs.join(wanted, F.col("doc") == F.col("wanted"), "left_semi").select("text")
-             .mapInArrow(sets, "node long, set binary"))
-    found = save(found, "join-sets")
-    many = edges.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
-    dealt = edges.join(many, "a").withColumn(
-        "tree", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / TREE_SETS)).cast("int"))
-    partners = (dealt.join(found, F.col("b") == F.col("node"))
-                .select("a", "tree", F.lit(1).alias("flag"), "node", "set"))
-    own = (dealt.select("a", "tree").distinct().join(found, F.col("a") == F.col("node"))
-           .select("a", "tree", F.lit(0).alias("flag"), "node", "set"))
-    rows = partners.unionByName(own).repartition("a", "tree").sortWithinPartitions("a", "tree", "flag")
+            goals = b.column(1).to_pylist()
+            rows = []
+            for d, s in _sets(b.column(0)):
+                if not len(s):
+                    continue
+                node, blob = set_hash(s), None
+                for g in goals[d]:
+                    if g["node"] == node:           # not another text of the same id
+                        if blob is None:            # frequent first
+                            blob = np.ascontiguousarray(order.value.sort(s)[::-1]).tobytes()
+                        rows.append((g["a"], g["tree"], g["flag"], node, blob))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                 names=["a", "tree", "flag", "node", "set"])
+    return run
+
+
+def _links(edges: DataFrame, docs: DataFrame, first: DataFrame, order, num: int, den: int) -> DataFrame:
+    """The (a, b) edges whose sets link, as saved (u, v)."""
+    x, y = (first.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    possible = (edges.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb")
+                .mapInArrow(_possible(num, den), "a long, b long"))
+    possible = save(possible, "join-possible")
+    # the end with more pairs holds the tree, so that it travels once a tree
+    degree = (possible.select(F.col("a").alias("node")).unionByName(possible.select(F.col("b").alias("node")))
+              .groupBy("node").agg(F.count(F.lit(1)).alias("d")))
+    pairs = (possible.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a")
+             .join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b"))
+    turn = F.col("db") > F.col("da")
+    pairs = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"),
+                         F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
+    dealt = save(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / TREE_SETS))
+                                              .cast("int").alias("tree")), "join-trees")
+    goals = (dealt.select(F.col("b").alias("node"), "a", "tree", F.lit(1).alias("flag"))
+             .unionByName(dealt.select(F.col("a").alias("node"), "a", "tree", F.lit(0).alias("flag")).distinct()))
+    wanted = (goals.join(first.select("node", "doc"), "node")
+              .groupBy("doc").agg(F.collect_list(F.struct("node", "a", "tree", "flag")).alias("goals")))
+    wanted = save(wanted.select(F.col("doc").alias("wanted"), "goals"), "join-wanted")
+    size = wanted.agg(F.sum(F.size("goals") * 32 + 16)).first()[0] or 0
+    texts = docs.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, F.col("doc") == F.col("wanted"))
+    rows = (texts.select("text", "goals").mapInArrow(_tree_rows(order), "a long, tree int, flag int, node long, set binary")
+            .repartition("a", "tree").sortWithinPartitions("a", "tree", "flag"))
     return save(rows.mapInArrow(_verify(num, den), "u long, v long"), "join-links")
 
 
@@ -405,7 +467,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     scan = save(docs.mapInArrow(_scan, SCAN), "join-scan")
     rows = scan.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("node"), F.col("n"))
-    first = rows.where("n > 0 AND doc IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
+    first = save(scan.where("kind = 0 AND n > 0 AND a IS NOT NULL").groupBy(F.col("b").alias("node"))
+                 .agg(F.min("a").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-sets")
     top = (scan.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "a").limit(FREQUENT).collect())        # FREQUENT rows at most
     frequent = np.array([r.a for r in reversed(top)], np.int64).view(np.uint64)
