@@ -120,3 +120,15 @@ def test_connected_components(spark):
     want = {x: find(x) for x in root}
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == want
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, m = rng.integers(1, 700, 2)
+        pool = rng.integers(0, 2**63, 900, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, k)) for k in (n, m))
+        true = len(np.intersect1d(a, b))
+        assert true <= nj.overlap_bound(nj.sketch(a), nj.sketch(b)) <= min(len(a), len(b))
+    many = np.arange(64, dtype=np.uint64) << np.uint64(20)         # all in one bucket for long
+    assert nj.overlap_bound(nj.sketch(many), nj.sketch(many)) == 64
