@@ -49,6 +49,8 @@ ALPHA = 0.1
 KEPT, SHIFT = 1 << 20, 21
 #: Rows of one file in a block, and n-grams a task counts before it hands them on.
 BLOCK_ROWS, COUNT_AT = 8192, 4 << 20
+#: Words of a text that are read in one go.
+SEGMENT = 256
 END = np.uint64(0x2545F4914F6CDD1D)         # the end token's hash
 U = np.uint64
 
@@ -272,27 +274,41 @@ class Automaton:
         return nxt, log
 
 
-def _score_block(words: Words, root: np.ndarray, end_root: float, model: Automaton) -> np.ndarray:
-    """log10 probabilities of the texts of a slice: one pass, all texts in step."""
+def _score_block(words: Words, root: np.ndarray, end_root: float, model: Automaton, order: int) -> np.ndarray:
+    """log10 probabilities of the texts of a slice, read from left to right.
+
+    Texts are read in step, in segments of SEGMENT words so that long ones don't
+    keep the others waiting. A state stands for the last order - 1 words at
+    most, so the state that a segment starts with is the one those words lead
+    to from the root."""
     n = len(words.counts)
     number = number_of(words.hashes, model.kept)
-    order = np.argsort(-words.counts, kind="stable")
-    start, left = words.bounds[:-1][order], words.counts[order]
-    state = model.start(n)
-    total = np.zeros(n)
-    steps = int(left[0]) if n else 0
-    active = np.searchsorted(-left, -np.arange(steps), side="left") if n else []      # texts longer than t
+    parts = np.maximum(1, -(-words.counts // SEGMENT))
+    text = np.repeat(np.arange(n), parts)
+    which = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = words.bounds[:-1][text] + which * SEGMENT
+    left = np.minimum(words.counts[text] - which * SEGMENT, SEGMENT)
+    state = np.where(which == 0, model.base[0], 0)
+    later = np.flatnonzero(which)
+    for back in range(min(order - 1, SEGMENT), 0, -1):
+        at = start[later] - back
+        state[later], _ = model.step(state[later], number[at], root[at])
+    by = np.argsort(-left, kind="stable")
+    start, left, state = start[by], left[by], state[by]
+    total = np.zeros(len(by))
+    steps = int(left[0]) if len(left) else 0
+    active = np.searchsorted(-left, -np.arange(steps), side="left") if steps else []      # segments longer than t
     for t in range(steps):
         k = int(active[t])
         at = start[:k] + t
-        nxt, log = model.step(state[:k], number[at], root[at])
-        state[:k] = nxt
+        state[:k], log = model.step(state[:k], number[at], root[at])
         total[:k] += log
-    _, log = model.step(state, np.ones(n, np.int64), np.full(n, end_root))
-    total += log
-    out = np.empty(n)
-    out[order] = total
-    return out
+    out = np.bincount(text[by], weights=total, minlength=n)
+    last = np.empty(n, np.int64)
+    final = which[by] == parts[text[by]] - 1
+    last[text[by][final]] = state[final]
+    _, log = model.step(last, np.ones(n, np.int64), np.full(n, end_root))
+    return out + log
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -361,7 +377,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             n_known.append(have[w.bounds[1:]] - have[w.bounds[:-1]] + int(ends > 0))
             parts = [log[w.bounds[d]:w.bounds[d + 1]].sum() for d in range(len(w.counts))]
             base.append(np.array(parts) + end_log)
-            scores.append(_score_block(w, log, end_log, model.value))
+            scores.append(_score_block(w, log, end_log, model.value, order))
         cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return pa.table({"doc_id": texts["doc"], "held_out": texts["held"], "n_tokens": cat(n_tokens, np.int64),
                          "n_known": cat(n_known, np.int64), "train_tokens": np.full(len(held), tokens, np.int64),

@@ -85,6 +85,7 @@ def fixture():
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_equal_the_definition(spark, order, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(lm, "SEGMENT", 7)
     rows = fixture()
     df = spark.createDataFrame([(d, t, 1, "b") for d, t in rows], "doc_id long, text string, held int, block string")
     got = lm.lm_scores(df, order=order).collect()
