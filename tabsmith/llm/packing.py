@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm.store import documents, ship
-from tabsmith.llm.units import text_groups, unit_encoder
+from tabsmith.llm.units import CACHE_UNITS, text_groups, unit_encoder
 
 
 @dataclass(frozen=True)
@@ -203,12 +203,17 @@ def pack_stream(examples: Iterable, limits: Limits, pool: int, task: int) -> Ite
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
-                   end_id: int = 1, limits: Limits = Limits(), pool: int = 512) -> DataFrame:
-    """Pieces of all documents (``PIECES_DDL``), tokenized by a word-BPE file and ended by ``end_id``."""
+                   end_id: int = 1, limits: Limits = Limits(), pool: int = 512,
+                   cache_units: int = CACHE_UNITS) -> DataFrame:
+    """Pieces of all documents (``PIECES_DDL``), tokenized by a word-BPE file and ended by ``end_id``.
+
+    A worker keeps the ids of ``cache_units`` units (some 150 bytes each); fewer
+    take less memory and more time."""
     ship(docs.sparkSession)
 
     def examples(batches):
         encoder = unit_encoder(tokenizer, "word", 2)
+        encoder.limit = cache_units
         end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
             for keys, texts in text_groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
