@@ -53,7 +53,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
     import public_tokenizers
-    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the workers that packed serve the next stages and runs too, so they keep less
+    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_units=250_000)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
