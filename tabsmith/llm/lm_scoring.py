@@ -9,21 +9,25 @@ to the next shorter context, so every context sums to one.
 As an automaton, each context with kept continuations is a state; a kept n-gram
 is an arc to the longest context that ends in it; every other word takes the
 state's failure arc, whose weight is the backoff weight, and tries again there; the
-root has all words. One pass from left to right carries the state of each text
-and adds up log10 probabilities; the texts of a block go through in step.
+root has all words. A text's score is the sum of the log10 probabilities on its way.
 
 What is gathered:
 
-* Word counts are exact, over all training texts, for every word. The texts are
-  dealt into blocks by where they lie in their files. A block sends the count of
-  each of its distinct words; the counts meet by word, and each total goes back
-  to the blocks that have the word (unless the block's own count is the total).
-  So the vocabulary is never in one place, and the traffic is one row for a
-  block's distinct word, whatever its frequency.
-* Kept n-grams have at least max(2, N / KEPT) of the N training tokens and are made
-  of kept n-grams one word shorter. As counts of one order add up to N at most,
-  KEPT of each order can be kept, so the automaton's size has a bound and every
-  task can have a copy. The threshold is a share of the corpus, the same at any size.
+* Counts are exact, over all training texts, for every word and n-gram. The texts
+  are dealt into blocks by where they lie in their files, the keys (64-bit hashes)
+  into buckets of equal ranges, as many as the texts' bytes ask for. A block sends
+  the count of each of its distinct n-grams; the counts meet by bucket, and the
+  totals go back to the blocks that have the n-gram, in the order of its keys, which
+  the block makes again. So neither the vocabulary nor the model is ever in one
+  place, and the traffic is one key for a block's distinct n-gram, whatever its
+  frequency.
+* Every n-gram seen LEAST times or more is kept, whatever the size of the corpus (its
+  parts are seen as often, so they are kept too). For each kept n-gram one of the
+  blocks that have it adds to the sums of its context (how many continuations, their
+  counts, their counts in the shorter context); these meet by bucket and go back to
+  the blocks too. A block thus has the states, arcs and failure weights that its own
+  texts can reach: its part of the automaton. As it has the arcs of every position,
+  the positions are read at once instead of one after the other.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id is
 hashed as an empty text; repeated rows are learnt and scored one by one; without
@@ -33,24 +37,27 @@ table gives an empty result. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm.store import documents, save, ship
-from tabsmith.llm.textbatch import Words, word_slices
+from tabsmith.llm.textbatch import ODD, Words, mix, word_slices
 
 ORDER = 3
 DISCOUNT = 0.6
 ALPHA = 0.1
-#: At most so many n-grams of one order are kept; a word's number takes SHIFT bits.
-KEPT, SHIFT = 1 << 20, 21
-#: Rows of one file in a block, and n-grams a task counts before it hands them on.
-BLOCK_ROWS, COUNT_AT = 8192, 4 << 20
-#: Words of a text that are read in one go.
-SEGMENT = 256
+#: An n-gram seen so often is kept; how many may be kept has no bound.
+LEAST, KEPT = 2, math.inf
+#: Rows of one file in a block, and bytes of text for each bucket of keys.
+BLOCK_ROWS, BUCKET_BYTES = 4096, 8 << 20
+#: Positions that are scored in one go.
+SEGMENT = 1 << 19
+START = np.uint64(0x9B1A6C3F52D7E845)       # the start's hash
 END = np.uint64(0x2545F4914F6CDD1D)         # the end token's hash
 U = np.uint64
 
@@ -71,244 +78,288 @@ def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return place(save(docs.select(id_col, text_col), "lm-documents"))
 
 
-# ----------------------------------------------------------------- counts of words
-
-def _runs(block: np.ndarray):
-    cut = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else [0]
-    return list(zip(cut[:-1], cut[1:]))
+# ------------------------------------------------------------------------ n-grams
 
-
-def _count_words(batches):
-    """(block, word, count in training texts) of each distinct word of a block's texts."""
-    now, train, other = None, [], []
-
-    def rows():
-        seen, counts = np.unique(np.concatenate(train), return_counts=True) if train else (np.zeros(0, U), np.zeros(0, np.int64))
-        rest = np.setdiff1d(np.unique(np.concatenate(other)), seen, assume_unique=True) if other else np.zeros(0, U)
-        words = np.concatenate([seen, rest]).view(np.int64)
-        counts = np.concatenate([counts, np.zeros(len(rest), np.int64)])
-        train.clear()
-        other.clear()
-        return pa.RecordBatch.from_pydict({"block": np.full(len(words), now, np.int64), "word": words, "n": counts})
-
-    for b in batches:
-        blocks, held = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in _runs(blocks):
-            if now is not None and blocks[lo] != now:
-                yield rows()
-            now = int(blocks[lo])
-            for words in word_slices(b.column(2).slice(lo, hi - lo), fold=True):
-                h = held[lo + words.first:lo + words.first + len(words.counts)]
-                of = np.repeat(h, words.counts)
-                train += [words.hashes[~of], np.full(int((~h).sum()), END)]
-                other += [words.hashes[of], np.full(int(h.sum()), END)]
-    if now is not None:
-        yield rows()
-
-
-# --------------------------------------------------------------------- the model
-
-def _sequence(words: Words, numbers: np.ndarray, pick: np.ndarray | None):
-    """The texts' words as numbers, each text between a start (0) and an end (1): (sequence, text of each)."""
+def _sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a slice's words, each text between START and END, and the text of each."""
     n = len(words.counts)
     length = words.counts + 2
     starts = np.cumsum(length) - length
-    seq = np.empty(int(length.sum()), np.int64)
-    seq[starts] = 0
-    seq[starts + length - 1] = 1
+    seq = np.empty(int(length.sum()), U)
+    seq[starts] = START
+    seq[starts + length - 1] = END
     text = np.repeat(np.arange(n), words.counts)
-    seq[np.arange(len(numbers)) + 2 * text + 1] = numbers
-    of = np.repeat(np.arange(n), length)
-    if pick is not None:
-        keep = pick[of]
-        return seq[keep], of[keep]
-    return seq, of
-
-
-def number_of(hashes: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """2 + the place among the sorted kept words, -1 for the others."""
-    if not len(kept):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(kept, hashes), len(kept) - 1)
-    return np.where(kept[at] == hashes, at + 2, -1)
-
-
-def find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Each key's place in the sorted table, -1 for none."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-def gram_keys(seq: np.ndarray, of: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Keys of the n-grams one longer than the tables' last whose parts are all kept.
-
-    A word's key is its number; a longer n-gram's is the place of its start in
-    the table of that length, and the number of its last word."""
-    place = seq                                         # of the n-gram that ends here, as it is built up
-    for table in tables:
-        key = _extend(place, seq, of)
-        place = np.where(key >= 0, find(key, table), -1)
-    key = _extend(place, seq, of)
-    if tables:                                          # the n-gram without its first word is kept too
-        tail = seq
-        for table in tables:
-            k = _extend(tail, seq, of)
-            tail = np.where(k >= 0, find(k, table), -1)
-        key = np.where(tail >= 0, key, -1)
-    return key[key >= 0]
-
-
-def _extend(place: np.ndarray, seq: np.ndarray, of: np.ndarray) -> np.ndarray:
-    key = np.full(len(seq), -1, np.int64)
-    ok = (place[:-1] >= 0) & (seq[1:] >= 1) & (of[1:] == of[:-1])
-    key[1:][ok] = (place[:-1][ok] << SHIFT) | seq[1:][ok]
+    seq[np.arange(len(words.hashes)) + 2 * text + 1] = words.hashes
+    return seq, np.repeat(np.arange(n), length)
+
+
+def _longer(shorter: np.ndarray, seq: np.ndarray, k: int) -> np.ndarray:
+    """Keys of the k-grams that end at each place, from those one shorter."""
+    key = np.zeros(len(seq), U)
+    key[1:] = mix(shorter[:-1] * ODD + seq[1:] + U(k))
     return key
 
 
-def _count_grams(kept, tables):
-    def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
+def _inside(of: np.ndarray, k: int) -> np.ndarray:
+    """Whether a k-gram that ends at each place lies in one text."""
+    ok = np.zeros(len(of), dtype=bool)
+    ok[k - 1:] = of[k - 1:] == of[:len(of) - k + 1]
+    return ok
+
+
+def _numbers_out(x: np.ndarray) -> bytes:
+    """64-bit numbers, compressed as eight runs of bytes."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _numbers_in(raw: bytes, kind=np.int64) -> np.ndarray:
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _keys_out(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their differences."""
+    return _numbers_out(np.diff(keys, prepend=U(0)))
+
+
+def _keys_in(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers_in(raw, U), dtype=U)
+
 
-        def rows():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"key": keys, "n": n})
+def _bits_in(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
+
+def _cuts(keys: np.ndarray, buckets: int):
+    """(bucket, from, to) of the buckets that sorted keys fall into."""
+    if not len(keys):
+        return
+    of = ((keys >> U(32)) * U(buckets)) >> U(32)
+    at = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield int(of[lo]), lo, hi
+
+
+def _runs(block: np.ndarray):
+    cut = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else [0]
+    return list(zip(cut[:-1], cut[1:]))
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
+#: Words; the contexts that are no words (the start, n-grams short of the longest); the longest n-grams.
+WORDS, INNER, LONGEST = range(3)
+
+
+class Block:
+    """The n-grams of a block's texts.
+
+    ``keys`` has the sorted distinct keys of each kind, one kind after the other;
+    ``place[k - 1]`` where among them the k-gram is that ends at each position, -1 for none."""
+
+    def __init__(self, col, order: int, buckets: int):
+        parts = [(w.counts + 1, w.first, *_sequence(w)) for w in word_slices(col, fold=True)]
+        self.tokens = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        seq = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, U)
+        self.of = np.concatenate([p[1] + p[3] for p in parts]) if parts else np.zeros(0, np.int64)
+        del parts
+        self.starts = ~_inside(self.of, 2)
+        self.place = [np.full(len(seq), -1, np.int32) for _ in range(order)]
+        longer, key = [], seq
+        for k in range(2, order + 1):
+            key = _longer(key, seq, k)
+            longer.append((k - 1, key, _inside(self.of, k)))
+        kinds = [[(0, seq, ~self.starts)], [(0, seq, self.starts), *longer[:-1]], longer[-1:]]
+        keys, at, self.cuts = [], 0, {}
+        for kind, members in enumerate(kinds):
+            found, place = np.unique(np.concatenate([key[ok] for _, key, ok in members] or [np.zeros(0, U)]), return_inverse=True)
+            lo = 0
+            for k, _, ok in members:
+                n = int(ok.sum())
+                self.place[k][ok] = at + place[lo:lo + n]
+                lo += n
+            self.cuts |= {(kind, bucket): (at + lo, at + hi) for bucket, lo, hi in _cuts(found, buckets)}
+            keys.append(found)
+            at += len(found)
+        self.keys = np.concatenate(keys)
+
+    def values(self, rows: pa.Table, names: list[str]) -> list[np.ndarray]:
+        """Each key's values, 0 for the keys that the mask leaves out."""
+        out = [np.zeros(len(self.keys), np.int64) for _ in names]
+        for r in rows.to_pylist():
+            lo, hi = self.cuts[r["kind"], r["bucket"]]
+            at = lo + np.flatnonzero(_bits_in(r["mask"], hi - lo))
+            for o, name in zip(out, names):
+                o[at] = _bits_in(r[name], len(at)) if name == "mine" else _numbers_in(r[name])
+        return out
+
+
+SENT = "block long, bucket int, kind int, keys binary, n binary"
+SENT_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def _count(order: int, buckets: int):
+    """SENT: the count in training texts of each distinct word and n-gram of a block's texts, by bucket."""
+    def rows(block: int, texts: list[pa.Array], held: list[np.ndarray]):
+        made = Block(pa.chunked_array(texts), order, buckets)
+        train = ~np.concatenate(held)[made.of]
+        n = sum(np.bincount(p[train & (p >= 0)], minlength=len(made.keys)) for p in made.place)
+        return _table([(block, bucket, kind, _keys_out(made.keys[lo:hi]), _numbers_out(n[lo:hi]))
+                       for (kind, bucket), (lo, hi) in made.cuts.items()], SENT_ARROW).to_batches()
+
+    def run(batches):
+        now, texts, held = None, [], []
         for b in batches:
-            out = b.column(0).to_numpy(zero_copy_only=False)
-            for words in word_slices(b.column(1), fold=True):
-                train = ~out[words.first:words.first + len(words.counts)].astype(bool)
-                seq, of = _sequence(words, number_of(words.hashes, kept.value), train)
-                keys = gram_keys(seq, of, tables.value)
-                held.append(keys)
-                size += len(keys)
-                if size >= COUNT_AT:
-                    yield rows()
-                    size = 0
-        if held:
-            yield rows()
+            blocks, out = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi in _runs(blocks):
+                if now is not None and blocks[lo] != now:
+                    yield from rows(now, texts, held)
+                    texts, held = [], []
+                now = int(blocks[lo])
+                texts.append(b.column(2).slice(lo, hi - lo))
+                held.append(out[lo:hi])
+        if now is not None:
+            yield from rows(now, texts, held)
     return run
 
 
+TOTALS = "block long, bucket int, kind int, mask binary, keys binary, total binary, mine binary, tokens long, words long"
+TOTALS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("mask", pa.binary()), ("keys", pa.binary()),
+                          ("total", pa.binary()), ("mine", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
+
+
+def _total(sent: pa.Table) -> pa.Table:
+    """TOTALS of a bucket: for each block which of its keys are kept (or training texts' words), their totals
+    and whether the block is the one to add them to their contexts; the bucket's sums are in a row without a block."""
+    bucket = sent["bucket"][0].as_py()
+    by_kind: dict[int, list] = {}
+    for r in sent.to_pylist():
+        by_kind.setdefault(r["kind"], []).append((r["block"], _keys_in(r["keys"]), _numbers_in(r["n"])))
+    out, sums = [], (0, 0)
+    for kind, parts in by_kind.items():
+        n = np.concatenate([p[2] for p in parts])
+        seen, first, place = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+        total = np.bincount(place, weights=n, minlength=len(seen)).astype(np.int64)[place]
+        mine = first[place] == np.arange(len(place))
+        if kind == WORDS:
+            sums = (int(n.sum()), int((mine & (total > 0)).sum()))
+        lo = 0
+        for block, keys, _ in parts:
+            t, m = total[lo:lo + len(keys)], mine[lo:lo + len(keys)]
+            lo += len(keys)
+            keep = t >= (1 if kind == WORDS else LEAST)
+            out.append((block, bucket, kind, np.packbits(keep).tobytes(), b"" if kind == LONGEST else _keys_out(keys[keep]),
+                        _numbers_out(t[keep]), np.packbits(m[keep]).tobytes(), 0, 0))
+    out.append((None, bucket, None, b"", b"", b"", b"", *sums))
+    return _table(out, TOTALS_ARROW)
+
+
+SUMS = "bucket int, keys binary, kids binary, counts binary, shorter binary"
+SUMS_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "kids", "counts", "shorter")])
+
+
+def _context_sums(order: int, buckets: int):
+    """SUMS of the contexts of the kept n-grams that are this block's to add."""
+    def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        block = Block(texts["text"], order, buckets)
+        total, mine = block.values(totals, ["total", "mine"])
+        sums = [np.zeros(len(block.keys), np.int64) for _ in range(3)]
+        for k in range(1, order):
+            place = block.place[k]
+            at = np.flatnonzero(place >= 0)
+            at = at[(mine[place[at]] > 0) & (total[place[at]] >= LEAST)]
+            _, once = np.unique(place[at], return_index=True)
+            at = at[once]
+            context = block.place[k - 1][at - 1]
+            for s, w in zip(sums, (None, total[place[at]], total[block.place[k - 1][at]])):
+                s += np.bincount(context, weights=w, minlength=len(s)).astype(np.int64)
+        out = []
+        for (_, bucket), (lo, hi) in block.cuts.items():
+            at = lo + np.flatnonzero(sums[0][lo:hi])
+            if len(at):
+                out.append((bucket, _keys_out(block.keys[at]), *(_numbers_out(x[at]) for x in sums)))
+        return _table(out, SUMS_ARROW)
+    return run
+
+
+STATES = "block long, bucket int, kind int, mask binary, total binary, kids binary, counts binary, shorter binary"
+STATES_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32())]
+                         + [(c, pa.binary()) for c in ("mask", "total", "kids", "counts", "shorter")])
+
+
+def _states(totals: pa.Table, sums: pa.Table) -> pa.Table:
+    """STATES: the totals of a bucket's blocks with their contexts' sums."""
+    parts = sums.to_pylist()
+    seen, place = np.unique(np.concatenate([_keys_in(r["keys"]) for r in parts] or [np.zeros(0, U)]), return_inverse=True)
+    # one more, 0, for the keys that are no contexts
+    all_of = [np.bincount(place, weights=np.concatenate([_numbers_in(r[c]) for r in parts] or [np.zeros(0)]),
+                          minlength=len(seen) + 1).astype(np.int64) for c in ("kids", "counts", "shorter")]
+    out = []
+    for r in totals.to_pylist():
+        if r["kind"] == LONGEST:
+            at = np.full(_bits_in(r["mask"], None).sum(), len(seen))
+        else:
+            keys = _keys_in(r["keys"])
+            at = np.searchsorted(seen, keys)
+            at[at < len(seen)] = np.where(seen[at[at < len(seen)]] == keys[at < len(seen)], at[at < len(seen)], len(seen))
+        out.append((r["block"], r["bucket"], r["kind"], r["mask"], r["total"], *(_numbers_out(x[at]) for x in all_of)))
+    return _table(out, STATES_ARROW)
+
+
 class Automaton:
-    """States, arcs and failure arcs of kept n-grams.
-
-    ``grams[k]`` has the sorted keys and the counts of the (k + 2)-grams;
-    ``p1`` the log10 probabilities of the kept words by number (1: the end)."""
-
-    def __init__(self, kept: np.ndarray, contexts: np.ndarray, p1: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.kept = kept
-        # states: the root, one for each word (0: the start), one for each kept n-gram short of the longest
-        words = len(p1)
-        sizes = [words] + [len(k) for k, _ in grams[:-1]]
-        base = 1 + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        total = int(base[-1])
-        self.fail = np.zeros(total, np.int64)
-        self.backoff = np.zeros(total)
-        self.base = base
-        arcs, logs, nexts = [], [], []
-        lower: np.ndarray | None = None                 # log10 p of each n-gram one shorter, by place
-        for k, (keys, counts) in enumerate(grams):
-            context, word = keys >> SHIFT, keys & ((1 << SHIFT) - 1)
-            denominator = contexts if k == 0 else grams[k - 1][1]
-            p = (counts - DISCOUNT) / denominator[context]
-            state = base[k] + context
-            if k == 0:
-                short = 10 ** p1[word]
-                to_word = np.arange(words)
-                self.fail[base[0] + to_word] = 0
-                fails = base[0] + word                  # the state of the last word alone
-            else:
-                # the n-gram without its first word: its place in the table below
-                before = grams[k - 1][0]
-                if k == 1:
-                    inner = before[context] & ((1 << SHIFT) - 1)
-                else:
-                    inner = self.suffix[k - 1][context]
-                place = find((inner << SHIFT) | word, before)
-                short = 10 ** lower[place]
-                fails = base[k] + place
-            if k + 1 < len(grams):                      # this n-gram is a state: where it fails to
-                self.fail[base[k + 1] + np.arange(len(keys))] = fails
-            self.suffix = getattr(self, "suffix", {}) | {k: fails - base[k]}
-            used = np.bincount(context, weights=p, minlength=sizes[k])
-            covered = np.bincount(context, weights=short, minlength=sizes[k])
-            left = np.maximum(1 - used, 1e-9) / np.maximum(1 - covered, 1e-9)
-            self.backoff[base[k]:base[k] + sizes[k]] = np.log10(left)
-            arcs.append((state << SHIFT) | word)
-            logs.append(np.log10(p))
-            nexts.append(base[k + 1] + np.arange(len(keys)) if k + 1 < len(grams) else fails)
-            lower = np.log10(p)
-        order = np.argsort(np.concatenate(arcs)) if arcs else np.zeros(0, np.int64)
-        self.arcs, self.logs, self.next = ((np.concatenate(x)[order] if x else np.zeros(0)) for x in (arcs, logs, nexts))
-        self.arcs, self.next = self.arcs.astype(np.int64), self.next.astype(np.int64)
-        self.words = words
-
-    def start(self, n: int) -> np.ndarray:
-        return np.full(n, self.base[0], np.int64)       # the state of the start
-
-    def step(self, state: np.ndarray, word: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states and the log10 probabilities; ``root``: the words' own log10 probabilities."""
-        log = np.zeros(len(state))
-        nxt = np.zeros(len(state), np.int64)
-        go = np.arange(len(state))
-        at = state
-        while len(go):
-            key = np.where(word[go] >= 0, (at << SHIFT) | np.maximum(word[go], 0), -1)
-            place = find(key, self.arcs)
-            hit = place >= 0
-            log[go[hit]] += self.logs[place[hit]]
-            nxt[go[hit]] = self.next[place[hit]]
-            top = ~hit & (at == 0)
-            done = go[top]
-            log[done] += root[done]
-            w = word[done]
-            nxt[done] = np.where(w >= 0, self.base[0] + np.maximum(w, 0), 0)
-            rest = ~hit & ~top
-            go, at = go[rest], at[rest]
-            log[go] += self.backoff[at]
-            at = self.fail[at]
-        return nxt, log
-
-
-def _score_block(words: Words, root: np.ndarray, end_root: float, model: Automaton, order: int) -> np.ndarray:
-    """log10 probabilities of the texts of a slice, read from left to right.
-
-    Texts are read in step, in segments of SEGMENT words so that long ones don't
-    keep the others waiting. A state stands for the last order - 1 words at
-    most, so the state that a segment starts with is the one those words lead
-    to from the root."""
-    n = len(words.counts)
-    number = number_of(words.hashes, model.kept)
-    parts = np.maximum(1, -(-words.counts // SEGMENT))
-    text = np.repeat(np.arange(n), parts)
-    which = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = words.bounds[:-1][text] + which * SEGMENT
-    left = np.minimum(words.counts[text] - which * SEGMENT, SEGMENT)
-    state = np.where(which == 0, model.base[0], 0)
-    later = np.flatnonzero(which)
-    for back in range(min(order - 1, SEGMENT), 0, -1):
-        at = start[later] - back
-        state[later], _ = model.step(state[later], number[at], root[at])
-    by = np.argsort(-left, kind="stable")
-    start, left, state = start[by], left[by], state[by]
-    total = np.zeros(len(by))
-    steps = int(left[0]) if len(left) else 0
-    active = np.searchsorted(-left, -np.arange(steps), side="left") if steps else []      # segments longer than t
-    for t in range(steps):
-        k = int(active[t])
-        at = start[:k] + t
-        state[:k], log = model.step(state[:k], number[at], root[at])
-        total[:k] += log
-    out = np.bincount(text[by], weights=total, minlength=n)
-    last = np.empty(n, np.int64)
-    final = which[by] == parts[text[by]] - 1
-    last[text[by][final]] = state[final]
-    _, log = model.step(last, np.ones(n, np.int64), np.full(n, end_root))
-    return out + log
+    """The states, arcs and failure arcs that one block's texts can reach."""
+
+    def __init__(self, block: Block, rows: pa.Table, denominator: float):
+        self.block, self.denominator = block, denominator
+        self.total, self.kids, self.counts, self.shorter = block.values(rows, ["total", "kids", "counts", "shorter"])
+
+    def failure(self, state: np.ndarray, below: np.ndarray | None) -> np.ndarray:
+        """The log10 weights of the states' failure arcs; ``below``: the states they lead to, None for the root."""
+        total, kids = np.maximum(self.total[state], 1), self.kids[state]
+        used = (self.counts[state] - DISCOUNT * kids) / total
+        if below is None:
+            covered = (self.shorter[state] + ALPHA * kids) / self.denominator
+        else:
+            covered = (self.shorter[state] - DISCOUNT * kids) / np.maximum(self.total[below], 1)
+        return np.where(kids > 0, np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - covered, 1e-9)), 0.0)
+
+    def read(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The training counts and the log10 probabilities, by words alone and by the model, of the words at ``at``."""
+        place = self.block.place
+        count = self.total[place[0][at]]
+        base = np.log10((count + ALPHA) / self.denominator)
+        log = np.zeros(len(at))
+        go = np.arange(len(at))
+        for k in range(len(place) - 1, 0, -1):          # contexts of k words
+            here = at[go]
+            arc = place[k][here]
+            inside = arc >= 0
+            hit = inside & (self.total[arc] >= LEAST)
+            log[go[hit]] += np.log10((self.total[arc[hit]] - DISCOUNT) / self.total[place[k - 1][here[hit] - 1]])
+            fails = inside & ~hit
+            before = here[fails] - 1
+            log[go[fails]] += self.failure(place[k - 1][before], place[k - 2][before] if k > 1 else None)
+            go = go[~hit]
+        log[go] += base[go]
+        return count, base, log
+
+
+def _scores(model: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known words, and log10 probabilities by words alone and by the model, of each of the block's texts."""
+    n = len(model.block.tokens)
+    known, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
+    token = np.flatnonzero(~model.block.starts)
+    for lo in range(0, len(token), SEGMENT):
+        at = token[lo:lo + SEGMENT]
+        text = model.block.of[at]
+        first, width = int(text[0]), int(text[-1] - text[0]) + 1
+        count, alone, log = model.read(at)
+        for total, values in ((known, count > 0), (base, alone), (score, log)):
+            total[first:first + width] += np.bincount(text - first, weights=values, minlength=width)
+    return known, base, score
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -318,73 +369,28 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """SCORES of every row of ``docs``; the model is learnt from the rows that aren't held out."""
     spark = docs.sparkSession
     ship(spark)
-    sc = spark.sparkContext
     rows = blocked(docs, id_col, text_col)
-    by_word = Window.partitionBy("word")
-    counts = (rows.select("block", "held", "text").mapInArrow(_count_words, "block long, word long, n long")
-              .withColumn("total", F.sum("n").over(by_word))
-              .withColumn("first", F.row_number().over(by_word.orderBy("block", "n")) == 1))
-    counts = save(counts, "lm-words")
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
-                      F.count(F.when(F.col("first") & (F.col("total") > 0), 1)).alias("words")).first()
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    buckets = 1 + size // BUCKET_BYTES
+    sent = rows.select("block", "held", "text").mapInArrow(_count(order, buckets), SENT)
+    totals = save(sent.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals")
+    sums = totals.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words"))).first()
     tokens, vocabulary = sums.tokens, sums.words
-    denominator = tokens + ALPHA * (vocabulary + 1)
-    least = max(2, -(-tokens // KEPT))
-
-    # n-grams that are kept: KEPT of each order at most, as their counts add up to the number of tokens
-    common = counts.where(F.col("first") & (F.col("total") >= least)).select("word", "total").toArrow()
-    hashes = common["word"].to_numpy().view(np.uint64)
-    n = common["total"].to_numpy()
-    end = hashes == END
-    ends = int(n[end].sum()) if end.any() else int(
-        (counts.where(F.col("first") & (F.col("word") == int(END.view(np.int64)))).select("total").first() or [0])[0])
-    by = np.argsort(hashes[~end])
-    kept, word_counts = hashes[~end][by], n[~end][by]
-    kept_b = sc.broadcast(kept)
-    # by number: the start (as a context, as many as texts), the end, the kept words
-    contexts = np.concatenate([[max(ends, 1), 1], word_counts]).astype(float)
-    p1 = np.log10((np.concatenate([[0, ends], word_counts]) + ALPHA) / max(denominator, ALPHA))
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    text = rows.select("held", "text")
-    for _ in range(order - 1):
-        tables = sc.broadcast([k for k, _ in grams])
-        found = (text.mapInArrow(_count_grams(kept_b, tables), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-                 .where(F.col("n") >= least).toArrow())
-        keys, n = found["key"].to_numpy(), found["n"].to_numpy()
-        by = np.argsort(keys)
-        grams.append((keys[by], n[by].astype(float)))
-    model = sc.broadcast(Automaton(kept, contexts, p1, grams))
-
-    def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        known = totals["word"].to_numpy().view(np.uint64)
-        by = np.argsort(known)
-        known, total = known[by], totals["total"].to_numpy()[by]
-        held = texts["held"].to_numpy().astype(bool)
-        col = texts["text"].combine_chunks()
-        slices = list(word_slices(col, fold=True))
-        # the block's own counts: right for every word whose total was not sent
-        own = [w.hashes[np.repeat(~held[w.first:w.first + len(w.counts)], w.counts)] for w in slices]
-        own, own_n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, U), np.zeros(0, np.int64))
-        n_tokens, n_known, base, scores = [], [], [], []
-        end_log = float(np.log10((ends + ALPHA) / max(denominator, ALPHA)))
-        for w in slices:
-            at = find(w.hashes, known)
-            mine = find(w.hashes, own)
-            c = np.where(at >= 0, total[at] if len(total) else 0, np.where(mine >= 0, own_n[mine] if len(own_n) else 0, 0))
-            log = np.log10((c + ALPHA) / max(denominator, ALPHA))
-            have = np.concatenate([[0], np.cumsum(c > 0)])
-            n_tokens.append(w.counts + 1)
-            n_known.append(have[w.bounds[1:]] - have[w.bounds[:-1]] + int(ends > 0))
-            parts = [log[w.bounds[d]:w.bounds[d + 1]].sum() for d in range(len(w.counts))]
-            base.append(np.array(parts) + end_log)
-            scores.append(_score_block(w, log, end_log, model.value, order))
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pa.table({"doc_id": texts["doc"], "held_out": texts["held"], "n_tokens": cat(n_tokens, np.int64),
-                         "n_known": cat(n_known, np.int64), "train_tokens": np.full(len(held), tokens, np.int64),
-                         "base_score": cat(base, float), "score": cat(scores, float)})
-
-    totals = counts.where("total <> n").select("block", "word", "total")
-    return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, SCORES)
+    denominator = max(tokens + ALPHA * (vocabulary + 1), ALPHA)
+    totals = totals.where("block IS NOT NULL").drop("tokens", "words")
+    # the same texts by block as below, so they are sent once
+    contexts = (rows.groupBy("block").cogroup(totals.select("block", "bucket", "kind", "mask", "total", "mine").groupBy("block"))
+                .applyInArrow(_context_sums(order, buckets), SUMS))
+    states = totals.drop("mine").groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_states, STATES)
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        block = Block(texts["text"], order, buckets)
+        n_known, base, scores = _scores(Automaton(block, known, denominator))
+        return pa.table({"doc_id": texts["doc"], "held_out": texts["held"], "n_tokens": block.tokens.astype(np.int64),
+                         "n_known": n_known.astype(np.int64), "train_tokens": np.full(len(n_known), tokens, np.int64),
+                         "base_score": base, "score": scores})
+
+    return rows.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(score, SCORES)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

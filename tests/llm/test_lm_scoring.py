@@ -120,3 +120,16 @@ def test_empty_table_and_no_training_rows(spark):
     got = lm.lm_scores(df).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(3, 0, 0)}
     assert all(np.isfinite(r.score) and abs(r.score - r.base_score) < 1e-9 for r in got)
+
+
+def test_ngrams_seen_twice_are_kept_in_a_large_corpus(spark):
+    """With more than 2^21 training tokens a bigram seen twice still makes its second word likelier."""
+    filler = " ".join(f"f{i % 50}" for i in range(60_000))
+    train = [d for d in range(1, 60) if not held(d)][:40]
+    rows = [(d, filler) for d in train] + [(d, "qa qb qc") for d in [d for d in range(100, 120) if not held(d)][:2]]
+    rows.append((next(d for d in range(200, 260) if held(d)), "qa qb qc"))
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    r = got[rows[-1][0]]
+    assert r.train_tokens > 2 << 20 and r.held_out
+    # p(qa | start) = 1.4 / 42, p(qb | start qa) = p(qc | qa qb) = p(end | qb qc) = 1.4 / 2
+    assert abs(r.score - (math.log10(1.4 / 42) + 3 * math.log10(0.7))) < 1e-6
