@@ -18,7 +18,8 @@ have the same value (no symbols, no repeated lines).
 Only texts that pass the base rules shape the estimates. A language and source
 with fewer than ``min_group`` of them share the estimate of their language's
 small sources; a language with fewer shares one of all such; if those are fewer
-than ``min_group`` too, they have no estimate and are kept.
+than ``min_group`` too, they are judged by the estimate of all texts that pass the
+base rules, so each of these has a distance at any size of the table.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 null language or source is a value of its own; repeated rows are judged one by
@@ -213,6 +214,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
 def estimates(stats: DataFrame, lang_col: str, source_col: str, *, min_group: int = 200) -> DataFrame:
     """(lang, source, mean, inverse) of each language and source of ``stats`` that has an estimate.
 
+    If there are others, a row with null lang and source has the estimate of all rows, for them.
     ``stats`` needs lang, source, the vector and ``fit`` (whether a row shapes the estimate)."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang_col, source_col))
     fit = stats.where("fit").select(lang.alias("lang"), source.alias("source"), *XS)
@@ -225,8 +227,14 @@ def estimates(stats: DataFrame, lang_col: str, source_col: str, *, min_group: in
                          .when(~rest, F.xxhash64(F.lit("lang"), "lang")).otherwise(F.lit(0).cast("long")).alias("g"))
     sizes = save(sizes, "mcd-groups")
     enough = sizes.groupBy("g").agg(F.sum("n").alias("size")).where(F.col("size") >= min_group).select("g")
-    groups = save(sizes.join(enough, "g").select("lang", "source", "g"), "mcd-of")
-    vectors = save(fit.join(groups, ["lang", "source"]).select("g", *XS), "mcd-vectors")
+    groups = sizes.join(enough, "g").select("lang", "source", "g")
+    vectors = fit.join(groups, ["lang", "source"]).select("g", *XS)
+    if sizes.join(enough, "g", "left_anti").limit(1).count():
+        every = F.lit(1).cast("long").alias("g")
+        groups = groups.unionByName(stats.sparkSession.range(1).select(
+            F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), every))
+        vectors = vectors.unionByName(fit.select(every, *XS))
+    groups, vectors = save(groups, "mcd-of"), save(vectors, "mcd-vectors")
     params = _starts(vectors)
     for _ in range(STEPS):
         params = _step(vectors, params, H)
@@ -237,15 +245,21 @@ def estimates(stats: DataFrame, lang_col: str, source_col: str, *, min_group: in
 
 
 def judge(stats: DataFrame, params: DataFrame, lang_col: str, source_col: str, tail: float) -> DataFrame:
-    """``stats`` plus ``distance`` (double, null without an estimate) and ``kept`` (boolean)."""
+    """``stats`` plus ``distance`` (double) and ``kept`` (boolean).
+
+    Rows that pass the base rules and whose language and source have no estimate are
+    measured by that of all rows; the distance of other rows without one is null."""
     p = params.select(F.col("lang").alias("_pl"), F.col("source").alias("_ps"), F.col("mean").alias("_pm"),
                       F.col("inverse").alias("_pi"))
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang_col, source_col))
+    every = p.where("_pl IS NULL").select(F.col("_pm").alias("_em"), F.col("_pi").alias("_ei"))
     out = stats.join(p, (lang == F.col("_pl")) & (source == F.col("_ps")), "left")
+    out = out.join(F.broadcast(every), F.col("_pm").isNull() & ~F.col("base_failed"), "left")
+    out = out.withColumns({"_pm": F.coalesce("_pm", "_em"), "_pi": F.coalesce("_pi", "_ei")})
     out = out.withColumn("distance", _distance([F.col(x) for x in XS], "_pm", "_pi"))
     out = out.withColumn("distance", F.when(F.col("_pm").isNotNull(), F.col("distance")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_cut(tail), F.lit(True))
-    return out.withColumn("kept", kept).drop("_pl", "_ps", "_pm", "_pi")
+    return out.withColumn("kept", kept).drop("_pl", "_ps", "_pm", "_pi", "_em", "_ei")
 
 
 def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",

@@ -76,6 +76,28 @@ def test_estimate_withstands_outliers(spark):
     assert got["hot"] == (3000, 3900) and got[None] == (3, 3)
 
 
+def test_every_document_is_judged_on_a_small_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = qr.op1_quality_rules(spark, sf).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [r for r in rows if not r.base_failed]
+    assert judged and all(r.distance is not None and r.kept == (r.distance <= qr.chi2_cut(qr.TAIL)) for r in judged)
+    good = [r.kept for r in judged if labels.get(r.doc_id) == 1]
+    bad = [r.kept for r in judged if labels.get(r.doc_id) == 0]
+    assert sum(good) / len(good) > 0.98 and sum(bad) < len(bad)
+
+
+def test_a_rare_language_is_judged_on_a_large_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [("en", "web", True, *map(float, x)) for x in rng.normal(1.0, 0.3, (3000, qr.P))]
+    rows += [("xx", "web", True, *([1.1] * qr.P)), ("xx", "web", True, *([9.0] * qr.P)), ("yy", None, False, *([9.0] * qr.P))]
+    cols = "lang string, source string, fit boolean, " + ", ".join(f"{x} double" for x in qr.XS)
+    stats = spark.createDataFrame(rows, cols).repartition(4).withColumn("base_failed", ~F.col("fit"))
+    out = qr.judge(stats, qr.estimates(stats, "lang", "source"), "lang", "source", qr.TAIL).collect()
+    assert len(out) == len(rows) and all((r.distance is None) == (r.lang == "yy") for r in out)
+    assert sorted((r.x0, r.kept) for r in out if r.lang == "xx") == [(1.1, True), (9.0, False)]
+
+
 def test_chi2_cut():
     assert abs(qr.chi2_cut(0.05, 8) - 15.507) < 1e-3 and abs(qr.chi2_cut(0.01, 10) - 23.209) < 1e-3
 
