@@ -7,7 +7,8 @@ union, and because the cut is the same for all texts, the share of a small text'
 hashes found in a large one estimates containment whatever the sizes. A text
 with words, none of whose hashes is below the cut, keeps its smallest hash, so
 that it is never mistaken for an empty one; a merge drops such a hash as soon as
-there is one below the cut.
+there is one below the cut. Such a hash says nothing of what other texts contain, so
+the containment of a text that has no other is unknown (null).
 
 The printed form is the sorted hashes as 16 hexadecimal digits each.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tabsmith.llm.store import documents, free_name, save
 
 SHINGLE = 5
-FRACTION = 16                   # one hash in so many is kept
+FRACTION = 4                    # one hash in so many is kept
 #: Documents whose successors are found in one window.
 BLOCK = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,8 +85,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The estimated share of the first text's shingles that the second has."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """The estimated share of the first text's shingles that the second has; null if the first has no hash below the cut."""
+    share = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.get(a, F.lit(0)) < LIMIT, share)
 
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text", name: str = "sketch") -> DataFrame:

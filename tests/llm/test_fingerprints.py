@@ -38,6 +38,18 @@ def test_sketch_is_a_share_of_shingles_and_merges(spark):
     assert row.one == [fp.LIMIT + 5] and row.drop == s and row.same == 1.0 and row.none == 0.0
 
 
+def test_short_texts_inside_long_ones(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows.append((" ".join(words[100:115]), " ".join(words)))        # 11 shingles of 596
+    df = spark.createDataFrame(rows, "short string, long string")
+    df = fp.fingerprint(fp.fingerprint(df, text_col="short", name="s"), text_col="long", name="l")
+    got = [r.c for r in df.select(fp.containment(F.col("s"), F.col("l")).alias("c")).collect()]
+    assert set(got) <= {1.0, None} and got.count(None) < 0.1 * len(got)
+
+
 def brute_edit(rows):
     out = {}
     for k, (d, t) in enumerate(rows):
