@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tabsmith.llm import (byte_bpe, chat_format, fingerprints, line_dedup, lm_scoring, ngram_join, packing,
-                          quality_classifier, quality_rules, token_files)
+from tabsmith.llm import (byte_bpe, centroids, chat_format, fingerprints, line_dedup, lm_scoring, ngram_join, packing,
+                          quality_classifier, quality_rules, simhash, source_divergence, token_files)
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "op11_centroid_clustering": centroids.op11_centroid_clustering,
+        "op12_simhash_dedup": simhash.op12_simhash_dedup,
+        "op13_source_divergence": source_divergence.op13_source_divergence,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": chat_format.OP2_SQL,
         "op3_ngram_join": ngram_join.OP3_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_centroid_clustering": centroids.OP11_SQL,
+        "op13_source_divergence": source_divergence.OP13_SQL,
     }

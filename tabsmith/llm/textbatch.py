@@ -8,6 +8,7 @@ a-z share their values when ``fold`` is set.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,6 +55,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"]
 
 
+_SPACE = re.compile(rb"[ \t-\r]")
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[32] = True
 SEPARATOR[9:14] = True
@@ -76,6 +78,18 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
+def word_pieces(raw: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, in lists from about ``size`` bytes each."""
+    start = 0
+    while start < len(raw):
+        end = start + size
+        if end < len(raw):                      # to the end of the word that ``size`` bytes cut
+            space = _SPACE.search(raw, end)
+            end = space.start() if space else len(raw)
+        yield raw[start:end].split()
+        start = end
+
+
 class Words:
     """The words of the texts ``first`` to ``first + len(self.counts)`` of a batch."""
 
