@@ -65,20 +65,21 @@ def label_encode():
     return f"WITH {DIRTY_LINEITEM},\n{', '.join(ctes)}\nSELECT {sel} FROM dirty {' '.join(joins)}"
 
 
-def impute_features_mean():
+def _imputed(condition: str = "") -> str:
+    """Missing features filled with a mean of the labelled rows, taken as a window (no join)."""
     filled = ["l_quantity", "l_extendedprice"]
-    st = ", ".join(f"avg({c}::DOUBLE) AS m_{c}" for c in filled)
-    exprs = {c: f"coalesce({c}::DOUBLE, st.m_{c})" for c in filled}
-    return (f"WITH {DIRTY_LINEITEM},\nlab AS (SELECT * FROM dirty WHERE l_returnflag IS NOT NULL),\n"
-            f"st AS MATERIALIZED (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
+    means = ", ".join(f"avg({c}::DOUBLE) {condition} OVER () AS m_{c}" for c in filled)
+    exprs = {c: f"coalesce({c}::DOUBLE, m_{c})" for c in filled}
+    return (f"WITH {DIRTY_LINEITEM}\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} "
+            f"FROM (SELECT *, {means} FROM dirty WHERE l_returnflag IS NOT NULL)")
+
+
+def impute_features_mean():
+    return _imputed()
 
 
 def impute_features_train_only():
-    filled = ["l_quantity", "l_extendedprice"]
-    st = ", ".join(f"avg({c}::DOUBLE) FILTER (WHERE {SPLIT} = 'train') AS m_{c}" for c in filled)
-    exprs = {c: f"coalesce({c}::DOUBLE, st.m_{c})" for c in filled}
-    return (f"WITH {DIRTY_LINEITEM},\nlab AS (SELECT * FROM dirty WHERE l_returnflag IS NOT NULL),\n"
-            f"st AS MATERIALIZED (SELECT {st} FROM lab)\nSELECT {_rounded(DIRTY_COLUMNS, exprs)} FROM lab, st")
+    return _imputed(f"FILTER (WHERE {SPLIT} = 'train')")
 
 
 def split():

@@ -270,8 +270,11 @@ FILLED_NUMERIC = ["l_quantity", "l_extendedprice"]   # dirty columns with missin
 
 
 def fill_missing(stat: str) -> str:
-    fn = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)"}[stat]
-    st = ", ".join(f"{fn.format(qi(c) + '::DOUBLE')} AS {qi('s_' + c)}" for c in FILLED_NUMERIC)
+    if stat == "mean":          # as windows over the whole frame: no join
+        means = ", ".join(f"avg({qi(c)}::DOUBLE) OVER () AS {qi('s_' + c)}" for c in FILLED_NUMERIC)
+        exprs = {c: f"coalesce({qi(c)}, {qi('s_' + c)})" for c in FILLED_NUMERIC}
+        return f"WITH {DIRTY_LINEITEM}\nSELECT {_select_rounded(DIRTY_COLUMNS, exprs)} FROM (SELECT *, {means} FROM dirty)"
+    st = ", ".join(f"quantile_cont({qi(c)}::DOUBLE, 0.5) AS {qi('s_' + c)}" for c in FILLED_NUMERIC)
     exprs = {c: f"coalesce({qi(c)}, st.{qi('s_' + c)})" for c in FILLED_NUMERIC}
     return (f"WITH {DIRTY_LINEITEM},\nst AS MATERIALIZED (SELECT {st} FROM dirty)\n"
             f"SELECT {_select_rounded(DIRTY_COLUMNS, exprs)} FROM dirty, st")
@@ -318,13 +321,11 @@ def remove_outliers_events() -> str:
 
 def remove_outliers_once(z: int = 3) -> str:
     nums = [c for c, _, _ in NUMERIC_DIRTY]
-    st = ", ".join(f"avg({qi(c)}::DOUBLE) AS {qi('m_' + c)}, "
-                   f"stddev_samp({qi(c)}::DOUBLE) AS {qi('s_' + c)}" for c in nums)
+    st = ", ".join(f"avg({qi(c)}::DOUBLE) OVER () AS {qi('m_' + c)}, "
+                   f"stddev_samp({qi(c)}::DOUBLE) OVER () AS {qi('s_' + c)}" for c in nums)
     cond = " AND ".join(
-        f"(st.{qi('s_' + c)} = 0 OR abs(({qi(c)}::DOUBLE - st.{qi('m_' + c)}) / st.{qi('s_' + c)}) < {z})"
-        for c in nums)
-    return (f"WITH {DIRTY_LINEITEM},\nst AS MATERIALIZED (SELECT {st} FROM dirty)\n"
-            f"SELECT {_select_rounded(DIRTY_COLUMNS, table='dirty.')} FROM dirty, st WHERE {cond}")
+        f"({qi('s_' + c)} = 0 OR abs(({qi(c)}::DOUBLE - {qi('m_' + c)}) / {qi('s_' + c)}) < {z})" for c in nums)
+    return f"WITH {DIRTY_LINEITEM}\nSELECT {_select_rounded(DIRTY_COLUMNS)} FROM (SELECT *, {st} FROM dirty) WHERE {cond}"
 
 
 def cleaning_report() -> str:
