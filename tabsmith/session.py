@@ -71,6 +71,13 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+def save_once(df, name: str):
+    """``df`` written to the shared folder and read back: computed once, and no lineage behind it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
     shared folder (survives executor loss), or a persisted copy when the

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.sources.quoted_lines import quoted_records
 
 # FIXED VALUES: pandas' default missing-value tokens and boolean spellings
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -83,6 +84,16 @@ def _raw(spark, path, encoding, sep, n, multiline):
             .option("enforceSchema", True).schema(schema).csv(path))
 
 
+def _raw_quoted(spark, path, encoding, sep, n) -> DataFrame | None:
+    """Like ``_raw`` for files with quoted line breaks, from any number of splits."""
+    records = quoted_records(spark, path, sep, encoding)
+    if records is None:
+        return None
+    fields = ", ".join(f"c{i} string" for i in range(n)) + f", {EXTRA} string"
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    return records.where(~F.col("first")).select(F.from_csv("text", fields, options).alias("r")).select("r.*")
+
+
 def _na_cleaned(raw: DataFrame, n: int) -> DataFrame:
     """Rows no longer than the header, pandas' NA tokens as NULL."""
     na = F.array(*[F.lit(t) for t in NA_TOKENS])
@@ -140,14 +151,17 @@ def _typed(df: DataFrame, names: list[str], types: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def _probe(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """Whether the bytes are UTF-8, and whether a line has an odd number of
-    quotes (a quoted field goes on in the next line), from the raw lines."""
+def _probe(spark: SparkSession, path: str) -> tuple[bool, bool, bool]:
+    """Whether the bytes are UTF-8; whether a line has an odd number of quotes (a
+    quoted field goes on in the next line); whether a carriage return stands
+    alone (it ends a line for the whole-file reader), from the raw lines."""
     line = F.col("value")
     quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
-    row = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8(line)).alias("bad"),
-                                    F.count_if(quotes % 2 == 1).alias("odd")).first()
-    return not row["bad"], bool(row["odd"])
+    alone = F.locate("\r", F.regexp_replace(line, "\r$", "")) > 0
+    row = spark.read.option("lineSep", "\n").text(path).agg(
+        F.count_if(~F.is_valid_utf8(line)).alias("bad"), F.count_if(quotes % 2 == 1).alias("odd"),
+        F.count_if(alone).alias("alone")).first()
+    return not row["bad"], bool(row["odd"]), bool(row["alone"])
 
 
 def load_csv(spark: SparkSession, path: str, encodings=ENCODINGS, seps=SEPARATORS,
@@ -156,11 +170,13 @@ def load_csv(spark: SparkSession, path: str, encodings=ENCODINGS, seps=SEPARATOR
 
     ``on_bad="skip"`` drops rows longer than the header; ``"fail"`` raises
     when one exists (the upload endpoint's behaviour). Quoted line breaks are
-    found and parsed unless ``multiline`` says otherwise; a file that has them
-    is read by a single task (it cannot be split), the others are split.
+    found and parsed unless ``multiline`` says otherwise; files that have them
+    are split like others (``sources.quoted_lines``). Only files that also use
+    lone carriage returns, or have more splits than the scan of their states
+    holds, are read by a single task each.
     """
     last_error = None
-    is_utf8, breaks = _probe(spark, path)
+    is_utf8, breaks, alone = _probe(spark, path)
     if multiline is None:
         multiline = breaks
     for name in encodings:
@@ -178,7 +194,9 @@ def load_csv(spark: SparkSession, path: str, encodings=ENCODINGS, seps=SEPARATOR
             if len(header) < 2 and k < len(seps) - 1:
                 continue
             n = len(header)
-            raw = _raw(spark, path, enc, sep, n, multiline)
+            raw = _raw_quoted(spark, path, enc, sep, n) if multiline and not alone else None
+            if raw is None:
+                raw = _raw(spark, path, enc, sep, n, multiline)
             stats = _scan(raw, n)           # the only pass before the typed read
             if on_bad == "fail" and stats["long"]:
                 raise ValueError("CSV has rows with more fields than the header")
