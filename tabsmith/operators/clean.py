@@ -20,7 +20,8 @@ from tabsmith.functions.columns import (CATEGORICAL, INTEGRAL_TYPES, NUMERIC, as
                                         columns_info)
 from tabsmith.functions.quantiles import quantiles
 from tabsmith.functions.duplicates import drop_duplicate_rows, duplicate_stats
-from tabsmith.operators.profile import AGG_FIELDS, chunks, value_counts
+from tabsmith.functions.frequent import modes
+from tabsmith.operators.profile import AGG_FIELDS, chunks
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -89,20 +90,8 @@ def fill_missing_median(df: DataFrame) -> DataFrame:
 
 
 def column_modes(df: DataFrame, names: list[str]) -> dict:
-    """Most frequent non-missing value per column, smallest value on ties.
-
-    Counts are pre-aggregated per (column, value); the per-column pick is a
-    partial aggregate ``min(struct(-count, value))`` -- never one group holding
-    a whole column.
-    """
-    if not names:
-        return {}
-    counts = value_counts(df, names)
-    best = (counts.groupBy("column")
-                  .agg(F.min(F.struct((-F.col("count")).alias("nc"),
-                                      F.col("value").alias("v"))).alias("b"))
-                  .select("column", F.col("b.v").alias("mode")).collect())
-    return {r["column"]: r["mode"] for r in best}
+    """Most frequent non-missing value per column, smallest value on ties (``functions.frequent``)."""
+    return modes(df, names)
 
 
 def fill_missing_mode(df: DataFrame) -> DataFrame:

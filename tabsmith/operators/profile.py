@@ -3,15 +3,15 @@
 Design rule P1: all statistics of one operator come from a single ``agg`` whose
 one-row result is unpivoted into tidy rows with ``inline``. Exact quantiles use
 the distributed selection in ``functions.quantiles``; top values use
-pre-aggregated counts and a per-column ``ORDER BY ... LIMIT k`` (bounded
-TakeOrderedAndProject), never a window over a whole column.
+pre-aggregated counts of keys of bounded size (``functions.frequent``) and a
+per-column ``ORDER BY ... LIMIT k``, never a window over a whole column.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, co
                                         pct, rows_from_structs)
 from tabsmith.functions.correlation import AGGREGATE_PAIRS, matrix_corr, pair_corr_aggs
 from tabsmith.functions.duplicates import duplicate_stats
+from tabsmith.functions.frequent import key_counts, most_frequent
 from tabsmith.functions.quantiles import quantiles
 from tabsmith.session import materialize
 
@@ -131,32 +132,6 @@ def describe_statistics(df: DataFrame, digits: int = 4, approx: bool = False) ->
                       *[F.bround(c, digits).alias(c) for c in DESCRIBE_SCHEMA.names[3:]])
 
 
-def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """(ordinal, column, value, count) for non-missing values of string-typed
-    columns; one pre-aggregated shuffle for all columns."""
-    pos = {c.name: c.ordinal for c in columns_info(df)}
-    items = F.array(*[F.struct(F.lit(pos[n]).cast("bigint").alias("ordinal"),
-                               F.lit(n).alias("column"),
-                               col(n).cast("string").alias("value")) for n in names])
-    pairs = df.select(F.inline(items)).filter(F.col("value").isNotNull())
-    return pairs.groupBy("ordinal", "column", "value").agg(F.count(F.lit(1)).alias("count"))
-
-
-def top_k_per_column(counts: DataFrame, ordinals: list[int], k: int) -> DataFrame:
-    """Top k values of each column by (count desc, value asc), with rank.
-
-    One bounded ``orderBy().limit(k)`` (TakeOrderedAndProject: partial top-k
-    per partition, then a merge) per column over the shared, materialised
-    counts; the rank window then sees at most k rows per column.
-    """
-    parts = [counts.filter(F.col("ordinal") == o)
-                   .orderBy(F.col("count").desc(), F.col("value").asc()).limit(k)
-             for o in ordinals]
-    top = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy("ordinal").orderBy(F.col("count").desc(), F.col("value").asc())
-    return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
-
-
 TOP_VALUES_SCHEMA = ("ordinal bigint, column string, nunique bigint, rank bigint, "
                      "value string, count bigint")
 
@@ -167,14 +142,13 @@ def top_values(df: DataFrame, k: int = 5) -> DataFrame:
     info = [c for c in columns_info(df) if c.cls == CATEGORICAL]
     if not info:
         return df.sparkSession.createDataFrame([], TOP_VALUES_SCHEMA)
-    # one scan and shuffle of the input; the per-column top-k branches and the
-    # distinct counts then read the (much smaller) aggregated counts
-    counts = materialize(value_counts(df, [c.name for c in info]))
-    nunique = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("nunique"))
-    top = top_k_per_column(counts, [c.ordinal for c in info], k)
-    return (top.join(nunique, "ordinal")
-               .select("ordinal", "column", F.col("nunique").cast("bigint").alias("nunique"),
-                       "rank", "value", F.col("count").cast("bigint").alias("count")))
+    # one scan and shuffle of keys of bounded size; the texts of the winners alone are fetched
+    counts = materialize(key_counts(df, [c.name for c in info]))
+    nunique = counts.groupBy("ordinal").agg(F.count(F.lit(1)).cast("bigint").alias("nunique"))
+    named = df.sparkSession.createDataFrame([(c.ordinal, c.name) for c in info], "ordinal bigint, column string")
+    top = most_frequent(df, [c.name for c in info], counts, k)
+    return (top.join(F.broadcast(nunique), "ordinal").join(F.broadcast(named), "ordinal")       # a row a column
+               .select("ordinal", "column", "nunique", "rank", "value", "count"))
 
 
 DESCRIBE_ALL_SCHEMA = ("ordinal bigint, column string, count bigint, unique bigint, "
@@ -197,18 +171,18 @@ def describe_all(df: DataFrame, digits: int = 4) -> DataFrame:
                             F.lit(None).cast("bigint").alias("freq"),
                             "mean", "std", "min", "p25", "p50", "p75", "max"))
     if text_cols:
-        counts = value_counts(df, [c.name for c in text_cols])
+        names = [c.name for c in text_cols]
+        counts = materialize(key_counts(df, names))
+        named = spark.createDataFrame([(c.ordinal, c.name) for c in text_cols], "ordinal bigint, column string")
         # one row a column; read by two branches, so computed once
-        per_col = materialize(counts.groupBy("ordinal", "column").agg(
-            F.sum("count").cast("bigint").alias("count"),
-            F.count(F.lit(1)).cast("bigint").alias("unique"),
-            # highest count, then smallest value: min over (-count, value)
-            F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v"))).alias("best")))
+        per_col = materialize(counts.groupBy("ordinal").agg(F.sum("count").cast("bigint").alias("count"),
+                                                            F.count(F.lit(1)).cast("bigint").alias("unique"))
+                              .join(F.broadcast(named), "ordinal")
+                              .join(most_frequent(df, names, counts, 1)
+                                    .select("ordinal", F.col("value").alias("top"), F.col("count").alias("freq")), "ordinal"))
         nulls = [F.lit(None).cast("double").alias(n)
                  for n in ("mean", "std", "min", "p25", "p50", "p75", "max")]
-        parts.append(per_col.select("ordinal", "column", "count", "unique",
-                                    F.col("best.v").alias("top"),
-                                    (-F.col("best.nc")).cast("bigint").alias("freq"), *nulls))
+        parts.append(per_col.select("ordinal", "column", "count", "unique", "top", "freq", *nulls))
         # columns with no value at all still get a row
         empty = [c for c in text_cols]
         parts.append(spark.createDataFrame(
