@@ -147,20 +147,46 @@ def distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 # -------------------------------------------------------------------- KDE
 
-def kde(df: DataFrame, columns: list[str] | None = None, points: int = 50,
-        by: str | None = None, prebin: int | None = None) -> DataFrame:
+#: A cell of the fast Gauss transform is this part of a bandwidth wide, and keeps so many moments.
+#: With |u| <= CELL / 2 the terms left out of exp(t u - u^2 / 2) = sum of He_j(t) u^j / j! are, times
+#: exp(-t^2 / 2), at most 1.09 sum over j >= MOMENTS of |u|^j / sqrt(j!) (Cramer's bound): 6e-13 of a kernel's peak.
+CELL, MOMENTS = 0.25, 10
+
+
+def hermite(j: int) -> list[int]:
+    """Coefficients of the probabilists' Hermite polynomial He_j, constant first."""
+    before, now = [0], [1]
+    for k in range(j):
+        up = [0] + now
+        before, now = now, [c - k * (before[i] if i < len(before) else 0) for i, c in enumerate(up)]
+    return now
+
+
+def _cells(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of the values in each cell of their series, and the cell's centre; one row a cell in use."""
+    width = F.col("h") * F.lit(CELL)
+    j = values.withColumn("cell", F.floor((F.col("x") - F.col("lo")) / width))
+    j = j.withColumn("centre", F.col("lo") + (F.col("cell").cast("double") + 0.5) * width)
+    j = j.withColumn("u", (F.col("x") - F.col("centre")) / F.col("h"))
+    u, power = F.col("u"), F.lit(1.0)
+    sums = []
+    for m in range(MOMENTS):
+        sums.append(F.sum(power).alias(f"m{m}"))
+        power = u if m == 0 else power * u
+    return j.groupBy(*keys, "cell", "centre").agg(*sums)
+
+
+def kde(df: DataFrame, columns: list[str] | None = None, points: int = 50, by: str | None = None) -> DataFrame:
     """VZ-K: Gaussian KDE with Scott's bandwidth (h = std * n^(-1/5)) on
     ``points`` grid points from min to max, per column (and per group of
     ``by``). Output (column, group, point, x, density).
 
-    Exact sums, no cross join: the values join a small parameter table (one
-    row per column and group, broadcast below a checked size) and one
-    aggregate holds one sum per grid point.
-
-    ``prebin=B`` (opt-in, approximate) first collapses each series to at most
-    B equal-width bins carrying (count, mean value) -- a partial aggregation --
-    and sums the kernels over bin means weighted by counts: B x points kernel
-    evaluations per series instead of n x points.
+    A fast Gauss transform: one pass sums MOMENTS powers of the values in cells
+    of a quarter bandwidth (pre-aggregated before the shuffle, so a hot group
+    costs its cells), and the grid is summed over cells by a truncated Hermite
+    series, within 1e-12 of a kernel's peak of the plain sum. No term grows with
+    values times points. The values join a small parameter table (one row per
+    column and group, broadcast below a checked size).
     """
     names = [n for _, n in _numeric(df, columns)]
     if not names:
@@ -176,32 +202,26 @@ def kde(df: DataFrame, columns: list[str] | None = None, points: int = 50,
             .select("g", "cid", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"), "lo", "hi",
                     ((F.col("hi") - F.col("lo")) / (points - 1) if points > 1 else F.lit(0.0)).alias("step")))
     j = long.join(F.broadcast(params) if params.count() <= BROADCAST_MAX else params, ["g", "cid"])
-    weight = F.lit(1.0)
-    if prebin:
-        b = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-                            * F.lit(float(prebin))), F.lit(prebin - 1))
-        j = (j.groupBy("g", "cid", "n", "h", "lo", "hi", "step", b.alias("__b"))
-              .agg(F.avg("x").alias("x"), F.count(F.lit(1)).cast("double").alias("__w")))
-        weight = F.col("__w")
-
-    def grid_x(k: int) -> Column:
-        return F.col("hi") if k == points - 1 else F.lit(float(k)) * F.col("step") + F.col("lo")
-
-    sums = []
-    for k in range(points):
-        zk = (F.col("x") - grid_x(k)) / F.col("h")
-        term = F.exp(F.lit(-0.5) * zk * zk)
-        sums.append(F.sum(term if not prebin else weight * term).alias(f"s{k}"))
-    agg = j.groupBy("g", "cid", "n", "h", "lo", "hi", "step").agg(*sums)
+    series = ["g", "cid", "n", "h", "lo", "hi", "step"]
+    cells = _cells(j, series)
+    # the series in powers of t: c_i = sum over j of m_j / j! times the i-th coefficient of He_j
+    coefficients = []
+    for i in range(MOMENTS):
+        terms = [F.col(f"m{m}") * F.lit(hermite(m)[i] / math.factorial(m)) for m in range(i, MOMENTS) if hermite(m)[i]]
+        coefficients.append(reduce(lambda a, b: a + b, terms).alias(f"c{i}"))
+    grid = cells.select(*series, "centre", *coefficients, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+    x = F.when(F.col("k") == points - 1, F.col("hi")).otherwise(F.col("k").cast("double") * F.col("step") + F.col("lo"))
+    grid = grid.withColumn("at", x).withColumn("t", (F.col("at") - F.col("centre")) / F.col("h"))
+    t = F.col("t")
+    series_at = F.col(f"c{MOMENTS - 1}")
+    for i in range(MOMENTS - 2, -1, -1):
+        series_at = series_at * t + F.col(f"c{i}")
+    sums = grid.groupBy(*series, "k", "at").agg(F.sum(F.exp(F.lit(-0.5) * t * t) * series_at).alias("s"))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi))
-    out = agg.select(
+    return sums.select(
         F.element_at(F.array(*[F.lit(n) for n in names]), F.col("cid") + 1).alias("column"),
         (F.col("g") if by else F.lit(None).cast("string")).alias("group"),
-        F.inline(F.array(*[
-            F.struct(F.lit(k + 1).cast("bigint").alias("point"), grid_x(k).alias("x"),
-                     (F.col(f"s{k}") / norm).alias("density"))
-            for k in range(points)])))
-    return out
+        (F.col("k") + 1).cast("bigint").alias("point"), F.col("at").alias("x"), (F.col("s") / norm).alias("density"))
 
 
 # ------------------------------------------------------------------- box

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import normalize_missing
 from tabsmith.operators import charts, clean, profile
@@ -150,10 +151,40 @@ def test_sequential_outliers_match_pandas(spark):
     assert clean.remove_outliers(df).count() == len(exp)
 
 
-def test_kde_prebin_close_to_exact(spark):
+def _plain_kde(v, points):
+    v = np.asarray(v, float)
+    h = v.std(ddof=1) * len(v) ** -0.2
+    grid = np.linspace(v.min(), v.max(), points)
+    return np.exp(-0.5 * ((v[:, None] - grid) / h) ** 2).sum(axis=0) / (len(v) * h * np.sqrt(2 * np.pi)), h
+
+
+def test_kde_is_the_plain_sum(spark):
     rng = np.random.default_rng(8)
-    vals = rng.exponential(50, 20000)
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    exact = [r["density"] for r in charts.kde(df, ["x"], 50).orderBy("point").collect()]
-    approx = [r["density"] for r in charts.kde(df, ["x"], 50, prebin=4096).orderBy("point").collect()]
-    assert max(abs(a - e) for a, e in zip(approx, exact)) < 1e-4 * max(exact)
+    series = {"spread": rng.exponential(50, 5000), "far": np.append(rng.normal(0, 1, 4000), [1e6, -3e5]),
+              "tied": rng.integers(0, 3, 3000).astype(float), "two": np.array([1.0, 1.0 + 1e-9]),
+              "shifted": 1e9 + rng.normal(0, 1, 2000), "one": np.array([5.0]), "constant": np.full(50, 2.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in series.items() for x in v], "g string, x double")
+    for points in (50, 7):
+        got = {}
+        for r in charts.kde(df, ["x"], points, by="g").collect():
+            got.setdefault(r["group"], {})[r["point"]] = (r["x"], r["density"])
+        assert set(got) == set(series) - {"one", "constant"}
+        for k in got:
+            want, h = _plain_kde(series[k], points)
+            dens = np.array([got[k][i + 1][1] for i in range(points)])
+            x = np.array([got[k][i + 1][0] for i in range(points)])
+            assert np.allclose(x, np.linspace(series[k].min(), series[k].max(), points), rtol=1e-12)
+            # in units of one kernel's peak, a value: far within 1e-9
+            assert np.abs(dens - want).max() * h < (1e-12 if k != "shifted" else 1e-7), k
+
+
+def test_kde_work_does_not_grow_with_points(spark):
+    """The pass over the values sums moments; the grid meets cells only."""
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    plans = [charts.kde(df, ["x"], p)._jdf.queryExecution().executedPlan().toString() for p in (50, 500)]
+    assert len(plans[1]) < 1.1 * len(plans[0])
+
+
+def test_hermite_polynomials():
+    assert charts.hermite(0) == [1] and charts.hermite(1) == [0, 1]
+    assert charts.hermite(4) == [3, 0, -6, 0, 1] and charts.hermite(5) == [0, 15, 0, -10, 0, 1]
