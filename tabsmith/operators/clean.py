@@ -9,10 +9,9 @@ columns.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +20,7 @@ from tabsmith.functions.columns import (CATEGORICAL, INTEGRAL_TYPES, NUMERIC, as
 from tabsmith.functions.quantiles import quantiles
 from tabsmith.functions.duplicates import drop_duplicate_rows, duplicate_stats
 from tabsmith.functions.frequent import modes
+from tabsmith.operators.outliers import keep_test, outlier_plan
 from tabsmith.operators.profile import AGG_FIELDS, chunks
 
 
@@ -112,93 +112,23 @@ def drop_missing_rows(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- outliers
 
-@dataclass
-class OutlierStep:
-    column: str
-    mean: float | None
-    std: float | None
-    removed: int        # rows this column removed (0 for a skipped column)
-
-
-def _keep(name: str, mean, std, z: float) -> Column | None:
-    """Row survives the column's z-score test; None = column skipped.
-
-    pandas semantics: std == 0 skips the column; a missing std (fewer than two
-    values) compares False for every row; a missing cell compares False.
-    """
-    if std is not None and std == 0:
-        return None
-    if std is None or mean is None:
-        return F.lit(False)
-    return F.coalesce(F.abs((as_double(name) - F.lit(mean)) / F.lit(std)) < F.lit(z), F.lit(False))
-
-
 #: Columns whose statistics are taken in one pass: each has a mean and a standard
-#: deviation, plain or under a filter, and a count (6 buffer fields).
-PASS_COLUMNS = AGG_FIELDS // 6
-
-
-def _moment_aggs(names: list[str], tag: str, cond: Column | None = None) -> list[Column]:
-    aggs = []
-    for i, n in enumerate(names):
-        x = as_double(n) if cond is None else F.when(cond, as_double(n))
-        aggs += [F.avg(x).alias(f"{tag}m{i}"), F.stddev_samp(x).alias(f"{tag}s{i}")]
-    return aggs
+#: deviation (5 buffer fields).
+PASS_COLUMNS = AGG_FIELDS // 5
 
 
 def _moments(df: DataFrame, names: list[str]) -> dict:
     out = {}
     for part in chunks(names, PASS_COLUMNS):
-        row = df.agg(*_moment_aggs(part, "")).first()
+        row = df.agg(*[a for i, n in enumerate(part)
+                       for a in (F.avg(as_double(n)).alias(f"m{i}"), F.stddev_samp(as_double(n)).alias(f"s{i}"))]).first()
         out.update({n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(part)})
     return out
 
 
-def outlier_plan(df: DataFrame, z: float = 3.0) -> tuple[Column, list[OutlierStep]]:
-    """CL6 planning: the predicate that the sequential z-score filter amounts to.
-
-    The reference processes numeric columns in order, each with the mean and
-    std of the rows still left. A column whose test removes nothing leaves
-    the rows (and so every later statistic) unchanged, so one pass over the
-    surviving rows counts the violators of the next PASS_COLUMNS columns and
-    takes the statistics that the columns behind the first of them would have
-    under its filter. A column that removes rows costs one pass, or two if the
-    columns before it in the window remove none. The statistics become literals
-    in a single predicate over the input.
-    """
-    names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
-    steps: list[OutlierStep] = []
-    pred = F.lit(True)
-    stats: dict = {}                    # of the next columns, under ``pred``
-    p = 0
-    while p < len(names):
-        cur = df.filter(pred)
-        if not stats:
-            stats = _moments(cur, names[p:p + PASS_COLUMNS])
-        window = [n for n in names[p:p + PASS_COLUMNS] if n in stats]
-        keeps = [_keep(n, *stats[n], z) for n in window]
-        later = names[p + 1:p + PASS_COLUMNS]
-        aggs = [(F.count_if(~k) if k is not None else F.lit(0)).alias(f"v{i}") for i, k in enumerate(keeps)]
-        if keeps[0] is not None:
-            aggs += _moment_aggs(later, "c", keeps[0])
-        row = cur.agg(*aggs).first()
-        first = next((i for i in range(len(window)) if row[f"v{i}"] > 0), None)
-        passed = window if first is None else window[:first]
-        steps += [OutlierStep(n, *stats[n], 0) for n in passed]
-        if first is None:
-            p += len(window)
-            stats = {}
-            continue
-        n = window[first]
-        steps.append(OutlierStep(n, *stats[n], int(row[f"v{first}"])))
-        pred = pred & keeps[first]
-        p += first + 1
-        stats = {} if first else {m: (row[f"cm{i}"], row[f"cs{i}"]) for i, m in enumerate(later)}
-    return pred, steps
-
-
 def remove_outliers(df: DataFrame, z: float = 3.0) -> DataFrame:
-    """CL6: sequential z-score outlier removal (|z| < z kept, strictly)."""
+    """CL6: sequential z-score outlier removal (|z| < z kept, strictly); two
+    scans plan it for any number of columns (``operators.outliers``)."""
     pred, _ = outlier_plan(df, z)
     return df.filter(pred)
 
@@ -207,7 +137,7 @@ def remove_outliers_once(df: DataFrame, z: float = 3.0) -> DataFrame:
     """CL6b: every numeric column tested against one set of statistics."""
     names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
     stats = _moments(df, names)
-    keeps = [k for k in (_keep(n, *stats[n], z) for n in names) if k is not None]
+    keeps = [k for k in (keep_test(as_double(n), *stats[n], z) for n in names) if k is not None]
     return df.filter(reduce(lambda a, b: a & b, keeps, F.lit(True)))
 
 
