@@ -20,7 +20,7 @@ from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, co
                                         rows_from_structs)
 from tabsmith.functions.quantiles import (BROADCAST_MAX, column_stats, grouped_quantiles_frame,
                                           long_values, quantiles)
-from tabsmith.operators.profile import correlation_long, numeric_moments
+from tabsmith.operators.profile import correlation_all
 from tabsmith.session import materialize
 
 
@@ -38,20 +38,11 @@ def first_categorical(df: DataFrame) -> str | None:
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """VZ1: signed Pearson matrix incl. the diagonal (1.0, NULL when constant),
-    pairwise deletion; the pairs of AN4, mirrored, and the spread of each column."""
-    cols = _numeric(df)
-    if len(cols) < 2:
-        return df.sparkSession.createDataFrame(
-            [], "i bigint, j bigint, col_x string, col_y string, r double")
-    names = [n for _, n in cols]
-    pairs = correlation_long(df).select("i", "j", "col_x", "col_y", "r")
-    mirrored = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("col_y").alias("col_x"),
-                            F.col("col_x").alias("col_y"), "r")
-    moments = numeric_moments(df, names)
-    diagonal = df.sparkSession.createDataFrame(
-        [(k + 1, k + 1, n, n, 1.0 if (moments[n]["std"] or 0) > 0 else None) for k, n in enumerate(names)],
-        "i bigint, j bigint, col_x string, col_y string, r double")
-    return pairs.unionByName(mirrored).unionByName(diagonal)
+    pairwise deletion; the pairs of AN4, mirrored, from the same one pass."""
+    names, r = correlation_all(df)
+    rows = [(i + 1, j + 1, names[i], names[j], v) for (i, j), v in r.items()]
+    rows += [(j, i, b, a, v) for i, j, a, b, v in rows if i < j]
+    return df.sparkSession.createDataFrame(rows, "i bigint, j bigint, col_x string, col_y string, r double")
 
 
 # -------------------------------------------------------------- histogram

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, columns_info,
                                         pct, rows_from_structs)
-from tabsmith.functions.correlation import AGGREGATE_PAIRS, matrix_corr, pair_corr_aggs
+from tabsmith.functions.correlation import matrix_corr
 from tabsmith.functions.duplicates import duplicate_stats
 from tabsmith.functions.frequent import key_counts, most_frequent
 from tabsmith.functions.quantiles import quantiles
@@ -197,29 +197,17 @@ def describe_all(df: DataFrame, digits: int = 4) -> DataFrame:
 PAIR_SCHEMA = "i bigint, j bigint, col_x string, col_y string, r double, abs_r double"
 
 
-def correlation_long(df: DataFrame) -> DataFrame:
-    """All numeric pairs i<j: (i, j, col_x, col_y, r, abs_r), in one pass.
-
-    Few pairs are aggregate expressions of one pass; more (several hundred
-    expressions would leave code generation, or take many scans) come from the
-    pairwise matrix sums of ``functions.correlation``."""
+def correlation_all(df: DataFrame) -> tuple[list[str], dict[tuple[int, int], float | None]]:
+    """The numeric columns and r of all their pairs i <= j, from one pass."""
     names = [c.name for c in columns_info(df) if c.cls == NUMERIC]
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    pairs = [(i + 1, j + 1, a, b) for i, a in enumerate(names)
-             for j, b in enumerate(names) if i < j]
-    if len(pairs) > AGGREGATE_PAIRS:
-        means = numeric_moments(df, names)
-        r = matrix_corr(df, names, [means[n]["mean"] for n in names])
-        place = {(i - 1, j - 1): (i, j, a, b) for i, j, a, b in pairs}
-        rows = [(*place[k], r.get(k), None if r.get(k) is None else abs(r[k])) for k in place]
-        return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
-    one = df.agg(*pair_corr_aggs([(a, b) for _, _, a, b in pairs]))
-    return rows_from_structs(one, [
-        F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"),
-                 F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                 F.col(f"r{n}").alias("r"), F.abs(F.col(f"r{n}")).alias("abs_r"))
-        for n, (i, j, a, b) in enumerate(pairs)])
+    return names, matrix_corr(df, names) if len(names) > 1 else {}
+
+
+def correlation_long(df: DataFrame) -> DataFrame:
+    """All numeric pairs i<j: (i, j, col_x, col_y, r, abs_r), in one pass for any number of columns."""
+    names, r = correlation_all(df)
+    rows = [(i + 1, j + 1, names[i], names[j], v, None if v is None else abs(v)) for (i, j), v in r.items() if i < j]
+    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
 
 
 def correlation_pairs(df: DataFrame, k: int = 10) -> DataFrame:

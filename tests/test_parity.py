@@ -188,3 +188,44 @@ def test_kde_work_does_not_grow_with_points(spark):
 def test_hermite_polynomials():
     assert charts.hermite(0) == [1] and charts.hermite(1) == [0, 1]
     assert charts.hermite(4) == [3, 0, -6, 0, 1] and charts.hermite(5) == [0, 15, 0, -10, 0, 1]
+
+
+def _pairs(df):
+    return {(r["col_x"], r["col_y"]): r["r"] for r in profile.correlation_long(df).collect()}
+
+
+@pytest.mark.parametrize("k", [3, 8])
+def test_correlation_leaves_infinities_out(spark, k):
+    """As pandas does, whatever the number of columns."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({f"c{i}": rng.normal(0, 1, 60) for i in range(k)})
+    pdf["c1"] += pdf["c0"]
+    pdf.loc[7, "c0"], pdf.loc[9, "c0"], pdf.loc[11, "c2"] = np.inf, -np.inf, np.nan
+    pdf.loc[[7, 9], "c1"] = np.nan                  # missing wherever the other is infinite
+    df = _sdf(spark, pdf, ", ".join(f"c{i} double" for i in range(k)))
+    want = pdf.replace([np.inf, -np.inf], np.nan).corr()
+    got = _pairs(df)
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-12 for a, b in got) and len(got) == k * (k - 1) // 2
+    top = profile.correlation_pairs(df, 1).first()
+    assert (top["col_x"], top["col_y"]) == ("c0", "c1")
+    diagonal = {r["col_x"]: r["r"] for r in charts.correlation_matrix(df).where("i = j").collect()}
+    assert set(diagonal.values()) == {1.0}
+
+
+def test_correlation_keeps_digits(spark):
+    """Columns far from their first values, nearly constant ones, and constant ones."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    a = np.r_[np.full(1500, 1e12), rng.normal(0, 1, n - 1500)]
+    b = np.r_[np.full(1500, np.nan), rng.normal(0, 1, n - 1500)]
+    b[1500:] += a[1500:]
+    pdf = pd.DataFrame({"a": a, "b": b, "near": 1e9 + rng.normal(0, 1e-3, n), "same": np.full(n, 0.1), "none": np.full(n, np.nan)})
+    df = _sdf(spark, pdf, "a double, b double, near double, same double, none double")
+    got, want = _pairs(df), pdf.assign(near=pdf["near"] - 1e9).corr()          # pandas itself loses digits at 1e9
+    for (x, y), r in got.items():
+        if "same" in (x, y) or "none" in (x, y):
+            assert r is None
+        else:
+            assert abs(r - want.loc[x, y]) < 1e-6, (x, y)
+    diagonal = {r["col_x"]: r["r"] for r in charts.correlation_matrix(df).where("i = j").collect()}
+    assert diagonal == {"a": 1.0, "b": 1.0, "near": 1.0, "same": None, "none": None}
