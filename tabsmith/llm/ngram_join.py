@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm.components import components
 from tabsmith.llm.store import documents, save, ship
-from tabsmith.llm.textbatch import mix, shingle_sets, word_slices
+from tabsmith.llm.textbatch import mix, shingle_sets, tidy, word_slices
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
@@ -452,7 +452,7 @@ def _links(edges: DataFrame, docs: DataFrame, first: DataFrame, order, num: int,
     wanted = save(wanted.select(F.col("doc").alias("wanted"), "goals"), "join-wanted")
     size = wanted.agg(F.sum(F.size("goals") * 32 + 16)).first()[0] or 0
     texts = docs.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, F.col("doc") == F.col("wanted"))
-    rows = (texts.select("text", "goals").mapInArrow(_tree_rows(order), "a long, tree int, flag int, node long, set binary")
+    rows = (texts.select("text", "goals").mapInArrow(tidy(_tree_rows(order)), "a long, tree int, flag int, node long, set binary")
             .repartition("a", "tree").sortWithinPartitions("a", "tree", "flag"))
     return save(rows.mapInArrow(_verify(num, den), "u long, v long"), "join-links")
 
@@ -465,7 +465,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ship(docs.sparkSession)
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    scan = save(docs.mapInArrow(_scan, SCAN), "join-scan")
+    scan = save(docs.mapInArrow(tidy(_scan), SCAN), "join-scan")
     rows = scan.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("node"), F.col("n"))
     first = save(scan.where("kind = 0 AND n > 0 AND a IS NOT NULL").groupBy(F.col("b").alias("node"))
                  .agg(F.min("a").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-sets")
@@ -475,9 +475,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent))
 
     known = docs.where(F.col("doc").isNotNull())
-    postings = (known.select("text").mapInArrow(_postings(order, num, den), "token long, node long, n int, pos int")
+    postings = (known.select("text").mapInArrow(tidy(_postings(order, num, den)), "token long, node long, n int, pos int")
                 .repartition("token").sortWithinPartitions("token", "pos", "node"))
-    found = save(postings.mapInArrow(_candidates(num, den), PAIRS), "join-candidates")
+    found = save(postings.mapInArrow(tidy(_candidates(num, den)), PAIRS), "join-candidates")
     edges = save(found.where("kind = 0").select("a", "b").distinct(), "join-edges")
     links = _links(edges, known, first, order, num, den)
     roots = save(components(links), "join-roots")

@@ -5,6 +5,8 @@ loss-bearing tokens. The next example of a sequence is the one among the pool
 that fits and has the largest dot product of its demand with the sequence's
 residual capacity, each dimension weighed by the pool's mean demand. If none
 fits whole, the best one is cut to fill the sequence; its rest stays in the pool.
+Where loss is limited below the tokens, examples longer than a sequence come in
+pieces of half of one, so that a piece that bears loss finds one that does not.
 
 Every task packs the documents it reads, with a pool of at most ``pool``
 examples, so nothing is shuffled and memory is bounded. What a task has left
@@ -12,8 +14,10 @@ over at its end is cut into sequences with a power of two of tokens, which need
 no padding; with a binding segment or loss limit some padding can remain.
 
 Defined cases: a null or empty text is its end id alone; rows that repeat a
-doc_id are packed as separate documents; an empty table gives no pieces. Other
-columns of the input are not read.
+doc_id are packed as separate documents, as are rows with a null doc_id, whose
+pieces have a null doc_id; equal examples tie, and the one in the pool's first
+place goes first; an empty table gives no pieces. Other columns of the input are
+not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm.store import documents, ship
-from tabsmith.llm.units import CACHE_UNITS, text_groups, unit_encoder
+from tabsmith.llm.textbatch import tidy
+from tabsmith.llm.units import CACHE_UNITS, text_groups, word_encoder
 
 
 @dataclass(frozen=True)
@@ -88,15 +93,19 @@ class VectorPacker:
         self.free.append(k)
         return piece
 
-    def add(self, key, ids: np.ndarray, mask: np.ndarray | None = None) -> Iterator[list[Piece]]:
-        bears = None if mask is None else np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+    def add(self, key, ids: np.ndarray, mask: np.ndarray | None = None, bears: np.ndarray | None = None) -> Iterator[list[Piece]]:
+        """``bears``: the running counts of ``mask``, where the caller has them."""
+        if mask is not None:
+            bears = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
         rest = Piece(key, ids, 0, len(ids), len(ids), bears)
+        # with a loss limit below the tokens, pieces of half a sequence: one that bears loss finds one that doesn't
+        most = self.limits.tokens if bears is None or self.limits.loss >= self.limits.tokens else self.limits.tokens // 2
         while rest.length > self.limits.tokens:
-            n = max(1, rest.fit(self.limits.tokens, self.limits.loss))
+            n = max(1, rest.fit(most, self.limits.loss))
             head, rest = rest.cut(n)
             if n == self.limits.tokens:
                 yield [head]
-            else:                                   # the loss limit cut it short: it shares a sequence
+            else:                                   # it shares a sequence
                 yield from self._store(head)
         yield from self._store(rest)
 
@@ -171,7 +180,7 @@ def _padded(length: int, tokens: int) -> int:
 
 
 def pack_stream(examples: Iterable, limits: Limits, pool: int, task: int) -> Iterator[pa.RecordBatch]:
-    """Record batches of pieces for (key, ids, mask) examples of one task."""
+    """Record batches of pieces for the examples of one task: (key, ids, mask) or (key, ids, None, running counts)."""
     packer = VectorPacker(limits, pool)
     rows: list[tuple] = []
     made = 0
@@ -191,8 +200,8 @@ def pack_stream(examples: Iterable, limits: Limits, pool: int, task: int) -> Ite
         rows.clear()
         return out
 
-    for key, ids, mask in examples:
-        for pieces in packer.add(key, ids, mask):
+    for key, *example in examples:
+        for pieces in packer.add(key, *example):
             write(pieces)
             if len(rows) >= 1024:
                 yield batch()
@@ -203,28 +212,32 @@ def pack_stream(examples: Iterable, limits: Limits, pool: int, task: int) -> Ite
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
-                   end_id: int = 1, limits: Limits = Limits(), pool: int = 512,
-                   cache_units: int = CACHE_UNITS) -> DataFrame:
+                   end_id: int = 1, limits: Limits = Limits(), prompt: float = 0.0, pool: int = 512,
+                   cache_units: int = CACHE_UNITS, keep_cache: bool = True) -> DataFrame:
     """Pieces of all documents (``PIECES_DDL``), tokenized by a word-BPE file and ended by ``end_id``.
 
-    A worker keeps the ids of ``cache_units`` units (some 150 bytes each); fewer
-    take less memory and more time."""
+    The first ``prompt`` of a document's ids bear no loss. A worker keeps the ids of
+    ``cache_units`` units (some 150 bytes each), for its next tasks too if ``keep_cache``."""
     ship(docs.sparkSession)
 
     def examples(batches):
-        encoder = unit_encoder(tokenizer, "word", 2)
+        encoder = word_encoder(tokenizer)
         encoder.limit = cache_units
         end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
             for keys, texts in text_groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for key, ids in zip(keys, encoder.encode(texts)):
-                    yield key, np.frombuffer(ids + end, encoder.dtype), None
+                    ids = np.frombuffer(ids + end, encoder.dtype)
+                    bears = np.maximum(np.arange(len(ids) + 1, dtype=np.int32) - int(prompt * len(ids)), 0) if prompt else None
+                    yield key, ids, None, bears
+        if not keep_cache:
+            encoder.cache.clear()
 
     def run(batches):
         yield from pack_stream(examples(batches), limits, pool, TaskContext.get().partitionId())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES_DDL)
+    return rows.mapInArrow(run if keep_cache else tidy(run), PIECES_DDL)
 
 
 def pack_examples(examples: DataFrame, *, id_col: str = "id", ids_col: str = "ids", mask_col: str = "loss_mask",
@@ -251,6 +264,12 @@ def piece_digest(pieces: DataFrame) -> DataFrame:
                          "sequence_id", "offset")
 
 
+#: The query's documents are read as instruction data: the first half is the prompt, the second bears loss.
+PROMPT = 0.5
+LIMITS = Limits(tokens=2048, segments=10, loss=1536)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return piece_digest(pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+    return piece_digest(pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
+                                       limits=LIMITS, prompt=PROMPT))

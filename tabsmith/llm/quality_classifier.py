@@ -6,9 +6,10 @@
    Gaussian kernel. Each partition of labelled rows sums its part of the normal
    equations; the sums meet in one aggregate, and the driver solves a system of
    FEATURES + 1 unknowns, whatever the number of rows.
-3. Rows held back from the fit (one in CALIBRATE) are counted by raw score on a
-   fixed grid; pool-adjacent-violators turns the counts into a rising curve from
-   raw score to the share of label 1.
+3. The rows are in FOLDS folds, whose normal equations are summed apart. Each row's
+   raw score by the weights of the other folds is counted on a fixed grid;
+   pool-adjacent-violators turns the counts into a rising curve from raw score to
+   the share of label 1. So every score is calibrated, however few rows there are.
 
 Labels, language, source and doc_id are never inputs of a score. All labelled
 rows take part; there is no sample.
@@ -35,10 +36,11 @@ from pyspark.sql import types as T
 from tabsmith.llm.quality_rules import vector_of
 from tabsmith.llm.store import documents, free_name, save, ship, table
 from tabsmith.llm.text_stats import COUNTS, column_counts
+from tabsmith.llm.textbatch import tidy
 
 FEATURES = 256
 RIDGE = 1e-3
-CALIBRATE = 5
+FOLDS = 3
 SEED = 20240
 #: Raw scores are counted in cells of this width, from -GRID_EDGE to 1 + GRID_EDGE.
 CELL, GRID_EDGE = 1 / 512, 1.0
@@ -75,8 +77,6 @@ class Model:
         if self.weights is None:
             return np.full(len(x), self.constant)
         raw = np.clip(self.features(x) @ self.weights, -GRID_EDGE, 1 + GRID_EDGE)
-        if self.knots is None:
-            return np.clip(raw, 0.0, 1.0)
         return np.interp(raw, self.knots, self.values)
 
 
@@ -121,47 +121,53 @@ def fit(rows: DataFrame, id_col: str = "doc_id") -> Model:
     if s.ones in (0, s.n):
         model.constant = float(s.ones > 0)
         return model
-    held = F.pmod(F.xxhash64(F.col(id_col)), F.lit(CALIBRATE)) == 0
-    rows = rows.select(F.col(id_col).alias("id"), "v", F.col("y").cast("double").alias("y"), held.alias("held"))
+    fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FOLDS)).cast("int")
+    rows = rows.select(fold.alias("fold"), "v", F.col("y").cast("double").alias("y"))
+    m = FEATURES + 1
 
     def normal(batches):
-        a = np.zeros((FEATURES + 1, FEATURES + 1))
-        b = np.zeros(FEATURES + 1)
+        a, b = np.zeros((FOLDS, m, m)), np.zeros((FOLDS, m))
         for batch in batches:
-            if batch.num_rows:
-                z = model.features(_stack(batch.column(0)))
-                a += z.T @ z
-                b += z.T @ batch.column(1).to_numpy()
-        i, j = np.triu_indices(FEATURES + 1)
-        yield pa.RecordBatch.from_pydict({
-            "i": np.concatenate([i, np.arange(FEATURES + 1)]).astype(np.int32),
-            "j": np.concatenate([j, np.full(FEATURES + 1, -1)]).astype(np.int32), "s": np.concatenate([a[i, j], b])})
-
-    def solve(train: DataFrame) -> None:
-        sums = train.select("v", "y").mapInArrow(normal, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-        a, b = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-        for i, j, v in sums.collect():      # (FEATURES + 1) * (FEATURES + 4) / 2 rows
-            if j < 0:
-                b[i] = v
-            else:
-                a[i, j] = a[j, i] = v
+            folds = batch.column(0).to_numpy()
+            z, y = (model.features(_stack(batch.column(1))), batch.column(2).to_numpy()) if batch.num_rows else (None, None)
+            for f in np.unique(folds):
+                of = z[folds == f]
+                a[f] += of.T @ of
+                b[f] += of.T @ y[folds == f]
+        i, j = np.triu_indices(m)
+        for f in range(FOLDS):
+            yield pa.RecordBatch.from_pydict({
+                "fold": np.full(len(i) + m, f, np.int32), "i": np.concatenate([i, np.arange(m)]).astype(np.int32),
+                "j": np.concatenate([j, np.full(m, -1)]).astype(np.int32), "s": np.concatenate([a[f][i, j], b[f]])})
+
+    sums = rows.mapInArrow(normal, "fold int, i int, j int, s double").groupBy("fold", "i", "j").agg(F.sum("s").alias("s"))
+    a, b = np.zeros((FOLDS, m, m)), np.zeros((FOLDS, m))
+    for f, i, j, v in sums.collect():       # FOLDS * m * (m + 3) / 2 rows
+        if j < 0:
+            b[f, i] = v
+        else:
+            a[f, i, j] = a[f, j, i] = v
+
+    def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = max(1.0, a[-1, -1])
-        penalty = np.full(FEATURES + 1, RIDGE * n)
+        penalty = np.full(m, RIDGE * n)
         penalty[-1] = 1e-9 * n
-        model.weights = np.linalg.solve(a + np.diag(penalty), b)
+        return np.linalg.solve(a + np.diag(penalty), b)
 
-    solve(rows.where("NOT held"))
+    others = np.column_stack([solve(a.sum(axis=0) - a[f], b.sum(axis=0) - b[f]) for f in range(FOLDS)])
 
     def raw_cells(batches):
         for batch in batches:
-            raw = np.clip(model.features(_stack(batch.column(0))) @ model.weights, -GRID_EDGE, 1 + GRID_EDGE)
-            yield pa.RecordBatch.from_pydict({"cell": np.floor(raw / CELL).astype(np.int32), "y": batch.column(1)})
+            if batch.num_rows:
+                raw = model.features(_stack(batch.column(1))) @ others
+                raw = np.clip(raw[np.arange(len(raw)), batch.column(0).to_numpy()], -GRID_EDGE, 1 + GRID_EDGE)
+                yield pa.RecordBatch.from_pydict({"cell": np.floor(raw / CELL).astype(np.int32), "y": batch.column(2)})
 
-    cells = (rows.where("held").select("v", "y").mapInArrow(raw_cells, "cell int, y double")
+    cells = (rows.mapInArrow(raw_cells, "cell int, y double")
              .groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).orderBy("cell").collect())
-    if sum(c.n for c in cells) >= 20:
-        model.knots, model.values = isotonic(np.array([(c.cell + 0.5) * CELL for c in cells]),
-                                             np.array([c.n for c in cells], float), np.array([c.ones for c in cells], float))
+    model.weights = solve(a.sum(axis=0), b.sum(axis=0))
+    model.knots, model.values = isotonic(np.array([(c.cell + 0.5) * CELL for c in cells]),
+                                         np.array([c.n for c in cells], float), np.array([c.ones for c in cells], float))
     return model
 
 
@@ -178,7 +184,7 @@ def with_vectors(docs: DataFrame, text_col: str, name: str = "v", keep_text: boo
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), lists], names=[*(b.schema.names[i] for i in kept), name])
 
     fields = [docs.schema.fields[i] for i in kept]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def with_score(rows: DataFrame, model: Model, vector: str = "v") -> DataFrame:

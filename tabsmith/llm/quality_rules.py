@@ -15,11 +15,11 @@ STEPS steps; the one with the smaller determinant goes on to one reweighted step
 A floor on each statistic's spread keeps the covariance regular where most texts
 have the same value (no symbols, no repeated lines).
 
-Only texts that pass the base rules shape the estimates. A language and source
-with fewer than ``min_group`` of them share the estimate of their language's
-small sources; a language with fewer shares one of all such; if those are fewer
-than ``min_group`` too, they are judged by the estimate of all texts that pass the
-base rules, so each of these has a distance at any size of the table.
+Only texts that pass the base rules shape the estimates. An estimate of n texts is
+mixed into its parent's by the weight n^2 / (n^2 + SHRINK^2): a language and source's
+into its language's, a language's into that of all texts. The same holds for groups of
+every size, so none is judged by another rule, and a handful of texts, which may be
+outliers themselves, hardly counts. The mixture has the mean and covariance of both.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 null language or source is a value of its own; repeated rows are judged one by
@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 
 from tabsmith.llm.store import documents, free_name, save, ship
 from tabsmith.llm.text_stats import COUNTS, column_counts
+from tabsmith.llm.textbatch import tidy
 
 H = 0.75
 STEPS = 4
@@ -50,6 +51,8 @@ FLOORS = (0.25, 0.03, 0.03, 0.15, 0.15, 0.05, 0.03, 0.03)
 P = len(FLOORS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 BINS = 24                       # bins of distance for each doubling
+#: Texts of a group whose own estimate counts as much as its parent's.
+SHRINK = 100
 XS = [f"x{i}" for i in range(P)]
 
 
@@ -108,7 +111,7 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *COUNTS, *XS])
 
     extra = [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(x, T.DoubleType()) for x in XS]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *extra]))
 
 
 def base_failed(min_words: int) -> Column:
@@ -211,65 +214,75 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return save(squashed.mapInPandas(both, PARAMS), "mcd-start")
 
 
-def estimates(stats: DataFrame, lang_col: str, source_col: str, *, min_group: int = 200) -> DataFrame:
-    """(lang, source, mean, inverse) of each language and source of ``stats`` that has an estimate.
+def _shrunk(batches):
+    """(lang, source, mean, inverse) of a language and source's estimate, mixed with its language's and that of all."""
+    import pandas as pd
+
+    def moments(mean, inverse):
+        return np.array(mean), np.linalg.inv(np.array(inverse).reshape(P, P)) if inverse is not None else None
+
+    def mix_in(own, n, parent):
+        if own[1] is None or not n:
+            return parent
+        w, off = n * n / (n * n + SHRINK * SHRINK), own[0] - parent[0]
+        return w * own[0] + (1 - w) * parent[0], w * own[1] + (1 - w) * parent[1] + w * (1 - w) * np.outer(off, off)
+
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            now = moments(r.mean0, r.inverse0)
+            for mean, inverse, n in ((r.mean1, r.inverse1, r.n1), (r.mean2, r.inverse2, r.n2)):
+                now = mix_in(moments(mean, inverse), n, now)
+            out.append((r.lang, r.source, now[0].tolist(), np.linalg.inv(now[1]).ravel().tolist()))
+        yield pd.DataFrame(out, columns=["lang", "source", "mean", "inverse"])
+
+
+def estimates(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """(lang, source, mean, inverse) of each language and source of ``stats`` with rows that shape estimates.
 
-    If there are others, a row with null lang and source has the estimate of all rows, for them.
     ``stats`` needs lang, source, the vector and ``fit`` (whether a row shapes the estimate)."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang_col, source_col))
     fit = stats.where("fit").select(lang.alias("lang"), source.alias("source"), *XS)
-    sizes = fit.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < min_group
-    sizes = sizes.withColumn("pool", F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("lang")))
-    rest = small & (F.col("pool") < min_group)
-    # the group that a language and source belong to: their own, the language's small sources, or all the rest
-    sizes = sizes.select("lang", "source", "n", F.when(~small, F.xxhash64(F.lit("own"), "lang", "source"))
-                         .when(~rest, F.xxhash64(F.lit("lang"), "lang")).otherwise(F.lit(0).cast("long")).alias("g"))
-    sizes = save(sizes, "mcd-groups")
-    enough = sizes.groupBy("g").agg(F.sum("n").alias("size")).where(F.col("size") >= min_group).select("g")
-    groups = sizes.join(enough, "g").select("lang", "source", "g")
-    vectors = fit.join(groups, ["lang", "source"]).select("g", *XS)
-    if sizes.join(enough, "g", "left_anti").limit(1).count():
-        every = F.lit(1).cast("long").alias("g")
-        groups = groups.unionByName(stats.sparkSession.range(1).select(
-            F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), every))
-        vectors = vectors.unionByName(fit.select(every, *XS))
-    groups, vectors = save(groups, "mcd-of"), save(vectors, "mcd-vectors")
+    sizes = fit.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n2"))
+    sizes = save(sizes.withColumn("n1", F.sum("n2").over(Window.partitionBy("lang"))), "mcd-groups")
+    # every row shapes three estimates: of all rows, of its language, of its language and source
+    of = [F.lit(0).cast("long"), F.xxhash64(F.lit("lang"), "lang"), F.xxhash64(F.lit("own"), "lang", "source")]
+    vectors = save(fit.select(F.explode(F.array(*of)).alias("g"), *XS), "mcd-vectors")
     params = _starts(vectors)
     for _ in range(STEPS):
         params = _step(vectors, params, H)
     best = params.groupBy("g").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     params = save(params.join(best, ["g", "start"]), "mcd-best")
     params = _step(vectors, params, None)
-    return save(groups.join(params, "g").select("lang", "source", "mean", "inverse"), "mcd-estimates")
+    rows = sizes
+    for k, key in enumerate(of):
+        level = params.select(F.col("g").alias(f"g{k}"), F.col("mean").alias(f"mean{k}"), F.col("inverse").alias(f"inverse{k}"))
+        rows = rows.withColumn(f"g{k}", key).join(level, f"g{k}", "left").drop(f"g{k}")
+    shape = "lang string, source string, mean array<double>, inverse array<double>"
+    return save(rows.where("mean0 IS NOT NULL").mapInPandas(_shrunk, shape), "mcd-estimates")
 
 
 def judge(stats: DataFrame, params: DataFrame, lang_col: str, source_col: str, tail: float) -> DataFrame:
-    """``stats`` plus ``distance`` (double) and ``kept`` (boolean).
-
-    Rows that pass the base rules and whose language and source have no estimate are
-    measured by that of all rows; the distance of other rows without one is null."""
+    """``stats`` plus ``distance`` (double, null in a language and source without a row that passes the base
+    rules) and ``kept`` (boolean)."""
     p = params.select(F.col("lang").alias("_pl"), F.col("source").alias("_ps"), F.col("mean").alias("_pm"),
                       F.col("inverse").alias("_pi"))
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang_col, source_col))
-    every = p.where("_pl IS NULL").select(F.col("_pm").alias("_em"), F.col("_pi").alias("_ei"))
     out = stats.join(p, (lang == F.col("_pl")) & (source == F.col("_ps")), "left")
-    out = out.join(F.broadcast(every), F.col("_pm").isNull() & ~F.col("base_failed"), "left")
-    out = out.withColumns({"_pm": F.coalesce("_pm", "_em"), "_pi": F.coalesce("_pi", "_ei")})
     out = out.withColumn("distance", _distance([F.col(x) for x in XS], "_pm", "_pi"))
     out = out.withColumn("distance", F.when(F.col("_pm").isNotNull(), F.col("distance")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_cut(tail), F.lit(True))
-    return out.withColumn("kept", kept).drop("_pl", "_ps", "_pm", "_pi", "_em", "_ei")
+    return out.withColumn("kept", kept).drop("_pl", "_ps", "_pm", "_pi")
 
 
 def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                  min_words: int = 50, min_group: int = 200, tail: float = TAIL) -> DataFrame:
+                  min_words: int = 50, tail: float = TAIL) -> DataFrame:
     """``docs`` plus COUNTS, base_failed, distance and kept."""
     docs = _names(docs, ("base_failed", "distance", "kept", "fit"))
     stats = with_statistics(docs, text_col).withColumn("base_failed", base_failed(min_words))
     narrow = save(stats.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
                                (~F.col("base_failed")).alias("fit"), *XS), "quality-stats")
-    return judge(stats, estimates(narrow, "lang", "source", min_group=min_group), lang_col, source_col, tail).drop(*XS)
+    return judge(stats, estimates(narrow, "lang", "source"), lang_col, source_col, tail).drop(*XS)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tabsmith.llm.textbatch import SEPARATOR, Words, mix, string_buffers, SLICE_BYTES, _power_tables
+from tabsmith.llm.textbatch import SLICE_BYTES, Words, mix, run_hashes, string_buffers
 
-#: At most so many texts in a slice, so that a text's number fits beside a hash.
+#: At most so many texts in a slice, so that much of a hash fits beside a text's number.
 SLICE_TEXTS = 8192
 U = np.uint64
 
@@ -40,9 +40,10 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _keyed(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The number of a text before the upper 50 bits of a hash."""
-    return (text.astype(np.uint64) << U(50)) | (hashes >> U(14))
+def _keyed(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, U]:
+    """The numbers of n texts before the upper bits of hashes, as many as are left; and how many those are."""
+    bits = 64 - max(1, (n - 1).bit_length())
+    return (text.astype(np.uint64) << U(bits)) | (hashes >> U(64 - bits)), U(bits)
 
 
 def _line_counts(raw: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +64,10 @@ def _line_counts(raw: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np
     after = np.searchsorted(words.starts, stop)
     full = after > first_word
     starts, stop, text = starts[full], stop[full], text[full]
-    up, down = _power_tables(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LINE_BYTES[raw] * up)])
-    hashes = mix((sums[stop] - sums[starts]) * down[np.minimum(starts, len(down) - 1)] + (stop - starts).astype(np.uint64))
-    keys = np.unique(_keyed(text, hashes))
+    keys, bits = _keyed(text, run_hashes(_LINE_BYTES[raw], starts, stop), n)
+    keys = np.unique(keys)
     lines = np.bincount(text, minlength=n)
-    return lines, lines - np.bincount((keys >> U(50)).astype(np.int64), minlength=n)
+    return lines, lines - np.bincount((keys >> bits).astype(np.int64), minlength=n)
 
 
 def _repeat_words(words: Words, n: int) -> np.ndarray:
@@ -78,7 +77,7 @@ def _repeat_words(words: Words, n: int) -> np.ndarray:
     hashes, bounds = words.windows(3)
     text = np.repeat(np.arange(n), np.diff(bounds))
     place = np.arange(len(hashes)) - bounds[text] + words.bounds[text]
-    keys = _keyed(text, hashes)
+    keys, _ = _keyed(text, hashes, n)
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     same = s[1:] == s[:-1]
@@ -111,8 +110,8 @@ def slice_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, col["n_lines"]], out[:, col["n_dup_lines"]] = lines, dups
     out[:, col["n_repeat_words"]] = _repeat_words(words, n)
     text = np.repeat(np.arange(n), words.counts)
-    keys = np.unique(_keyed(text, words.hashes))
-    out[:, col["n_distinct"]] = np.bincount((keys >> U(50)).astype(np.int64), minlength=n)
+    keys, bits = _keyed(text, words.hashes, n)
+    out[:, col["n_distinct"]] = np.bincount((np.unique(keys) >> bits).astype(np.int64), minlength=n)
     out[:, col["n_long_words"]] = _per_text(words.ends - words.starts > 20, words.bounds)
     return out
 

@@ -2,12 +2,16 @@
 
 The functions work on the UTF-8 bytes of a batch at once. The word separators
 (``[\\x20\\x09-\\x0D]``) are ASCII, so words of bytes are words of code points.
-A word's 64-bit hash is a polynomial over random byte values, mixed; A-Z and
-a-z share their values when ``fold`` is set.
+A word's 64-bit hash is multilinear: each byte's random value times the random
+coefficient of its place in the word, summed and mixed. No structure of two words
+makes them meet, as it does under powers of one base. A-Z and a-z share their
+values when ``fold`` is set.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20           # texts are handled about so many bytes at a time
+SLICE_BYTES = 1 << 19           # texts are handled about so many bytes at a time
 ODD = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -39,20 +43,30 @@ def _byte_values(fold: bool) -> np.ndarray:
     return v
 
 
-_powers: dict[str, np.ndarray] = {}
+_places: list[np.ndarray] = [np.zeros(0, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**i and r**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + (1 << 18))
-        r = int(ODD) | 1
-        inv = pow(r, -1, 1 << 64)
-        for key, base in (("up", r), ("down", inv)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"]
+def coefficients(n: int) -> np.ndarray:
+    """The odd random coefficients of n places or more."""
+    if len(_places[0]) < n:
+        size = max(1 << 12, 1 << (n - 1).bit_length())
+        _places[0] = mix(np.arange(1, size + 1, dtype=np.uint64) * U(0xD1342543DE82EF95)) | U(1)
+    return _places[0]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run of ``values`` from a start to its end; starts rise, and runs don't overlap."""
+    if not len(starts):
+        return np.zeros(0, U)
+    first, last = int(starts[0]), int(ends[-1])
+    reach = np.diff(np.append(starts, last))            # up to the next run
+    kind = np.int32 if last - first < 1 << 31 else np.int64
+    place = np.arange(last - first, dtype=kind) - np.repeat((starts - first).astype(kind), reach)
+    v = values[first:last] * coefficients(int(reach.max()))[place]
+    length = ends - starts
+    if (reach != length).any():                         # what lies between two runs does not count
+        v[place >= np.repeat(length.astype(kind), reach)] = 0
+    return mix(np.add.reduceat(v, starts - first) + length.astype(U) * ODD)
 
 
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -78,7 +92,26 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
-def word_pieces(raw: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+def tidy(run):
+    """A task's function that gives freed memory back at its end: the worker goes on to other stages."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return tidied
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # another C library
+        pass
+
+
+def word_pieces(raw: bytes, size: int = 2 << 20) -> Iterator[list[bytes]]:
     """The words of a text, in lists from about ``size`` bytes each."""
     start = 0
     while start < len(raw):
@@ -107,13 +140,7 @@ class Words:
         self.solid = solid
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
-        if len(self.starts):
-            up, down = _power_tables(len(raw))
-            weighed = _byte_values(fold)[raw] * up
-            sums = np.add.reduceat(weighed, self.starts)
-            self.hashes = mix(sums * down[self.starts])
-        else:
-            self.hashes = np.zeros(0, np.uint64)
+        self.hashes = run_hashes(_byte_values(fold)[raw], self.starts, self.ends)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words, and each text's bounds among them.

@@ -11,9 +11,11 @@ text's ids are its units' ids in order, and a unit that comes again is looked up
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 
@@ -144,6 +146,46 @@ class UnitEncoder(UnitCache):
         return out
 
 
+#: Marks that join an ASCII letter in front of them, sometimes in one case only.
+COMBINING = re.compile("[\u0300-\u036f]")
+
+
+class WordEncoder(UnitEncoder):
+    """Encodes by word BPE. A-Z are lower-cased first, which the tokenizer does anyway, so that words have one
+    form; not where a combining mark could join a letter in one case and not in the other."""
+
+    def __init__(self, path: str):
+        super().__init__(path, "word", 2)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()                        # half the time would go into walking the lists of words; no cycles are made
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        cache = self.cache
+        units = [word_units(t if COMBINING.search(t) else t.encode().lower().decode()) if t else [] for t in texts]
+        new = list(set().union(*units).difference(cache))
+        cache.update(zip(new, self.find(new)))
+        out = [b"".join(itemgetter(*u)(cache)) if len(u) > 1 else b"".join(cache[x] for x in u) for u in units]
+        for x in new:
+            if len(x) > CACHE_CHARS:
+                del cache[x]
+        if len(cache) > self.limit:
+            cache.clear()
+        return out
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's word encoder."""
+    return WordEncoder(path)
+
+
 @lru_cache(maxsize=4)
 def unit_encoder(path: str, kind: str, width: int) -> UnitEncoder:
     """The worker's encoder; its cache serves all tasks the worker runs."""

@@ -51,3 +51,25 @@ def test_repeated_rows_leave_one(spark):
     out = cp.ngram_join_stage(spark, docs, SF)
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) > 0
+
+
+def test_documents_are_rows(spark):
+    """Repeated and missing ids: only near duplicates go, whatever id they have."""
+    a = " ".join(f"word{i}" for i in range(80))
+    b = " ".join(f"other{i}" for i in range(80))
+    rows = [(5, a), (5, b), (None, a + " end"), (None, b + " end"), (None, "alone " * 7), (7, a), (3, "x y z w v u t"),
+            (9, None), (9, None), (None, ""), (2, b + " end")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "extra") for d, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, row string")
+    got = cp.ngram_join_stage(spark, docs, SF)
+    assert got.columns == list(cp.COLUMNS)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [
+        (5, a), (2, b + " end"), (None, "alone " * 7), (3, "x y z w v u t"), (9, None), (9, None), (None, "")]))
+
+
+def test_stages_take_nulls_and_extra_columns(spark):
+    docs = spark.createDataFrame([(None, None, None, None, None, 1), (1, "word " * 60, None, "s", 3, 2), (1, "", "en", None, 0, 3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, score int")
+    for name, stage in cp.STAGES:
+        docs = cp.save(stage(spark, docs, SF), name)
+    assert docs.count() == 0
