@@ -4,6 +4,12 @@
 Parquet to the shared folder and read again as the next stage's documents, so a
 lost executor costs a part of one stage. The stages before the last return the
 columns of documents; every stage works on all that the one before it kept.
+
+Defined cases: a row is a document, also one that repeats a doc_id or has none;
+of near duplicates, the row with the smallest doc_id stays (a null one last, the
+first row among equal ids). A null or empty text fails the quality rules. A null
+language or source is a value of its own. Columns other than those of documents
+are dropped by the first stage. An empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm.line_dedup import line_dedup
 from tabsmith.llm.ngram_join import ngram_join
-from tabsmith.llm.packing import pack_documents
+from tabsmith.llm.packing import LIMITS, PROMPT, pack_documents
 from tabsmith.llm.quality_classifier import classify
 from tabsmith.llm.quality_rules import quality_rules
 from tabsmith.llm.store import documents, save, table
@@ -41,20 +47,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    placed = ngram_join(docs)
-    gone = save(placed.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
-    # rows that repeat an id: of equal ones, one stays
-    if docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    # the join is of rows, so that neither repeated nor missing ids change what is a document
+    rows = save(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "join-rows")
+    groups = (ngram_join(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+              .join(rows.select("row", "doc_id"), "row"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stays = save(groups.groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.row").alias("stays")), "join-stays")
+    return rows.join(stays, F.col("row") == F.col("stays"), "left_semi").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
     import public_tokenizers
-    # the workers that packed serve the next stages and runs too, so they keep less
-    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_units=250_000)
+    # the workers that packed serve the next stages and runs too, so they keep nothing
+    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), limits=LIMITS, prompt=PROMPT,
+                            cache_units=250_000, keep_cache=False)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
