@@ -6,28 +6,31 @@ text. Unigrams have additive smoothing over all training tokens. Longer n-grams
 (count - DISCOUNT) / count of its context, and the rest of the context's mass goes
 to the next shorter context, so every context sums to one.
 
-As an automaton, each context with kept continuations is a state; a kept n-gram
-is an arc to the longest context that ends in it; every other word takes the
-state's failure arc, whose weight is the backoff weight, and tries again there; the
-root has all words. A text's score is the sum of the log10 probabilities on its way.
+As an automaton, each context with kept continuations is a state, numbered; a kept
+n-gram is an arc to the longest state that its words end in; every other word takes
+the state's failure arc, whose weight is the backoff weight, and tries again there;
+the root has all words. A text is read once from left to right: it carries its state
+and adds up the weights of its arcs. (All texts of a block are read in step, long ones
+in segments of SEGMENT words; a segment finds its state by reading the ORDER - 1 words
+before it from the root, which is exact, as no state is longer.)
 
 What is gathered:
 
-* Counts are exact, over all training texts, for every word and n-gram. The texts
-  are dealt into blocks by where they lie in their files, the keys (64-bit hashes)
-  into buckets of equal ranges, as many as the texts' bytes ask for. A block sends
-  the count of each of its distinct n-grams; the counts meet by bucket, and the
-  totals go back to the blocks that have the n-gram, in the order of its keys, which
-  the block makes again. So neither the vocabulary nor the model is ever in one
-  place, and the traffic is one key for a block's distinct n-gram, whatever its
-  frequency.
+* Counts are exact, over all training texts, for every word; an n-gram's key has 20
+  bits more than would number all of the corpus's, so two meet with a chance of 2^-20
+  each. The texts are dealt into blocks of about BLOCK_BYTES by where they lie in their
+  files, the keys into buckets of equal ranges, as many as the texts' bytes ask for. A
+  block sends each bucket one message with its distinct n-grams and their counts; the
+  counts meet by bucket, and the totals go back to the blocks that have the n-gram, in
+  the order of its keys, which the block makes again. So neither the vocabulary nor the
+  model is ever in one place. The traffic is one key for a block's distinct n-gram,
+  whatever its frequency; a block's messages are never more than its n-grams.
 * Every n-gram seen LEAST times or more is kept, whatever the size of the corpus (its
   parts are seen as often, so they are kept too). For each kept n-gram one of the
   blocks that have it adds to the sums of its context (how many continuations, their
   counts, their counts in the shorter context); these meet by bucket and go back to
   the blocks too. A block thus has the states, arcs and failure weights that its own
-  texts can reach: its part of the automaton. As it has the arcs of every position,
-  the positions are read at once instead of one after the other.
+  texts can reach: its part of the automaton.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id is
 hashed as an empty text; repeated rows are learnt and scored one by one; without
@@ -37,8 +40,6 @@ table gives an empty result. Other columns of the input are not read.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -46,17 +47,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm.store import documents, save, ship
-from tabsmith.llm.textbatch import ODD, Words, mix, word_slices
+from tabsmith.llm.textbatch import ODD, Words, mix, tidy, word_slices
 
 ORDER = 3
 DISCOUNT = 0.6
 ALPHA = 0.1
-#: An n-gram seen so often is kept; how many may be kept has no bound.
-LEAST, KEPT = 2, math.inf
-#: Rows of one file in a block, and bytes of text for each bucket of keys.
-BLOCK_ROWS, BUCKET_BYTES = 4096, 8 << 20
-#: Positions that are scored in one go.
-SEGMENT = 1 << 19
+#: An n-gram seen so often is kept; how many are kept has no bound.
+LEAST = 2
+#: Bytes of text in a block, and for each bucket of keys.
+BLOCK_BYTES, BUCKET_BYTES = 5 << 20, 8 << 20
+#: Bits of an n-gram's key at least, and beyond the logarithm of the corpus's words.
+KEY_BITS, MORE_BITS = 48, 20
+#: Words of a text that are read in one go.
+SEGMENT = 256
 START = np.uint64(0x9B1A6C3F52D7E845)       # the start's hash
 END = np.uint64(0x2545F4914F6CDD1D)         # the end token's hash
 U = np.uint64
@@ -66,16 +69,29 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, doc, held, text): a block is a run of rows of one file, however the file is split."""
+def blocked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(block, doc, held, text) and the texts' bytes; a block is a run of rows of one file, however the file is split."""
     def place(d: DataFrame) -> DataFrame:
-        block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-        return d.select(block.alias("block"), F.col(id_col).cast("long").alias("doc"), held_out(id_col).alias("held"),
-                        F.col(text_col).cast("string").alias("text"))
+        return d.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+                        F.col(id_col).cast("long").alias("doc"), held_out(id_col).alias("held"), F.col(text_col).cast("string").alias("text"))
     try:
-        return place(docs)
+        rows = place(docs)
     except AnalysisException:               # no file beneath: make some
-        return place(save(docs.select(id_col, text_col), "lm-documents"))
+        rows = place(save(docs.select(id_col, text_col), "lm-documents"))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    size = sums.size or 0
+    run = max(1, min(1 << 16, BLOCK_BYTES * max(1, sums.n) // max(1, size)))
+    rows = rows.withColumn("unit", F.floor(F.col("at") / run))
+    # runs of long texts are cut again
+    heavy = (rows.groupBy("file", "unit").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > 2 * BLOCK_BYTES)
+             .select("file", "unit", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts")))
+    heavy = save(heavy, "lm-heavy")
+    if heavy.limit(1).count():
+        rows = rows.join(heavy, ["file", "unit"], "left")
+        part = F.coalesce(F.floor((F.col("at") % run) * F.col("parts") / run), F.lit(0))
+    else:
+        part = F.lit(0)
+    return rows.select(F.xxhash64("file", "unit", part).alias("block"), "doc", "held", "text"), size
 
 
 # ------------------------------------------------------------------------ n-grams
@@ -151,7 +167,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 #: Words; the contexts that are no words (the start, n-grams short of the longest); the longest n-grams.
-WORDS, INNER, LONGEST = range(3)
+WORDS, INNER, LONGEST = KINDS = range(3)
 
 
 class Block:
@@ -160,7 +176,7 @@ class Block:
     ``keys`` has the sorted distinct keys of each kind, one kind after the other;
     ``place[k - 1]`` where among them the k-gram is that ends at each position, -1 for none."""
 
-    def __init__(self, col, order: int, buckets: int):
+    def __init__(self, col, order: int, buckets: int, bits: int):
         parts = [(w.counts + 1, w.first, *_sequence(w)) for w in word_slices(col, fold=True)]
         self.tokens = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         seq = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, U)
@@ -173,42 +189,66 @@ class Block:
             key = _longer(key, seq, k)
             longer.append((k - 1, key, _inside(self.of, k)))
         kinds = [[(0, seq, ~self.starts)], [(0, seq, self.starts), *longer[:-1]], longer[-1:]]
-        keys, at, self.cuts = [], 0, {}
+        keys, at, self.cuts, self.words = [], 0, {}, 0
         for kind, members in enumerate(kinds):
-            found, place = np.unique(np.concatenate([key[ok] for _, key, ok in members] or [np.zeros(0, U)]), return_inverse=True)
+            found = np.concatenate([key[ok] for _, key, ok in members] or [np.zeros(0, U)])
+            if kind != WORDS:
+                found &= ~U((1 << (64 - bits)) - 1)
+            found, place = np.unique(found, return_inverse=True)
             lo = 0
             for k, _, ok in members:
                 n = int(ok.sum())
                 self.place[k][ok] = at + place[lo:lo + n]
                 lo += n
-            self.cuts |= {(kind, bucket): (at + lo, at + hi) for bucket, lo, hi in _cuts(found, buckets)}
+            for bucket, lo, hi in _cuts(found, buckets):
+                self.cuts.setdefault(bucket, {})[kind] = (at + lo, at + hi)
             keys.append(found)
             at += len(found)
+            self.words = self.words or at
         self.keys = np.concatenate(keys)
 
     def values(self, rows: pa.Table, names: list[str]) -> list[np.ndarray]:
         """Each key's values, 0 for the keys that the mask leaves out."""
         out = [np.zeros(len(self.keys), np.int64) for _ in names]
-        for r in rows.to_pylist():
-            lo, hi = self.cuts[r["kind"], r["bucket"]]
-            at = lo + np.flatnonzero(_bits_in(r["mask"], hi - lo))
-            for o, name in zip(out, names):
-                o[at] = _bits_in(r[name], len(at)) if name == "mine" else _numbers_in(r[name])
+        for r in _each(rows):
+            for kind, (lo, hi) in self.cuts[r["bucket"]].items():
+                at = lo + np.flatnonzero(_bits_in(r["mask"][kind], hi - lo))
+                for o, name in zip(out, names):
+                    o[at] = _bits_in(r[name][kind], len(at)) if name == "mine" else _numbers_in(r[name][kind])
         return out
 
 
-SENT = "block long, bucket int, kind int, keys binary, n binary"
-SENT_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+def _each(rows: pa.Table):
+    """The rows of a table, one at a time."""
+    for b in rows.to_batches(max_chunksize=16):
+        yield from b.to_pylist()
+
+
+def _message(made: dict, out, empty: bytes = b"") -> list[list[bytes]]:
+    """For each of the values that ``out`` makes of a kind's range, the list of all kinds'."""
+    cols = [out(*made[kind]) if kind in made else None for kind in KINDS]
+    n = len(next(c for c in cols if c is not None))
+    return [[empty if c is None else c[i] for c in cols] for i in range(n)]
+
+
+BLOBS = pa.list_(pa.binary())
+SENT = "block long, bucket int, keys array<binary>, n array<binary>"
+SENT_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", BLOBS), ("n", BLOBS)])
 
 
-def _count(order: int, buckets: int):
-    """SENT: the count in training texts of each distinct word and n-gram of a block's texts, by bucket."""
+def _count(order: int, buckets: int, bits: int):
+    """SENT: the count in training texts of each distinct word and n-gram of a block's texts, a message a bucket."""
     def rows(block: int, texts: list[pa.Array], held: list[np.ndarray]):
-        made = Block(pa.chunked_array(texts), order, buckets)
+        made = Block(pa.chunked_array(texts), order, buckets, bits)
         train = ~np.concatenate(held)[made.of]
         n = sum(np.bincount(p[train & (p >= 0)], minlength=len(made.keys)) for p in made.place)
-        return _table([(block, bucket, kind, _keys_out(made.keys[lo:hi]), _numbers_out(n[lo:hi]))
-                       for (kind, bucket), (lo, hi) in made.cuts.items()], SENT_ARROW).to_batches()
+        out = []
+        for bucket, kinds in made.cuts.items():
+            out.append((block, bucket, *_message(kinds, lambda lo, hi: (_keys_out(made.keys[lo:hi]), _numbers_out(n[lo:hi])))))
+            if len(out) == 64:
+                yield from _table(out, SENT_ARROW).to_batches()
+                out.clear()
+        yield from _table(out, SENT_ARROW).to_batches()
 
     def run(batches):
         now, texts, held = None, [], []
@@ -226,20 +266,23 @@ def _count(order: int, buckets: int):
     return run
 
 
-TOTALS = "block long, bucket int, kind int, mask binary, keys binary, total binary, mine binary, tokens long, words long"
-TOTALS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("mask", pa.binary()), ("keys", pa.binary()),
-                          ("total", pa.binary()), ("mine", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
+TOTALS = ("block long, bucket int, mask array<binary>, keys array<binary>, total array<binary>, mine array<binary>, "
+          "tokens long, words long")
+TOTALS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, BLOBS) for c in ("mask", "keys", "total", "mine")),
+                          ("tokens", pa.int64()), ("words", pa.int64())])
 
 
 def _total(sent: pa.Table) -> pa.Table:
     """TOTALS of a bucket: for each block which of its keys are kept (or training texts' words), their totals
     and whether the block is the one to add them to their contexts; the bucket's sums are in a row without a block."""
     bucket = sent["bucket"][0].as_py()
-    by_kind: dict[int, list] = {}
-    for r in sent.to_pylist():
-        by_kind.setdefault(r["kind"], []).append((r["block"], _keys_in(r["keys"]), _numbers_in(r["n"])))
-    out, sums = [], (0, 0)
-    for kind, parts in by_kind.items():
+    rows = list(_each(sent))
+    made: list[dict] = [{} for _ in rows]
+    sums = (0, 0)
+    for kind in KINDS:
+        parts = [(i, _keys_in(r["keys"][kind]), _numbers_in(r["n"][kind])) for i, r in enumerate(rows) if r["keys"][kind]]
+        if not parts:
+            continue
         n = np.concatenate([p[2] for p in parts])
         seen, first, place = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
         total = np.bincount(place, weights=n, minlength=len(seen)).astype(np.int64)[place]
@@ -247,13 +290,14 @@ def _total(sent: pa.Table) -> pa.Table:
         if kind == WORDS:
             sums = (int(n.sum()), int((mine & (total > 0)).sum()))
         lo = 0
-        for block, keys, _ in parts:
+        for i, keys, _ in parts:
             t, m = total[lo:lo + len(keys)], mine[lo:lo + len(keys)]
             lo += len(keys)
             keep = t >= (1 if kind == WORDS else LEAST)
-            out.append((block, bucket, kind, np.packbits(keep).tobytes(), b"" if kind == LONGEST else _keys_out(keys[keep]),
-                        _numbers_out(t[keep]), np.packbits(m[keep]).tobytes(), 0, 0))
-    out.append((None, bucket, None, b"", b"", b"", b"", *sums))
+            made[i][kind] = (np.packbits(keep).tobytes(), b"" if kind == LONGEST else _keys_out(keys[keep]),
+                             _numbers_out(t[keep]), np.packbits(m[keep]).tobytes())
+    out = [(r["block"], bucket, *_message(m, lambda *blobs: blobs), 0, 0) for r, m in zip(rows, made)]
+    out.append((None, bucket, [], [], [], [], *sums))
     return _table(out, TOTALS_ARROW)
 
 
@@ -261,10 +305,10 @@ SUMS = "bucket int, keys binary, kids binary, counts binary, shorter binary"
 SUMS_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "kids", "counts", "shorter")])
 
 
-def _context_sums(order: int, buckets: int):
+def _context_sums(order: int, buckets: int, bits: int):
     """SUMS of the contexts of the kept n-grams that are this block's to add."""
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        block = Block(texts["text"], order, buckets)
+        block = Block(texts["text"], order, buckets, bits)
         total, mine = block.values(totals, ["total", "mine"])
         sums = [np.zeros(len(block.keys), np.int64) for _ in range(3)]
         for k in range(1, order):
@@ -277,89 +321,146 @@ def _context_sums(order: int, buckets: int):
             for s, w in zip(sums, (None, total[place[at]], total[block.place[k - 1][at]])):
                 s += np.bincount(context, weights=w, minlength=len(s)).astype(np.int64)
         out = []
-        for (_, bucket), (lo, hi) in block.cuts.items():
-            at = lo + np.flatnonzero(sums[0][lo:hi])
+        for bucket, kinds in block.cuts.items():
+            # a bucket's words and inner contexts; their keys meet by kind, which the lowest bit tells
+            at = np.concatenate([lo + np.flatnonzero(sums[0][lo:hi]) for kind, (lo, hi) in kinds.items() if kind != LONGEST]
+                                or [np.zeros(0, np.int64)])
             if len(at):
-                out.append((bucket, _keys_out(block.keys[at]), *(_numbers_out(x[at]) for x in sums)))
+                keys = _told(block.keys[at], at >= block.words)
+                by = np.argsort(keys)
+                out.append((bucket, _keys_out(keys[by]), *(_numbers_out(x[at][by]) for x in sums)))
         return _table(out, SUMS_ARROW)
     return run
 
 
-STATES = "block long, bucket int, kind int, mask binary, total binary, kids binary, counts binary, shorter binary"
-STATES_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32())]
-                         + [(c, pa.binary()) for c in ("mask", "total", "kids", "counts", "shorter")])
+def _told(keys: np.ndarray, inner) -> np.ndarray:
+    """Keys whose lowest bit tells the words from the inner contexts."""
+    return (keys & ~U(1)) | np.asarray(inner).astype(U)
+
+
+STATES = "block long, bucket int, mask array<binary>, total array<binary>, kids array<binary>, counts array<binary>, shorter array<binary>"
+STATES_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32())] + [(c, BLOBS) for c in ("mask", "total", "kids", "counts", "shorter")])
 
 
 def _states(totals: pa.Table, sums: pa.Table) -> pa.Table:
     """STATES: the totals of a bucket's blocks with their contexts' sums."""
-    parts = sums.to_pylist()
+    parts = list(_each(sums))
     seen, place = np.unique(np.concatenate([_keys_in(r["keys"]) for r in parts] or [np.zeros(0, U)]), return_inverse=True)
     # one more, 0, for the keys that are no contexts
     all_of = [np.bincount(place, weights=np.concatenate([_numbers_in(r[c]) for r in parts] or [np.zeros(0)]),
                           minlength=len(seen) + 1).astype(np.int64) for c in ("kids", "counts", "shorter")]
     out = []
-    for r in totals.to_pylist():
-        if r["kind"] == LONGEST:
-            at = np.full(_bits_in(r["mask"], None).sum(), len(seen))
-        else:
-            keys = _keys_in(r["keys"])
-            at = np.searchsorted(seen, keys)
-            at[at < len(seen)] = np.where(seen[at[at < len(seen)]] == keys[at < len(seen)], at[at < len(seen)], len(seen))
-        out.append((r["block"], r["bucket"], r["kind"], r["mask"], r["total"], *(_numbers_out(x[at]) for x in all_of)))
+    for r in _each(totals):
+        made = {}
+        for kind in KINDS:
+            if not r["total"][kind]:
+                continue
+            if kind == LONGEST:
+                at = np.full(len(_numbers_in(r["total"][kind])), len(seen))
+            else:
+                keys = _told(_keys_in(r["keys"][kind]), kind == INNER)
+                at = np.minimum(np.searchsorted(seen, keys), max(0, len(seen) - 1))
+                at = np.where(seen[at] == keys, at, len(seen)) if len(seen) else np.zeros(len(keys), np.int64)
+            made[kind] = tuple(_numbers_out(x[at]) for x in all_of)
+        out.append((r["block"], r["bucket"], r["mask"], r["total"], *_message(made, lambda *blobs: blobs)))
     return _table(out, STATES_ARROW)
 
 
 class Automaton:
-    """The states, arcs and failure arcs that one block's texts can reach."""
+    """The states, arcs and failure arcs that one block's texts can reach.
+
+    A state is the number of its context's key; the root comes after all keys. ``arcs`` are sorted
+    numbers of (state, word), beside their weights and the states they lead to."""
 
     def __init__(self, block: Block, rows: pa.Table, denominator: float):
-        self.block, self.denominator = block, denominator
-        self.total, self.kids, self.counts, self.shorter = block.values(rows, ["total", "kids", "counts", "shorter"])
-
-    def failure(self, state: np.ndarray, below: np.ndarray | None) -> np.ndarray:
-        """The log10 weights of the states' failure arcs; ``below``: the states they lead to, None for the root."""
-        total, kids = np.maximum(self.total[state], 1), self.kids[state]
-        used = (self.counts[state] - DISCOUNT * kids) / total
-        if below is None:
-            covered = (self.shorter[state] + ALPHA * kids) / self.denominator
-        else:
-            covered = (self.shorter[state] - DISCOUNT * kids) / np.maximum(self.total[below], 1)
-        return np.where(kids > 0, np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - covered, 1e-9)), 0.0)
-
-    def read(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The training counts and the log10 probabilities, by words alone and by the model, of the words at ``at``."""
-        place = self.block.place
-        count = self.total[place[0][at]]
-        base = np.log10((count + ALPHA) / self.denominator)
-        log = np.zeros(len(at))
-        go = np.arange(len(at))
-        for k in range(len(place) - 1, 0, -1):          # contexts of k words
-            here = at[go]
-            arc = place[k][here]
-            inside = arc >= 0
-            hit = inside & (self.total[arc] >= LEAST)
-            log[go[hit]] += np.log10((self.total[arc[hit]] - DISCOUNT) / self.total[place[k - 1][here[hit] - 1]])
-            fails = inside & ~hit
-            before = here[fails] - 1
-            log[go[fails]] += self.failure(place[k - 1][before], place[k - 2][before] if k > 1 else None)
-            go = go[~hit]
-        log[go] += base[go]
-        return count, base, log
-
-
-def _scores(model: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.block = block
+        total, kids, counts, shorter = block.values(rows, ["total", "kids", "counts", "shorter"])
+        n = self.root = len(block.keys)
+        self.total = total
+        self.word = np.log10((total[:block.words] + ALPHA) / denominator)       # the root's arcs
+        # a context's longest shorter one, and the state that a word leads to from it
+        self.state = np.full(n + 1, n, np.int64)
+        self.fail, self.weight = np.full(n + 1, n, np.int64), np.zeros(n + 1)
+        arcs, weights, targets = [], [], []
+        where = np.zeros(n, np.int64)
+        for k, place in enumerate(block.place):
+            at = np.flatnonzero(place >= 0)
+            where[place[at]] = at                       # one position of each key
+            keys = np.unique(place[at])
+            at = where[keys]
+            suffix = np.full(len(keys), n) if not k else block.place[k - 1][at].astype(np.int64)
+            self.state[keys] = np.where(kids[keys] > 0, keys, self.state[suffix])
+            live = kids[keys] > 0
+            s, below = keys[live], suffix[live]
+            self.fail[s] = self.state[below]
+            used = (counts[s] - DISCOUNT * kids[s]) / np.maximum(total[s], 1)
+            covered = ((shorter[s] - DISCOUNT * kids[s]) / np.maximum(total[below], 1) if k
+                       else (shorter[s] + ALPHA * kids[s]) / denominator)
+            self.weight[s] = np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - covered, 1e-9))
+            if k:
+                kept = total[keys] >= LEAST
+                g, at = keys[kept], at[kept]
+                context = block.place[k - 1][at - 1].astype(np.int64)
+                arcs.append(context * max(1, block.words) + block.place[0][at])
+                weights.append(np.log10((total[g] - DISCOUNT) / total[context]))
+                targets.append(self.state[g])
+        arcs = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
+        by = np.argsort(arcs)
+        # one more, that no state has, so that every search ends at an arc
+        self.arcs = np.append(arcs[by], np.iinfo(np.int64).max)
+        self.arc_weight = np.append(np.concatenate(weights)[by] if weights else [], 0.0)
+        self.target = np.append(np.concatenate(targets)[by] if targets else np.zeros(0, np.int64), n)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of reading a word in each state, and the states it leads to."""
+        weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
+        go, state = np.arange(len(state)), state.copy()
+        while len(go):
+            s, w = state[go], word[go]
+            number = s * max(1, self.block.words) + w
+            arc = np.searchsorted(self.arcs, number)
+            hit = self.arcs[arc] == number
+            weight[go[hit]] += self.arc_weight[arc[hit]]
+            after[go[hit]] = self.target[arc[hit]]
+            go, s = go[~hit], s[~hit]
+            end = s == self.root
+            weight[go[end]] += self.word[word[go[end]]]
+            after[go[end]] = self.state[word[go[end]]]
+            go, s = go[~end], s[~end]
+            weight[go] += self.weight[s]                # the failure arc
+            state[go] = self.fail[s]
+        return weight, after
+
+    def read(self, segment: int) -> np.ndarray:
+        """The log10 probability of each text, read from left to right."""
+        block = self.block
+        text = np.arange(len(block.tokens))
+        pieces = -(-block.tokens // segment)
+        lane = np.repeat(text, pieces)
+        number = np.arange(len(lane)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.flatnonzero(block.starts)[lane]
+        first = start + 1 + number * segment
+        steps = np.minimum(segment, block.tokens[lane] - number * segment)
+        before = np.where(number > 0, len(block.place) - 1, 0)          # words read to find the state
+        state = np.where(number > 0, self.root, self.state[block.place[0][start]])
+        order = np.argsort(-(steps + before), kind="stable")
+        lane, first, steps, before, state = (x[order] for x in (lane, first, steps, before, state))
+        score = np.zeros(len(lane))
+        length = steps + before
+        for t in range(int(length.max(initial=0))):
+            m = int(np.searchsorted(-length, -t, side="left"))          # the lanes that go on
+            weight, state[:m] = self.step(state[:m], block.place[0][first[:m] - before[:m] + t].astype(np.int64))
+            score[:m] += np.where(t >= before[:m], weight, 0.0)
+        return np.bincount(lane, weights=score, minlength=len(text))
+
+
+def _scores(model: Automaton, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known words, and log10 probabilities by words alone and by the model, of each of the block's texts."""
     n = len(model.block.tokens)
-    known, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
     token = np.flatnonzero(~model.block.starts)
-    for lo in range(0, len(token), SEGMENT):
-        at = token[lo:lo + SEGMENT]
-        text = model.block.of[at]
-        first, width = int(text[0]), int(text[-1] - text[0]) + 1
-        count, alone, log = model.read(at)
-        for total, values in ((known, count > 0), (base, alone), (score, log)):
-            total[first:first + width] += np.bincount(text - first, weights=values, minlength=width)
-    return known, base, score
+    text, word = model.block.of[token], model.block.place[0][token]
+    known = np.bincount(text, weights=model.total[word] > 0, minlength=n)
+    return known, np.bincount(text, weights=model.word[word], minlength=n), model.read(segment)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -369,23 +470,23 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """SCORES of every row of ``docs``; the model is learnt from the rows that aren't held out."""
     spark = docs.sparkSession
     ship(spark)
-    rows = blocked(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    rows, size = blocked(docs, id_col, text_col)
     buckets = 1 + size // BUCKET_BYTES
-    sent = rows.select("block", "held", "text").mapInArrow(_count(order, buckets), SENT)
+    bits = min(64, max(KEY_BITS, size.bit_length() + MORE_BITS))
+    sent = rows.select("block", "held", "text").mapInArrow(tidy(_count(order, buckets, bits)), SENT)
     totals = save(sent.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals")
     sums = totals.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words"))).first()
     tokens, vocabulary = sums.tokens, sums.words
     denominator = max(tokens + ALPHA * (vocabulary + 1), ALPHA)
     totals = totals.where("block IS NOT NULL").drop("tokens", "words")
     # the same texts by block as below, so they are sent once
-    contexts = (rows.groupBy("block").cogroup(totals.select("block", "bucket", "kind", "mask", "total", "mine").groupBy("block"))
-                .applyInArrow(_context_sums(order, buckets), SUMS))
+    contexts = (rows.groupBy("block").cogroup(totals.select("block", "bucket", "mask", "total", "mine").groupBy("block"))
+                .applyInArrow(_context_sums(order, buckets, bits), SUMS))
     states = totals.drop("mine").groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_states, STATES)
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        block = Block(texts["text"], order, buckets)
-        n_known, base, scores = _scores(Automaton(block, known, denominator))
+        block = Block(texts["text"], order, buckets, bits)
+        n_known, base, scores = _scores(Automaton(block, known, denominator), SEGMENT)
         return pa.table({"doc_id": texts["doc"], "held_out": texts["held"], "n_tokens": block.tokens.astype(np.int64),
                          "n_known": n_known.astype(np.int64), "train_tokens": np.full(len(n_known), tokens, np.int64),
                          "base_score": base, "score": scores})

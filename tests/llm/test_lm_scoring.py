@@ -23,7 +23,7 @@ class Plain:
     def __init__(self, texts, order=lm.ORDER):
         self.c = Counter(w for t in texts for w in words(t))
         self.n, self.v = sum(self.c.values()), len(self.c)
-        least = max(2, -(-self.n // lm.KEPT))
+        least = lm.LEAST
         kept = {w for w, n in self.c.items() if n >= least} | {"</s>", "<s>"}
         self.context = Counter(self.c)
         self.context["<s>"] = len(texts)
@@ -82,9 +82,10 @@ def fixture():
     return rows + [(3, rows[3][1])] * 2
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_scores_equal_the_definition(spark, order, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_ROWS", 20)
+@pytest.mark.parametrize("order, block_bytes", [(1, 900), (2, 900), (3, 900), (4, 900), (3, 1 << 20)])
+def test_scores_equal_the_definition(spark, order, block_bytes, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1 << 12)
     monkeypatch.setattr(lm, "SEGMENT", 7)
     rows = fixture()
     df = spark.createDataFrame([(d, t, 1, "b") for d, t in rows], "doc_id long, text string, held int, block string")
