@@ -474,7 +474,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     buckets = 1 + size // BUCKET_BYTES
     bits = min(64, max(KEY_BITS, size.bit_length() + MORE_BITS))
     sent = rows.select("block", "held", "text").mapInArrow(tidy(_count(order, buckets, bits)), SENT)
-    totals = save(sent.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals")
+    totals = save(sent.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals", free_shuffle=True)
     sums = totals.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words"))).first()
     tokens, vocabulary = sums.tokens, sums.words
     denominator = max(tokens + ALPHA * (vocabulary + 1), ALPHA)

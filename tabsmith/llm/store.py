@@ -51,12 +51,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+#: Spark's own setting: an execution's shuffle files go when it ends, not when the driver's memory is cleaned.
+FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, name: str, free_shuffle: bool = False) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, and the file sizes
-    let the optimizer choose joins by bytes."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    let the optimizer choose joins by bytes. ``free_shuffle`` gives the shuffle
+    files behind it back, which nothing needs once the table is written."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(FREE_SHUFFLE, None)
+    if free_shuffle:
+        spark.conf.set(FREE_SHUFFLE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free_shuffle:
+            spark.conf.unset(FREE_SHUFFLE) if before is None else spark.conf.set(FREE_SHUFFLE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
