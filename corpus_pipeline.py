@@ -14,7 +14,8 @@ are dropped by the first stage. An empty table gives empty stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.line_dedup import line_dedup
@@ -45,15 +46,31 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, by its file and place there, the same whenever the files are read."""
+    docs = docs.select(*COLUMNS)
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:               # no file beneath: make some
+        return _numbered(save(docs, "pipeline-rows"))
+    files = save(placed.select("file").distinct().withColumn("number", F.monotonically_increasing_id()), "pipeline-files")
+    # a row a file; a file's number has a partition's in its upper bits, a row's place takes fewer than 2^32
+    numbers = files.select("file", (F.row_number().over(Window.orderBy("number")) - 1).cast("long").alias("number"))
+    return placed.join(F.broadcast(save(numbers, "pipeline-files")), "file").select(
+        *COLUMNS, (F.shiftleft("number", 32) + F.col("at")).alias("row"))
+
+
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
     # the join is of rows, so that neither repeated nor missing ids change what is a document
-    rows = save(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "join-rows")
-    groups = (ngram_join(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-              .join(rows.select("row", "doc_id"), "row"))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    stays = save(groups.groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.row").alias("stays")), "join-stays")
-    return rows.join(stays, F.col("row") == F.col("stays"), "left_semi").select(*COLUMNS)
+    rows = _numbered(docs)
+    groups = ngram_join(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    many = save(groups.where("row <> group").select("group").distinct(), "join-groups")     # groups of more than one row
+    members = save(groups.join(many, "group").join(rows.select("row", "doc_id"), "row"), "join-members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = members.groupBy("group").agg(F.min(order)["row"].alias("stays"))
+    gone = save(members.join(first, "group").where("row <> stays").select(F.col("row").alias("gone")), "join-gone")
+    return rows.join(gone, F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
