@@ -22,7 +22,7 @@ What is gathered:
   files, the keys into buckets of equal ranges, as many as the texts' bytes ask for. A
   block sends each bucket one message with its distinct n-grams and their counts; the
   counts meet by bucket, and the totals go back to the blocks that have the n-gram, in
-  the order of its keys, which the block makes again. So neither the vocabulary nor the
+  the order of its keys, which the block makes again, with its context's rank in the bucket. So neither the vocabulary nor the
   model is ever in one place. The traffic is one key for a block's distinct n-gram,
   whatever its frequency; a block's messages are never more than its n-grams.
 * Every n-gram seen LEAST times or more is kept, whatever the size of the corpus (its
@@ -143,6 +143,15 @@ def _keys_in(raw: bytes) -> np.ndarray:
     return np.cumsum(_numbers_in(raw, U), dtype=U)
 
 
+def _places_out(places: np.ndarray) -> bytes:
+    """Rising places, by their differences."""
+    return _numbers_out(np.diff(places, prepend=0))
+
+
+def _places_in(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers_in(raw))
+
+
 def _bits_in(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
@@ -214,7 +223,9 @@ class Block:
             for kind, (lo, hi) in self.cuts[r["bucket"]].items():
                 at = lo + np.flatnonzero(_bits_in(r["mask"][kind], hi - lo))
                 for o, name in zip(out, names):
-                    o[at] = _bits_in(r[name][kind], len(at)) if name == "mine" else _numbers_in(r[name][kind])
+                    if r[name][kind]:
+                        o[at] = (_bits_in(r[name][kind], len(at)) if name == "mine"
+                                 else _places_in(r[name][kind]) if name == "rank" else _numbers_in(r[name][kind]))
         return out
 
 
@@ -266,50 +277,55 @@ def _count(order: int, buckets: int, bits: int):
     return run
 
 
-TOTALS = ("block long, bucket int, mask array<binary>, keys array<binary>, total array<binary>, mine array<binary>, "
+TOTALS = ("block long, bucket int, mask array<binary>, rank array<binary>, total array<binary>, mine array<binary>, "
           "tokens long, words long")
-TOTALS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, BLOBS) for c in ("mask", "keys", "total", "mine")),
+TOTALS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, BLOBS) for c in ("mask", "rank", "total", "mine")),
                           ("tokens", pa.int64()), ("words", pa.int64())])
 
 
 def _total(sent: pa.Table) -> pa.Table:
-    """TOTALS of a bucket: for each block which of its keys are kept (or training texts' words), their totals
-    and whether the block is the one to add them to their contexts; the bucket's sums are in a row without a block."""
+    """TOTALS of a bucket: for each block which of its keys are kept (or training texts' words), their totals,
+    whether the block is the one to add them to their contexts, and the ranks of those that can be contexts among all
+    such keys of the bucket; the bucket's sums are in a row without a block."""
     bucket = sent["bucket"][0].as_py()
     rows = list(_each(sent))
     made: list[dict] = [{} for _ in rows]
-    sums = (0, 0)
+    sums, ranked = (0, 0), 0
     for kind in KINDS:
         parts = [(i, _keys_in(r["keys"][kind]), _numbers_in(r["n"][kind])) for i, r in enumerate(rows) if r["keys"][kind]]
         if not parts:
             continue
         n = np.concatenate([p[2] for p in parts])
         seen, first, place = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=n, minlength=len(seen)).astype(np.int64)[place]
+        total = np.bincount(place, weights=n, minlength=len(seen)).astype(np.int64)
+        least = 1 if kind == WORDS else LEAST
+        rank = ranked - 1 + np.cumsum(total >= least)
+        ranked = int(rank[-1]) + 1
+        total, rank = total[place], rank[place]
         mine = first[place] == np.arange(len(place))
         if kind == WORDS:
             sums = (int(n.sum()), int((mine & (total > 0)).sum()))
         lo = 0
         for i, keys, _ in parts:
-            t, m = total[lo:lo + len(keys)], mine[lo:lo + len(keys)]
+            t, m, p = (x[lo:lo + len(keys)] for x in (total, mine, rank))
             lo += len(keys)
-            keep = t >= (1 if kind == WORDS else LEAST)
-            made[i][kind] = (np.packbits(keep).tobytes(), b"" if kind == LONGEST else _keys_out(keys[keep]),
+            keep = t >= least
+            made[i][kind] = (np.packbits(keep).tobytes(), b"" if kind == LONGEST else _places_out(p[keep]),
                              _numbers_out(t[keep]), np.packbits(m[keep]).tobytes())
     out = [(r["block"], bucket, *_message(m, lambda *blobs: blobs), 0, 0) for r, m in zip(rows, made)]
     out.append((None, bucket, [], [], [], [], *sums))
     return _table(out, TOTALS_ARROW)
 
 
-SUMS = "bucket int, keys binary, kids binary, counts binary, shorter binary"
-SUMS_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "kids", "counts", "shorter")])
+SUMS = "bucket int, rank binary, kids binary, counts binary, shorter binary"
+SUMS_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("rank", "kids", "counts", "shorter")])
 
 
 def _context_sums(order: int, buckets: int, bits: int):
     """SUMS of the contexts of the kept n-grams that are this block's to add."""
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
         block = Block(texts["text"], order, buckets, bits)
-        total, mine = block.values(totals, ["total", "mine"])
+        total, mine, rank = block.values(totals, ["total", "mine", "rank"])
         sums = [np.zeros(len(block.keys), np.int64) for _ in range(3)]
         for k in range(1, order):
             place = block.place[k]
@@ -322,46 +338,35 @@ def _context_sums(order: int, buckets: int, bits: int):
                 s += np.bincount(context, weights=w, minlength=len(s)).astype(np.int64)
         out = []
         for bucket, kinds in block.cuts.items():
-            # a bucket's words and inner contexts; their keys meet by kind, which the lowest bit tells
             at = np.concatenate([lo + np.flatnonzero(sums[0][lo:hi]) for kind, (lo, hi) in kinds.items() if kind != LONGEST]
                                 or [np.zeros(0, np.int64)])
             if len(at):
-                keys = _told(block.keys[at], at >= block.words)
-                by = np.argsort(keys)
-                out.append((bucket, _keys_out(keys[by]), *(_numbers_out(x[at][by]) for x in sums)))
+                out.append((bucket, _places_out(rank[at]), *(_numbers_out(x[at]) for x in sums)))
         return _table(out, SUMS_ARROW)
     return run
 
 
-def _told(keys: np.ndarray, inner) -> np.ndarray:
-    """Keys whose lowest bit tells the words from the inner contexts."""
-    return (keys & ~U(1)) | np.asarray(inner).astype(U)
-
-
 STATES = "block long, bucket int, mask array<binary>, total array<binary>, kids array<binary>, counts array<binary>, shorter array<binary>"
 STATES_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32())] + [(c, BLOBS) for c in ("mask", "total", "kids", "counts", "shorter")])
 
 
 def _states(totals: pa.Table, sums: pa.Table) -> pa.Table:
     """STATES: the totals of a bucket's blocks with their contexts' sums."""
-    parts = list(_each(sums))
-    seen, place = np.unique(np.concatenate([_keys_in(r["keys"]) for r in parts] or [np.zeros(0, U)]), return_inverse=True)
-    # one more, 0, for the keys that are no contexts
-    all_of = [np.bincount(place, weights=np.concatenate([_numbers_in(r[c]) for r in parts] or [np.zeros(0)]),
-                          minlength=len(seen) + 1).astype(np.int64) for c in ("kids", "counts", "shorter")]
+    parts, rows = list(_each(sums)), list(_each(totals))
+    places = [[_places_in(x) if x else None for x in r["rank"]] for r in rows]
+    n = 1 + max((int(p[-1]) for of in places for p in of if p is not None and len(p)), default=-1)
+    all_of = [np.zeros(n + 1, np.int64) for _ in range(3)]         # one more, 0, for the keys that are no contexts
+    for r in parts:
+        at = _places_in(r["rank"])
+        for total, c in zip(all_of, ("kids", "counts", "shorter")):
+            total[at] += _numbers_in(r[c])
     out = []
-    for r in _each(totals):
+    for r, of in zip(rows, places):
         made = {}
         for kind in KINDS:
-            if not r["total"][kind]:
-                continue
-            if kind == LONGEST:
-                at = np.full(len(_numbers_in(r["total"][kind])), len(seen))
-            else:
-                keys = _told(_keys_in(r["keys"][kind]), kind == INNER)
-                at = np.minimum(np.searchsorted(seen, keys), max(0, len(seen) - 1))
-                at = np.where(seen[at] == keys, at, len(seen)) if len(seen) else np.zeros(len(keys), np.int64)
-            made[kind] = tuple(_numbers_out(x[at]) for x in all_of)
+            if r["total"][kind]:
+                at = np.full(len(_numbers_in(r["total"][kind])), n) if of[kind] is None else of[kind]
+                made[kind] = tuple(_numbers_out(x[at]) for x in all_of)
         out.append((r["block"], r["bucket"], r["mask"], r["total"], *_message(made, lambda *blobs: blobs)))
     return _table(out, STATES_ARROW)
 
@@ -479,9 +484,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     tokens, vocabulary = sums.tokens, sums.words
     denominator = max(tokens + ALPHA * (vocabulary + 1), ALPHA)
     totals = totals.where("block IS NOT NULL").drop("tokens", "words")
-    # the same texts by block as below, so they are sent once
-    contexts = (rows.groupBy("block").cogroup(totals.select("block", "bucket", "mask", "total", "mine").groupBy("block"))
-                .applyInArrow(_context_sums(order, buckets, bits), SUMS))
+    # written, so that the texts' first shuffle does not lie on disk beside the second
+    contexts = save(rows.groupBy("block").cogroup(totals.select("block", "bucket", "mask", "total", "mine", "rank").groupBy("block"))
+                    .applyInArrow(_context_sums(order, buckets, bits), SUMS), "lm-contexts", free_shuffle=True)
     states = totals.drop("mine").groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_states, STATES)
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
