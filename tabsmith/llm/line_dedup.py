@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.llm.store import documents, free_name, save, ship
+from tabsmith.llm.textbatch import tidy
 
 SHARD_KEYS = 50_000
 #: Bytes an index entry takes: fingerprint 8, count 4, keeper 8, and under 6 bits of hash.
@@ -77,7 +78,7 @@ def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     """(h1, h2, n, keeper) of the keys found in at least ``min_docs`` documents."""
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc"))
     keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.col(text_col).alias("text"))
-    rows = keys.mapInArrow(_emit_keys(min_chars), "h1 long, h2 long, doc long")
+    rows = keys.mapInArrow(tidy(_emit_keys(min_chars)), "h1 long, h2 long, doc long")
     # ids alone: rows that repeat an id need a distinct count, which costs another shuffle
     if ids.groupBy("doc").count().where("count > 1").limit(1).count():
         rows = rows.distinct()
@@ -294,7 +295,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found, keeper = ready["index"].keepers(keys)
             return found & (keeper != docs)
 
-        return docs.mapInArrow(_drop_lines(min_chars, verdict=by_index, **at), schema)
+        return docs.mapInArrow(tidy(_drop_lines(min_chars, verdict=by_index, **at)), schema)
     index = save(index, "line-index")
     return _routed(docs, index, shards, id_col, text_col, min_chars, at, schema)
 
@@ -302,7 +303,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _routed(docs, index, shards, id_col, text_col, min_chars, at, schema) -> DataFrame:
     """The same result when the index is too large to go to every executor."""
     lines = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.col(text_col).alias("text"))
-             .mapInArrow(_emit_keys(min_chars), "h1 long, h2 long, doc long")
+             .mapInArrow(tidy(_emit_keys(min_chars)), "h1 long, h2 long, doc long")
              .distinct()
              .withColumn("shard", _shard_of("h1", shards)))
 
@@ -330,7 +331,7 @@ def _routed(docs, index, shards, id_col, text_col, min_chars, at, schema) -> Dat
         drops = [{(x["h1"], x["h2"]) for x in row or ()} for row in batch.column(batch.num_columns - 1).to_pylist()]
         return np.array([tuple(k) in drops[d] for k, (d, _) in zip(keys.tolist(), where)])
 
-    return joined.mapInArrow(_drop_lines(min_chars, verdict=by_list, **at), schema)
+    return joined.mapInArrow(tidy(_drop_lines(min_chars, verdict=by_list, **at)), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,12 +327,13 @@ def _context_sums(order: int, buckets: int, bits: int):
         block = Block(texts["text"], order, buckets, bits)
         total, mine, rank = block.values(totals, ["total", "mine", "rank"])
         sums = [np.zeros(len(block.keys), np.int64) for _ in range(3)]
+        where = np.zeros(len(block.keys), np.int64)
         for k in range(1, order):
             place = block.place[k]
             at = np.flatnonzero(place >= 0)
             at = at[(mine[place[at]] > 0) & (total[place[at]] >= LEAST)]
-            _, once = np.unique(place[at], return_index=True)
-            at = at[once]
+            where[place[at]] = at                       # one position of each key
+            at = at[where[place[at]] == at]
             context = block.place[k - 1][at - 1]
             for s, w in zip(sums, (None, total[place[at]], total[block.place[k - 1][at]])):
                 s += np.bincount(context, weights=w, minlength=len(s)).astype(np.int64)
@@ -389,13 +390,16 @@ class Automaton:
         arcs, weights, targets = [], [], []
         where = np.zeros(n, np.int64)
         for k, place in enumerate(block.place):
+            # only words, contexts with continuations and kept n-grams have a part in the automaton
             at = np.flatnonzero(place >= 0)
+            if k:
+                at = at[(total[place[at]] >= LEAST) | (kids[place[at]] > 0)]
             where[place[at]] = at                       # one position of each key
-            keys = np.unique(place[at])
-            at = where[keys]
+            at = at[where[place[at]] == at]
+            keys = place[at].astype(np.int64)
             suffix = np.full(len(keys), n) if not k else block.place[k - 1][at].astype(np.int64)
-            self.state[keys] = np.where(kids[keys] > 0, keys, self.state[suffix])
             live = kids[keys] > 0
+            self.state[keys] = np.where(live, keys, self.state[suffix])
             s, below = keys[live], suffix[live]
             self.fail[s] = self.state[below]
             used = (counts[s] - DISCOUNT * kids[s]) / np.maximum(total[s], 1)

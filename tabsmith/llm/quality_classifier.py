@@ -171,11 +171,11 @@ def fit(rows: DataFrame, id_col: str = "doc_id") -> Model:
     return model
 
 
-def with_vectors(docs: DataFrame, text_col: str, name: str = "v", keep_text: bool = False) -> DataFrame:
-    """``docs`` plus the vector of its texts; the text itself is dropped unless asked for."""
+def with_vectors(docs: DataFrame, text_col: str, name: str = "v") -> DataFrame:
+    """``docs`` with the vector of its texts in the place of the texts."""
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
-    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    kept = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches):
         for b in batches:
@@ -187,17 +187,19 @@ def with_vectors(docs: DataFrame, text_col: str, name: str = "v", keep_text: boo
     return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
-def with_score(rows: DataFrame, model: Model, vector: str = "v") -> DataFrame:
-    """``rows`` plus score (double) and predicted (int), from their vectors."""
-    at = rows.columns.index(vector)
+def with_score(rows: DataFrame, model: Model, vector: str | None = "v", text_col: str | None = None) -> DataFrame:
+    """``rows`` plus score (double) and predicted (int), from their vectors or from their texts."""
+    ship(rows.sparkSession)
+    at = rows.columns.index(text_col or vector)
 
     def run(batches):
         for b in batches:
-            score = model.score(_stack(b.column(at))) if b.num_rows else np.zeros(0)
+            x = vectors(b.column(at)) if text_col else _stack(b.column(at))
+            score = model.score(x) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                                              names=[*b.schema.names, "score", "predicted"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()),
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()),
                                               T.StructField("predicted", T.IntegerType())]))
 
 
@@ -216,8 +218,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             docs = docs.withColumnRenamed(name, free_name(docs.columns, name))
     vectored = save(with_vectors(docs.select(id_col, text_col), text_col), "quality-vectors")
     model = fit(save(_training(vectored, labels, id_col, label_col), "quality-training"), "id")
-    name = free_name(docs.columns, "v")
-    return with_score(with_vectors(docs, text_col, name, keep_text=True), model, name).drop(name)
+    return with_score(docs, model, text_col=text_col)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,11 +92,16 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
+#: Rows of a batch that a tidy task handles at a time.
+TIDY_ROWS = 1024
+
+
 def tidy(run):
-    """A task's function that gives freed memory back at its end: the worker goes on to other stages."""
+    """A task's function that sees its batches in small slices, and gives freed memory back at its end: the worker
+    goes on to other stages."""
     def tidied(batches):
         try:
-            yield from run(batches)
+            yield from run(b.slice(i, TIDY_ROWS) for b in batches for i in range(0, b.num_rows, TIDY_ROWS))
         finally:
             release_memory()
     return tidied
