@@ -134,6 +134,7 @@ RULE_VETO = ["explain", "interpret", "meaning", "what does"]
 
 OUTLIER_KEYWORD = "outlier"
 OUTLIER_AGENT, OUTLIER_TOOL = "cleaning_agent", "remove_outliers"
+TRAIN_TOOL = "auto_train_models"
 
 # rule-based explanation of the previous output: (test, sentences)
 EXPLAIN_INTRO = "Here is an interpretation of the previous output:\n"

@@ -204,11 +204,19 @@ def session_summary(turns: DataFrame, dataset_name: str = "dataset") -> DataFram
         F.count(F.lit(1)).cast("bigint").alias("total_turns"),
         F.array_join(F.sort_array(F.collect_set("agent")), ",").alias("agents_used"),
         F.first(F.lit(dataset_name)).alias("dataset"),
-        F.bool_or(F.coalesce(F.array_contains("tools", "auto_train_models"),
+        F.bool_or(F.coalesce(F.array_contains("tools", R.TRAIN_TOOL),
                              F.lit(False))).alias("has_ml_results"),
         F.max_by("agent", "turn_id").alias("last_agent"))
 
 
+def ml_results(turns: DataFrame) -> DataFrame:
+    """(conv_id, ml_result): per conversation the output of its last turn that
+    trained models, as the memory keeps it; conversations without one have no
+    row, and an empty output stores nothing."""
+    trained = turns.filter(F.array_contains("tools", R.TRAIN_TOOL) & (F.col("output") != ""))
+    return trained.groupBy("conv_id").agg(F.max_by("output", "turn_id").alias("ml_result"))
+
+
 def last_output(turns: DataFrame, ml_results: DataFrame | None = None) -> DataFrame:
     """QL11: per conversation the latest output and agent; the explanation
     context falls back to a fixed text when the output is empty.

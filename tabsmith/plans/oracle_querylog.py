@@ -143,6 +143,10 @@ RECORDS = ("records AS (SELECT conv_id, turn_id, NULL::VARCHAR AS timestamp, que
            "4::BIGINT AS dataset_cols, used_fallback FROM turns)")
 
 
+ML_RESULTS = (f"mlres AS (SELECT conv_id, arg_max(output, turn_id) AS ml_result FROM turns "
+              f"WHERE list_contains(tools, {lit(R.TRAIN_TOOL)}) AND output <> '' GROUP BY conv_id)")
+
+
 def append_turn():
     return f"WITH {_turns_cte()},\n{RECORDS}\nSELECT * FROM records"
 
@@ -158,11 +162,13 @@ def recent_context(n=6, snippet=300):
              f"' (' || dataset_rows || ', ' || dataset_cols || ')'")
     return f"""WITH {_turns_cte()},
 {RECORDS},
+{ML_RESULTS},
 rec AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS total FROM records),
 blocks AS (SELECT conv_id, turn_id, total, {block} AS b FROM rec WHERE turn_id > total - {n})
 SELECT conv_id, 'Session so far (' || max(total) || ' total turns):' || {NL} ||
-       string_agg(b, {NL} ORDER BY turn_id) AS context
-FROM blocks GROUP BY conv_id"""
+       string_agg(b, {NL} ORDER BY turn_id) ||
+       coalesce({NL} || {NL} || 'Last ML result: ' || max(ml_result), '') AS context
+FROM blocks LEFT JOIN mlres USING (conv_id) GROUP BY conv_id"""
 
 
 def session_summary():
@@ -173,10 +179,11 @@ def session_summary():
 
 
 def last_output():
-    return (f"WITH {_turns_cte()},\ng AS (SELECT conv_id, max(turn_id) AS last_turn, "
+    return (f"WITH {_turns_cte()},\n{ML_RESULTS},\ng AS (SELECT conv_id, max(turn_id) AS last_turn, "
             f"arg_max(output, turn_id) AS last_output, arg_max(agent, turn_id) AS last_agent "
-            f"FROM turns GROUP BY conv_id)\nSELECT *, CASE WHEN coalesce(last_output, '') = '' "
-            f"THEN {lit(R.NO_PREVIOUS_OUTPUT)} ELSE last_output END AS explanation_context FROM g")
+            f"FROM turns GROUP BY conv_id)\nSELECT g.*, ml_result AS last_ml_result, CASE WHEN coalesce(last_output, '') = '' "
+            f"THEN {lit(R.NO_PREVIOUS_OUTPUT)} ELSE last_output END AS explanation_context "
+            f"FROM g LEFT JOIN mlres USING (conv_id)")
 
 
 def _explain_sql(o):
@@ -244,12 +251,6 @@ def stream_routing_diagnostics():
             f"GROUP BY agent, method")
 
 
-def stream_session_summary():
-    return (f"WITH {_stream_routed()}\nSELECT conv_id, count(*)::BIGINT AS total_turns, "
-            f"string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents_used, "
-            f"arg_max(agent, turn) AS last_agent FROM r GROUP BY conv_id")
-
-
 def querylog_sql() -> dict[str, str]:
     return {
         "classify_intent": classify_intent(),
@@ -268,5 +269,7 @@ def querylog_sql() -> dict[str, str]:
         "response_label": response_label(),
         "routing_diagnostics": routing_diagnostics(),
         "stream_routing_diagnostics": stream_routing_diagnostics(),
-        "stream_session_summary": stream_session_summary(),
+        "stream_session_summary": session_summary(),
+        "stream_recent_context": recent_context(),
+        "stream_last_output": last_output(),
     }

@@ -72,20 +72,21 @@ def q_final_tool(spark, sf):
     return r.select("conv_id", "turn", "agent", "final_tool")
 
 
-def _records(spark, sf):
+def _records(spark, sf, turns):
     rows = load_table(spark, sf, SESSION_DATASET).count()
-    return ql.append_turn(_turns(spark, sf), SESSION_DATASET, rows, 4)
+    return ql.append_turn(turns, SESSION_DATASET, rows, 4)
 
 
 def q_append_turn(spark, sf):
-    return (_records(spark, sf)
+    return (_records(spark, sf, _turns(spark, sf))
             .withColumn("dataset_rows", F.col("dataset_shape.rows"))
             .withColumn("dataset_cols", F.col("dataset_shape.cols"))
             .drop("dataset_shape"))
 
 
 def q_recent_context(spark, sf):
-    return ql.recent_context(_records(spark, sf))
+    turns = _turns(spark, sf)
+    return ql.recent_context(_records(spark, sf, turns), ml_results=ql.ml_results(turns))
 
 
 def q_session_summary(spark, sf):
@@ -93,7 +94,8 @@ def q_session_summary(spark, sf):
 
 
 def q_last_output(spark, sf):
-    return ql.last_output(_turns(spark, sf))
+    turns = _turns(spark, sf)
+    return ql.last_output(turns, ql.ml_results(turns))
 
 
 def q_explain_rules(spark, sf):
@@ -119,11 +121,28 @@ def q_stream_routing_diagnostics(spark, sf):
     return stream_aggregate(spark, table_path(sf, "conversations"), "diagnostics")
 
 
-def q_stream_session_summary(spark, sf):
-    """QL10 per conversation, maintained as streaming state."""
+def _stream_memory(spark, sf):
     from tabsmith.sources.tables import table_path
-    from tabsmith.streaming.querylog_stream import stream_aggregate
-    return stream_aggregate(spark, table_path(sf, "conversations"), "sessions")
+    from tabsmith.streaming.session_memory import stream_memory
+    rows = load_table(spark, sf, SESSION_DATASET).count()
+    return stream_memory(spark, table_path(sf, SESSION_DATASET), SESSION_DATASET, rows, 4)
+
+
+def q_stream_session_summary(spark, sf):
+    """QL10 per conversation, from the streamed session memory."""
+    return _stream_memory(spark, sf).select("conv_id", "total_turns", "agents_used", "dataset",
+                                            "has_ml_results", "last_agent")
+
+
+def q_stream_recent_context(spark, sf):
+    """QL9 per conversation, from the streamed session memory."""
+    return _stream_memory(spark, sf).select("conv_id", "context")
+
+
+def q_stream_last_output(spark, sf):
+    """QL11 per conversation, from the streamed session memory."""
+    return _stream_memory(spark, sf).select("conv_id", F.col("total_turns").alias("last_turn"), "last_output",
+                                            "last_agent", "last_ml_result", "explanation_context")
 
 
 def querylog_queries() -> dict:
@@ -145,4 +164,6 @@ def querylog_queries() -> dict:
         "routing_diagnostics": q_routing_diagnostics,
         "stream_routing_diagnostics": q_stream_routing_diagnostics,
         "stream_session_summary": q_stream_session_summary,
+        "stream_recent_context": q_stream_recent_context,
+        "stream_last_output": q_stream_last_output,
     }
