@@ -62,7 +62,8 @@ def _auto_train(df: DataFrame, query: str) -> ToolRun:
     metric = "Accuracy" if res.task == automl.CLASSIFICATION else "R²"
     best = f"{res.best.model} ({metric}: {res.best.value:.4f})" if res.best else "none"
     return ToolRun(board, None, f"AutoML Results: task {res.task}, target {res.target}, "
-                                f"best model {best}; feature importance computed.", res)
+                                f"best model {best}; feature importance computed.", res,
+                   {"importance": automl.importance_frame(res), "model": automl.model_result(res)})
 
 
 def _task(df: DataFrame, query: str) -> ToolRun:

@@ -4,7 +4,9 @@ tools on the current dataset version.
 
 Routing runs as one Spark query over the question list (the QL operators);
 the driver then runs the chosen operators in order, since each step may
-change the dataset the next one sees. The result is a transcript frame.
+change the dataset the next one sees. Every part of a tool's result is written
+in full, as one JSON object a row, to a table in the shared folder; the
+transcript counts that table's rows, so no part is computed twice or pruned.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.functions import rules as R
+from tabsmith.functions.columns import col
 from tabsmith.operators import querylog as ql
 from tabsmith.plans.registry import TOOLS
+from tabsmith.session import scratch_path
 from tabsmith.sources.dataset import as_dataset, save_version
 
 # FIXED VALUES: the sample question sequences
@@ -42,8 +46,7 @@ QUICK_CHIPS = [
 ]
 
 TRANSCRIPT = ("step bigint, query string, intent string, agent string, tools string, "
-              "rows_after bigint, cols_after bigint, "
-              "results array<struct<tool: string, part: string, rows: bigint>>, output string")
+              "rows_after bigint, cols_after bigint, output string")
 
 
 def route_questions(spark: SparkSession, questions: list[str]) -> list:
@@ -54,14 +57,41 @@ def route_questions(spark: SparkSession, questions: list[str]) -> list:
                         .collect(), key=lambda r: r["step"])
 
 
+RESULTS = "step bigint, tool string, part string, result string"
+
+
+def _keep(path: str, step: int, tool: str, part: str, frame: DataFrame) -> None:
+    """One part of a tool's result, appended to the session's results."""
+    (frame.select(F.lit(step).cast("bigint").alias("step"), F.lit(tool).alias("tool"), F.lit(part).alias("part"),
+                  F.to_json(F.struct(*[col(c) for c in frame.columns]), {"ignoreNullFields": "false"}).alias("result"))
+          .write.mode("append").parquet(path))
+
+
 def run_session(df: DataFrame, questions: list[str], name: str = "dataset") -> DataFrame:
+    """The transcript alone: one row a question."""
+    return session_tables(df, questions, name)[0]
+
+
+def session_results(df: DataFrame, questions: list[str], name: str = "dataset") -> DataFrame:
+    """The transcript with the results: one row for every row of every tool
+    result (``tool``, ``part``, ``result`` as JSON), or one row with nulls there
+    for a step that answered in words or changed the dataset only."""
+    transcript, results = session_tables(df, questions, name)
+    return transcript.drop("results").join(results, "step", "left")
+
+
+def session_tables(df: DataFrame, questions: list[str], name: str = "dataset") -> tuple[DataFrame, DataFrame]:
+    """(transcript, results) of a session: a row a question, and a row for
+    every row that its tools returned."""
     spark = df.sparkSession
     ds = as_dataset(df, name)
     last_output, model_result = "", None
-    rows = []
+    rows, kept = [], scratch_path(spark, "session-results")
+    size = ds.df.count()
+    spark.createDataFrame([], RESULTS).write.parquet(kept)      # a session may use no tool
     for r in route_questions(spark, questions):
         intent, agent = r["intent"], r["agent"]
-        out_text, results, tools = "", [], []
+        out_text, tools = "", []
         if intent == "explain":
             text_df = spark.createDataFrame([(last_output,)], "o string")
             out_text = (text_df.select(ql.explain_text(F.col("o"))).first()[0] if last_output
@@ -91,18 +121,25 @@ def run_session(df: DataFrame, questions: list[str], name: str = "dataset") -> D
             for t in tools:
                 run = TOOLS[t](ds.df, r["query"])
                 texts.append(run.summary)
-                results += [(t, part, frame.count()) for part, frame in run.parts().items()]
+                for part, frame in run.parts().items():
+                    _keep(kept, r["step"], t, part, frame)
                 if run.dataset is not None:
                     # new version written to the shared folder: later steps
                     # read it back instead of re-running the cleaning lineage
                     ds = save_version(ds, run.dataset)
+                    size = ds.df.count()
                 if run.model is not None:
                     model_result = run.model
             out_text = "\n\n".join(texts)
         last_output = out_text
         rows.append((r["step"], r["query"], intent, agent, ",".join(tools),
-                     ds.df.count(), len(ds.df.columns), results, out_text))
-    return spark.createDataFrame(rows, TRANSCRIPT)
+                     size, len(ds.df.columns), out_text))
+    results = spark.read.schema(RESULTS).parquet(kept)
+    counts = (results.groupBy("step", "tool", "part").agg(F.count(F.lit(1)).alias("rows")).groupBy("step")
+              .agg(F.array_sort(F.collect_list(F.struct("tool", "part", "rows"))).alias("results")))
+    steps = spark.createDataFrame(rows, TRANSCRIPT).join(counts, "step", "left")
+    none = F.array().cast("array<struct<tool: string, part: string, rows: bigint>>")
+    return steps.withColumn("results", F.coalesce("results", none)), results
 
 
 def session_queries() -> dict:
@@ -110,7 +147,7 @@ def session_queries() -> dict:
 
     def make(questions):
         def q(spark, sf):
-            return run_session(fx.dirty_lineitem(spark, sf), questions, "dirty_lineitem")
+            return session_results(fx.dirty_lineitem(spark, sf), questions, "dirty_lineitem")
         return q
     return {"session_quality_to_advice": make(FLOW_QUALITY),
             "session_summary_to_deploy": make(FLOW_SUMMARY),

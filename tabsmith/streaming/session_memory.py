@@ -37,7 +37,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tabsmith.functions import rules as R
 from tabsmith.operators import querylog as ql
-from tabsmith.session import scratch_path
+from tabsmith.session import scratch_path, ship_package
 
 MEMORY = ("version bigint, closed boolean, total_turns bigint, agents_used string, dataset string, "
           "has_ml_results boolean, last_agent string, last_output string, last_ml_result string, "
@@ -143,6 +143,7 @@ def memory_stream(rows: DataFrame, dataset: str, shape: tuple = (0, 0), n: int =
                   expire_after: int | None = None) -> DataFrame:
     """One new version of the memory of every conversation that a micro-batch
     touches (or, with ``expire_after`` milliseconds, that it finds idle)."""
+    ship_package(rows.sparkSession)
     key = rows.schema["conv_id"].dataType.simpleString()
     names = ["conv_id"] + [part.split()[0] for part in MEMORY.split(", ")]
 

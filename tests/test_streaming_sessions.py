@@ -70,3 +70,23 @@ def test_random_split_and_model_save(spark):
     r = ml.auto_train(df, "level", split_key=F.col("event_id") * 7919, ids=("event_id",), cv=False)
     path = ml.save_model(r, os.path.join(tempfile.mkdtemp(prefix="tabsmith-model-"), "best"))
     assert os.path.isdir(path)
+
+
+def test_session_results_are_the_operators_rows(spark):
+    import json
+
+    from tabsmith.operators import profile
+    from tabsmith.plans.sessions import session_results, session_tables
+    df = fx.dirty_lineitem(spark, SF0001)
+    transcript, results = session_tables(df, QUICK_CHIPS[:2] + ["explain that"], "dirty")
+    got = [json.loads(r["result"]) for r in results.filter("step = 1 and tool = 'dataset_summary'").collect()]
+    want = [json.loads(x) for x in profile.dataset_summary(df).toJSON().collect()]
+    assert sorted(got, key=json.dumps) == sorted(
+        [{k: w.get(k) for k in got[0]} for w in want], key=json.dumps) and got
+    counted = {(r["step"], x["tool"], x["part"]): x["rows"] for r in transcript.collect() for x in r["results"]}
+    assert counted == {(r["step"], r["tool"], r["part"]): r["count"]
+                       for r in results.groupBy("step", "tool", "part").count().collect()}
+    assert {"step", "query", "output", "tool", "part", "result"} <= set(
+        session_results(df, ["explain that"], "dirty").columns)
+    words = session_results(df, ["explain that"], "dirty").collect()
+    assert len(words) == 1 and words[0]["tool"] is None
