@@ -8,13 +8,17 @@ form); fitting uses Spark ML estimators. Statistics that parameterise a step
 
 from __future__ import annotations
 
+import json
 import math
+import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (LinearRegression, LinearRegressionModel,
+                                   RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +28,7 @@ from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, co
                                         columns_info)
 from tabsmith.functions.positions import positions
 from tabsmith.functions.ranking import dense_codes
+from tabsmith.session import save_once
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MAX_CLASSES_DISCRETE = 20     # nunique <= 20 -> classification
@@ -216,15 +221,109 @@ def scale_stats(train: DataFrame, features: list[str]) -> dict:
     return {f: (row[f"m{i}"], row[f"s{i}"]) for i, f in enumerate(features)}
 
 
-def _train_scale_stats(tagged: DataFrame, features: list[str]) -> tuple[dict, int]:
-    """ML8 fit on the train rows plus the total row count, in one pass."""
-    is_train = F.col("__split") == "train"
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(features):
-        x = F.when(is_train, as_double(f))
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    row = tagged.agg(*aggs).collect()[0]
-    return {f: (row[f"m{i}"], row[f"s{i}"]) for i, f in enumerate(features)}, row["rows"]
+@dataclass
+class Preparation:
+    """ML3-ML8 fitted: all that turns raw rows into a model's rows.
+
+    ``codes`` holds (feature, value, code) of the categorical features, ``numbers``
+    per feature (fill, mean, std). Applied to any rows: a missing category is the
+    category "nan"; a category that fitting did not see, and a missing or NaN
+    number, get the feature's fill; a feature without any known value is 0 after scaling."""
+    target: str
+    task: str
+    features: list[str]
+    categorical: list[str]
+    numbers: dict
+    codes: DataFrame | None = None
+    classes: list | None = None
+
+    def feature_vector(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` of the rows' columns and their scaled ``features``."""
+        missing = [f for f in self.features if f not in df.columns]
+        if missing:
+            raise ValueError(f"Columns not found: {', '.join(missing)}")
+        out = df
+        for i, f in enumerate(self.categorical):
+            codes = self.codes.filter(F.col("feature") == f).select(F.col("value").alias(f"__v{i}"),
+                                                                    F.col("code").alias(f"__c{i}"))
+            out = out.withColumn(f"__v{i}", F.coalesce(col(f).cast("string"), F.lit("nan")))
+            out = out.join(codes, f"__v{i}", "left")
+        scaled = []
+        for i, f in enumerate(self.features):
+            x = F.col(f"__c{self.categorical.index(f)}") if f in self.categorical else as_double(f)
+            fill, mean, std = self.numbers[f]
+            x = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+            x = (F.coalesce(x, F.lit(fill).cast("double")) - F.lit(mean or 0.0)) / F.lit(std or 1.0)
+            scaled.append(F.coalesce(x, F.lit(0.0)).alias(f"__f{i}"))
+        out = out.select(*[col(c) for c in keep], *scaled)
+        va = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(self.features))], outputCol="features",
+                             handleInvalid="keep")
+        return va.transform(out).drop(*[f"__f{i}" for i in range(len(self.features))])
+
+    def label(self, df: DataFrame) -> Column:
+        """The target as the models take it: the place of a class, or the number."""
+        if self.classes is None:
+            return as_double(self.target)
+        text = column_class(df.schema[self.target].dataType) == CATEGORICAL
+        value = col(self.target).cast("string") if text else as_double(self.target)
+        places = F.create_map(*[F.lit(x) for i, v in enumerate(self.classes) for x in (v, float(i))])
+        return F.element_at(places, value)
+
+    def save(self, path: str, spark) -> None:
+        """Written as one row of JSON and the table of codes."""
+        facts = {k: getattr(self, k) for k in ("target", "task", "features", "categorical", "numbers", "classes")}
+        spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(
+            os.path.join(path, "facts"))
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(os.path.join(path, "codes"))
+
+    @staticmethod
+    def load(path: str, spark) -> Preparation:
+        facts = json.loads(spark.read.parquet(os.path.join(path, "facts")).first()["facts"])
+        codes = spark.read.parquet(os.path.join(path, "codes")) if facts["categorical"] else None
+        return Preparation(codes=codes, **facts)
+
+
+def fit_preparation(df: DataFrame, target: str, task: str, on_train: Column, ids: tuple = (),
+                    impute_on: str = "train") -> tuple[Preparation, int]:
+    """(the preparation fitted to labelled rows, their number). Fills are the
+    means of the train rows (``impute_on="train"``, so nothing of the test rows
+    reaches the models) or of all rows ("all"); scaling is always fitted on the
+    filled train rows. One aggregate: the moments after filling follow from
+    those of the known values, so the rows are not read again."""
+    cats = [c.name for c in columns_info(df) if c.cls == CATEGORICAL and c.name not in ids and c.name != target]
+    order = [c.name for c in columns_info(df) if c.cls in (CATEGORICAL, NUMERIC)
+             and c.name != target and c.name not in ids]
+    codes, out = None, df.withColumn("__on", on_train)
+    for i, f in enumerate(cats):
+        one = label_codes(df, f).select(F.lit(f).alias("feature"), "value", "code")
+        codes = one if codes is None else codes.unionByName(one)
+    if codes is not None:
+        codes = save_once(codes, "label-codes")     # coded once for fitting, every fold, and scoring
+    for i, f in enumerate(cats):
+        mine = codes.filter(F.col("feature") == f).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
+        out = (out.withColumn(f"__v{i}", F.coalesce(col(f).cast("string"), F.lit("nan")))
+                  .join(mine, f"__v{i}", "left"))
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__on")).alias("train")]
+    for i, f in enumerate(order):
+        x = F.col(f"__c{cats.index(f)}").cast("double") if f in cats else as_double(f)
+        x = F.nanvl(x, F.lit(None).cast("double"))
+        t = F.when(F.col("__on"), x)
+        aggs += [F.avg(x).alias(f"a{i}"), F.avg(t).alias(f"m{i}"), F.var_pop(t).alias(f"v{i}"),
+                 F.count(t).alias(f"n{i}")]
+    row = out.agg(*aggs).first()
+    numbers, total = {}, row["train"]
+    for i, f in enumerate(order):
+        mean, var, n = row[f"m{i}"], row[f"v{i}"], row[f"n{i}"]
+        fill = mean if impute_on == "train" else row[f"a{i}"]
+        if not n:                       # no known train value: every train row holds the fill
+            numbers[f] = (fill, fill, 0.0)
+            continue
+        gap = (total - n) / total
+        m = (1 - gap) * mean + gap * fill
+        v = (1 - gap) * (var + (mean - m) ** 2) + gap * (fill - m) ** 2
+        numbers[f] = (fill, m, math.sqrt(v))
+    return Preparation(target, task, order, cats, numbers, codes), row["rows"]
 
 
 ROWS_PER_FIT_PARTITION = 500_000
@@ -252,12 +351,6 @@ def scale(df: DataFrame, stats: dict) -> DataFrame:
 
 # ------------------------------------------------------------------ models
 
-def _assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    return va.transform(df).select("features", as_double(label).alias("label"),
-                                   *[c for c in df.columns if c.startswith("__")])
-
-
 def make_estimator(name: str, n_train: int, forest_depth: int = FOREST_DEPTH):
     """ML9-ML12: the four estimators with the reference's settings."""
     if name == "Logistic Regression":
@@ -374,33 +467,39 @@ class TrainResult:
     best: ModelScore | None
     models: dict
     classes: list | None = None         # classification: the value of each label
+    preparation: Preparation | None = None
 
 
 def auto_train(df: DataFrame, target: str | None = None, split_key: Column | None = None,
-               cv: bool = True, ids: tuple = (), forest_depth: int = FOREST_DEPTH) -> TrainResult:
+               cv: bool = True, ids: tuple = (), forest_depth: int = FOREST_DEPTH,
+               impute_on: str = "train") -> TrainResult:
     """ML19: the whole pipeline -- task, preparation, split, scaling, the two
     models of the task, metrics, CV (classification), importances, best.
     ``ids`` are key columns used by ``split_key`` but not as features. A
     classification target of any type and number of classes is indexed;
-    ``forest_depth`` bounds the trees (10 unless given, Spark allows 30)."""
+    ``forest_depth`` bounds the trees (10 unless given, Spark allows 30). The rows
+    are split before anything is fitted; ``impute_on="all"`` takes the fills from
+    all labelled rows. ``split_key`` reads the raw columns."""
     target = target or df.columns[-1]
     task = task_of(df, target)
-    prepared, feats = prepare(df, target, ids)
+    base = drop_unlabelled(df, target)
+    key = split_key if split_key is not None else row_key(base)
+    # raw rows that are alike in the key are told apart by their hash, so folds do not
+    # depend on where rows lie
+    base = base.withColumn("__split", split_expr(key)).withColumn("__kid", F.xxhash64(key, *[col(c) for c in df.columns]))
+    prep, n_rows = fit_preparation(base.drop("__kid"), target, task, F.col("__split") == "train",
+                                   (*ids, "__split"), impute_on)
+    feats = prep.features
     if not feats:
         raise ValueError("No usable feature columns found.")
     classes = None
     if task == CLASSIFICATION:
-        classes = class_values(drop_unlabelled(df, target), target)
-        if column_class(df.schema[target].dataType) != CATEGORICAL:
-            prepared = index_label(prepared, target, classes)
-    key = split_key if split_key is not None else row_key(prepared)
-    tagged = prepared.withColumn("__split", split_expr(key))
-    stats, n_rows = _train_scale_stats(tagged, feats)
-    scaled = scale(tagged, stats)
+        classes = prep.classes = class_values(base, target)
     # a persisted plan keeps its shuffle partitioning (AQE does not coalesce
     # cached plans): size the fit partitions from the row count instead
     parts = fit_partitions(df.sparkSession, n_rows)
-    data = _assemble(scaled, feats, target)
+    data = prep.feature_vector(base.withColumn("__label", prep.label(base)), ["__label", "__split", "__kid"])
+    data = data.withColumnRenamed("__label", "label")
     if classes is not None:             # the classifiers take the number of classes from the label
         nominal = {"ml_attr": {"type": "nominal", "num_vals": max(2, len(classes))}}
         data = data.withColumn("label", F.col("label").alias("label", metadata=nominal))
@@ -411,8 +510,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
     names = MODELS[task]
     folded = None
     if task == CLASSIFICATION and cv:
-        keyed = tr.withColumn("__kid", F.monotonically_increasing_id())
-        folded = stratified_folds(keyed, "label", "__kid", CV_FOLDS)
+        folded = stratified_folds(tr, "label", "__kid", CV_FOLDS)
         folded = folded.withColumn("label", F.col("label").alias("label", metadata=nominal)).coalesce(parts).persist()
         folded.count()                  # cached once, before several fits read it at a time
     # every fit is independent: the final fits and the CV fold fits run as
@@ -467,7 +565,7 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
         if s.value is not None and (best is None or s.value > best.value):
             best = s
     data.unpersist()
-    return TrainResult(task, target, feats, n_train, n_test, scores, best, models, classes)
+    return TrainResult(task, target, feats, n_train, n_test, scores, best, models, classes, prep)
 
 
 def leaderboard(result: TrainResult) -> DataFrame:
@@ -515,15 +613,56 @@ def importance_frame(result: TrainResult) -> DataFrame:
 
 
 def predict(result: TrainResult, df: DataFrame, model_name: str | None = None) -> DataFrame:
-    """ML21: score rows with a trained model (the rows must be prepared and
-    scaled like the training rows; ``auto_predictions`` does both)."""
+    """ML21: score raw rows (same columns as the training table; the target
+    may be missing) with a trained model, the best one unless named. All
+    columns are kept; ``prediction`` and, for classes, ``predicted_class`` are
+    added, in place of columns so named."""
     name = model_name or (result.best.model if result.best else None)
-    va = VectorAssembler(inputCols=result.features, outputCol="features", handleInvalid="keep")
-    out = result.models[name].transform(va.transform(df))
-    if result.classes:                  # the class itself, beside the label the model predicts
-        values = F.array(*[F.lit(v) for v in result.classes])
-        out = out.withColumn("predicted_class", F.element_at(values, F.col("prediction").cast("int") + 1))
-    return out
+    return _score(result.preparation, result.models[name], df)
+
+
+SCORES = ("prediction", "predicted_class")
+
+
+def _score(prep: Preparation, model, df: DataFrame) -> DataFrame:
+    packed = df.withColumn("__row", F.struct(*[col(c) for c in df.columns]))
+    out = model.transform(prep.feature_vector(packed, ["__row"]))
+    scores = [F.col("prediction")]
+    if prep.classes:                    # the class itself, beside the label the model predicts
+        values = F.array(*[F.lit(v) for v in prep.classes])
+        scores.append(F.element_at(values, F.col("prediction").cast("int") + 1).alias("predicted_class"))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c not in SCORES], *scores)
+
+
+@dataclass
+class SavedModel:
+    """A model and its preparation, read back from a folder."""
+    preparation: Preparation
+    name: str
+    model: object
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return _score(self.preparation, self.model, df)
+
+
+MODEL_CLASSES = {"Logistic Regression": LogisticRegressionModel, "Random Forest": RandomForestClassificationModel,
+                 "Linear Regression": LinearRegressionModel, "Random Forest Regressor": RandomForestRegressionModel}
+
+
+def save_pipeline(result: TrainResult, path: str, spark, model_name: str | None = None) -> str:
+    """ML21: a trained model (default: the best one) with its preparation, as
+    Parquet and Spark ML files under ``path``, to be scored by ``load_pipeline``."""
+    name = model_name or (result.best.model if result.best else None)
+    result.models[name].write().overwrite().save(os.path.join(path, "model"))
+    result.preparation.save(os.path.join(path, "preparation"), spark)
+    spark.createDataFrame([(name,)], "name string").write.mode("overwrite").parquet(os.path.join(path, "name"))
+    return path
+
+
+def load_pipeline(spark, path: str) -> SavedModel:
+    name = spark.read.parquet(os.path.join(path, "name")).first()["name"]
+    return SavedModel(Preparation.load(os.path.join(path, "preparation"), spark), name,
+                      MODEL_CLASSES[name].load(os.path.join(path, "model")))
 
 
 def save_model(result: TrainResult, path: str, model_name: str | None = None) -> str:

@@ -248,17 +248,12 @@ def q_select_features(spark, sf):
 
 
 def q_predict(spark, sf):
-    """ML21: the best model's predictions for every event, prepared and
-    scaled like its training rows."""
-    r = _run(spark, sf, "class_rule")
-    df = fx.ml_class_rule(spark, sf)
-    prepared, feats = ml.prepare(df, "level", ("event_id",))
-    tr = prepared.withColumn("__split", ml.split_expr(EVENTS_SPLIT_KEY())).filter(
-        F.col("__split") == "train")
-    scaled = ml.scale(prepared, ml.scale_stats(tr, feats))
-    pred = ml.predict(r, scaled)
-    return pred.select("event_id", F.col("level").cast("bigint").alias("label"),
-                       F.col("prediction").cast("bigint").alias("prediction"))
+    """ML21: the best model's predictions for every raw event, by the saved
+    and reloaded model."""
+    from tabsmith.session import scratch_path
+    path = ml.save_pipeline(_run(spark, sf, "class_rule"), scratch_path(spark, "model"), spark)
+    pred = ml.load_pipeline(spark, path).predict(fx.ml_class_rule(spark, sf))
+    return pred.select("event_id", F.col("level").alias("label"), F.col("predicted_class").alias("prediction"))
 
 
 def q_insight_with_model(spark, sf):

@@ -107,9 +107,7 @@ def test_class_targets_of_any_value(spark, values):
     assert all(s.value is not None and s.cv_mean is not None for s in r.scores)
     forest = next(s for s in r.scores if s.model == "Random Forest")
     assert forest.value > 0.99
-    prepared, feats = ml.prepare(df, "y", ("id",))
-    tr = prepared.withColumn("__split", ml.split_expr(F.col("id"))).filter("__split = 'train'")
-    pred = ml.predict(r, ml.scale(df.withColumn("label", F.lit(0.0)), ml.scale_stats(tr, feats)), "Random Forest")
+    pred = ml.predict(r, df.withColumn("label", F.lit(0.0)), "Random Forest")
     assert pred.filter(F.col("predicted_class") != F.col("y")).count() == 0
 
 
