@@ -15,7 +15,8 @@ from tabsmith.functions.ranking import dense_codes
 def small_thresholds(monkeypatch):
     monkeypatch.setattr(Q, "FINAL_MAX", 50)
     monkeypatch.setattr(Q, "BINS", 8)
-    monkeypatch.setattr(P, "TARGET_BUCKETS", 4)
+    monkeypatch.setattr(P, "RANGES", 2)
+    monkeypatch.setattr(P, "PARTS", 2)
 
 
 def _data(spark, n=4000, seed=0):
