@@ -34,14 +34,14 @@ ACCURACY = 10_000       # of the sampled quantiles: a range is within 1/10000 of
 FIXED_CUTS = (-(1 << 62), 0, 1 << 62)       # no range is wider than a long can measure
 
 
-def range_cuts(lo: int, hi: int, sampled: list[int]) -> list[tuple[int, int]]:
-    """(first key, block width) of each range, in order, from sampled quantiles."""
+def range_cuts(lo: int, hi: int, sampled: list[int], parts: int | None = None) -> list[tuple[int, int]]:
+    """(first key, block width) of each range, in order, from sampled quantiles; ``parts`` (PARTS) blocks a range."""
     firsts = sorted({lo, *(int(q) for q in sampled if lo < q <= hi), *(c for c in FIXED_CUTS if lo < c <= hi)})
     ends = firsts[1:] + [hi + 1]
-    return [(a, max(1, math.ceil((b - a) / PARTS))) for a, b in zip(firsts, ends)]
+    return [(a, max(1, math.ceil((b - a) / (parts or PARTS)))) for a, b in zip(firsts, ends)]
 
 
-def block_of(key: Column, cuts: list[tuple[int, int]]) -> Column:
+def block_of(key: Column, cuts: list[tuple[int, int]], parts: int | None = None) -> Column:
     """The number of the block that holds ``key``: a binary search among the
     ranges' first keys, then the place inside the range."""
     firsts = F.array(*[F.lit(a).cast("bigint") for a, _ in cuts])
@@ -53,7 +53,7 @@ def block_of(key: Column, cuts: list[tuple[int, int]]) -> Column:
     found = F.greatest(at, F.lit(1))
     inside = F.floor((key - F.element_at(firsts, found)) / F.element_at(widths, found))
     # division of longs is in doubles: a rounded place stays inside the range and in order
-    return F.when(key.isNotNull(), found.cast("bigint") * (PARTS + 1) + F.least(inside, F.lit(PARTS)))
+    return F.when(key.isNotNull(), found.cast("bigint") * ((parts or PARTS) + 1) + F.least(inside, F.lit(parts or PARTS)))
 
 
 def positions(df: DataFrame, groups: list[str], key: str, out: str = "pos",
