@@ -15,7 +15,7 @@ The printed form is the sorted hashes as 16 hexadecimal digits each.
 Defined cases: a null or empty text, or one without words, has the empty
 fingerprint; two empty fingerprints are alike (1), an empty and another are not
 (0). Repeated rows are fingerprinted one by one; among rows of one doc_id the
-order of ``next`` is that of their texts; null doc_ids come first. Other columns
+order of ``next`` is that of their texts' hashes; null doc_ids come first. Other columns
 of the input are kept by ``fingerprint``; a clash with the result's name is
 solved by renaming the input's column (an underscore in front).
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabsmith.functions.positions import ACCURACY, RANGES, block_of, range_cuts
 from tabsmith.llm.store import documents, free_name, save
 
 SHINGLE = 5
@@ -97,6 +98,29 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", name: str = "sketch"
     return docs.withColumn(name, sketch_of(words_of(F.col(text_col))))
 
 
+def _blocks(rows: DataFrame) -> Column:
+    """The number of a row's block, rising with (id, key), null ids first.
+
+    Cuts lie at sampled quantiles of the ids, so a far-off id shares no block with many
+    others; an id (or none) that repeats over whole blocks is cut again by key."""
+    some = rows.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("known"), F.min("id").alias("lo"),
+                    F.max("id").alias("hi")).first()
+    ranges = min(RANGES, max(2, some.n // BLOCK))
+    bits = min(20, (some.n // BLOCK).bit_length())          # of a repeated id's cuts
+    by_key = F.shiftright("key", 64 - bits) + F.lit(1 << (bits - 1)) if bits else F.lit(0)
+    none = by_key if some.n - some.known > 2 * BLOCK else F.lit(0)
+    inside, found = F.lit(0), F.lit(0)
+    if some.known:
+        sampled = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], ACCURACY)).first()[0]
+        heavy = sorted({a for a, b in zip(sampled, sampled[1:]) if a == b})
+        parts = max(1, -(-some.n // (ranges * BLOCK)))
+        cuts = range_cuts(some.lo, some.hi, [*sampled, *heavy, *(h + 1 for h in heavy)], parts)
+        found = block_of(F.col("id"), cuts, parts)
+        if heavy:
+            inside = F.when(F.col("id").isin(heavy), by_key).otherwise(F.lit(0))
+    return F.when(F.col("id").isNull(), none - F.lit(1 << bits)).otherwise(found * F.lit(1 << bits) + inside).cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column]) -> DataFrame:
     """(id, text, derived columns, next: struct of text and derived columns of the
     next row by id). The last row's next is the first row.
@@ -105,21 +129,17 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Co
     block after it, so one shuffle of the rows finds all successors. Only one row
     for a block of about BLOCK rows is ordered in one place. ``derived`` is
     computed once a row, from ``text``."""
-    lowest = F.lit(-(1 << 63))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    span = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = span.lo or 0, span.hi or 0
-    width = max(1, -(-(hi - lo + 1) * BLOCK // max(1, span.n)))
-    rows = rows.withColumn("key", F.xxhash64("text")).withColumn(
-        "block", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.expr(f"(id - {lo}L) div {width}L")).cast("long"))
-    heads = rows.groupBy("block").agg(F.min(F.struct(F.coalesce("id", lowest).alias("id"), "key")).alias("head"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    rows = rows.withColumn("block", _blocks(rows))
+    heads = rows.groupBy("block").agg(F.min(F.struct("id", "key")).alias("head"))       # a null id is the smallest
     order = Window.orderBy("block")
     last = F.max("block").over(Window.partitionBy())
     heads = heads.select(F.col("block").alias("of"), F.col("head.id").alias("head_id"), F.col("head.key").alias("head_key"),
                          F.coalesce(F.lag("block").over(order), last).alias("to"))
     # saved, so that its size is known before the join: a small table is sent to the rows, not the rows to it
     heads = save(heads, "fingerprint-heads")
-    guests = (rows.join(heads, (F.col("block") == F.col("of")) & (F.coalesce("id", lowest) == F.col("head_id"))
+    guests = (rows.join(heads, (F.col("block") == F.col("of")) & F.col("id").eqNullSafe(F.col("head_id"))
                         & (F.col("key") == F.col("head_key")))
               .dropDuplicates(["of"])
               .select("id", "text", "key", F.col("to").alias("block"), F.lit(1).alias("guest")))

@@ -4,20 +4,20 @@ Documents are range-partitioned by doc_id and each task writes one file in the
 Arrow IPC file format (random access by record batch). A row is one sequence:
 
 * ``ids``   fixed_size_list<uint16 or uint32>[length]
-* ``valid`` fixed_size_list<bool>[length]: false on the padding, which only the
-  last row of a file can have
-* ``ends``  fixed_size_list<bool>[length]: true on the last id of a document
+* ``mask``  fixed_size_list<uint8>[length]: 0 on the padding, which only the last
+  row of a file can have, 2 on the last id of a document, 1 on all others; a byte
+  an id, since bits would have to be copied to be read
 * ``doc_ids`` list<int64>: the documents that end in the row, in order
 
 All rows of a file have one size, so sequence i is batch ``i // rows_per_batch``,
-row ``i % rows_per_batch``, and a memory-mapped reader gets it without copying.
+row ``i % rows_per_batch``, and a memory-mapped reader gets ids and mask without copying.
 A file is written under a temporary name and then renamed, so a task that is run
 again after an executor is lost replaces its own file and nothing else. The
 manifest (one row per file) has been saved before any reader starts.
 
 Defined cases: a null or empty text is its end id alone; rows that repeat a
-doc_id are written one after the other, ordered by text, each with its own end
-id; a null doc_id sorts first and is written as the smallest number; an empty
+doc_id are written one after the other, ordered by a hash of the text (which may
+cut them into several files), each with its own end id; a null doc_id sorts first and is written as the smallest number; an empty
 table has an empty manifest. Other columns of the input are not read.
 """
 
@@ -37,6 +37,7 @@ from tabsmith.llm.store import documents, new_path, save, ship
 from tabsmith.llm.units import text_groups, unit_encoder
 
 ROWS_PER_BATCH = 64
+PADDING, INSIDE, END = 0, 1, 2      # values of the mask
 NO_DOC = -(1 << 63)
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_rows long, first_doc long, last_doc long"
 
@@ -47,8 +48,8 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def file_schema(length: int, width: int) -> pa.Schema:
     ids = pa.uint16() if width == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(ids, length)), ("valid", pa.list_(pa.bool_(), length)),
-                      ("ends", pa.list_(pa.bool_(), length)), ("doc_ids", pa.list_(pa.int64()))])
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length)),
+                      ("doc_ids", pa.list_(pa.int64()))])
 
 
 class SequenceWriter:
@@ -78,12 +79,13 @@ class SequenceWriter:
         size, have = rows * self.length, min(rows * self.length, len(flat))
         ids = np.zeros(size, self.dtype)
         ids[:have] = flat[:have]
-        ends = np.zeros(size, bool)
+        mask = np.full(size, PADDING, np.uint8)
+        mask[:have] = INSIDE
         at = np.array(self.end_at, np.int64)
         inside = int(np.searchsorted(at, have))
-        ends[at[:inside]] = True
+        mask[at[:inside]] = END
         starts = np.searchsorted(at[:inside], np.arange(rows + 1) * self.length)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, np.arange(size) < have, ends)]
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         columns.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(self.doc_ids[:inside], pa.int64())))
         for i in range(0, rows, ROWS_PER_BATCH):
             self.out.write_batch(pa.RecordBatch.from_arrays([c.slice(i, ROWS_PER_BATCH) for c in columns], schema=self.schema))
@@ -132,7 +134,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
 
     rows = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+            .withColumn("key", F.xxhash64("text"))
+            .repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text"))
     return save(rows.mapInArrow(run, MANIFEST), "token-manifest")
 
 
@@ -142,13 +145,13 @@ def _chain(first, rest) -> Iterator:
 
 
 def read_sequence(path: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and the valid mask of one row, read by its place; a local file is memory-mapped."""
+    """The ids and the mask of one row, read by its place; a local file is memory-mapped, and both are views of it."""
     fs, p = _filesystem(path)
     source = pa.memory_map(p) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(p)
     batch = pa.ipc.open_file(source).get_batch(row // ROWS_PER_BATCH)
     at = row % ROWS_PER_BATCH
-    ids, valid = (batch.column(i)[at].values for i in (0, 1))
-    return ids.to_numpy(zero_copy_only=True), valid.to_numpy(zero_copy_only=False)
+    ids, mask = (batch.column(i)[at].values.to_numpy(zero_copy_only=True) for i in (0, 1))
+    return ids, mask
 
 
 def file_documents(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -161,11 +164,11 @@ def file_documents(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
     for k in range(file.num_record_batches):
         b = file.get_batch(k)
         ids = b.column(0).flatten().to_numpy()
-        valid = b.column(1).flatten().to_numpy(zero_copy_only=False)
-        ends = np.flatnonzero(b.column(2).flatten().to_numpy(zero_copy_only=False))
-        ids = ids[:int(valid.sum())]
+        mask = b.column(1).flatten().to_numpy()
+        ends = np.flatnonzero(mask == END)
+        ids = ids[:np.count_nonzero(mask)]
         at = 0
-        for doc, e in zip(b.column(3).flatten().to_pylist(), ends.tolist()):
+        for doc, e in zip(b.column(2).flatten().to_pylist(), ends.tolist()):
             parts.append(ids[at:e + 1])
             whole = parts[0] if len(parts) == 1 else np.concatenate(parts)
             yield doc, start, whole

@@ -98,6 +98,30 @@ def test_next_over_many_blocks_ties_and_nulls(spark, monkeypatch):
     assert one[0].next.text == "x"
 
 
+def ring_of(rows):
+    """The texts in the order of (id, hash), null ids first: rows of (id, text, hash)."""
+    return [t for _, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))]
+
+
+def test_far_off_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 8)
+    rows = ([(i, f"t{i}") for i in range(300)] + [(1 << 61, "far"), (-(1 << 62), "low")] + [(40, f"same {i}") for i in range(200)]
+            + [(None, f"none {i}") for i in range(200)])
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    keyed = df.withColumn("key", F.xxhash64("text"))
+    sizes = [r["count"] for r in keyed.withColumn("block", fp._blocks(keyed)).groupBy("block").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 40       # blocks of 8 rows on average, one id's 200 rows cut by key
+    texts = ring_of([(r.id, r.text, r.key) for r in keyed.collect()])
+    got = {r.text: r.next.text for r in fp.with_next(df, "id", "text", {}).collect()}
+    assert got == {t: texts[(k + 1) % len(texts)] for k, t in enumerate(texts)}
+
+
+def test_all_ids_missing(spark):
+    df = spark.createDataFrame([(None, f"x{i}") for i in range(30)], "id long, text string")
+    got = {r.text: r.next.text for r in fp.with_next(df, "id", "text", {}).collect()}
+    assert sorted(got.values()) == sorted(got) and len(got) == 30
+
+
 def test_extra_columns_stay(spark):
     df = spark.createDataFrame([("a b", 1, 2)], "text string, sketch int, key int")
     assert fp.fingerprint(df).columns == ["text", "_sketch", "key", "sketch"]

@@ -165,10 +165,12 @@ def test_token_files_round_trip(spark):
         flat = [x for (d, _), i in zip(texts, want) if m.first_doc <= d <= m.last_doc for x in i]
         assert len(flat) == m.n_tokens
         for row in {0, m.n_rows // 2, m.n_rows - 1}:
-            ids, valid = token_files.read_sequence(m.path, row)
+            ids, mask = token_files.read_sequence(m.path, row)
             part = flat[256 * row:256 * row + 256]
-            assert len(ids) == 256 and valid.sum() == len(part) and ids[valid].tolist() == part
-            assert not ids.flags.owndata
+            assert len(ids) == 256 and np.count_nonzero(mask) == len(part) and ids[mask > 0].tolist() == part
+            assert (ids[mask == token_files.END] == 2).all() and mask[len(part):].sum() == 0
+            # both are views of the mapped file
+            assert not ids.flags.owndata and not mask.flags.owndata and not mask.flags.writeable
 
 
 def test_token_file_edges(spark):
@@ -182,6 +184,23 @@ def test_token_file_edges(spark):
     assert token_files.read_documents(empty).collect() == []
 
 
+def test_one_repeated_id_and_no_id_fill_several_files(spark):
+    rows = [(7 if i % 2 else None, f"text {i}") for i in range(4000)] + [(7, "text 1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        m = token_files.write_token_files(df, new_path(spark, "t"), P.path("byte_bpe_50k.json"), length=64)
+        files = m.orderBy("shard").collect()
+        got = token_files.read_documents(m).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(files) > 4 and max(f.n_docs for f in files) < 1500
+    assert [r.doc_id for r in got] == [token_files.NO_DOC] * 2000 + [7] * 2001
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    encoded = {tuple(i + [2]) for i in ids_of(tokenizer("byte_bpe_50k.json"), [t for _, t in rows])}
+    assert {tuple(np.frombuffer(r.ids, "<u4").tolist()) for r in got} == encoded
+
+
 def test_token_query(spark):
     rows = token_files.op7_token_files(spark, SF).select("doc_id", "n_tokens", F.col("ids_crc32").cast("long").alias("c")).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
