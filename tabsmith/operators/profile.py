@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, columns_info,
                                         pct, rows_from_structs)
 from tabsmith.functions.correlation import matrix_corr
+from tabsmith.functions.digest import cell
 from tabsmith.functions.duplicates import duplicate_stats
-from tabsmith.functions.frequent import key_counts, most_frequent
+from tabsmith.functions.frequent import key_counts, key_of, most_frequent
 from tabsmith.functions.quantiles import quantiles
 from tabsmith.session import materialize
 
@@ -221,8 +222,21 @@ def nunique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     info = [c for c in columns_info(df)
             if (columns is None or c.name in columns)
             and not isinstance(df.schema[c.name].dataType, T.MapType)]
-    one = df.agg(*[F.count_distinct(col(c.name)).cast("bigint").alias(f"u{c.ordinal}")
-                   for c in info])
-    return rows_from_structs(one, [
-        F.struct(F.lit(c.ordinal).cast("bigint").alias("ordinal"), F.lit(c.name).alias("column"),
-                 F.col(f"u{c.ordinal}").alias("nunique")) for c in info])
+    if not info:
+        return df.sparkSession.createDataFrame([], "ordinal bigint, column string, nunique bigint")
+    # one scan for all columns; a cell travels as a key of bounded size, its column in front
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c.ordinal).cast("bigint").alias("ordinal"),
+                                                  key_of(_cell_text(df, c.name)).alias("key")) for c in info])))
+    counts = (cells.where(F.col("key").isNotNull()).groupBy("ordinal", "key").agg(F.lit(1).alias("one"))
+              .groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")))            # a row a column
+    named = df.sparkSession.createDataFrame([(c.ordinal, c.name) for c in info], "ordinal bigint, column string")
+    return named.join(F.broadcast(counts), "ordinal", "left").select(
+        "ordinal", "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("nunique"))
+
+
+def _cell_text(df: DataFrame, name: str) -> Column:
+    """A text (or binary) that differs wherever the cells of a column do."""
+    if isinstance(df.schema[name].dataType, T.TimestampType):      # two instants may print alike
+        return F.unix_micros(col(name)).cast("string")
+    c = cell(df, name)
+    return c if isinstance(df.schema[name].dataType, T.BinaryType) else c.cast("string")

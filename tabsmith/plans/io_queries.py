@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import round_doubles
 from tabsmith.operators import clean
+from tabsmith.operators.profile_state import VersionProfile, column_states, describe_states, merge_states
 from tabsmith.session import scratch_path
 from tabsmith.sources import dataset as ds
 from tabsmith.sources import fixtures as fx
@@ -79,6 +80,32 @@ def q_frames_differ(spark, sf):
     return ds.frames_differ(d, clean.remove_duplicates(d))
 
 
+#: The statistics of a kept profile that are exact.
+EXACT = ("count", "mean", "std", "min", "max")
+
+
+def q_profile_versions(spark, sf):
+    """IO10, AN1, AN2: dirty_lineitem grows over three versions; each update describes the new files alone,
+    and the last version's profile is put together from what is kept."""
+    rows = fx.dirty_lineitem(spark, sf)
+    third = F.pmod("l_orderkey", F.lit(3))
+    kept = VersionProfile(spark, scratch_path(spark, "profile"))
+    version = ds.save_version(ds.as_dataset(rows, "dirty_lineitem"), rows.where(third == 0))
+    for k in (1, 2):
+        kept.update(version)
+        version = ds.append_version(version, rows.where(third == k))
+    return round_doubles(kept.profile(version).select(
+        "ordinal", "column", "dtype", "missing", "missing_pct", "n_rows", "n_columns", "duplicate_rows", *EXACT))
+
+
+def q_describe_rollup(spark, sf):
+    """AN2c: states of every event type and day, merged into states of the event types."""
+    ev = fx.events(spark, sf).select("event_type", F.to_date("ts").alias("day"), "value")
+    states = column_states(ev, ("event_type", "day"))
+    return round_doubles(describe_states(merge_states(states, ("event_type",))).select(
+        "event_type", "column", "rows", *EXACT))
+
+
 def io_queries() -> dict:
     return {
         "load_csv": q_load_csv,
@@ -92,4 +119,6 @@ def io_queries() -> dict:
         "column_list": q_column_list,
         "save_version": q_save_version,
         "frames_differ": q_frames_differ,
+        "profile_versions": q_profile_versions,
+        "describe_rollup": q_describe_rollup,
     }

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.functions.columns import col, columns_info
+from tabsmith.functions.digest import frame_digest
 from tabsmith.functions.duplicates import key_exprs
 from tabsmith.session import scratch_path
 from tabsmith.sources.csv import labels_frame
@@ -21,6 +23,7 @@ class Dataset:
     version: int
     df: DataFrame
     path: str | None = None
+    paths: tuple[str, ...] = ()         # the folders whose files make up the version
 
 
 def as_dataset(df: DataFrame, name: str = "dataset") -> Dataset:
@@ -35,18 +38,41 @@ def save_version(ds: Dataset, new_df: DataFrame, root: str | None = None) -> Dat
     base = root or scratch_path(new_df.sparkSession, f"dataset-{ds.name}")
     path = os.path.join(base, f"v={ds.version + 1}")
     new_df.write.mode("overwrite").parquet(path)
-    return replace(ds, version=ds.version + 1, df=new_df.sparkSession.read.parquet(path), path=path)
+    return replace(ds, version=ds.version + 1, df=new_df.sparkSession.read.parquet(path), path=path, paths=(path,))
+
+
+def append_version(ds: Dataset, rows: DataFrame, root: str | None = None) -> Dataset:
+    """IO10: the next version is this one with ``rows`` added. Only they are written, to a folder of
+    their own; a saved version's files are shared, so what was computed from them still holds."""
+    if not ds.paths:
+        ds = save_version(ds, ds.df, root)
+    if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in ds.df.schema]:
+        raise ValueError("the added rows have other columns than the dataset")
+    spark = rows.sparkSession
+    base = root or scratch_path(spark, f"dataset-{ds.name}")
+    path = os.path.join(base, f"v={ds.version + 1}")
+    rows.write.mode("overwrite").parquet(path)
+    paths = (*ds.paths, path)
+    return replace(ds, version=ds.version + 1, df=read_version(spark, ds.df.schema, paths), path=path, paths=paths)
+
+
+def read_version(spark: SparkSession, schema: T.StructType, paths: tuple[str, ...] | list[str]) -> DataFrame:
+    """The rows of all files of the folders or files ``paths``."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
 
 
 def frames_differ(a: DataFrame, b: DataFrame) -> DataFrame:
     """IO11: multiset comparison -- one row (differs, rows_a, rows_b,
-    only_in_a, only_in_b), in one shuffle; a schema mismatch alone already
-    means different."""
+    only_in_a, only_in_b). Frames of one digest (one pass each, no shuffle) are
+    equal; rows are shuffled, once, only when the digests differ. A schema
+    mismatch alone already means different."""
+    counts = "differs boolean, rows_a bigint, rows_b bigint, only_in_a bigint, only_in_b bigint"
     if [f.dataType for f in a.schema] != [f.dataType for f in b.schema] or a.columns != b.columns:
         na, nb = a.count(), b.count()
-        return a.sparkSession.createDataFrame([(True, na, nb, na, nb)],
-                                              "differs boolean, rows_a bigint, rows_b bigint, "
-                                              "only_in_a bigint, only_in_b bigint")
+        return a.sparkSession.createDataFrame([(True, na, nb, na, nb)], counts)
+    digest = frame_digest(a)
+    if digest == frame_digest(b):
+        return a.sparkSession.createDataFrame([(False, digest[0], digest[0], 0, 0)], counts)
     # one pass: each distinct row's count in a less its count in b, pre-aggregated
     # before the one shuffle; maps are compared by their entries
     def side(df, na, nb):
