@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from tabsmith.llm.store import documents, new_path, save, ship
 from tabsmith.llm.units import text_groups, unit_encoder
 
 ROWS_PER_BATCH = 64
+PACKED_GROUP = 1 << 20              # bytes of compressed texts that are encoded together
 PADDING, INSIDE, END = 0, 1, 2      # values of the mask
 NO_DOC = -(1 << 63)
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_rows long, first_doc long, last_doc long"
@@ -108,6 +110,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
     def run(batches):
         encoder = unit_encoder(tokenizer, "byte", width)
         end = np.array([end_id], encoder.dtype).tobytes()
+        unpack = zstandard.ZstdDecompressor().decompress
         shard = TaskContext.get().partitionId()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -121,8 +124,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
         with fs.open_output_stream(part) as stream:
             writer = SequenceWriter(stream, length, width)
             for b in _chain(first, batches):
-                for keys, texts in text_groups(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for key, ids in zip(keys, encoder.encode(texts)):
+                for keys, packed in text_groups(b.column(0).to_pylist(), b.column(2).to_pylist(), PACKED_GROUP):
+                    for key, ids in zip(keys, encoder.encode([unpack(p).decode() for p in packed])):
                         writer.add(key, np.frombuffer(ids + end, encoder.dtype))
                         docs_n, tokens_n = docs_n + 1, tokens_n + len(ids) // width + 1
                         lo, hi = key if lo is None else lo, key
@@ -132,13 +135,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
             "shard": [shard], "path": [folder.rstrip("/") + f"/shard-{shard:07d}.arrow"], "n_docs": [docs_n],
             "n_tokens": [tokens_n], "n_rows": [writer.rows], "first_doc": [lo], "last_doc": [hi]})
 
-    rows = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"),
-                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .withColumn("key", F.xxhash64("text"))
-            .repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = (rows.select("doc_id", F.xxhash64("text").alias("key"), "text")
+            .mapInArrow(_packed, "doc_id long, key long, packed binary")
+            .repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "packed"))
     return save(rows.mapInArrow(run, MANIFEST), "token-manifest")
 
 
+def _packed(batches) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, so that the shuffle leaves disk to the files."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        packed = pa.array((pack(t.encode()) for t in b.column(2).to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], names=["doc_id", "key", "packed"])
+
+
 def _chain(first, rest) -> Iterator:
     yield first
     yield from rest
