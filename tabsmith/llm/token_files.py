@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.store import documents, new_path, save, ship
+from tabsmith.llm.textbatch import string_buffers
 from tabsmith.llm.units import text_groups, unit_encoder
 
 ROWS_PER_BATCH = 64
@@ -145,9 +146,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
 
 def _packed(batches) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, so that the shuffle leaves disk to the files."""
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        packed = pa.array((pack(t.encode()) for t in b.column(2).to_pylist()), pa.binary())
+        raw, offsets = string_buffers(b.column(2))
+        raw, at = memoryview(raw), offsets.tolist()
+        packed = pa.array([pack(raw[i:j]) for i, j in zip(at, at[1:])], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], names=["doc_id", "key", "packed"])
 
 
