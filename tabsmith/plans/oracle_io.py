@@ -78,15 +78,6 @@ SELECT (a.n + b.n > 0) AS differs, (SELECT count(*) FROM dirty)::BIGINT AS rows_
        b.n::BIGINT AS only_in_b FROM a, b"""
 
 
-def records_json():
-    """Each record as Spark prints it: doubles with a point, dates in quotes."""
-    quoted = {"l_returnflag", "l_linestatus", "l_shipdate"}
-    cells = [f"'\"{c}\":' || " + (f"'\"' || strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || '\"'" if c == "l_shipdate" else
-                                  f"'\"' || {c}::VARCHAR || '\"'" if c in quoted else f"{c}::VARCHAR") for c in LINEITEM_COLUMNS]
-    return ("SELECT '{' || " + " || ',' || ".join(cells) + " || '}' AS record FROM "
-            "(SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 5)")
-
-
 def profile_versions():
     from tabsmith.plans.oracle_sql import dataset_summary, describe_statistics
     return (f"SELECT s.*, d.count AS count, d.mean, d.std, d.min, d.max FROM ({dataset_summary()}) s "
@@ -113,7 +104,6 @@ def io_sql() -> dict[str, str]:
         "column_list": column_list(),
         "save_version": save_version(),
         "frames_differ": frames_differ(),
-        "records_json": records_json(),
         "profile_versions": profile_versions(),
         "describe_rollup": describe_rollup(),
     }
