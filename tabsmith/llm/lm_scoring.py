@@ -20,8 +20,8 @@ What is gathered:
   bits more than would number all of the corpus's, so two meet with a chance of 2^-20
   each. The texts are dealt into blocks of about BLOCK_BYTES by where they lie in their
   files, the keys into buckets of equal ranges, as many as the texts' bytes ask for. A
-  block sends each bucket one message with its distinct n-grams and their counts; the
-  counts meet by bucket, and the totals go back to the blocks that have the n-gram, in
+  block sends each bucket one message with its distinct n-grams and their counts (one
+  from each task that reads some of its rows); the counts meet by bucket, and the totals go back to the blocks that have the n-gram, in
   the order of its keys, which the block makes again, with its context's rank in the bucket. So neither the vocabulary nor the
   model is ever in one place. The traffic is one key for a block's distinct n-gram,
   whatever its frequency; a block's messages are never more than its n-grams.
@@ -283,16 +283,27 @@ TOTALS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, B
                           ("tokens", pa.int64()), ("words", pa.int64())])
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of a block from its messages: Spark may read its rows in several tasks."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
 def _total(sent: pa.Table) -> pa.Table:
     """TOTALS of a bucket: for each block which of its keys are kept (or training texts' words), their totals,
     whether the block is the one to add them to their contexts, and the ranks of those that can be contexts among all
     such keys of the bucket; the bucket's sums are in a row without a block."""
     bucket = sent["bucket"][0].as_py()
-    rows = list(_each(sent))
+    rows: dict[int, list[dict]] = {}
+    for r in _each(sent):
+        rows.setdefault(r["block"], []).append(r)
     made: list[dict] = [{} for _ in rows]
     sums, ranked = (0, 0), 0
     for kind in KINDS:
-        parts = [(i, _keys_in(r["keys"][kind]), _numbers_in(r["n"][kind])) for i, r in enumerate(rows) if r["keys"][kind]]
+        parts = [(i, *_joined([(_keys_in(r["keys"][kind]), _numbers_in(r["n"][kind])) for r in of if r["keys"][kind]]))
+                 for i, of in enumerate(rows.values()) if any(r["keys"][kind] for r in of)]
         if not parts:
             continue
         n = np.concatenate([p[2] for p in parts])
@@ -312,7 +323,7 @@ def _total(sent: pa.Table) -> pa.Table:
             keep = t >= least
             made[i][kind] = (np.packbits(keep).tobytes(), b"" if kind == LONGEST else _places_out(p[keep]),
                              _numbers_out(t[keep]), np.packbits(m[keep]).tobytes())
-    out = [(r["block"], bucket, *_message(m, lambda *blobs: blobs), 0, 0) for r, m in zip(rows, made)]
+    out = [(block, bucket, *_message(m, lambda *blobs: blobs), 0, 0) for block, m in zip(rows, made)]
     out.append((None, bucket, [], [], [], [], *sums))
     return _table(out, TOTALS_ARROW)
 

@@ -5,6 +5,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tabsmith.llm import lm_scoring as lm
@@ -134,3 +136,26 @@ def test_ngrams_seen_twice_are_kept_in_a_large_corpus(spark):
     assert r.train_tokens > 2 << 20 and r.held_out
     # p(qa | start) = 1.4 / 42, p(qb | start qa) = p(qc | qa qb) = p(end | qb qc) = 1.4 / 2
     assert abs(r.score - (math.log10(1.4 / 42) + 3 * math.log10(0.7))) < 1e-6
+
+
+def test_a_block_read_by_several_tasks_counts_once(spark, tmp_path):
+    """Row groups of one block in several partitions."""
+    rows = fixture()
+    path = str(tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]}), path, row_group_size=10)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        docs = spark.read.parquet(path)
+        assert docs.rdd.getNumPartitions() > 2
+        got = lm.lm_scores(docs).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    model, by_id = Plain([t for d, t in rows if not held(d)]), dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        t = by_id[r.doc_id]
+        assert (r.n_known, r.train_tokens) == (sum(model.c[w] > 0 for w in words(t)), model.n)
+        assert abs(r.base_score - model.base(t)) < 1e-6 and abs(r.score - model.score(t)) < 1e-6
