@@ -18,19 +18,14 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import querylog as ql
 from tabsmith.session import scratch_path
+from tabsmith.sources.tables import stream_parquet
 
 
 def user_turns_stream(spark: SparkSession, path: str) -> DataFrame:
     """User turns of a conversations source (a folder of Parquet files, or
-    one file, streamed as its folder filtered to that file name) as a stream."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    if os.path.isfile(path):
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
-    src = reader.parquet(path)
-    return (src.filter(F.col("role") == "user")
-               .select("conv_id", "turn", F.col("text").alias("query")))
+    one file) as a stream."""
+    return (stream_parquet(spark, path).filter(F.col("role") == "user")
+            .select("conv_id", "turn", F.col("text").alias("query")))
 
 
 def routed_stream(turns: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tabsmith.functions import rules as R
 from tabsmith.operators import querylog as ql
 from tabsmith.session import scratch_path, ship_package
+from tabsmith.sources.tables import stream_parquet
 
 MEMORY = ("version bigint, closed boolean, total_turns bigint, agents_used string, dataset string, "
           "has_ml_results boolean, last_agent string, last_output string, last_ml_result string, "
@@ -49,12 +50,7 @@ MAX_FILES = 16
 def chat_stream(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
     """The rows of a conversations source (a folder of Parquet files, or one
     file) as a stream of at most ``max_files`` files a micro-batch."""
-    reader = (spark.readStream.schema(spark.read.parquet(path).schema)
-              .option("maxFilesPerTrigger", max_files))
-    if os.path.splitext(path)[1] == ".parquet" and "*" not in path:
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
-    return reader.parquet(path).select("conv_id", "turn", "role", "text")
+    return stream_parquet(spark, path, max_files).select("conv_id", "turn", "role", "text")
 
 
 def routed_rows(rows: DataFrame) -> DataFrame:

@@ -116,3 +116,24 @@ def test_empty_table(spark):
     s = Stream(spark)
     s.feed(spark.createDataFrame([], SCHEMA))
     assert s.now() == {}
+
+
+def test_a_table_is_one_file_or_a_folder_of_that_name(spark, tmp_path):
+    """conversations.parquet as a folder of files, and as a file beside another folder's file of its name."""
+    rows = spark.createDataFrame(SESSION, SCHEMA)
+    want = _batch(rows)
+    folder = str(tmp_path / "many" / "conversations.parquet")
+    rows.repartition(3).write.parquet(folder)
+    single, other = str(tmp_path / "one" / "conversations.parquet"), str(tmp_path / "one" / "old" / "conversations.parquet")
+    rows.toPandas().to_parquet(os.path.join(_made(os.path.dirname(single)), "conversations.parquet"))
+    rows.withColumn("conv_id", F.col("conv_id") + 100).toPandas().to_parquet(
+        os.path.join(_made(os.path.dirname(other)), "conversations.parquet"))
+    for path in (folder, single):
+        got = sm.stream_memory(spark, path, "chat", 9, 4)
+        assert {r["conv_id"]: (r["total_turns"], r["last_output"], r["context"]) for r in got.collect()} == {
+            k: (v[0], v[5], v[8]) for k, v in want.items()}
+
+
+def _made(folder):
+    os.makedirs(folder)
+    return folder
