@@ -386,8 +386,9 @@ def _states(totals: pa.Table, sums: pa.Table) -> pa.Table:
 class Automaton:
     """The states, arcs and failure arcs that one block's texts can reach.
 
-    A state is the number of its context's key; the root comes after all keys. ``arcs`` are sorted
-    numbers of (state, word), beside their weights and the states they lead to."""
+    A state is the number of its context's key; the root comes after all keys. An arc has the number of
+    its n-gram: as a state is the last words read, the arc that a word takes from it can only be the
+    n-gram that ends there, one word longer than the state, so none is searched for."""
 
     def __init__(self, block: Block, rows: pa.Table, denominator: float):
         self.block = block
@@ -398,7 +399,9 @@ class Automaton:
         # a context's longest shorter one, and the state that a word leads to from it
         self.state = np.full(n + 1, n, np.int64)
         self.fail, self.weight = np.full(n + 1, n, np.int64), np.zeros(n + 1)
-        arcs, weights, targets = [], [], []
+        self.length = np.zeros(n + 1, np.int8)          # a state's words
+        self.arc, self.arc_weight = np.zeros(n, bool), np.zeros(n)
+        self.grams = np.stack(block.place)
         where = np.zeros(n, np.int64)
         for k, place in enumerate(block.place):
             # only words, contexts with continuations and kept n-grams have a part in the automaton
@@ -412,7 +415,7 @@ class Automaton:
             live = kids[keys] > 0
             self.state[keys] = np.where(live, keys, self.state[suffix])
             s, below = keys[live], suffix[live]
-            self.fail[s] = self.state[below]
+            self.fail[s], self.length[s] = self.state[below], k + 1
             used = (counts[s] - DISCOUNT * kids[s]) / np.maximum(total[s], 1)
             covered = ((shorter[s] - DISCOUNT * kids[s]) / np.maximum(total[below], 1) if k
                        else (shorter[s] + ALPHA * kids[s]) / denominator)
@@ -421,34 +424,24 @@ class Automaton:
                 kept = total[keys] >= LEAST
                 g, at = keys[kept], at[kept]
                 context = block.place[k - 1][at - 1].astype(np.int64)
-                arcs.append(context * max(1, block.words) + block.place[0][at])
-                weights.append(np.log10((total[g] - DISCOUNT) / total[context]))
-                targets.append(self.state[g])
-        arcs = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
-        by = np.argsort(arcs)
-        # one more, that no state has, so that every search ends at an arc
-        self.arcs = np.append(arcs[by], np.iinfo(np.int64).max)
-        self.arc_weight = np.append(np.concatenate(weights)[by] if weights else [], 0.0)
-        self.target = np.append(np.concatenate(targets)[by] if targets else np.zeros(0, np.int64), n)
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The weights of reading a word in each state, and the states it leads to."""
+                self.arc[g] = True
+                self.arc_weight[g] = np.log10((total[g] - DISCOUNT) / total[context])
+
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of reading the word at a place in each state, and the states it leads to."""
         weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
-        go, state = np.arange(len(state)), state.copy()
+        go, s = np.arange(len(state)), state
         while len(go):
-            s, w = state[go], word[go]
-            number = s * max(1, self.block.words) + w
-            arc = np.searchsorted(self.arcs, number)
-            hit = self.arcs[arc] == number
-            weight[go[hit]] += self.arc_weight[arc[hit]]
-            after[go[hit]] = self.target[arc[hit]]
-            go, s = go[~hit], s[~hit]
-            end = s == self.root
-            weight[go[end]] += self.word[word[go[end]]]
-            after[go[end]] = self.state[word[go[end]]]
-            go, s = go[~end], s[~end]
+            gram = self.grams[self.length[s], at]
+            end = s == self.root                        # its arcs are the words
+            hit = self.arc[gram] & ~end
+            weight[go[hit]] += self.arc_weight[gram[hit]]
+            weight[go[end]] += self.word[gram[end]]
+            done = hit | end
+            after[go[done]] = self.state[gram[done]]
+            go, at, s = go[~done], at[~done], s[~done]
             weight[go] += self.weight[s]                # the failure arc
-            state[go] = self.fail[s]
+            s = self.fail[s]
         return weight, after
 
     def read(self, segment: int) -> np.ndarray:
@@ -469,7 +462,7 @@ class Automaton:
         length = steps + before
         for t in range(int(length.max(initial=0))):
             m = int(np.searchsorted(-length, -t, side="left"))          # the lanes that go on
-            weight, state[:m] = self.step(state[:m], block.place[0][first[:m] - before[:m] + t].astype(np.int64))
+            weight, state[:m] = self.step(state[:m], first[:m] - before[:m] + t)
             score[:m] += np.where(t >= before[:m], weight, 0.0)
         return np.bincount(lane, weights=score, minlength=len(text))
 
