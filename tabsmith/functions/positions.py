@@ -56,19 +56,26 @@ def block_of(key: Column, cuts: list[tuple[int, int]], parts: int | None = None)
     return F.when(key.isNotNull(), found.cast("bigint") * ((parts or PARTS) + 1) + F.least(inside, F.lit(parts or PARTS)))
 
 
+def key_blocks(df: DataFrame, key: str) -> DataFrame | None:
+    """The rows that have a ``key`` with its block as ``_pb`` (steps 1 and 2); None when no row has one."""
+    k = col(key).cast("bigint")
+    shares = [i / RANGES for i in range(1, RANGES)]
+    lo, hi, sampled = df.agg(F.min(k), F.max(k), F.percentile_approx(k, shares, ACCURACY)).collect()[0]
+    if lo is None:
+        return None
+    tagged = df.withColumn("_pb", block_of(k, range_cuts(int(lo), int(hi), sampled)))
+    return tagged.filter(F.col("_pb").isNotNull())
+
+
 def positions(df: DataFrame, groups: list[str], key: str, out: str = "pos",
               total: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its group ordered by the
     integral ``key`` (unique within the group; a row without one is left out); ``total`` optionally adds the
     group size."""
-    k = col(key).cast("bigint")
-    shares = [i / RANGES for i in range(1, RANGES)]
-    lo, hi, sampled = df.agg(F.min(k), F.max(k), F.percentile_approx(k, shares, ACCURACY)).collect()[0]
-    if lo is None:
+    tagged = key_blocks(df, key)
+    if tagged is None:
         res = df.withColumn(out, F.lit(None).cast("bigint"))
         return res.withColumn(total, F.lit(None).cast("bigint")) if total else res
-    tagged = df.withColumn("_pb", block_of(k, range_cuts(int(lo), int(hi), sampled)))
-    tagged = tagged.filter(F.col("_pb").isNotNull())
     counts = tagged.groupBy(*groups, "_pb").agg(F.count(F.lit(1)).alias("_pn"))
     run = Window.partitionBy(*groups).orderBy("_pb")
     offs = counts.withColumn(

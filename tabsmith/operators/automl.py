@@ -15,20 +15,19 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel,
-                                       RandomForestClassificationModel, RandomForestClassifier)
+                                       RandomForestClassificationModel)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (LinearRegression, LinearRegressionModel,
-                                   RandomForestRegressionModel, RandomForestRegressor)
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressionModel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions import rules as R
 from tabsmith.functions.columns import (CATEGORICAL, NUMERIC, as_double, col, column_class,
                                         columns_info)
-from tabsmith.functions.positions import positions
+from tabsmith.functions.positions import key_blocks
 from tabsmith.functions.ranking import dense_codes
+from tabsmith.operators.forest import Forest
 from tabsmith.session import save_once
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
@@ -39,7 +38,7 @@ FOREST_DEPTH = 10             # default of auto_train(forest_depth=); Spark allo
 LOGISTIC_MAX_ITER = 1000
 CV_FOLDS = 3
 SEED = 42
-FIT_THREADS = 8               # concurrent fits (final + CV folds)
+FIT_THREADS = 4               # concurrent fits (final + CV folds)
 
 
 # ----------------------------------------------------------- target / task
@@ -240,6 +239,10 @@ class Preparation:
 
     def feature_vector(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` of the rows' columns and their scaled ``features``."""
+        return self.assemble(self.scaled(df, keep))
+
+    def scaled(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` of the rows' columns and a column ``__f0``, ``__f1``, ... for each scaled feature."""
         missing = [f for f in self.features if f not in df.columns]
         if missing:
             raise ValueError(f"Columns not found: {', '.join(missing)}")
@@ -256,10 +259,13 @@ class Preparation:
             x = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
             x = (F.coalesce(x, F.lit(fill).cast("double")) - F.lit(mean or 0.0)) / F.lit(std or 1.0)
             scaled.append(F.coalesce(x, F.lit(0.0)).alias(f"__f{i}"))
-        out = out.select(*[col(c) for c in keep], *scaled)
+        return out.select(*[col(c) for c in keep], *scaled)
+
+    def assemble(self, scaled: DataFrame) -> DataFrame:
+        """The columns of ``scaled`` as the vector ``features``."""
         va = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(self.features))], outputCol="features",
                              handleInvalid="keep")
-        return va.transform(out).drop(*[f"__f{i}" for i in range(len(self.features))])
+        return va.transform(scaled).drop(*[f"__f{i}" for i in range(len(self.features))])
 
     def label(self, df: DataFrame) -> Column:
         """The target as the models take it: the place of a class, or the number."""
@@ -327,7 +333,7 @@ def fit_preparation(df: DataFrame, target: str, task: str, on_train: Column, ids
     return Preparation(target, task, order, cats, numbers, codes), row["rows"]
 
 
-ROWS_PER_FIT_PARTITION = 200_000        # a forest holds some 1400 bytes a row
+ROWS_PER_FIT_PARTITION = 200_000        # a forest packs as many into a block
 
 
 def fit_partitions(spark, n_rows: int) -> int:
@@ -339,10 +345,10 @@ def fit_partitions(spark, n_rows: int) -> int:
 
 def dealt(rows: DataFrame, parts: int) -> DataFrame:
     """The rows to fit on in ``parts`` even partitions: as read they may lie in one task (a file's row group), and
-    a persisted plan keeps its partitioning. Rows alike lie together: a forest's task updates the nodes that it has
-    just updated, not ones all over its memory."""
-    return (rows.withColumn("__near", vector_to_array("features")).repartition(parts)
-                .sortWithinPartitions("__near", "__kid").drop("__near"))
+    a persisted plan keeps its partitioning. Rows alike lie together: scoring them walks the same nodes of a forest,
+    not ones all over its memory."""
+    near = [c for c in rows.columns if c.startswith("__f")]
+    return rows.repartition(parts).sortWithinPartitions(*near, "__kid").drop("__kid")
 
 
 def scale(df: DataFrame, stats: dict) -> DataFrame:
@@ -366,15 +372,11 @@ def make_estimator(name: str, n_train: int, forest_depth: int = FOREST_DEPTH):
         return LogisticRegression(maxIter=LOGISTIC_MAX_ITER, regParam=1.0 / max(1, n_train),
                                   elasticNetParam=0.0, standardization=False)
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED,
-                                      featureSubsetStrategy="sqrt", maxBins=128,
-                                      cacheNodeIds=True, maxMemoryInMB=1024)
+        return Forest(True, FOREST_TREES, forest_depth, SEED)
     if name == "Linear Regression":
         return LinearRegression(regParam=0.0, solver="normal", standardization=False)
     if name == "Random Forest Regressor":
-        return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, seed=SEED,
-                                     featureSubsetStrategy="all", maxBins=128,
-                                     cacheNodeIds=True, maxMemoryInMB=1024)
+        return Forest(False, FOREST_TREES, forest_depth, SEED)
     raise ValueError(name)
 
 
@@ -403,28 +405,82 @@ def regression_metrics(pred: DataFrame, label: str = "label",
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = CV_FOLDS) -> DataFrame:
     """ML15 folds: per class, rows in key order are cut into k contiguous
     blocks whose sizes follow the unshuffled stratified rule (the class's
-    share of every k-th position of the label-sorted order). Positions come
-    from the skew-safe ``positions`` helper, not a window over a class."""
-    counts = sorted((r["c"], r["n"]) for r in df.groupBy(col(label).alias("c"))
-                    .agg(F.count(F.lit(1)).alias("n")).collect())
-    start, bounds = 0, []
+    share of every k-th position of the label-sorted order). Only the keys at
+    which folds end are looked for (``fold_ends``); rows are not sorted or moved."""
+    keyed = df.filter(col(label).isNotNull() & col(key).isNotNull())
+    return with_folds(keyed, label, key, fold_ends(df, label, key, k))
+
+
+def fold_ends(df: DataFrame, label: str, key: str, k: int = CV_FOLDS) -> list[tuple]:
+    """Where the folds of each class end: (class, [(key, rows with just this key that the fold still takes), ...]).
+    The counts of blocks of keys (``functions.positions``) tell in which block an end lies, and only the rows of
+    these blocks are put in order."""
+    kept = df.select(col(label).alias("c"), col(key).cast("bigint").alias("k")).filter("c IS NOT NULL AND k IS NOT NULL")
+    counts = sorted((r["c"], r["n"]) for r in kept.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect())
+    wanted, start = [], 0
+    for c, n in counts:
+        cum = 0
+        for a in _alloc(start, n, k):
+            cum += a
+            wanted.append((c, cum))
+        start += n
+    if not wanted:
+        return []
+    spark, dt = df.sparkSession, df.schema[label].dataType
+    wanted = spark.createDataFrame(sorted(set(wanted)), T.StructType([T.StructField("c", dt), T.StructField("e", T.LongType())]))
+    blocks = key_blocks(kept, "k")
+    sizes = blocks.groupBy("c", "_pb").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))
+    ends = (sizes.withColumn("before", before).join(F.broadcast(wanted), "c")
+                 .filter("e > before AND e <= before + n").select("c", "_pb", "before", "e"))
+    ends = spark.createDataFrame(ends.collect(), ends.schema)
+    near = (blocks.join(F.broadcast(ends.select("c", "_pb", "before").distinct()), ["c", "_pb"])
+                  .groupBy("c", "_pb", "before", "k").agg(F.count(F.lit(1)).alias("same")))
+    upto = F.sum("same").over(Window.partitionBy("c", "_pb").orderBy("k"))
+    found = (near.withColumn("upto", F.col("before") + upto).join(F.broadcast(ends.select("c", "e")), "c")
+                 .filter("e <= upto AND e > upto - same").select("c", "e", "k", (F.col("e") - F.col("upto") + F.col("same")).alias("m"),
+                                                                 "same"))
+    at = {(r["c"], r["e"]): (r["k"], r["m"] if r["m"] < r["same"] else None) for r in found.collect()}
+    out, start = [], 0
     for c, n in counts:
-        alloc = _alloc(start, n, k)
-        cum, acc = [], 0
-        for a in alloc:
-            acc += a
-            cum.append(acc)
-        bounds.append((c, cum))
+        cum, mine = 0, []
+        for a in _alloc(start, n, k):
+            cum += a
+            mine.append((None, None) if cum == 0 else at[(c, cum)])
+        out.append((c, mine))
         start += n
-    if not bounds:
+    return out
+
+
+def with_folds(df: DataFrame, label: str, key: str, ends: list[tuple]) -> DataFrame:
+    """Each row with its ``fold`` by where the folds of its class end (null: a class without ends). Rows that share the
+    key at which a fold ends are numbered, so that each fold gets its share of them."""
+    if not ends:
         return df.withColumn("fold", F.lit(None).cast("int"))
-    pos = positions(df, [label], key, out="__pos")
-    # one row a class: where each fold ends; sent to all tasks, as a shuffle would bring a class to one
-    ends = df.sparkSession.createDataFrame(bounds, T.StructType([
-        T.StructField("__class", df.schema[label].dataType), T.StructField("__ends", T.ArrayType(T.LongType()))]))
-    fold = F.size(F.filter("__ends", lambda e: e < F.col("__pos")))
-    return (pos.join(F.broadcast(ends), col(label) == F.col("__class")).withColumn("fold", fold.cast("int"))
-               .drop("__pos", "__class", "__ends"))
+    spark = df.sparkSession
+    # one row a class; sent to all tasks, as a shuffle would bring a class to one
+    table = spark.createDataFrame([(c, [tuple(e) for e in mine]) for c, mine in ends], T.StructType([
+        T.StructField("__class", df.schema[label].dataType),
+        T.StructField("__ends", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("take", T.LongType())])))]))
+    out = df.join(F.broadcast(table), col(label) == F.col("__class"), "left")
+    k = col(key).cast("bigint")
+
+    def fold(number: Column | None) -> Column:
+        """How many folds end before the row; an end without a key lies before all rows."""
+        over = lambda e: e["key"].isNull() | (e["key"] < k)
+        if number is not None:
+            past = over
+            over = lambda e: past(e) | ((e["key"] == k) & (number > e["take"]))
+        return F.when(F.col("__ends").isNotNull(), F.size(F.filter("__ends", over))).cast("int")
+
+    if all(take is None for _, mine in ends for _, take in mine):
+        return out.withColumn("fold", fold(None)).drop("__class", "__ends")
+    shared = F.coalesce(F.exists("__ends", lambda e: (e["key"] == k) & e["take"].isNotNull()), F.lit(False))
+    plain = out.filter(~shared).withColumn("fold", fold(None))
+    number = F.row_number().over(Window.partitionBy(col(label), k).orderBy(k))
+    some = out.filter(shared).withColumn("__no", number).withColumn("fold", fold(F.col("__no"))).drop("__no")
+    return plain.unionByName(some).drop("__class", "__ends")
 
 
 def _alloc(start: int, n: int, k: int) -> list[int]:
@@ -507,30 +563,26 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
     if task == CLASSIFICATION:
         classes = prep.classes = class_values(base, target)
     parts = fit_partitions(df.sparkSession, n_rows)
-    data = prep.feature_vector(base.withColumn("__label", prep.label(base)), ["__label", "__split", "__kid"])
-    data = data.withColumnRenamed("__label", "label")
+    base = base.withColumn("label", prep.label(base)).withColumn("__train", F.col("__split") == "train")
+    folds = task == CLASSIFICATION and cv
+    if folds:
+        base = with_folds(base, "label", "__kid", fold_ends(base.filter("__train"), "label", "__kid", CV_FOLDS))
+    data = prep.scaled(base, ["label", "__train", "__kid"] + ["fold"] * folds)
+    # one cached table for all fits: a few numbers a row; vectors are made as they are read
+    cached = dealt(data, parts).persist()
+    data = prep.assemble(cached)
     if classes is not None:             # the classifiers take the number of classes from the label
         nominal = {"ml_attr": {"type": "nominal", "num_vals": max(2, len(classes))}}
         data = data.withColumn("label", F.col("label").alias("label", metadata=nominal))
-    data = dealt(data, parts).persist()
-    tr = data.filter(F.col("__split") == "train")
-    te = data.filter(F.col("__split") == "test")
+    tr, te = data.filter("__train"), data.filter("NOT __train")
     n_train, n_test = tr.count(), te.count()
     names = MODELS[task]
-    folded = None
-    if task == CLASSIFICATION and cv:
-        folded = stratified_folds(tr, "label", "__kid", CV_FOLDS)
-        folded = folded.withColumn("label", F.col("label").alias("label", metadata=nominal))
-        folded = dealt(folded, parts).persist()
-        folded.count()                  # cached once, before several fits read it at a time
     # every fit is independent: the final fits and the CV fold fits run as
     # concurrent Spark jobs from a small driver thread pool
     jobs = {}
-    for name in names:
-        jobs[(name, None)] = (tr, te)
-        if folded is not None:
-            for f in range(CV_FOLDS):
-                jobs[(name, f)] = (folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f))
+    for f in [None, *(range(CV_FOLDS) if folds else ())]:       # in this order, the models in turn: their peaks differ
+        for name in names:
+            jobs[(name, f)] = (tr, te) if f is None else (tr.filter(F.col("fold") != f), tr.filter(F.col("fold") == f))
 
     def run(job):
         (name, _), (fit_on, score_on) = job
@@ -549,12 +601,10 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
                 outcomes[key] = fut.result()
             except Exception as e:  # noqa: BLE001 - raised below, when no fit is running any more
                 outcomes[key] = e
-    if folded is not None:
-        folded.unpersist()
+    cached.unpersist()
     if not report_failures:
         for (name, fold), got in outcomes.items():
             if isinstance(got, Exception):
-                data.unpersist()
                 raise RuntimeError(f"{name}{'' if fold is None else f', fold {fold},'} failed: {got}") from got
     scores, models, best = [], {}, None
     metric = "accuracy" if task == CLASSIFICATION else "r2"
@@ -568,18 +618,17 @@ def auto_train(df: DataFrame, target: str | None = None, split_key: Column | Non
                            extra={k: v for k, v in m.items() if k != "value"})
             s.importances = feature_importance(model, feats)
             models[name] = model
-            folds = [outcomes.get((name, f)) for f in range(CV_FOLDS)] if folded is not None else []
-            failed = [x for x in folds if isinstance(x, Exception)]
+            tried = [outcomes.get((name, f)) for f in range(CV_FOLDS)] if folds else []
+            failed = [x for x in tried if isinstance(x, Exception)]
             if failed:
                 s.error = f"cross-validation failed: {failed[0]}"
-            if folds and not any(isinstance(x, Exception) or x is None for x in folds):
-                accs = [x[1]["value"] for x in folds]
+            if tried and not any(isinstance(x, Exception) or x is None for x in tried):
+                accs = [x[1]["value"] for x in tried]
                 s.cv_mean = sum(accs) / len(accs)
                 s.cv_std = math.sqrt(sum((a - s.cv_mean) ** 2 for a in accs) / len(accs))
         scores.append(s)
         if s.value is not None and (best is None or s.value > best.value):
             best = s
-    data.unpersist()
     return TrainResult(task, target, feats, n_train, n_test, scores, best, models, classes, prep)
 
 
